@@ -114,12 +114,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _letters() -> np.ndarray:
-    bits = np.zeros(256, np.uint32)
-    for b in range(256):
-        c = b + 32 if 65 <= b <= 90 else b
-        bits[b] = 1 << ((c - 97) % 26 if 97 <= c <= 122 else 26 + c % 6)
-    return bits
+def _pieces(term: str) -> list[str]:
+    """One piece more than the edits allowed: an edit damages one piece at most, so one stays whole."""
+    k = edits_allowed(term) + 1
+    cut = [i * len(term) // k for i in range(k + 1)]
+    return [term[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def _swapped(term: str) -> list[str]:
+    return [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)]
 
 
 class Scanner:
@@ -129,16 +132,17 @@ class Scanner:
 
     def __init__(self, stems: dict[str, int], terms: list[str]):
         self.stems, self.trie, self.terms = stems, Trie(list(stems)), Trie(terms)
-        self.bits = _letters()
         by_length: dict[int, list[bytes]] = defaultdict(list)
         for s in stems:
             raw = s.rstrip().encode()
             by_length[len(raw)].append(raw)
         self.prefixes = {n: np.sort(self._hash(v, n)) for n, v in by_length.items()}
-        loose = [s for s in terms if edits_allowed(s)]
-        self.masks = np.array([np.bitwise_or.reduce(self.bits[np.frombuffer(s.encode(), np.uint8)]) for s in loose], np.uint32)
-        self.sizes = np.array([len(s.encode()) for s in loose], np.int64)
-        self.slack = np.array([edits_allowed(s) for s in loose], np.int64)
+        self.loose = []
+        for t in terms:
+            pieces = [x.encode() for x in _pieces(t)]
+            ends = [self._hash([x], len(x))[0] for x in pieces]
+            swaps = np.concatenate([self._hash([x.encode()], len(x.encode())) for x in _swapped(t)])
+            self.loose.append((len(t.encode()), edits_allowed(t), pieces, ends, swaps))
         self.known, self.kind = np.zeros(0, U64), np.zeros(0, np.int8)
 
     @staticmethod
@@ -156,14 +160,21 @@ class Scanner:
             h = mix((c[a[i] + n] - c[a[i]]) * inverse[a[i]])
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             maybe[i[hashes[at] == h]] = True
-        if len(self.masks) and len(a):
-            spans = np.stack([a, b], 1).ravel()
-            letters = np.append(self.bits[s.data], np.uint32(0))
-            mask = np.bitwise_or.reduceat(letters, spans)[::2]
-            for m, size, k in zip(self.masks, self.sizes, self.slack, strict=True):
-                i = np.flatnonzero((b - a >= size - 2 * k) & (b - a <= size + 4 * k + 3))
-                miss = np.bitwise_count(m & ~mask[i])
-                maybe[i[miss <= k]] = True
+        for size, k, pieces, hashes, swaps in self.loose:
+            i = np.flatnonzero((b - a >= size - 2 * k) & (b - a <= size + 2 * k + 1))
+            x, y = a[i], b[i]
+            good = np.isin(mix((c[y] - c[x]) * inverse[x]), swaps)
+            at = 0
+            for j, (piece, h) in enumerate(zip(pieces, hashes, strict=True)):
+                n = len(piece)
+                starts = [x] if j == 0 else [y - n, y - n - 1] if j == len(pieces) - 1 else [x + at + d for d in range(-2 * k, 2 * k + 1)]
+                for p in starts:
+                    inside = (p >= x) & (p + n <= y)
+                    p = np.where(inside, p, x[:1] if len(x) else 0)
+                    p = np.minimum(p, len(s.data) - n)
+                    good |= inside & (mix((c[p + n] - c[p]) * inverse[p]) == h)
+                at += n
+            maybe[i[good]] = True
         for i in np.flatnonzero(maybe).tolist():
             word = s.data[a[i] : b[i]].tobytes().decode("utf-8", "replace").lower()
             stems = self.trie.exact(word)
