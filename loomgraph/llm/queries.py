@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, toxicity
+from . import decontaminate, mixing, quality, tokens, toxicity
 from .storage import read_table
 
 
@@ -27,6 +27,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: Where the public tokenizers' files are; a parameter of the operator.
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = tokens.write(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.read(files)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.ledger(read_table(spark, sf_dir, "documents"))
     base_failed = ~quality.verdict(quality.BASE)
@@ -38,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op7_tokens": op7_tokens,
     "op9_quality": op9_quality,
 }
 
