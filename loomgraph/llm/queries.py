@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, tokens, toxicity
+from . import decontaminate, jaccard, mixing, quality, repeats, tokens, toxicity
 from .storage import read_table
 
 
@@ -27,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents"))
+
+
 #: Where the public tokenizers' files are; a parameter of the operator.
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -39,6 +43,10 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(files)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.ledger(read_table(spark, sf_dir, "documents"))
     base_failed = ~quality.verdict(quality.BASE)
@@ -50,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard": op6_jaccard,
     "op7_tokens": op7_tokens,
+    "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
 }
 

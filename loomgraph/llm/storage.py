@@ -6,6 +6,7 @@ in local tests, a temporary folder of the driver is set once for the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later plan reads."""
     jvm = spark._jvm
