@@ -37,6 +37,8 @@ from .storage import discard, materialize
 
 MAX_ROWS = 20_000
 SEED = 5
+#: A stem must occur in this share of the toxic documents, and this many standard deviations over chance plus the log of the sample.
+MIN_SHARE, MIN_Z = 0.01, 4.0
 PREFIXES = range(4, 9)
 CAP = 4
 #: Opening and closing quotation marks, and words that report another's speech.
@@ -252,7 +254,7 @@ def _lexicon(counted: list[tuple[str, int, int]], n_toxic: int, n_clean: int) ->
     seen = {stem: t for stem, t, _ in counted}
     for stem, t, c in sorted(counted, key=lambda x: (len(x[0]), x[0])):
         z = (t - (t + c) * base) / np.sqrt((t + c) * base * (1 - base))
-        if z < 6 or t < 4:
+        if z < MIN_Z + np.log10(n_toxic + n_clean) or t < max(4, MIN_SHARE * n_toxic):
             continue
         kind = 1 if t * n_clean >= 100 * c * n_toxic or c == 0 else 2
         begins = [stem[:n] for n in range(1, len(stem)) if stem[:n] in stems]
@@ -281,7 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), F.col("__id"))
     some = known.where("toxic = 1").orderBy(order, "__id").limit(max_rows // 2).unionByName(known.where("toxic = 0").orderBy(order, "__id").limit(max_rows // 2))
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(some), "__id").select("toxic", "text")
+    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(some), "__id")
+    # Of copies, most agree on the smallest hash of three words; one is kept, or a group of copies would make its words stems.
+    words = F.split(F.col("text"), " ")
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    sample = sample.groupBy("toxic", least.alias("least")).agg(F.min_by("text", "__id").alias("text")).select("toxic", "text")
     sample, path = materialize(sample, "toxicity-sample")
     by = dict(sample.groupBy("toxic").count().collect())
     n_toxic, n_clean = by.get(1, 0), by.get(0, 0)
