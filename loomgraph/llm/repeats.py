@@ -184,16 +184,37 @@ def _dealt(key: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n_parts + 1))
 
 
-def _sent(block: int, names: list[str], columns: list[np.ndarray], key: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+def _short(column: np.ndarray) -> bytes:
+    """48 bits of each hash."""
+    return column.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
+def _steps(column: np.ndarray) -> bytes:
+    """Numbers that mostly ascend: differences, pressed."""
+    return zstandard.ZstdCompressor(1).compress(np.diff(column, prepend=column.dtype.type(0)).astype("<i8").tobytes())
+
+
+def _added(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i8"))
+
+
+def _sent(block: int, names: list[str], columns: list[tuple[np.ndarray, object]], key: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part that a block has entries of; columns with what writes them as bytes."""
     order, edge = _dealt(key, n_parts)
     full = np.flatnonzero(np.diff(edge))
     if len(full):
-        cells = [[c[order[edge[p] : edge[p + 1]]].tobytes() for p in full] for c in columns]
+        cells = [[write(c[order[edge[p] : edge[p + 1]]]) for p in full] for c, write in columns]
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), block)), *[pa.array(c, pa.binary()) for c in cells]], names=["part", "block", *names])
 
 
-def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+def _column(table: pa.Table, name: str, read) -> np.ndarray:
+    return np.concatenate([read(x) for x in table[name].to_pylist()])
 
 
 def _replies(blocks: np.ndarray, chosen: np.ndarray, names: list[str], columns: list[np.ndarray]) -> pa.Table:
@@ -217,21 +238,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         for batch in batches:
             for r in batch.to_pylist():
                 x = _runs(r["ids"], r["offs"], r["data"], length, anchor)
-                k = x.kept[~x.many]
-                at = np.flatnonzero(~x.many)
+                # In order of place, so that places and doc_ids ascend; an anchor with many runs is only named, under content 0.
+                k = np.sort(x.kept[~x.many])
                 lots = x.kept[x.many]
-                key, lead = np.unique(x.key[lots], return_index=True)
-                # An anchor with many runs is only named, under content 0.
-                key = np.concatenate([x.key[k], key])
+                _, lead = np.unique(x.key[lots], return_index=True)
+                i = np.concatenate([k, lots[lead]])
                 content = np.concatenate([x.content[k], np.zeros(len(lead), U64)])
-                own = np.concatenate([x.own[k], x.own[lots[lead]]])
-                at = np.concatenate([at, np.full(len(lead), -1)])
-                yield from _sent(r["block"], ["key", "content", "own", "at"], [key, content, own, at.astype(np.int32)], key, n_parts)
+                at = np.concatenate([k, np.full(len(lead), -1)])
+                yield from _sent(r["block"], ["key", "content", "own", "at"], [(x.key[i], _short), (content, _short), (x.own[i], _steps), (at, _steps)], x.key[i], n_parts)
 
     def compare_runs(table: pa.Table) -> pa.Table:
-        key, content = _column(table, "key", "<u8"), _column(table, "content", "<u8")
-        own, at = _column(table, "own", "<i8"), _column(table, "at", "<i4")
-        block = np.repeat(table["block"].to_numpy(), [len(x) // 8 for x in table["key"].to_pylist()])
+        key, content = _column(table, "key", _long), _column(table, "content", _long)
+        own, at = _column(table, "own", _added), _column(table, "at", _added)
+        block = np.repeat(table["block"].to_numpy(), [len(x) // 6 for x in table["key"].to_pylist()])
         low = smaller(mix(key ^ (content << U64(1))), own)
         # Anchors with different runs in different documents: windows of the runs' first documents are compared.
         order = np.lexsort((own, content, key))
@@ -244,19 +263,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         contested = np.zeros(len(k), bool)
         contested[order] = np.repeat(many & apart, np.diff(edge))
         covered = (low < own) & (at >= 0)
-        one = _replies(block, covered, ["at", "low"], [at, low])
-        two = _replies(block, contested & (low == own) & (at >= 0), ["at", "low"], [at, low])
+        one = _replies(block, covered, ["at", "low"], [at.astype("<i4"), low])
+        two = _replies(block, contested & (low == own) & (at >= 0), ["at", "low"], [at.astype("<i4"), low])
         return pa.concat_tables([one.append_column("kind", pa.array(np.zeros(len(one), np.int32))), two.append_column("kind", pa.array(np.ones(len(two), np.int32)))])
 
     reply = "block long, at binary, low binary, kind int"
-    runs = blocks.mapInArrow(send_runs, "part long, block long, key binary, content binary, own binary, at binary")
-    settled, _ = materialize(runs.groupBy("part").applyInArrow(compare_runs, reply), "repeats-runs", "none")
+    runs = "part long, block long, key binary, content binary, own binary, at binary"
+    settled, _ = materialize(blocks.mapInArrow(send_runs, runs).groupBy("part").applyInArrow(compare_runs, reply), "repeats-runs", "none")
     release(spark)
 
     def to_compare(x: Runs, table: pa.Table) -> np.ndarray:
         """The runs whose windows are compared one by one."""
         ask = np.concatenate([np.frombuffer(a, "<i4") for a, kind in zip(table["at"].to_pylist(), table["kind"].to_pylist(), strict=True) if kind == 1] or [np.zeros(0, np.int32)])
-        return np.concatenate([x.kept[ask], x.kept[x.many]])
+        return np.concatenate([ask, x.kept[x.many]])
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -264,18 +283,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             x = _runs(r["ids"], r["offs"], r["data"], length, anchor)
             _, h, own = x.windows(to_compare(x, right))
             h, own = _smallest(h, own)
-            out += _sent(r["block"], ["key", "own"], [h, own], h, n_parts)
+            i = np.argsort(own, kind="stable")
+            out += _sent(r["block"], ["key", "own"], [(h[i], np.ndarray.tobytes), (own[i], _steps)], h[i], n_parts)
         return pa.Table.from_batches(out, pa.schema([("part", pa.int64()), ("block", pa.int64()), ("key", pa.binary()), ("own", pa.binary())]))
 
     def compare_windows(table: pa.Table) -> pa.Table:
-        key, own = _column(table, "key", "<u8"), _column(table, "own", "<i8")
+        key, own = _column(table, "key", lambda x: np.frombuffer(x, "<u8")), _column(table, "own", _added)
         block = np.repeat(table["block"].to_numpy(), [len(x) // 8 for x in table["key"].to_pylist()])
         low = smaller(key, own)
         found = _replies(block, low < own, ["at", "low"], [key, low])
         return found.append_column("kind", pa.array(np.full(len(found), 2, np.int32)))
 
-    sent = blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(send_windows, "part long, block long, key binary, own binary")
-    windows, _ = materialize(sent.groupBy("part").applyInArrow(compare_windows, reply), "repeats-windows", "none")
+    sent = "part long, block long, key binary, own binary"
+    windows, _ = materialize(blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(send_windows, sent).groupBy("part").applyInArrow(compare_windows, reply), "repeats-windows", "none")
     release(spark)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,7 +320,7 @@ def _removed(x: Runs, replies: pa.Table, compared: np.ndarray) -> pa.Table:
     keys, lows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for at, got, kind in zip(replies["at"].to_pylist(), replies["low"].to_pylist(), replies["kind"].to_pylist(), strict=True):
         if kind == 0:
-            low[np.frombuffer(at, "<i4")] = np.frombuffer(got, "<i8")
+            low[x.group[np.frombuffer(at, "<i4")]] = np.frombuffer(got, "<i8")
         elif kind == 2:
             keys.append(np.frombuffer(at, "<u8"))
             lows.append(np.frombuffer(got, "<i8"))

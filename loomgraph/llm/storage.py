@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
