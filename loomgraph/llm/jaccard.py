@@ -11,15 +11,15 @@ a shingle there are a region.  Within regions:
 * The member with the smallest seeded hash is the pivot; all members are
   compared to it (a star, not all pairs), and linked if near.
 * Members at distance up to 1 - t (the ball) are connected through the pivot.
-  Members beyond twice that can't link to the ball.  So the region is cut in
-  two: outside the ball, and its boundary window, in which members between the
-  two radii are repeated together with those of the ball that the triangle
-  inequality leaves within reach.
-* Parts are joined recursively, with pivots of their own, till all members are
-  connected, or no more than ``SMALL`` are left; then pairs that aren't
-  connected are compared.  A large part that its pivot hardly thinned is cut
-  by a further shingle: such a pair shares l shingles of the first
-  n - ceil(t * n) + l.
+  Members beyond twice that can't link to the ball.  So what is left is what
+  is outside the ball, and, if some of it is in the window between the two
+  radii, those of the ball that the triangle inequality leaves within reach.
+* What is left of all regions with the same pivot is that pivot's cell: a
+  document is repeated in the cells of its pivots, not in all its regions.
+  A cell of up to ``SMALL`` members is joined in one task.  Regions of a larger
+  one are joined recursively, with pivots of their own; if the pivot hardly
+  thinned them, they are first cut by a further shingle (such a pair shares l
+  shingles of the first n - ceil(t * n) + l).
 
 Only connections count, so pairs known to be connected aren't compared.  Every
 link between two components is found; no region, partner or candidate is
@@ -43,12 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, Slice, mix, rows, shingle_hashes, text_slices
-from .storage import materialize, release
+from .storage import discard, materialize, release
 
 WORDS = 5
 PERCENT = 75
-#: Regions of up to so many members are finished by comparing what isn't connected.
-SMALL = 48
+#: A cell of up to so many members is finished in one task.
+SMALL = 4096
 #: Common shingles kept in order; more of them only make regions larger, results don't change.
 MAX_COMMON = 1 << 17
 NO_ID = (1 << 63) - 1
@@ -102,6 +102,37 @@ def prefix(sets: Sets, common: np.ndarray, rank: np.ndarray, percent: int, level
     return sets.hashes[order][keep], sets.doc[keep]
 
 
+def n_bits(n: int) -> int:
+    """Bits of the signature of n shingles: a power of two, four a shingle or more."""
+    return max(256, 1 << (4 * n - 1).bit_length())
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Bit h mod n_bits for each shingle h.
+
+    A bit that only one of two signatures has means a shingle that only one
+    set has.  Of signatures of different lengths, the longer is folded.
+    """
+    bits = np.zeros(n_bits(len(hashes)), bool)
+    bits[(hashes & U64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(sign: np.ndarray, size: int) -> np.ndarray:
+    """Signatures (one a row, as uint64) of ``size`` words."""
+    while sign.shape[-1] > size:
+        half = sign.shape[-1] // 2
+        sign = sign[..., :half] | sign[..., half:]
+    return sign
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = rows(batch, ["doc_id", "text"])
@@ -113,7 +144,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             note = np.stack([u[often].view(np.int64), n[often]], 1).astype("<i8").tobytes()
             own = ids.slice(s.lo, s.n_docs).fill_null(NO_ID)
             notes = pa.array([note if d == 0 and len(often) else None for d in range(s.n_docs)], pa.binary())
-            yield pa.RecordBatch.from_arrays([own, pa.array(x.n), pa.array(x.cls), notes], names=["doc_id", "n", "cls", "common"])
+            _, lead = np.unique(x.cls, return_index=True)
+            signs: list[bytes | None] = [None] * s.n_docs
+            for d in lead.tolist():
+                signs[d] = signature(x.hashes[x.first[d] : x.first[d + 1]])
+            yield pa.RecordBatch.from_arrays([own, pa.array(x.n), pa.array(x.cls), notes, pa.array(signs, pa.binary())], names=["doc_id", "n", "cls", "common", "sign"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +196,36 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = tuple(got)
 
 
+def _cell(percent: int):
+    """Pairs of a cell that sizes and signatures allow, of classes that aren't connected."""
+
+    def join(table: pa.Table) -> pa.Table:
+        n, cls, root = (table[c].to_numpy() for c in ("n", "cls", "root"))
+        order = np.argsort(n, kind="stable")
+        n, cls, root = n[order], cls[order], root[order]
+        raw = table["sign"].to_pylist()
+        sign = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
+        width = np.array([len(x) for x in sign])
+        a, b = [], []
+        for w in np.unique(width).tolist():
+            # Sizes that may link differ by less than two, and signatures by one fold.
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            block = np.stack([folded(sign[i], w) for i in at.tolist()])
+            for row, i in enumerate(at.tolist()):
+                if width[i] != w:
+                    break
+                hi = int(np.searchsorted(n[at], n[i] * 100 // percent, "right"))
+                j = np.arange(row + 1, hi)
+                j = j[root[at[j]] != root[i]]
+                apart = np.bitwise_count(block[j] ^ block[row]).sum(axis=1)
+                j = at[j[apart * (100 + percent) <= (n[at[j]] + n[i]) * (100 - percent)]]
+                a.extend(cls[j].tolist())
+                b.extend([cls[i]] * len(j))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return join
+
+
 class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"):
         self.spark, self.percent = docs.sparkSession, percent
@@ -169,18 +234,19 @@ class Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n, cls) and, of each class that links to another, its root class."""
-        members, _ = materialize(self.body.mapInArrow(_measure, "doc_id long, n long, cls long, common binary"), "jaccard-members")
-        notes = members.where("common is not null").select("common").mapInArrow(_common, "shingle long, n long")
+        measured, path = materialize(self.body.mapInArrow(_measure, "doc_id long, n long, cls long, common binary, sign binary"), "jaccard-measured")
+        notes = measured.where("common is not null").select("common").mapInArrow(_common, "shingle long, n long")
         often = notes.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
         hashes = np.array([r["shingle"] for r in often], np.int64).view(U64)
         rank = np.array([r["n"] for r in often], np.int64)
         order = np.argsort(hashes)
         self.order = self.spark.sparkContext.broadcast((hashes[order], rank[order]))
-        members = members.drop("common")
+        members, _ = materialize(measured.select("doc_id", "n", "cls"), "jaccard-members")
+        first = measured.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign", True).alias("sign"))
+        self.classes, _ = materialize(first, "jaccard-classes")
+        discard(self.spark, path)
         regions, _ = materialize(self._regions(), "jaccard-regions")
         release(self.spark)
-        self.sets, _ = materialize(self._sets(regions, members), "jaccard-sets", "none")
-        release(self.spark)
         return members, self._joined(regions)
 
     def _regions(self) -> DataFrame:
@@ -209,9 +275,9 @@ class Join:
         sent = self.body.select("text").mapInArrow(send, "part long, token binary, cls binary, n binary")
         return sent.groupBy("part").applyInArrow(_share, "region long, cls long, n long")
 
-    def _sets(self, regions: DataFrame, members: DataFrame) -> DataFrame:
-        """The shingles of one document of each class that is in a region."""
-        need = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(regions.select("cls").distinct(), "cls")
+    def _sets(self, need: DataFrame) -> DataFrame:
+        """The shingles of one document of each class in ``need``."""
+        need = self.classes.select("cls", "doc_id").join(need.select("cls").distinct(), "cls")
         texts = self.body.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(need, "doc_id")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +288,21 @@ class Join:
                     x = Sets(s)
                     mine = np.flatnonzero(x.cls == want[s.lo : s.hi])
                     cells = [x.hashes[x.first[d] : x.first[d + 1]].tobytes() for d in mine]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.cls[mine]), pa.array(x.n[mine]), pa.array(cells, pa.binary())], names=["cls", "n", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.cls[mine]), pa.array(cells, pa.binary())], names=["cls", "hashes"])
+
+        return materialize(texts.mapInArrow(sets, "cls long, hashes binary"), "jaccard-sets", "none")[0]
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (lo, hi, n, pn) with ``apart``, a lower bound of their symmetric difference."""
+        side = self.classes.select("cls", "sign")
+        both = pairs.join(side.toDF("hi", "y"), "hi").join(side.toDF("lo", "x"), "lo")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                apart = [least_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows(batch, ["lo", "hi", "n", "pn"]), pa.array(apart, pa.int64())], names=["lo", "hi", "n", "pn", "apart"])
 
-        return texts.mapInArrow(sets, "cls long, n long, hashes binary")
+        return both.select("lo", "hi", "n", "pn", "x", "y").mapInArrow(compare, "lo long, hi long, n long, pn long, apart long")
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
         """Exact sizes of intersection and union of pairs (lo, hi).
@@ -232,13 +310,13 @@ class Join:
         A class in very many pairs is a pivot; its set is sent to as many
         tasks as its pairs need, dealt by salt.
         """
-        pairs = pairs.withColumn("salt", F.lit(0))
+        sets = self._sets(pairs.select(F.explode(F.array("lo", "hi")).alias("cls")))
+        release(self.spark)
         often = pairs.groupBy("lo").agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
-        pairs = pairs.drop("salt").join(often, "lo").withColumn("salt", F.pmod(F.xxhash64("hi"), F.col("salts")).cast("int"))
-        spread = often.join(self.sets.select(F.col("cls").alias("lo"), F.col("hashes").alias("x")), "lo")
+        pairs = pairs.join(often, "lo").withColumn("salt", F.pmod(F.xxhash64("hi"), F.col("salts")).cast("int"))
+        spread = often.join(sets.toDF("lo", "x"), "lo")
         spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("lo", "salt", "x")
-        right = self.sets.select(F.col("cls").alias("hi"), F.col("hashes").alias("y"))
-        both = pairs.select("lo", "hi", "salt").join(right, "hi").join(spread, ["lo", "salt"]).select("lo", "hi", "x", "y")
+        both = pairs.select("lo", "hi", "salt").join(sets.toDF("hi", "y"), "hi").join(spread, ["lo", "salt"]).select("lo", "hi", "x", "y")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,7 +330,7 @@ class Join:
                     whole.append(len(a) + len(b) - same)
                 yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("hi"), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["lo", "hi", "shared", "whole"])
 
-        return both.mapInArrow(compare, "lo long, hi long, shared long, whole long")
+        return materialize(both.mapInArrow(compare, "lo long, hi long, shared long, whole long"), "jaccard-verified")[0]
 
     def _sizes_allow(self, n: str, m: str) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -261,58 +339,54 @@ class Join:
         return verified.where(F.col("shared") * 100 >= F.col("whole") * self.percent).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
 
     def _joined(self, regions: DataFrame) -> DataFrame:
-        radius = 1 - self.percent / 100
-        links = self.spark.createDataFrame([], "a long, b long")
-        roots = links.select("a", F.col("b").alias("root"))
+        radius, slack = 1 - self.percent / 100, 1e-12
+        roots = self.spark.createDataFrame([], "a long, root long")
         regions = regions.withColumn("path", F.array("region"))
         for _ in range(64):
-            if regions.isEmpty():
-                break
-            pivots = regions.groupBy("region").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot"), F.count("*").alias("size")).select("region", "size", "pivot.p", "pivot.pn")
+            least = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot")
+            pivots = regions.groupBy("region").agg(least).select("region", "pivot.p", "pivot.pn")
             stars = regions.join(pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
-            stars, _ = materialize(stars, "jaccard-stars")
             # The pivot is the side that may be salted.
-            pairs = stars.where("near").select(F.col("p").alias("lo"), F.col("cls").alias("hi")).distinct()
-            verified, _ = materialize(self._compared(pairs), "jaccard-verified")
-            links = links.unionByName(self._linked(verified)).unionByName(roots.select("a", F.col("root").alias("b")))
-            roots = connected(links)
-            links = links.limit(0)
-            stars = stars.join(verified.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), "shared", "whole").distinct(), ["p", "cls"], "left")
-            # A pair whose sizes rule it out is at least that far.
-            far = F.coalesce(1 - F.col("shared") / F.col("whole"), 1 - F.least("n", "pn") / F.greatest("n", "pn"))
-            known = stars.withColumn("d", far).withColumn("exact", F.col("shared").isNotNull())
-            known = known.join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            known, _ = materialize(known.select("region", "path", "cls", "n", "d", "exact", "root", "size"), "jaccard-known")
-            inside = F.col("exact") & (F.col("d") <= radius + 1e-12)
-            summary = known.groupBy("region").agg(
-                (F.min("root") == F.max("root")).alias("one"),
-                F.min(F.when(~inside, F.col("d"))).alias("edge"),
-                F.count(F.when(~inside, 1)).alias("outside"),
-            ).where("not one")
-            known = known.join(summary.where("outside > 0"), "region")
-            window = (~inside & (F.col("d") <= 2 * radius + 1e-12)) | (inside & (F.col("d") >= F.col("edge") - radius - 1e-12))
-            has_window = F.col("edge") <= 2 * radius + 1e-12
-            sides = F.array(F.when(~inside, F.lit(1)), F.when(window & has_window, F.lit(2)))
-            parts = known.withColumn("side", F.explode(sides)).where("side is not null")
-            parts = parts.withColumn("next", F.xxhash64("region", "side")).withColumn("thinned", F.col("outside") * 8 <= F.col("size") * 7)
-            parts, _ = materialize(parts.select(F.col("next").alias("region"), "path", "cls", "n", "root", "thinned"), "jaccard-parts")
-            sized = parts.groupBy("region").agg(F.count("*").alias("members"), (F.min("root") == F.max("root")).alias("one"), F.first("thinned").alias("thin")).where("members > 1 and not one")
-            parts = parts.drop("thinned").join(sized.drop("one"), "region")
-            few = parts.where(F.col("members") <= SMALL).select("region", "cls", "n", "root")
-            other = few.select("region", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-            rest = few.join(other, "region").where((F.col("cls") < F.col("c2")) & (F.col("root") != F.col("r2")) & self._sizes_allow("n", "n2"))
-            last, _ = materialize(self._compared(rest.select(F.col("cls").alias("lo"), F.col("c2").alias("hi")).distinct()), "jaccard-verified")
-            links = self._linked(last)
-            lots = parts.where(F.col("members") > SMALL)
-            again = lots.where("thin").select("region", "cls", "n", "path")
-            split = self._split(lots.where("not thin"))
-            regions, _ = materialize(again.unionByName(split), "jaccard-regions")
-        return connected(links.unionByName(roots.select("a", F.col("root").alias("b"))))
+            pairs = stars.where("near").select(F.col("p").alias("lo"), F.col("cls").alias("hi"), "n", "pn").distinct()
+            bounded, _ = materialize(self._bounded(pairs), "jaccard-bounded")
+            maybe = F.col("apart") * (100 + self.percent) <= (F.col("n") + F.col("pn")) * (100 - self.percent)
+            verified = self._compared(bounded.where(maybe).select("lo", "hi"))
+            roots = connected(self._linked(verified).unionByName(roots.select("a", F.col("root").alias("b"))))
+            # Where sizes or signatures rule a pair out, it is at least so far apart.
+            total = F.col("n") + F.col("pn")
+            far = bounded.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - (total - F.col("apart")) / (total + F.col("apart"))).alias("far"))
+            got = verified.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - F.col("shared") / F.col("whole")).alias("exact"))
+            known = stars.join(far.join(got, ["p", "cls"], "left"), ["p", "cls"], "left").join(roots.withColumnRenamed("a", "cls"), "cls", "left")
+            known = known.select("region", "path", "p", "cls", "n", F.coalesce("root", "cls").alias("root"), "exact", F.coalesce("exact", "far", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("d"))
+            known, _ = materialize(known, "jaccard-known")
+            inside = F.coalesce(F.col("exact") <= radius + slack, F.lit(False))
+            open_ = known.groupBy("region").agg(
+                F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(~inside, F.col("d"))).alias("edge"), F.count("*").alias("size"), F.count(F.when(~inside, 1)).alias("outside")
+            ).where("r1 != r2 and outside > 0").select("region", "edge", F.expr("outside * 8 <= size * 7").alias("thin"))
+            # Outside the ball, and those of the ball that the boundary window's members may reach.
+            reached = (F.col("edge") <= 2 * radius + slack) & (F.col("d") >= F.col("edge") - radius - slack)
+            parts = known.join(open_, "region").where(~inside | reached)
+            cells = parts.select("p", "cls", "n", "root").distinct()
+            parts, _ = materialize(parts.select("region", "path", "p", "cls", "n", "thin"), "jaccard-parts")
+            cells, _ = materialize(cells, "jaccard-cells")
+            sizes = cells.groupBy("p").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
+            small = cells.join(sizes.where(F.col("members") <= SMALL), "p").join(self.classes.select("cls", "sign"), "cls")
+            found = small.groupBy("p").applyInArrow(_cell(self.percent), "a long, b long").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+            found, _ = materialize(found, "jaccard-pairs")
+            roots = connected(self._linked(self._compared(found)).unionByName(roots.select("a", F.col("root").alias("b"))))
+            left = parts.join(sizes.where(F.col("members") > SMALL).select("p"), "p", "left_semi")
+            regions, _ = materialize(left.where("thin").select("region", "cls", "n", "path").unionByName(self._split(left.where("not thin"))), "jaccard-regions")
+            release(self.spark)
+            if regions.isEmpty():
+                return roots
+        raise RuntimeError("regions are left after 64 rounds")
 
     def _split(self, parts: DataFrame) -> DataFrame:
         """Cuts a region by a further shingle of its members' longer beginnings, larger than those it was cut by."""
         order, percent = self.order, self.percent
-        body = parts.select("region", "path", "cls").join(self.sets, "cls")
+        if parts.isEmpty():
+            return parts.select("region", "cls", "n", "path")
+        body = parts.select("region", "path", "cls", "n").join(self._sets(parts), "cls")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common, rank = order.value
