@@ -112,7 +112,7 @@ class Slice:
         return mix((c[ends] - c[starts]) * powers(len(self.data))[1][starts])
 
 
-def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[Slice]:
+def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Slice]:
     """Nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

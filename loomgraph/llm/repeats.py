@@ -165,7 +165,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, column = rows(batch, ["doc_id", "text"])
         null = ids.is_null().to_numpy(zero_copy_only=False)
         known = np.where(null, NO_ID, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        for s in text_slices(column):
+        for s in text_slices(column, 2 << 20):
             values = [block, known[s.lo : s.hi].astype("<i8").tobytes(), s.offs.astype("<i8").tobytes(), press.compress(s.data.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["block", "ids", "offs", "data"])
             block += 1
