@@ -1,5 +1,61 @@
-"""placeholder"""
-STAGES = []
+"""A corpus from documents to token files, in five stages.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read as the next one's
+docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import decontaminate, jaccard, mixing, tokens, toxicity
+from loomgraph.llm.queries import tokenizer_path
+from loomgraph.llm.storage import materialize, read_table
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=True).where("predicted = 0").select("row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by near equality, the one of the smallest doc_id stays."""
+    return jaccard.kept_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are contaminated go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, as often as it takes them whole; the one it cuts is cut."""
+    return mixing.taken_documents(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and of each document what they hold."""
+    files, _ = tokens.write(docs, tokenizer_path())
+    return tokens.read(files)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("tokens", to_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Labels, seeded choice and the tokenizer aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError

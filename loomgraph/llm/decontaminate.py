@@ -263,6 +263,41 @@ def judged(found: DataFrame, percent: int = 5) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = 200_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, whole rows; judged against each group of items in turn.
+
+    With several groups a document's hits are united by a number of the row.
+    """
+    spark = docs.sparkSession
+    groups = [spark.sparkContext.broadcast(Matcher(g, window)) for g in _groups(items, item_id, item_text, max_words)]
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    kind = body.schema["row"].dataType.simpleString()
+
+    def judge(batches):
+        for batch in batches:
+            row, column = rows(batch, ["row", "text"])
+            for s in text_slices(column):
+                n_words = np.zeros(s.n_docs, np.int64)
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(s.n_docs)]
+                for g in groups:
+                    for d, n, found, _ in g.value.match(s):
+                        n_words[d] = n
+                        spans[d] += found
+                hit = np.array([covered(x) for x in spans], np.int64)
+                keep = (hit == 0) | (20 * hit < n_words)
+                yield pa.RecordBatch.from_arrays([row.slice(s.lo, s.n_docs).filter(pa.array(keep))], names=["row"])
+
+    return body.mapInArrow(judge, f"row {kind}").select("row.*")
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    total, end = 0, 0
+    for lo, hi in sorted(spans):
+        total += max(0, hi - max(lo, end))
+        end = max(end, hi)
+    return total
+
+
 def removed_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without its hit words, from the start of each span's first word to the end of its last."""
     s = next(text_slices(pa.array([text])), None)

@@ -191,3 +191,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     one = planned.where(~is_cut).select(*names, (F.col("rounds") * F.col("size") + whole).cast("long").alias("taken"), *tail)
     two = ordered.select(*names, (F.col("rounds") * F.col("size") + in_cut).cast("long").alias("taken"), *tail)
     return one.unionByName(two)
+
+
+def taken_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes them: whole rows as often as they are taken whole, and once more, cut after the words that are left, where a part is."""
+    out = mix(docs, doc_id=doc_id, text=text, source=source, keep_text=True, **options).where("taken > 0")
+    whole = (F.col("taken") / F.col("size")).cast("int")
+    part = F.col("taken") - whole * F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    each = out.withColumn("__words", F.explode(copies))
+    words = F.regexp_extract_all("__text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.greatest(F.col("__words"), F.lit(0)).cast("int")), "")
+    columns = [F.col(f"__row.`{c}`").alias(c) if c != text else F.when(F.col("__words") < 0, F.col("__text")).otherwise(cut).alias(c) for c in docs.columns]
+    return each.withColumn("__text", F.col(f"__row.`{text}`")).select(*columns)
