@@ -178,8 +178,12 @@ def _share(table: pa.Table) -> pa.Table:
 def connected(edges: DataFrame) -> DataFrame:
     """Rows a, root of the undirected edges (a, b): root is the smallest id of a's component.
 
-    Alternating large and small stars; each round is written, none is held.
+    What an a is linked to is first joined by the least of it, so that members
+    linked to several pivots leave one edge each and few between pivots; then
+    large and small stars alternate.  Each round is written, none is held.
     """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.toDF("a", "b"))
     now, _ = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     mark = None
     while True:
