@@ -77,9 +77,10 @@ def hash_embedding(docs: DataFrame, dim: int = 384, doc_id: str = "doc_id", text
     Bucket and sign come from 60 bits of the token's MD5, which other engines have too.
     """
     tokens = docs.select(F.col(doc_id).alias("doc_id"), F.explode(texts.dense_tokens(F.col(text))).alias("t"))
-    h = F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long")
-    signed = F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
-    sums = tokens.select("doc_id", (h % dim).cast("int").alias("idx"), signed.alias("s")).groupBy("doc_id", "idx").agg(F.sum("s").alias("w")).where("w != 0")
+    hashed = tokens.select("doc_id", F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long").alias("h"))
+    h = F.col("h")
+    signed = F.when(F.expr(f"h div {dim}") % 2 == 0, 1.0).otherwise(-1.0)
+    sums = hashed.select("doc_id", (h % dim).cast("int").alias("idx"), signed.alias("s")).groupBy("doc_id", "idx").agg(F.sum("s").alias("w")).where("w != 0")
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return sums.select("doc_id", "idx", (F.col("w") / F.greatest(size, F.lit(1e-12))).alias("weight"))
 
