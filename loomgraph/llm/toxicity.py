@@ -285,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
     some = known.where("toxic = 1").orderBy(order, "__id").limit(max_rows // 2).unionByName(known.where("toxic = 0").orderBy(order, "__id").limit(max_rows // 2))
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(some), "__id")
     # Of copies, most agree on the smallest hash of three words; one is kept, or a group of copies would make its words stems.
-    words = F.split(F.col("text"), " ")
-    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    triples = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    least = F.array_min(F.transform(F.array(F.split(F.col("text"), " ")), triples)[0])
     sample = sample.groupBy("toxic", least.alias("least")).agg(F.min_by("text", "__id").alias("text")).select("toxic", "text")
     sample, path = materialize(sample, "toxicity-sample")
     by = dict(sample.groupBy("toxic").count().collect())
