@@ -40,13 +40,14 @@ SEED = 5
 #: A stem must occur in this share of the toxic documents, and this many standard deviations over chance plus the log of the sample.
 MIN_SHARE, MIN_Z = 0.01, 4.0
 PREFIXES = range(4, 9)
-CAP = 4
 #: Opening and closing quotation marks, and words that report another's speech.
 QUOTES = ('"', "“", "”", "„", "«", "»")
 REPORTING = frozenset(b"said says wrote called quoted quote word term sagte schrieb dit dijo".split())
 CONTEXT_BYTES = 60
 #: Strong, weak and misspelled hits, each used and quoted.
 KINDS = 6
+#: More hits of a kind than these add nothing: one strong or misspelled one says it, weak ones add up.
+CAPS = (1, 1, 4, 4, 1, 1)
 NAMES = tuple(f"{k}_{c}" for k in ("strong", "weak", "misspelled") for c in ("used", "quoted"))
 
 
@@ -112,7 +113,7 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-50.0] + [0.0] * KINDS)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + np.minimum(counts, CAP) @ np.array(self.weights[1:])
+        z = self.weights[0] + np.minimum(counts, CAPS) @ np.array(self.weights[1:])
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -266,7 +267,7 @@ def _lexicon(counted: list[tuple[str, int, int]], n_toxic: int, n_clean: int) ->
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
-    x = np.hstack([np.ones((len(x), 1)), np.minimum(x, CAP)])
+    x = np.hstack([np.ones((len(x), 1)), np.minimum(x, CAPS)])
     w, r = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     r[0, 0] = 1e-3
     for _ in range(50):
@@ -308,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
 
     kinds = [f"k{k}" for k in range(KINDS)]
     seen = sample.mapInArrow(features, "y long, " + ", ".join(f"{k} long" for k in kinds))
-    seen = seen.select("y", *[F.least(k, F.lit(CAP)).alias(k) for k in kinds]).groupBy("y", *kinds).count().collect()
+    seen = seen.select("y", *[F.least(k, F.lit(c)).alias(k) for k, c in zip(kinds, CAPS, strict=True)]).groupBy("y", *kinds).count().collect()
     discard(docs.sparkSession, path)
     x = np.repeat(np.array([[r[k] for k in kinds] for r in seen], float), [r["count"] for r in seen], axis=0)
     y = np.repeat(np.array([r["y"] for r in seen], float), [r["count"] for r in seen])
