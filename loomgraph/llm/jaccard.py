@@ -200,31 +200,61 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = tuple(got)
 
 
+def _near(n: np.ndarray, sign: list[np.ndarray], root: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a cell, sorted by size, each with the later ones that sizes, signatures and components don't rule out.
+
+    ``root`` may change between steps.
+    """
+    width = np.array([len(x) for x in sign])
+    for w in np.unique(width).tolist():
+        # Sizes that may link differ by less than two, and signatures by one fold.
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        block = np.stack([folded(sign[i], w) for i in at.tolist()])
+        for row, i in enumerate(at.tolist()):
+            if width[i] != w:
+                break
+            hi = int(np.searchsorted(n[at], n[i] * 100 // percent, "right"))
+            j = np.arange(row + 1, hi)
+            j = j[root[at[j]] != root[i]]
+            apart = np.bitwise_count(block[j] ^ block[row]).sum(axis=1)
+            yield i, at[j[apart * (100 + percent) <= (n[at[j]] + n[i]) * (100 - percent)]]
+
+
 def _cell(percent: int):
-    """Pairs of a cell that sizes and signatures allow, of classes that aren't connected."""
+    """Of a cell, the members that may link to another component."""
 
-    def join(table: pa.Table) -> pa.Table:
-        n, cls, root = (table[c].to_numpy() for c in ("n", "cls", "root"))
+    def find(table: pa.Table) -> pa.Table:
+        n, root = table["n"].to_numpy(), table["root"].to_numpy()
         order = np.argsort(n, kind="stable")
-        n, cls, root = n[order], cls[order], root[order]
         raw = table["sign"].to_pylist()
-        sign = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
-        width = np.array([len(x) for x in sign])
+        some = np.zeros(len(n), bool)
+        for i, j in _near(n[order], [np.frombuffer(raw[k], "<u8") for k in order.tolist()], root[order], percent):
+            if len(j):
+                some[order[i]] = some[order[j]] = True
+        return table.select(["p", "cls", "n", "root"]).filter(pa.array(some))
+
+    return find
+
+
+def _cell_links(percent: int):
+    """Links that connect those members: sets decide, and what is connected isn't compared again."""
+
+    def join(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        n, cls = table["n"].to_numpy()[order], table["cls"].to_numpy()[order]
+        sets = [np.frombuffer(table["hashes"][int(k)].as_buffer(), "<u8") for k in order]
+        _, root = np.unique(table["root"].to_numpy()[order], return_inverse=True)
         a, b = [], []
-        for w in np.unique(width).tolist():
-            # Sizes that may link differ by less than two, and signatures by one fold.
-            at = np.flatnonzero((width == w) | (width == 2 * w))
-            block = np.stack([folded(sign[i], w) for i in at.tolist()])
-            for row, i in enumerate(at.tolist()):
-                if width[i] != w:
-                    break
-                hi = int(np.searchsorted(n[at], n[i] * 100 // percent, "right"))
-                j = np.arange(row + 1, hi)
-                j = j[root[at[j]] != root[i]]
-                apart = np.bitwise_count(block[j] ^ block[row]).sum(axis=1)
-                j = at[j[apart * (100 + percent) <= (n[at[j]] + n[i]) * (100 - percent)]]
-                a.extend(cls[j].tolist())
-                b.extend([cls[i]] * len(j))
+        for i, j in _near(n, [np.frombuffer(signature(x), "<u8") for x in sets], root, percent):
+            for k in j.tolist():
+                if root[k] == root[i]:
+                    continue
+                x, y = sets[i], sets[k]
+                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if same * 100 >= (len(x) + len(y) - same) * percent:
+                    a.append(cls[k])
+                    b.append(cls[i])
+                    root[root == root[k]] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return join
@@ -375,9 +405,10 @@ class Join:
             cells, _ = materialize(cells, "jaccard-cells")
             sizes = cells.groupBy("p").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
             small = cells.join(sizes.where(F.col("members") <= SMALL), "p").join(self.classes.select("cls", "sign"), "cls")
-            found = small.groupBy("p").applyInArrow(_cell(self.percent), "a long, b long").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-            found, _ = materialize(found, "jaccard-pairs")
-            roots = connected(self._linked(self._compared(found)).unionByName(roots.select("a", F.col("root").alias("b"))))
+            some, _ = materialize(small.groupBy("p").applyInArrow(_cell(self.percent), "p long, cls long, n long, root long"), "jaccard-cells")
+            found = some.join(self._sets(some), "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
+            found, _ = materialize(found, "jaccard-links")
+            roots = connected(found.unionByName(roots.select("a", F.col("root").alias("b"))))
             left = parts.join(sizes.where(F.col("members") > SMALL).select("p"), "p", "left_semi")
             regions, _ = materialize(left.where("thin").select("region", "cls", "n", "path").unionByName(self._split(left.where("not thin"))), "jaccard-regions")
             release(self.spark)
