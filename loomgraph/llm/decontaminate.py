@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, Slice, rows, text_slices
+from .storage import keep_batches_small
 
 WINDOW = 13
 _BITS = 22
@@ -270,13 +271,15 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: in
     """
     spark = docs.sparkSession
     groups = [spark.sparkContext.broadcast(Matcher(g, window)) for g in _groups(items, item_id, item_text, max_words)]
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    keep_batches_small(spark)
+    place = docs.columns.index(text)
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = body.schema["row"].dataType.simpleString()
 
     def judge(batches):
         for batch in batches:
-            row, column = rows(batch, ["row", "text"])
-            for s in text_slices(column):
+            row = batch.column(0)
+            for s in text_slices(row.field(place)):
                 n_words = np.zeros(s.n_docs, np.int64)
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(s.n_docs)]
                 for g in groups:

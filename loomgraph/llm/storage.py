@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = "1000"
 
 
+def keep_batches_small(spark: SparkSession) -> None:
+    """For plans that are run later, by whoever writes them: fewer rows go to Python at once from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > int(BATCH_ROWS) or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

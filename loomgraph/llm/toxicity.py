@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, Slice, byte_codes, mix, powers, rows, text_slices
-from .storage import discard, materialize
+from .storage import discard, keep_batches_small, materialize
 
 MAX_ROWS = 20_000
 SEED = 5
@@ -324,14 +324,17 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, score, predicted and the hits of each kind; with ``keep``, the document's columns instead of doc_id."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")) if keep else docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text"))
+    keep_batches_small(docs.sparkSession)
+    place = docs.columns.index(text) if keep else None
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if keep else docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text"))
     kind = body.schema["row"].dataType.simpleString()
 
     def scan(batches):
         model = cast.value
         scanner = Scanner(model.stems, model.terms)
         for batch in batches:
-            row, column = rows(batch, ["row", "text"])
+            row = batch.column(0)
+            column = batch.column(1) if place is None else row.field(place)
             for s in text_slices(column):
                 got = scanner.counts(s)
                 p = model.score(got)
