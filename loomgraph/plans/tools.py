@@ -130,6 +130,10 @@ class CodeIndex:
         scored = retrieval.bm25_scores(retrieval.bm25_index(own), asked).join(own, "doc_id")
         return retrieval.top_k(retrieval.boosted(scored), top_k)
 
+    def sample(self, k: int) -> DataFrame:
+        """What to show where a search finds nothing: chunks of different files, source files first."""
+        return retrieval.diverse(self.chunks.withColumn("ordinal", F.struct("file_path", "start_line")), k).withColumn("score", F.lit(0.0)).withColumn("rank", F.row_number().over(retrieval.Window.orderBy("pass", "ordinal")))
+
     def search_code(self, query: str, top_k: int = 10) -> list[dict]:
         keep = ("file_path", "start_line", "end_line", "symbol_name", "kind", "score")
         return [r.asDict() for r in self.search(query, min(top_k, 50)).orderBy("rank").select(*keep).collect()]
@@ -175,6 +179,8 @@ class CodeIndex:
 
     def context_explore(self, query: str, top_k: int = 8, depth: int = 2) -> dict:
         hits = self.search(query, min(top_k, 20)).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
+        if not hits:
+            hits = self.sample(top_k).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
         refs = list(dict.fromkeys(r.seed for r in hits))
         if not refs:
             return {"seeds": [], "blast_radius": [], "chains": []}
