@@ -39,7 +39,7 @@ def modules(nodes: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     )
     out = files.join(roles, "module", "left").withColumn("leaf", F.lower(F.element_at(F.split("module", "/"), -1)))
     if topics is not None:
-        hit = out.select("module", "leaf").join(F.broadcast(topics.limit(10_000)), F.contains(F.col("leaf"), F.col("alias"))).groupBy("module").agg(F.min("topic").alias("topic"))
+        hit = out.select("module", "leaf").join(topics, F.contains(F.col("leaf"), F.col("alias"))).groupBy("module").agg(F.min("topic").alias("topic"))
         out = out.join(hit, "module", "left")
     else:
         out = out.withColumn("topic", F.lit(None).cast("string"))

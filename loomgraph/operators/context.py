@@ -55,7 +55,7 @@ def review(findings: DataFrame, allowed: DataFrame, plan: DataFrame) -> DataFram
     """Issues: rows type, finding_id, citation, severity.
 
     findings: finding_id, claim, citations, symbols, step; allowed: citation,
-    content, expanded; plan: step, question.
+    content, expanded; plan: step, question, a handful of rows.
     """
     issue = lambda df, kind, severity="high", cite=None: df.select(F.lit(kind).alias("type"), "finding_id", (F.lit(None).cast("string") if cite is None else F.col(cite)).alias("citation"), F.lit(severity).alias("severity"))
     missing = issue(findings.where(F.size("citations") == 0), "missing_citation")
@@ -71,7 +71,7 @@ def review(findings: DataFrame, allowed: DataFrame, plan: DataFrame) -> DataFram
     asked = plan.select(F.col("step").alias("__step"), words.alias("__words"))
     hit = F.size(F.filter("__words", lambda w: F.contains(F.lower("claim"), w)))
     enough = (F.size("__words") > 0) & (hit >= F.greatest(F.lit(1), F.floor(F.size("__words") / 2)))
-    met = asked.join(F.broadcast(findings.select("step", "claim")), (F.col("step") == F.col("__step")) | enough).select("__step").distinct()
+    met = findings.select("step", "claim").join(F.broadcast(asked), (F.col("step") == F.col("__step")) | enough).select("__step").distinct()
     incomplete = issue(asked.join(met, "__step", "left_anti").select(F.lit(None).cast(findings.schema["finding_id"].dataType).alias("finding_id")), "incomplete_plan")
     out = missing
     for x in (malformed, unknown, expanded, ungrounded, incomplete):

@@ -61,16 +61,22 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id"
     A stated query set against all rows: the queries are broadcast, and must be
     few (see :data:`MAX_QUERIES`); each vector is normalised once.
     """
-    some = queries.select(F.col(query_id).alias("query_id"), l2_normalized(F.col(query)).alias("q")).limit(MAX_QUERIES + 1)
-    if some.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once; search in blocks")
+    some = stated(queries.select(F.col(query_id).alias("query_id"), l2_normalized(F.col(query)).alias("q")))
     unit = vectors.select(F.col(vec_id).alias("vec_id"), l2_normalized(F.col(vector)).alias("v"))
     return unit.crossJoin(F.broadcast(some)).select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
 
 
+#: A query set that is broadcast; a larger one is searched in blocks of so many.
 MAX_QUERIES = 10_000
 
 
+def stated(queries: DataFrame) -> DataFrame:
+    """The query set, once its size was checked."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries at once; search in blocks")
+    return queries
+
+
 def hash_embedding(docs: DataFrame, dim: int = 384, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sparse signed bag of hashed tokens, l2-normalised: rows doc_id, idx, weight.
 

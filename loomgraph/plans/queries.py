@@ -251,7 +251,7 @@ SELECT b.item_id AS query_id, round(coalesce(found / wanted, 0), 6) AS recall, r
 FROM benchmark b LEFT JOIN hit h ON h.query_id = b.item_id LEFT JOIN g ON g.query_id = b.item_id LEFT JOIN s ON s.query_id = b.item_id""")
 def retrieval_metrics(spark, d):
     docs, q = table(spark, d, "documents"), questions(spark, d)
-    gold = docs.alias("d").join(F.broadcast(q.limit(retrieval.MAX_QUERIES).alias("q")), F.contains(F.col("d.text"), F.col("q.text"))).select("query_id", "doc_id")
+    gold = docs.alias("d").join(F.broadcast(retrieval.stated(q).alias("q")), F.contains(F.col("d.text"), F.col("q.text"))).select("query_id", "doc_id")
     m = evaluation.at_k(retrieval.top_k(_bm25(spark, d), 5), gold, q)
     return m.select("query_id", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "mrr")])
 
