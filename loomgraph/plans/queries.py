@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, paths, roles, texts
+from ..functions import ids, paths, roles, texts, topics
 from ..operators import architecture, changes, context, evaluation, graph, retrieval
 from ..sources.tables import table
 from ..streaming import watch
@@ -568,3 +568,83 @@ SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_type)) AS r
 def debounced_changes(spark, d):
     e = table(spark, d, "events")
     return watch.debounced(e).select("user_id", "n_events", "reason", F.unix_micros(F.col("started").cast("timestamp")).alias("started"))
+
+
+# --- more lookups, rows and changes -----------------------------------------------
+
+
+@query(f"SELECT source, target, ordinal FROM {_CALLS}")
+def deduplicated_edges(spark, d):
+    e = calls(spark, d)
+    later = e.withColumn("ordinal", F.col("ordinal") + 1_000_000)
+    return graph.deduplicated(later.unionByName(e)).select("source", "target", "ordinal")
+
+
+_NODE = "app/m3/f30.py::S30.go30"
+
+
+@query(f"SELECT 'call:' || source || '->' || target AS id FROM {_CALLS} WHERE '{_NODE}' IN (source, target)")
+def node_neighbors(spark, d):
+    return graph.neighbors(calls(spark, d), _NODE, "both", "call").select("id")
+
+
+@query("""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def page_links(spark, d):
+    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_targets"))
+
+
+@query(r"SELECT item_id, array_to_string(string_split_regex(trim(text), '\s+')[1:8], ' ')[1:64] AS short FROM benchmark")
+def short_queries(spark, d):
+    return table(spark, d, "benchmark").select("item_id", texts.short_query(F.col("text")).alias("short"))
+
+
+_INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p.pattern}') THEN '{n}'" for n, p in topics.INTENTS) + " ELSE 'summary' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT_SQL} AS intent, regexp_matches(text, '{topics.FLOW.pattern}') AS is_flow FROM conversations")
+def question_kinds(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", topics.intent_of(F.col("text")).alias("intent"), topics.flow_of(F.col("text")).alias("is_flow"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+def upserted_vectors(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    return retrieval.upserted(v.where("vec_id % 2 = 0"), v.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS run_id, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN 'again' ELSE event_type END AS status FROM events")
+def upserted_runs(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("status"))
+    again = e.where(F.col("run_id").cast("long") % 5 == 0).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY")).withColumn("status", F.lit("again"))
+    return changes.upserted_run(e, again)
+
+
+@query("SELECT o_orderkey, sha256(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS row_hash FROM orders")
+def row_hashes(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", ids.row_hash(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("row_hash"))
+
+
+@query(f"""SELECT file_path, doc_id % 4 != 1 AS structural FROM {_FILES} WHERE doc_id % 2 = 1""")
+def structural_changes(spark, d):
+    f = files(spark, d)
+    i = F.col("doc_id")
+    old = f.where(i % 8 != 7).select("file_path", i.cast("string").alias("structure_hash"))
+    new = f.select("file_path", F.when(i % 4 == 1, i.cast("string")).otherwise("new").alias("structure_hash"))
+    return changes.structural(f.where(i % 2 == 1).select("file_path"), old, new)
+
+
+_RANKED = f"(SELECT ref, CASE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS k FROM {_SYMBOLS})"
+
+
+@query(f"SELECT count(*) FILTER (b.k > a.k) AS downward, count(*) FILTER (b.k < a.k) AS upward FROM {_CALLS} JOIN {_RANKED} a ON a.ref = source JOIN {_RANKED} b ON b.ref = target")
+def layer_edge_counts(spark, d):
+    n = F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 4
+    role = F.when(n == 0, "controller").when(n == 1, "service").when(n == 2, "repository").otherwise("unknown")
+    return architecture.layer_edges(calls(spark, d), symbols(spark, d).select(F.col("ref").alias("qualified_name"), role.alias("role")), roles.layer)
+
+
+@query(f"""SELECT ref FROM {_SYMBOLS} WHERE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 3 = 0""")
+def orphan_refs(spark, d):
+    known = symbols(spark, d).where(F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 3 > 0)
+    return graph.orphans(known.select(F.col("ref").alias("qualified_name")), calls(spark, d))
