@@ -184,7 +184,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
     edges = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.toDF("a", "b"))
-    now, _ = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    spark = edges.sparkSession
+    now, path = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -193,7 +194,9 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select("a", F.col("m").alias("b")))
-        now, _ = materialize(small.distinct(), "components")
+        before = path
+        now, path = materialize(small.distinct(), "components")
+        discard(spark, before)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             return now.select("a", F.col("b").alias("root"))
@@ -309,8 +312,8 @@ class Join:
         sent = self.body.select("text").mapInArrow(send, "part long, token binary, cls binary, n binary")
         return sent.groupBy("part").applyInArrow(_share, "region long, cls long, n long")
 
-    def _sets(self, need: DataFrame) -> DataFrame:
-        """The shingles of one document of each class in ``need``."""
+    def _sets(self, need: DataFrame) -> tuple[DataFrame, str]:
+        """The shingles of one document of each class in ``need``, and where they are written."""
         need = self.classes.select("cls", "doc_id").join(need.select("cls").distinct(), "cls")
         texts = self.body.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(need, "doc_id")
 
@@ -324,7 +327,7 @@ class Join:
                     cells = [x.hashes[x.first[d] : x.first[d + 1]].tobytes() for d in mine]
                     yield pa.RecordBatch.from_arrays([pa.array(x.cls[mine]), pa.array(cells, pa.binary())], names=["cls", "hashes"])
 
-        return materialize(texts.mapInArrow(sets, "cls long, hashes binary"), "jaccard-sets", "none")[0]
+        return materialize(texts.mapInArrow(sets, "cls long, hashes binary"), "jaccard-sets", "none")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs (lo, hi, n, pn) with ``apart``, a lower bound of their symmetric difference."""
@@ -344,7 +347,7 @@ class Join:
         A class in very many pairs is a pivot; its set is sent to as many
         tasks as its pairs need, dealt by salt.
         """
-        sets = self._sets(pairs.select(F.explode(F.array("lo", "hi")).alias("cls")))
+        sets, path = self._sets(pairs.select(F.explode(F.array("lo", "hi")).alias("cls")))
         release(self.spark)
         often = pairs.groupBy("lo").agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
         pairs = pairs.join(often, "lo").withColumn("salt", F.pmod(F.xxhash64("hi"), F.col("salts")).cast("int"))
@@ -364,7 +367,9 @@ class Join:
                     whole.append(len(a) + len(b) - same)
                 yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("hi"), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["lo", "hi", "shared", "whole"])
 
-        return materialize(both.mapInArrow(compare, "lo long, hi long, shared long, whole long"), "jaccard-verified")[0]
+        verified, _ = materialize(both.mapInArrow(compare, "lo long, hi long, shared long, whole long"), "jaccard-verified")
+        discard(self.spark, path)
+        return verified
 
     def _sizes_allow(self, n: str, m: str) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -406,8 +411,10 @@ class Join:
             sizes = cells.groupBy("p").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
             small = cells.join(sizes.where(F.col("members") <= SMALL), "p").join(self.classes.select("cls", "sign"), "cls")
             some, _ = materialize(small.groupBy("p").applyInArrow(_cell(self.percent), "p long, cls long, n long, root long"), "jaccard-cells")
-            found = some.join(self._sets(some), "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
+            sets, path = self._sets(some)
+            found = some.join(sets, "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
             found, _ = materialize(found, "jaccard-links")
+            discard(self.spark, path)
             roots = connected(found.unionByName(roots.select("a", F.col("root").alias("b"))))
             left = parts.join(sizes.where(F.col("members") > SMALL).select("p"), "p", "left_semi")
             regions, _ = materialize(left.where("thin").select("region", "cls", "n", "path").unionByName(self._split(left.where("not thin"))), "jaccard-regions")
@@ -421,7 +428,7 @@ class Join:
         order, percent = self.order, self.percent
         if parts.isEmpty():
             return parts.select("region", "cls", "n", "path")
-        body = parts.select("region", "path", "cls", "n").join(self._sets(parts), "cls")
+        body = parts.select("region", "path", "cls", "n").join(self._sets(parts)[0], "cls")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common, rank = order.value
