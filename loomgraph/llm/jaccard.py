@@ -18,8 +18,13 @@ a shingle there are a region.  Within regions:
   document is repeated in the cells of its pivots, not in all its regions.
   A cell of up to ``SMALL`` members is joined in one task.  Regions of a larger
   one are joined recursively, with pivots of their own; if the pivot hardly
-  thinned them, they are first cut by a further shingle (such a pair shares l
-  shingles of the first n - ceil(t * n) + l).
+  thinned them, they are first cut by a further shingle, later in the global
+  order than those before (such a pair shares its first l common shingles
+  within the first n - ceil(t * n) + l of both).  Pairs that share no more
+  than the l shingles a region was cut by are linked if their sizes say so:
+  then all members that link to any link to the smallest.
+* What is left after ``CUTS`` cuts or ``ROUNDS`` rounds is joined in blocks: any
+  two members of a cell meet in one of its pairs of blocks.
 
 Only connections count, so pairs known to be connected aren't compared.  Every
 link between two components is found; no region, partner or candidate is
@@ -49,6 +54,8 @@ WORDS = 5
 PERCENT = 75
 #: A cell of up to so many members is finished in one task.
 SMALL = 4096
+#: Regions are cut by so many shingles, and thinned in so many rounds, before their cells are joined in blocks; results don't change.
+CUTS, ROUNDS = 4, 16
 #: Common shingles kept in order; more of them only make regions larger, results don't change.
 MAX_COMMON = 1 << 17
 NO_ID = (1 << 63) - 1
@@ -381,7 +388,7 @@ class Join:
         radius, slack = 1 - self.percent / 100, 1e-12
         roots = self.spark.createDataFrame([], "a long, root long")
         regions = regions.withColumn("path", F.array("region"))
-        for _ in range(64):
+        for turn in range(1, ROUNDS + 1):
             least = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot")
             pivots = regions.groupBy("region").agg(least).select("region", "pivot.p", "pivot.pn")
             stars = regions.join(pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
@@ -409,22 +416,49 @@ class Join:
             parts, _ = materialize(parts.select("region", "path", "p", "cls", "n", "thin"), "jaccard-parts")
             cells, _ = materialize(cells, "jaccard-cells")
             sizes = cells.groupBy("p").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
-            small = cells.join(sizes.where(F.col("members") <= SMALL), "p").join(self.classes.select("cls", "sign"), "cls")
-            some, _ = materialize(small.groupBy("p").applyInArrow(_cell(self.percent), "p long, cls long, n long, root long"), "jaccard-cells")
-            sets, path = self._sets(some)
-            found = some.join(sets, "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
-            found, _ = materialize(found, "jaccard-links")
-            discard(self.spark, path)
-            roots = connected(found.unionByName(roots.select("a", F.col("root").alias("b"))))
+            roots = self._within(cells.join(sizes.where(F.col("members") <= SMALL).select("p"), "p"), roots)
             left = parts.join(sizes.where(F.col("members") > SMALL).select("p"), "p", "left_semi")
-            regions, _ = materialize(left.where("thin").select("region", "cls", "n", "path").unionByName(self._split(left.where("not thin"))), "jaccard-regions")
+            if left.isEmpty():
+                release(self.spark)
+                return roots
+            thick = F.lit(turn == ROUNDS) | (~F.col("thin") & (F.size("path") >= CUTS))
+            roots = self._within(self._blocks(left.where(thick), roots), roots)
+            cut = left.where(~thick & ~F.col("thin"))
+            roots = connected(self._exhausted(cut).unionByName(roots.select("a", F.col("root").alias("b"))))
+            regions, _ = materialize(left.where(~thick & F.col("thin")).select("region", "cls", "n", "path").unionByName(self._split(cut)), "jaccard-regions")
             release(self.spark)
             if regions.isEmpty():
-                return roots
-        raise RuntimeError("regions are left after 64 rounds")
+                break
+        return roots
+
+    def _within(self, cells: DataFrame, roots: DataFrame) -> DataFrame:
+        """The roots, once the members of each cell p are joined."""
+        some = cells.join(self.classes.select("cls", "sign"), "cls").groupBy("p").applyInArrow(_cell(self.percent), "p long, cls long, n long, root long")
+        some, _ = materialize(some, "jaccard-cells")
+        sets, path = self._sets(some)
+        found = some.join(sets, "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
+        found, _ = materialize(found, "jaccard-links")
+        discard(self.spark, path)
+        return connected(found.unionByName(roots.select("a", F.col("root").alias("b"))))
+
+    def _blocks(self, parts: DataFrame, roots: DataFrame) -> DataFrame:
+        """Cells of about ``SMALL`` members: each two blocks of a pivot's cell are one."""
+        members = parts.select("p", "cls", "n").distinct()
+        blocks = members.groupBy("p").agg(F.ceil(F.count("*") * 2 / SMALL).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        dealt = members.join(blocks, "p").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.join(roots.withColumnRenamed("a", "cls"), "cls", "left")
+        return dealt.select(F.xxhash64("p", F.least("own", "other"), F.greatest("own", "other")).alias("p"), "cls", "n", F.coalesce("root", "cls").alias("root"))
+
+    def _exhausted(self, parts: DataFrame) -> DataFrame:
+        """Links (a, b) of pairs that need no more shared shingles than their region was cut by."""
+        low = parts.groupBy("region").agg(F.min(F.struct("n", "cls")).alias("low")).select("region", F.col("low.n").alias("m"), F.col("low.cls").alias("b"))
+        shared = F.size("path").cast("long")
+        enough = shared * 100 >= (F.col("n") + F.col("m") - shared) * self.percent
+        return parts.join(low, "region").where("cls != b").where(enough).select(F.col("cls").alias("a"), "b").distinct()
 
     def _split(self, parts: DataFrame) -> DataFrame:
-        """Cuts a region by a further shingle of its members' longer beginnings, larger than those it was cut by."""
+        """Cuts a region by a further shingle of its members' longer beginnings, later in the global order than those it was cut by."""
         order, percent = self.order, self.percent
         if parts.isEmpty():
             return parts.select("region", "cls", "n", "path")
@@ -439,7 +473,7 @@ class Join:
                     x.hashes, x.doc, x.n, x.first = h, np.zeros(len(h), np.int64), np.array([len(h)]), np.array([0, len(h)])
                     token, _ = prefix(x, common, rank, percent, len(r["path"]) + 1)
                     token = token.view(np.int64)
-                    token = token[token > r["path"][-1]]
+                    token = token[int(np.flatnonzero(token == r["path"][-1])[0]) + 1 :]
                     m = len(token)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, r["region"])), pa.array([r["path"]] * m, pa.list_(pa.int64())), pa.array(np.full(m, r["cls"])), pa.array(np.full(m, r["n"])), pa.array(token)], names=["region", "path", "cls", "n", "token"])
 

@@ -284,6 +284,20 @@ def test_families(spark, monkeypatch, small):
     assert counted(jaccard.components(df)) == plain_components(data)
 
 
+@pytest.mark.parametrize("cuts", [4, 1])
+def test_short_hub_with_many_variants(spark, monkeypatch, cuts):
+    """Variants link to the hub only, in cells larger than is joined at once."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "CUTS", cuts, raising=False)
+    hubs = ["a b c d e f g", "k l m n o p q r s"]
+    texts = [h if i == 30 else " ".join(h.split()[: 7 + 2 * j] + [f"v{j}x{i}"] * (1 + j)) for j, h in enumerate(hubs) for i in range(60)]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = plain_components(data)
+    assert {c for _, _, c in want} != {i for i, _ in data}
+    assert counted(jaccard.components(df)) == want
+
+
 def test_kept_one(docs):
     own = docs.where("doc_id is not null")
     kept = {r.doc_id for r in jaccard.kept_one(own).collect()}
