@@ -9,7 +9,7 @@ A message's text may hold calls and one result as JSON, by itself or in tags:
 Calls and results are joined by (conversation, identifier), hashed, so a
 conversation's size doesn't matter.  An argument ``"$id"`` refers to the result
 of another call; a call's depth is one more than the deepest call it refers
-to, found level by level, and messages are ordered by turn, calls of a message
+to, found level by level until a level settles no call, and messages are ordered by turn, calls of a message
 by depth and identifier.  Calls that refer to each other in a circle have no
 depth and are invalid.  Arguments are checked against the tool's schema
 (``type``, ``properties``, ``required``, ``enum``, ``items``,
@@ -35,10 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernel import rows
-from .storage import materialize
+from .storage import discard, materialize
 
 _TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
-MAX_DEPTH = 32
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
@@ -136,7 +135,7 @@ def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -
     return body.mapInArrow(read, MESSAGE)
 
 
-def links(msgs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def links(msgs: DataFrame) -> DataFrame:
     """One row a call: conv_id, turn, call_id, name, arguments, schema_ok, duplicate, depth, result, result_turn, valid.
 
     A call is valid if its arguments are, it is no duplicate, has a depth, and
@@ -154,16 +153,23 @@ def links(msgs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     edges = calls.where("not duplicate").select("conv_id", F.col("call_id").alias("by"), F.explode(F.array_distinct("refs")).alias("call_id"))
     edges = edges.alias("l").join(own.alias("r"), key, "left_semi")
     depth = own.alias("l").join(edges.select("conv_id", F.col("by").alias("call_id")).distinct().alias("r"), key, "left_anti").withColumn("depth", F.lit(0))
-    left = edges
-    for level in range(1, max_depth + 1):
-        if left.isEmpty():
-            break
-        # Calls all of whose references have a depth.
-        left, _ = materialize(left.alias("l").join(depth.where(F.col("depth") == level - 1).alias("r"), key, "left_anti"), "chat-left")
-        done = edges.select("conv_id", F.col("by").alias("call_id")).distinct()
-        done = done.alias("l").join(left.select("conv_id", F.col("by").alias("call_id")).distinct().alias("r"), key, "left_anti")
-        done = done.alias("l").join(depth.alias("r"), key, "left_anti").withColumn("depth", F.lit(level))
-        depth, _ = materialize(depth.unionByName(done), "chat-depth")
+    if not edges.isEmpty():
+        spark = msgs.sparkSession
+        now, path = materialize(depth, "chat-depth")
+        left, waiting = materialize(edges, "chat-left")
+        settled, kind, level = [path], depth.schema, 0
+        # What is left once a level settles no call depends on a circle.
+        while not now.isEmpty() and not left.isEmpty():
+            level += 1
+            rest, path = materialize(left.alias("l").join(now.alias("r"), key, "left_anti"), "chat-left")
+            by = lambda e: e.select("conv_id", F.col("by").alias("call_id")).distinct()
+            # Calls all of whose references have a depth.
+            done = by(left).alias("l").join(by(rest).alias("r"), key, "left_anti").withColumn("depth", F.lit(level))
+            now, at = materialize(done, "chat-depth")
+            discard(spark, waiting)
+            settled.append(at)
+            left, waiting = rest, path
+        depth = spark.read.schema(kind).parquet(*settled)
     calls = calls.alias("l").join(depth.alias("r"), key, "left").select("l.*", "r.depth")
     in_time = F.coalesce(F.col("result_turn") > F.col("turn"), F.lit(True))
     return calls.withColumn("valid", F.col("schema_ok") & ~F.col("duplicate") & F.col("depth").isNotNull() & in_time)

@@ -473,6 +473,15 @@ def test_chat(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_depth_has_no_limit(spark):
+    """A chain of 40 calls, two of which also need an earlier one, and a circle with a call that depends on it."""
+    args = {f"c{i}": {"x": f"$c{i - 1}", "y": f"$c{i // 2}" if i % 9 == 0 else 1} for i in range(1, 40)} | {"c0": {}, "p": {"x": "$q"}, "q": {"x": "$p"}, "z": ["$p", "$c3"]}
+    data = [(1, t, "assistant", chat.canonical({"tool_calls": [{"id": i, "name": "f", "arguments": a}]})) for t, (i, a) in enumerate(args.items())]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: (r.depth, r.valid) for r in chat.links(chat.messages(df)).collect()}
+    assert got == {f"c{i}": (i, True) for i in range(40)} | {i: (None, False) for i in "pqz"}
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
