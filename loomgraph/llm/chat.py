@@ -12,7 +12,7 @@ of another call; a call's depth is one more than the deepest call it refers
 to, found level by level until a level settles no call, and messages are ordered by turn, calls of a message
 by depth and identifier.  Calls that refer to each other in a circle have no
 depth and are invalid.  Arguments are checked against the tool's schema
-(``type``, ``properties``, ``required``, ``enum``, ``items``,
+(``type``, one or a list, ``properties``, ``required``, ``enum``, ``items``,
 ``additionalProperties``).  Messages are written as canonical JSON: keys by
 code point, no white space, non-ASCII as it is.
 
@@ -41,6 +41,29 @@ _TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
+_TEXT, _WHOLE, _FLAG = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
+_OR_NULL = lambda kind: {"type": [kind, "null"]}
+
+
+def _tool(required: dict[str, dict], **optional: dict) -> dict:
+    known = {"repo_url": _TEXT, **required}
+    return {"type": "object", "properties": {**known, **optional, "force_reindex": _FLAG}, "required": list(known), "additionalProperties": False}
+
+
+#: The arguments of the tools of the surveyed code server, by name; a call of another tool has no schema to break.
+TOOLS: dict[str, dict] = {
+    "get_repo_summary": _tool({}, question=_OR_NULL("string")),
+    "query_dependencies": _tool({"symbol_name": _TEXT}, direction={"enum": ["both", "callers", "callees", "imports"]}, limit=_WHOLE),
+    "analyze_impact": _tool({"symbol_name": _TEXT}, depth=_WHOLE, direction={"enum": ["affected", "depends_on", "both"]}, limit=_WHOLE),
+    "suggest_refactor": _tool({"file_path": _TEXT}, focus=_OR_NULL("string"), max_suggestions=_WHOLE),
+    "trace_flow": _tool({"question": _TEXT}, entry_hint=_OR_NULL("string"), max_depth=_WHOLE),
+    "analyze_architecture": _tool({}),
+    "search_code": _tool({"query": _TEXT}, top_k=_WHOLE, graph_expand=_FLAG),
+    "view_source": _tool({"file_path": _TEXT}, symbol_name=_OR_NULL("string"), start_line=_OR_NULL("integer"), end_line=_OR_NULL("integer")),
+    "get_initial_context": _tool({}, top_k_modules=_WHOLE, top_k_core_files=_WHOLE),
+    "context_explore": _tool({"query": _TEXT}, top_k=_WHOLE, blast_depth=_WHOLE, include_flow=_OR_NULL("boolean")),
+}
+
 
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -49,9 +72,10 @@ def canonical(value: object) -> str:
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks its schema."""
     out = []
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or (kind in ("number", "integer") and isinstance(value, bool))):
-        return [f"{at}: not {kind}"]
+    kinds = schema.get("type") or []
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, _TYPES[k]) and not (k in ("number", "integer") and isinstance(value, bool)) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
@@ -105,12 +129,12 @@ def parse(role: str, text: str) -> tuple[str, list[dict], str | None]:
     return content, [{"id": c["id"], "name": c["name"], "arguments": c.get("arguments", {})} for c in calls], None
 
 
-MESSAGE = "conv_id long, turn long, role string, content string, answers string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,refs:array<string>>>, json string"
-_CALL = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string()))]))
+MESSAGE = "conv_id long, turn long, role string, content string, answers string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,refs:array<string>,json:string>>, json string"
+_CALL = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string())), ("json", pa.string())]))
 
 
 def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """One row a message: its parts, and its canonical JSON."""
+    """One row a message: its number, its parts, and its canonical JSON without the calls, whose order isn't known yet."""
     body = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     known = schemas or {}
 
@@ -121,27 +145,25 @@ def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -
             for r, t in zip(role.to_pylist(), text.to_pylist(), strict=True):
                 content, calls, answers = parse(r, t)
                 message: dict[str, object] = {"content": content, "role": r}
-                if calls:
-                    message["tool_calls"] = calls
                 if answers is not None:
                     message["tool_call_id"] = answers
                 out["content"].append(content)
                 out["answers"].append(answers)
-                out["calls"].append([{"id": c["id"], "name": c["name"], "arguments": canonical(c["arguments"]), "valid": not errors(c["arguments"], known.get(c["name"], {})), "refs": sorted(_references(c["arguments"]))} for c in calls])
+                out["calls"].append([{"id": c["id"], "name": c["name"], "arguments": canonical(c["arguments"]), "valid": not errors(c["arguments"], known.get(c["name"], {})), "refs": sorted(_references(c["arguments"])), "json": canonical(c)} for c in calls])
                 out["json"].append(canonical(message))
             arrays = [conv, turn, role, pa.array(out["content"], pa.string()), pa.array(out["answers"], pa.string()), pa.array(out["calls"], _CALL), pa.array(out["json"], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "content", "answers", "calls", "json"])
 
-    return body.mapInArrow(read, MESSAGE)
+    return body.mapInArrow(read, MESSAGE).withColumn("message", F.monotonically_increasing_id())
 
 
 def links(msgs: DataFrame) -> DataFrame:
-    """One row a call: conv_id, turn, call_id, name, arguments, schema_ok, duplicate, depth, result, result_turn, valid.
+    """One row a call: message, conv_id, turn, place, call_id, name, arguments, schema_ok, duplicate, depth, result, result_turn, json, valid.
 
     A call is valid if its arguments are, it is no duplicate, has a depth, and
     its result, if any, doesn't come before it.
     """
-    calls = msgs.select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.valid").alias("schema_ok"), F.col("c.refs").alias("refs"))
+    calls = msgs.select("message", "conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("message", "conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.valid").alias("schema_ok"), F.col("c.refs").alias("refs"), F.col("c.json").alias("json"))
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place")).alias("first"))
     key = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.call_id") == F.col("r.call_id"))
     calls = calls.alias("l").join(first.alias("r"), key).select("l.*", (~F.struct("l.turn", "l.place").eqNullSafe(F.col("r.first"))).alias("duplicate"))
@@ -149,7 +171,7 @@ def links(msgs: DataFrame) -> DataFrame:
     calls = calls.alias("l").join(results.alias("r"), key, "left").select("l.*", F.col("r.got.content").alias("result"), F.col("r.got.turn").alias("result_turn"))
     calls, _ = materialize(calls, "chat-calls")
     # A call's own references, only to calls that exist; level by level from those without any.
-    own = calls.where("not duplicate").select("conv_id", "call_id")
+    own = calls.where("not duplicate").select("conv_id", "call_id").distinct()
     edges = calls.where("not duplicate").select("conv_id", F.col("call_id").alias("by"), F.explode(F.array_distinct("refs")).alias("call_id"))
     edges = edges.alias("l").join(own.alias("r"), key, "left_semi")
     depth = own.alias("l").join(edges.select("conv_id", F.col("by").alias("call_id")).distinct().alias("r"), key, "left_anti").withColumn("depth", F.lit(0))
@@ -177,17 +199,20 @@ def links(msgs: DataFrame) -> DataFrame:
 
 def ordered_calls(linked: DataFrame) -> DataFrame:
     """Adds ``position``: the call's place in its message, by depth and identifier."""
-    return linked.withColumn("position", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("depth").asc_nulls_last(), "call_id")))
+    return linked.withColumn("position", F.row_number().over(Window.partitionBy("message").orderBy(F.col("depth").asc_nulls_last(), "call_id", "place")))
 
 
 def formatted(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a message: conv_id, turn, role, json, n_calls, n_valid, n_answered, linked (a result: whether its call is known)."""
     msgs, _ = materialize(messages(conversations, schemas), "chat-messages")
-    linked = links(msgs)
-    per = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_calls"), F.sum(F.col("valid").cast("long")).alias("n_valid"), F.count("result_turn").alias("n_answered"))
+    linked = ordered_calls(links(msgs))
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "json"))), lambda c: c["json"]), ",").alias("own")
+    per = linked.groupBy("message").agg(F.count("*").alias("n_calls"), F.sum(F.col("valid").cast("long")).alias("n_valid"), F.count("result_turn").alias("n_answered"), own)
     known = linked.select("conv_id", "call_id").distinct()
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    out = msgs.where("size(calls) > 0").alias("m").join(per.alias("p"), same("m.conv_id", "p.conv_id") & same("m.turn", "p.turn"), "left").select("m.conv_id", "m.turn", "role", "json", "n_calls", "n_valid", "n_answered", F.lit(None).cast("boolean").alias("linked"))
+    # "tool_calls" is the last key by code point.
+    whole = F.concat(F.expr("left(json, length(json) - 1)"), F.lit(',"tool_calls":['), "own", F.lit("]}")).alias("json")
+    out = msgs.where("size(calls) > 0").join(per, "message").select("conv_id", "turn", "role", whole, "n_calls", "n_valid", "n_answered", F.lit(None).cast("boolean").alias("linked"))
     answers = msgs.where("answers is not null").alias("m").join(known.withColumn("known", F.lit(True)).alias("k"), same("m.conv_id", "k.conv_id") & (F.col("m.answers") == F.col("k.call_id")), "left")
     zero = [F.lit(0).cast("long").alias(c) for c in ("n_calls", "n_valid", "n_answered")]
     answers = answers.select("m.conv_id", "m.turn", "role", "json", *zero, F.coalesce("known", F.lit(False)).alias("linked"))

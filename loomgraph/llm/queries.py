@@ -16,7 +16,7 @@ PSEUDONYM_KEY = b"loomgraph registered query"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.formatted(read_table(spark, sf_dir, "conversations"))
+    out = chat.formatted(read_table(spark, sf_dir, "conversations"), chat.TOOLS)
     return out.select("conv_id", "turn", "role", F.sha2("json", 256).alias("json_sha256"), "n_calls", "n_valid", "n_answered")
 
 

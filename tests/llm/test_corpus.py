@@ -482,6 +482,24 @@ def test_chat_depth_has_no_limit(spark):
     assert got == {f"c{i}": (i, True) for i in range(40)} | {i: (None, False) for i in "pqz"}
 
 
+def test_chat_query(spark, tmp_path):
+    """The registered query: calls in order of depth and identifier, arguments against schemas, repeated rows."""
+    from loomgraph.llm.queries import op1_chat
+
+    good = {"id": "a", "name": "search_code", "arguments": {"repo_url": "r", "query": "q", "top_k": 3}}
+    later = {"id": "A", "name": "analyze_impact", "arguments": {"repo_url": "r", "symbol_name": "$a", "direction": "affected"}}
+    wrong = {"id": "b", "name": "view_source", "arguments": {"repo_url": "r", "start_line": "1"}}
+    null = {"id": "c", "name": "view_source", "arguments": {"repo_url": "r", "file_path": "f", "start_line": None}}
+    circle = {"id": "0", "name": "other", "arguments": {"x": "$0"}}
+    text = chat.canonical({"content": "é", "tool_calls": [circle, later, null, wrong, good]})
+    data = [(1, 0, "assistant", text), (1, 0, "assistant", text), (2, 0, "user", "hi"), (2, 1, "tool", chat.canonical({"tool_call_id": "a", "content": "x"}))]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sha = lambda m: hashlib.sha256(chat.canonical(m).encode()).hexdigest()
+    called = (1, 0, "assistant", sha({"content": "é", "role": "assistant", "tool_calls": [good, wrong, null, later, circle]}), 5, 3, 0)
+    others = [(2, 0, "user", sha({"content": "hi", "role": "user"}), 0, 0, 0), (2, 1, "tool", sha({"content": "x", "role": "tool", "tool_call_id": "a"}), 0, 0, 0)]
+    assert counted(op1_chat(spark, str(tmp_path))) == Counter([called, called, *others])
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
