@@ -13,7 +13,7 @@ no false negatives; the automaton decides, on the words themselves.
 
 Items are split into groups of at most ``max_words`` words, one automaton a
 group and one broadcast each, so that memory is bounded however many items
-there are; hits of several groups are united by document.
+there are; hits of several groups are united by a number of the row.
 
 Nulls and empty texts have no words: such a document has 0 hits and isn't
 contaminated, such an item has no window.  Item ids that repeat count once.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, Slice, rows, text_slices
-from .storage import keep_batches_small
+from .storage import keep_batches_small, materialize
 
 WINDOW = 13
 _BITS = 22
@@ -189,7 +189,7 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
+SCHEMA = "row long, doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
 
 
 def _groups(items: DataFrame, item_id: str, text: str, max_words: int) -> Iterator[list[tuple[object, str | None]]]:
@@ -206,27 +206,37 @@ def _groups(items: DataFrame, item_id: str, text: str, max_words: int) -> Iterat
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = 200_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Of each document: words, hit spans (in words) and items with a window in it."""
+    """Of each document: words, hit spans (in words) and items with a window in it.
+
+    With several groups the documents are written once, with a number each.
+    """
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    groups = [spark.sparkContext.broadcast(Matcher(g, window)) for g in _groups(items, item_id, item_text, max_words)]
+    if len(groups) > 1:
+        body, _ = materialize(body.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    else:
+        body = body.withColumn("row", F.lit(0).cast("long"))
     parts = []
-    for group in _groups(items, item_id, item_text, max_words):
-        cast = spark.sparkContext.broadcast(Matcher(group, window))
+    for cast in groups:
 
-        def scan(batches, cast=cast):
+        def scan(batches, cast=cast, every=not parts):
             m = cast.value
             for batch in batches:
-                ids, column = rows(batch, ["doc_id", "text"])
+                row, ids, column = rows(batch, ["row", "doc_id", "text"])
                 for s in text_slices(column):
-                    got = list(m.match(s))
+                    # Of a further group, only documents with hits.
+                    got = [x for x in m.match(s) if every or x[3]]
+                    at = pa.array([s.lo + x[0] for x in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(s.lo, s.n_docs),
+                            row.take(at),
+                            ids.take(at),
                             pa.array([x[1] for x in got], pa.int64()),
                             pa.array([[{"lo": lo, "hi": hi} for lo, hi in x[2]] for x in got], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
                             pa.array([sorted({str(m.ids[i]) for i in x[3]}) for x in got], pa.list_(pa.string())),
                         ],
-                        names=["doc_id", "n_words", "spans", "items"],
+                        names=["row", "doc_id", "n_words", "spans", "items"],
                     )
 
         parts.append(body.mapInArrow(scan, SCHEMA))
@@ -234,16 +244,16 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int
         words = F.regexp_count(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
         return body.select("doc_id", words.cast("long").alias("n_words"), F.expr("cast(array() as array<struct<lo:long,hi:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("row")
     return _united(parts)
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
-    """Only for several groups: documents with the same id are taken for one then."""
+    """Hits of several groups, by row."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr(
         """aggregate(s, cast(array() as array<struct<lo:long,hi:long>>), (a, x) ->
              if(size(a) > 0 and x.lo <= a[size(a) - 1].hi,

@@ -90,6 +90,14 @@ def test_decontamination(spark, docs, no_docs, max_words):
     assert clean == Counter((i,) for i, t in rows(docs) if not plain_hits(t, ITEMS)[4])
 
 
+def test_decontamination_of_repeated_rows(spark, docs):
+    """Also with several groups of items, rows of the same or no doc_id are judged each by itself."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "one two three"), (None, "one two nine"), (None, "no hit here"), (9, "one two")], "doc_id long, text string"))
+    got = counted(decontaminate.judged(decontaminate.hits(more, items, max_words=8)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+    assert got == Counter((i, *plain_hits(t, ITEMS)) for i, t in rows(more))
+
+
 def test_decontamination_without_items(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.judged(decontaminate.hits(docs, none)).collect()
