@@ -117,15 +117,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _pieces(term: str) -> list[str]:
-    """One piece more than the edits allowed: an edit damages one piece at most, so one stays whole."""
-    k = edits_allowed(term) + 1
-    cut = [i * len(term) // k for i in range(k + 1)]
-    return [term[x:y] for x, y in zip(cut, cut[1:], strict=False)]
-
-
-def _swapped(term: str) -> list[str]:
-    return [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)]
+def _letters(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words in lower case, the set of letters as bits (a letter is its code point mod 64), and how many letters they have."""
+    raw = data.tobytes()
+    joined = b" ".join([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    points = np.frombuffer(joined.decode("utf-8", "replace").lower().encode("utf-32-le"), "<u4")
+    gaps = np.flatnonzero(points == 32)
+    first, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(points))
+    bits = U64(1) << (points.astype(U64) & U64(63))
+    bits[gaps] = 0
+    return np.bitwise_or.reduceat(bits, first), end - first
 
 
 class Scanner:
@@ -140,12 +141,8 @@ class Scanner:
             raw = s.rstrip().encode()
             by_length[len(raw)].append(raw)
         self.prefixes = {n: np.sort(self._hash(v, n)) for n, v in by_length.items()}
-        self.loose = []
-        for t in terms:
-            pieces = [x.encode() for x in _pieces(t)]
-            ends = [self._hash([x], len(x))[0] for x in pieces]
-            swaps = np.concatenate([self._hash([x.encode()], len(x.encode())) for x in _swapped(t)])
-            self.loose.append((len(t.encode()), edits_allowed(t), pieces, ends, swaps))
+        #: Of each term with edits: its letters as bits, their number, its edits.
+        self.loose = [(sum({1 << (ord(x) & 63) for x in t}), len(t), k) for t in terms if (k := edits_allowed(t))]
         self.known, self.kind = np.zeros(0, U64), np.zeros(0, np.int8)
 
     @staticmethod
@@ -163,25 +160,21 @@ class Scanner:
             h = mix((c[a[i] + n] - c[a[i]]) * inverse[a[i]])
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             maybe[i[hashes[at] == h]] = True
-        for size, k, pieces, hashes, swaps in self.loose:
-            i = np.flatnonzero((b - a >= size - 2 * k) & (b - a <= size + 2 * k + 1))
-            x, y = a[i], b[i]
-            good = np.isin(mix((c[y] - c[x]) * inverse[x]), swaps)
-            at = 0
-            for j, (piece, h) in enumerate(zip(pieces, hashes, strict=True)):
-                n = len(piece)
-                starts = [x] if j == 0 else [y - n, y - n - 1] if j == len(pieces) - 1 else [x + at + d for d in range(-2 * k, 2 * k + 1)]
-                for p in starts:
-                    inside = (p >= x) & (p + n <= y)
-                    p = np.where(inside, p, x[:1] if len(x) else 0)
-                    p = np.minimum(p, len(s.data) - n)
-                    good |= inside & (mix((c[p + n] - c[p]) * inverse[p]) == h)
-                at += n
-            maybe[i[good]] = True
-        for i in np.flatnonzero(maybe).tolist():
+        # Lower case of other letters than ASCII is for the trie.
+        high = np.concatenate([[0], np.cumsum(s.data >= 128)])
+        maybe |= high[b] > high[a]
+        near = np.zeros(len(a), bool)
+        if len(a) and self.loose:
+            bits, n = _letters(s.data, a, b)
+            for term, size, k in self.loose:
+                # An edit takes away one letter of the term at most, and brings one other; a tail letter brings one.
+                i = np.flatnonzero((n >= size - k) & (n <= size + k + 1))
+                lost, new = np.bitwise_count(U64(term) & ~bits[i]), np.bitwise_count(bits[i] & ~U64(term))
+                near[i[(lost <= k) & (new <= k + 1)]] = True
+        for i in np.flatnonzero(maybe | near).tolist():
             word = s.data[a[i] : b[i]].tobytes().decode("utf-8", "replace").lower()
-            stems = self.trie.exact(word)
-            kind[i] = min(self.stems[x] for x in stems) if stems else 3 if self.terms.fuzzy(word) else 0
+            stems = self.trie.exact(word) if maybe[i] else []
+            kind[i] = min(self.stems[x] for x in stems) if stems else 3 if near[i] and self.terms.fuzzy(word) else 0
         return kind
 
     def counts(self, s: Slice) -> np.ndarray:

@@ -227,6 +227,36 @@ def test_pieces_lose_no_misspelling():
     assert scanner.counts(s)[0, 4] == sum(trie.fuzzy(w) is not None for w in words)
 
 
+def test_no_misspelling_is_lost():
+    """Swaps over any place with further edits and a tail letter, and beginnings whose first letter isn't ASCII."""
+    terms = ["clown", "scumbag", "dickhead", "disgusting"]
+    trie = toxicity.Trie(terms)
+    rng = np.random.default_rng(9)
+    words = {"scmubags", "dcikheid", "dickhaed"}
+    while len(words) < 3000:
+        t = list(terms[rng.integers(4)])
+        for _ in range(rng.integers(1, 4)):
+            p, c = int(rng.integers(len(t) - 1)), "éÄxyzab"[rng.integers(7)]
+            match rng.integers(4):
+                case 0:
+                    t[p], t[p + 1] = t[p + 1], t[p]
+                case 1:
+                    t[p] = c
+                case 2:
+                    t.insert(p, c)
+                case 3:
+                    del t[p]
+        words.add("".join(t) + "s" * int(rng.integers(2)))
+    words = sorted(words)
+    want = [trie.fuzzy(w.lower()) is not None for w in words]
+    assert 300 < sum(want) < len(words)
+    s = next(iter(toxicity.text_slices(pa.array(words))))
+    assert (toxicity.Scanner({"zzzz": 1}, terms).counts(s)[:, 4:].sum(axis=1) > 0).tolist() == want
+    assert trie.fuzzy("scmubags") and trie.fuzzy("dcikheid")
+    s = next(iter(toxicity.text_slices(pa.array(["Ärschloch", "ärschloch", "arschloch"]))))
+    assert toxicity.Scanner({"ärsch": 1}, []).counts(s)[:, 0].tolist() == [1, 1, 0]
+
+
 def test_quotation_is_told_apart():
     scanner = toxicity.Scanner({"scum": 1}, [])
     s = next(iter(toxicity.text_slices(pa.array(['he said scum', 'you "scum" there', "you scum"]))))
