@@ -46,9 +46,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .kernel import U64, Slice, mix, rows, shingle_hashes, text_slices
-from .storage import discard, materialize, release
+from .storage import discard, keep_batches_small, materialize, release
 
 WORDS = 5
 PERCENT = 75
@@ -483,11 +484,16 @@ class Join:
         return got.join(shared, "region").select("region", "cls", "n", "path")
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows cls, root and the least doc_id of each class with words."""
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    return classes.join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows doc_id, n_shingles, component_id for each document."""
     members, roots = Join(docs, percent, doc_id, text).run()
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = _rooted(members, roots)
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(low, "root").select("cls", "component_id")
     # Nothing links documents without words; each is alone.
@@ -498,9 +504,31 @@ def components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id",
 
 
 def kept_one(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each component: that of the smallest doc_id."""
-    found = components(docs, percent, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-
-
+    """``docs`` without all but one row of each component: one of the smallest doc_id. Rows without words are linked with none, and stay."""
+    members, roots = Join(docs, percent, doc_id, text).run()
+    one = _rooted(members, roots).groupBy("root").agg(F.min(F.struct("least", "cls")).alias("one")).select(F.col("one.least").alias("__id"), F.col("one.cls").alias("__cls"))
+    rows_of = members.groupBy(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")).agg((F.count("*") > 1).alias("__many"))
+    keep, _ = materialize(one.join(rows_of, ["__id", "__cls"]), "jaccard-kept")
+    keep_batches_small(docs.sparkSession)
+    place = docs.columns.index(text)
+    key = F.coalesce(F.col(f"row.`{doc_id}`").cast("long"), F.lit(NO_ID))
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = body.schema["row"].dataType.simpleString()
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            for s in text_slices(row.field(place)):
+                x = Sets(s)
+                yield pa.RecordBatch.from_arrays([row.slice(s.lo, s.n_docs), pa.array(x.n), pa.array(x.cls)], names=["row", "n", "cls"])
+
+    classed = lambda rows: rows.mapInArrow(classes, f"row {kind}, n long, cls long").withColumn("id", key)
+    mine = (F.col("id") == F.col("__id")) & (F.col("cls") == F.col("__cls"))
+    out = classed(body).join(keep.where("not __many"), mine, "left").where("n = 0 or __id is not null").select("row.*")
+    many = keep.where("__many")
+    if many.isEmpty():
+        return out
+    # Rows of one doc_id and class: the first by text stays.
+    again = classed(body.join(many.select("__id").distinct(), key == F.col("__id"), "left_semi")).join(many, mine).where("n > 0")
+    again = again.withColumn("k", F.row_number().over(Window.partitionBy("id", "cls").orderBy(f"row.`{text}`"))).where("k = 1")
+    return out.unionByName(again.select("row.*"))

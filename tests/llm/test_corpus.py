@@ -343,6 +343,24 @@ def test_kept_one(docs):
     assert jaccard.kept_one(own).columns == docs.columns
 
 
+def test_kept_one_row(spark, docs):
+    """One row of each component, also where ids repeat or are null; a repeated id may belong to several."""
+    more = [(3, "another text with the id three here"), (None, "lone text that has no id at all"), (None, "lone text that has no id at all"), (None, None), (6, "")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    data = rows(df)
+    sets = plain_sets(data)
+    group = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                group = [group[i] if g == group[j] else g for g in group]
+    of = defaultdict(list)
+    for g, row in zip(group, data, strict=True):
+        of[g].append(row[0])
+    want = Counter(min(v, key=lambda i: (i is None, i or 0)) for v in of.values())
+    assert Counter(i for i, _ in rows(jaccard.kept_one(df))) == want
+
+
 def test_signatures_bound_the_difference():
     rng = np.random.default_rng(5)
     for n in (3, 70, 900):
