@@ -12,7 +12,9 @@ taken from prefix sums modulo 2**64 and then mixed.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,21 +44,48 @@ def byte_codes(lower: bool) -> np.ndarray:
     return codes
 
 
+#: Powers for slices of up to so many bytes are kept; for a longer text they are made for it alone.
+_KEPT = 1 << 21
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     global _powers
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+    if len(_powers[0]) > n:
+        return _powers[0][: n + 1], _powers[1][: n + 1]
+    size = n + 1 if n >= _KEPT else min(_KEPT, max(n + n // 4, 1 << 16)) + 1
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, b, U64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if n < _KEPT:
         _powers = (out[0], out[1])
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+    return out[0][: n + 1], out[1][: n + 1]
+
+
+def freed(work):
+    """``work`` as a task's function that gives memory back to the machine when it ends; workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    global _powers
+    _powers = (np.ones(1, U64), np.ones(1, U64))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 @functools.lru_cache(None)

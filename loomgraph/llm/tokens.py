@@ -19,12 +19,14 @@ Symbols below FIRST_RULE are ids.  No rule spans two documents, so ``starts``
 leads to any document, and within it ``expansions`` to any id, without
 decoding what stands before.
 
-Re-Pair: the most frequent pairs of neighbours are replaced by a new symbol,
-again and again.  Each round replaces up to ``PER_ROUND`` pairs at once, pairs
-that overlap from the left; a pair must occur ``LEAST`` times.
+Re-Pair: frequent pairs of neighbours are replaced by a new symbol, again and
+again, until no pair of a block occurs ``least`` times.  A round replaces all
+such pairs that don't overlap more frequent ones, so the most frequent pair is
+always replaced wherever it stands.
 
 Nulls and empty texts have the end id only.  Null ids come first.  Repeated
-rows are written each.  Extra columns are ignored.
+rows are written each.  A text of any length is one row, in one block.  No
+documents give no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,49 +46,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import rows
-from .storage import materialize
+from .kernel import U64, Slice, freed, rows, text_slices
+from .storage import discard, materialize
 
 FIRST_RULE = 1 << 16
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 3, 512, 16
-#: Documents that are tokenised at once.
-CHUNK, CHUNK_BYTES = 1024, 4 << 20
-_CELLS = 1 << 18
+#: Occurrences in a block that a pair needs to be replaced: a rule takes 12 bytes.
+LEAST = 256
 #: White space, so that under a byte-level tokenizer it stands alone between a part and the next one's space.
 MARK = "\x0b"
-
-
-_WHITE = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: A space after white space (or the mark of a raw part): such a text isn't cut.
-_SPACED = rf"[{_WHITE}] |\x00"
-#: A full stop or comma not after a letter or digit, or white space after a line feed: such a text is cut at spaces only.
-_MARKS = rf"(?:^|[^\pL\pN])[.,]|\n[{_WHITE}]"
-
-
-class _Numbers(dict):
-    """Gives new keys the next number, and lists them in ``new``."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: First bytes of characters that aren't white: ASCII from 21 to 7E, and two bytes from U+00C0 on.
+_DARK = np.zeros(256, bool)
+_DARK[0x21:0x7F] = _DARK[0xC3:0xE0] = True
+PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not _ALNUM[c])
+
+
+def _may_be_white(data: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Whether the character that ends in byte i is white space, a control character, or may be."""
+    at = lambda k: data[np.maximum(i - k, 0)]
+    b0, b1, b2 = at(0), at(1), at(2)
+    two = (b1 == 0xC2) & ((b0 == 0x85) | (b0 == 0xA0))
+    general = (b2 == 0xE2) & (((b1 == 0x80) & ((b0 <= 0x8A) | (b0 == 0xA8) | (b0 == 0xA9) | (b0 == 0xAF))) | (b1 == 0x81))
+    return (b0 <= 0x20) | (b0 == 0x7F) | two | general | ((b2 == 0xE1) & (b1 == 0x9A)) | ((b2 == 0xE3) & (b1 == 0x80))
+
+
+def part_starts(s: Slice, stops: np.ndarray) -> np.ndarray:
+    """Where the parts of a slice's texts begin: always at ends of what a byte-level tokenizer takes as one piece.
+
+    Such a piece ends before a space after a character that isn't white, and
+    before a single space after white space if more than white space follows;
+    between a letter or digit and punctuation (``stops``, by byte); before the
+    first white space; and after a line feed between two characters that
+    aren't white.
+    """
+    data, n = s.data, len(s.data)
+    if not n:
+        return np.zeros(0, np.int64)
+    inner = np.ones(n, bool)  # not the first byte of a text
+    firsts = s.offs[:-1]
+    inner[firsts[firsts < n]] = False
+    final = np.zeros(n, bool)  # the last byte of a text
+    lasts = s.offs[1:] - 1
+    final[lasts[lasts >= 0]] = True
+    white = np.flatnonzero(((data == 0x20) | (data == 0x0A)) & inner)
+    dark = ~_may_be_white(data, white - 1)
+    more = _DARK[data[np.minimum(white + 1, n - 1)]] & ~final[white]
+    line = data[white] == 0x0A
+    before = white[dark | (~line & more)]
+    after = white[line & dark & more] + 1
+    stop = np.flatnonzero(stops[data] & inner)
+    last, lead = data[stop - 1], data[np.maximum(stop - 2, 0)]
+    # Two bytes from U+00C0 to U+00FF are letters, but for two signs.
+    stop = stop[_ALNUM[last] | ((lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))]
+    start = ~inner
+    start[before] = start[after] = start[stop] = True
+    return np.flatnonzero(start)
+
+
+class _Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 10, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def view(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            held = np.zeros(2 * (self.n + len(more)), self.held.dtype)
+            held[: self.n] = self.view
+            self.held = held
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
 
 
 class Encoder:
     """Ids of texts by a tokenizer file.
 
-    A byte-level tokenizer never joins what stands before a single space with
-    the space, so a text is the sum of its parts between spaces, and a part is
-    tokenised once as long as it's remembered.  Texts with a space after other
-    white space, and all texts under other tokenizers, are tokenised whole.
+    A byte-level tokenizer's pieces end where :func:`part_starts` says, so a
+    text is the sum of its parts, and a part is tokenised once as long as it
+    is remembered.  Parts are found by a hash and confirmed byte by byte.
+    Texts under other tokenizers are tokenised whole.  What is remembered is
+    held in arrays of ``MAX_BYTES`` at most, besides one slice's parts.
     """
 
-    MAX_PARTS = 650_000
+    MAX_BYTES = 64 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,16 +147,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
+        added = spec.get("added_tokens", [])
+        cut = lambda t: t["lstrip"] or t["rstrip"] or t.get("single_word") or any(c.isspace() for c in t["content"])
+        self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(map(cut, added))
+        # Never inside a special token.
+        self.stops = np.zeros(256, bool)
+        self.stops[[c for c in PUNCTUATION if not any(chr(c) in t["content"] for t in added)]] = True
         self.mark = (self._batch([MARK]) or [[]])[0]
         self.by_parts = self.by_parts and len(self.mark) == 1
         self.mark = self.mark[0] if self.by_parts else -1
         self._forget()
 
     def _forget(self) -> None:
-        self.parts = _Numbers()
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
+        #: Sorted hashes, and the number of the part of each.
+        self.keys, self.number = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.raw, self.raw_end, self.ids, self.ids_end = _Grown(np.uint8), _Grown(np.int64), _Grown(np.uint32), _Grown(np.int64)
+        self.raw_end.extend(np.zeros(1, np.int64))
+        self.ids_end.extend(np.zeros(1, np.int64))
 
     def _tokenise(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, joined, and how many each has.
@@ -134,35 +193,69 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts without nulls, and how many each text has."""
-        if len(self.parts) > self.MAX_PARTS:
+    def _learn(self, s: Slice, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Tokenise these parts, all distinct hashes, and remember them."""
+        raw = s.data.tobytes()
+        parts = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        got, sizes = self._tokenise([x.decode() for x in parts])
+        n = len(self.raw_end) - 1
+        self.raw.extend(np.frombuffer(b"".join(parts), np.uint8))
+        self.raw_end.extend(self.raw_end.view[-1] + np.cumsum(b - a))
+        self.ids.extend(got)
+        self.ids_end.extend(self.ids_end.view[-1] + np.cumsum(sizes))
+        at = np.searchsorted(self.keys, h)
+        self.keys = np.insert(self.keys, at, h)
+        self.number = np.insert(self.number, at, np.arange(n, n + len(h), dtype=np.int32))
+
+    def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice's texts, and how many each text has."""
+        if not self.by_parts:
+            raw = s.data.tobytes()
+            got = self._batch([raw[x:y].decode() for x, y in zip(s.offs[:-1].tolist(), s.offs[1:].tolist(), strict=True)])
+            return np.fromiter((i for e in got for i in e), np.uint32), np.array([len(e) for e in got], np.int64)
+        a = part_starts(s, self.stops)
+        if not len(a):
+            return np.zeros(0, np.uint32), np.zeros(s.n_docs, np.int64)
+        b = np.append(a[1:], len(s.data))
+        h = s.word_hashes(a, b, False)
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
+        old = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
+        new = np.flatnonzero(~old)
+        if len(new):
+            self._learn(s, u[new], a[first[new]], b[first[new]])
+            at = np.searchsorted(self.keys, u)
+        n = self.number[at][back]
+        raw_end, ids_end = self.raw_end.view, self.ids_end.view
+        long = raw_end[n + 1] - raw_end[n]
+        # The parts found must spell the texts; where two parts have one hash, those are tokenised by themselves.
+        if not np.array_equal(long, b - a) or not np.array_equal(_gather(self.raw.view, raw_end[n], long), s.data):
+            return self._encode_each(s, a, b, n)
+        size = ids_end[n + 1] - ids_end[n]
+        return _gather(self.ids.view, ids_end[n], size), self._per_text(s, a, size)
+
+    @staticmethod
+    def _per_text(s: Slice, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(size)])[np.searchsorted(a, s.offs)])
+
+    def _encode_each(self, s: Slice, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, got = s.data.tobytes(), []
+        known, raw_end, ids, ids_end = self.raw.view, self.raw_end.view, self.ids.view, self.ids_end.view
+        for x, y, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+            same = known[raw_end[k] : raw_end[k + 1]].tobytes() == raw[x:y]
+            got.append(ids[ids_end[k] : ids_end[k + 1]] if same else self._tokenise([raw[x:y].decode()])[0])
+        return np.concatenate(got), self._per_text(s, a, np.array([len(x) for x in got], np.int64))
+
+    def bound(self) -> None:
+        """Forget all parts once their arrays take more than ``MAX_BYTES``."""
+        if self.keys.nbytes + self.number.nbytes + sum(x.held.nbytes for x in (self.raw, self.raw_end, self.ids, self.ids_end)) > self.MAX_BYTES:
             self._forget()
-        whole = pc.match_substring_regex(texts, _SPACED) if self.by_parts else pa.array(np.ones(len(texts), bool))
-        # Between a letter or digit and a full stop or comma, and after a single line feed, parts end too.
-        cut = texts
-        for old, new in ((".\n", " \0.\n \0"), (". ", " \0. "), (", ", " \0, ")):
-            cut = pc.replace_substring(cut, old, new)
-        cut = pc.if_else(pc.match_substring_regex(texts, _MARKS), texts, cut)
-        cut = pc.binary_join_element_wise("\0", pc.if_else(whole, "", cut), "")
-        lists = pc.split_pattern(cut, " ")
-        counts = pc.list_value_length(lists).to_numpy()
-        coded = pc.list_flatten(lists).dictionary_encode()
-        parts = self.parts
-        known = np.array([parts[x] for x in coded.dictionary.to_pylist()], np.int64)
-        n = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
-        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
-            n[counts[:i].sum()] = parts["\0" + texts[i].as_py()]
-        if parts.new:
-            new = [x[1:] if x[:1] == "\0" else " " + x for x in parts.new]
-            parts.new = []
-            got, sizes = self._tokenise(new)
-            self.flat = np.concatenate([self.flat, got])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        size = self.first[n + 1] - self.first[n]
-        ids = _gather(self.flat, self.first[n], size)
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(ends)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One a worker, so that later tasks know the parts of earlier ones."""
+    return Encoder(path)
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -174,82 +267,129 @@ def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[at]
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the first symbol of each document, and rules (one pair a row)."""
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the first symbol of each document, rules (one pair a row), and how many ids each rule stands for."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        cell = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int32)
-        cell[last[:-1]] = _CELLS
-        counts = np.bincount(cell, minlength=_CELLS + 1)[:_CELLS]
-        hot = np.flatnonzero(counts >= LEAST)
-        if len(hot) > PER_ROUND:
-            hot = hot[np.argsort(-counts[hot], kind="stable")[:PER_ROUND]]
-        if not len(hot):
-            break
-        place = np.full(_CELLS + 1, -1, np.int16)
-        place[hot] = np.arange(len(hot))
-        slot = place[cell]
-        at = np.flatnonzero(slot >= 0)
-        # A cell stands for the pair that is most frequent among its first occurrences.
-        some = at[: 1 << 16]
-        pairs, n = _count_pairs(slot[some], seq[some], seq[some + 1])
-        best = np.lexsort((-n, pairs[:, 0]))
-        _, lead = np.unique(pairs[best, 0], return_index=True)
-        chosen = pairs[best[lead]]
-        left, right = np.zeros(len(hot), np.uint32), np.zeros(len(hot), np.uint32)
-        seen = np.zeros(len(hot), bool)
-        left[chosen[:, 0]], right[chosen[:, 0]], seen[chosen[:, 0]] = chosen[:, 1], chosen[:, 2], True
-        s = slot[at]
-        at = at[seen[s] & (seq[at] == left[s]) & (seq[at + 1] == right[s])]
-        enough = np.bincount(slot[at], minlength=len(hot)) >= LEAST
-        at = at[enough[slot[at]]]
+    sizes = np.zeros(0, np.int64)
+    live = None
+    while len(seq) > 1:
+        at, pair, n = _frequent(seq, last, least, live)
         if not len(at):
             break
-        # In a run of overlapping pairs, every second one is taken.
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
+        # Of overlapping pairs the more frequent is replaced (the most frequent one always), the others wait for the next round.
+        rank = np.full(len(seq) + 1, -1, np.int64)
+        rank[at] = n[pair] * (len(n) + 1) + len(n) - pair
+        won = (rank[at] > rank[at - 1]) & (rank[at] > rank[at + 1])
+        enough = np.bincount(pair[won], minlength=len(n)) >= least
+        won &= enough[pair]
+        lost = at[~won]
+        at, pair = at[won], pair[won]
         number = np.cumsum(enough) - 1
-        seq[at] = (FIRST_RULE + n_rules + number[slot[at]]).astype(np.uint32)
+        _, lead = np.unique(pair, return_index=True)
+        made = np.stack([seq[at[lead]], seq[at[lead] + 1]], 1)
+        count = lambda x: np.where(x >= FIRST_RULE, sizes[np.maximum(x.astype(np.int64) - FIRST_RULE, 0)] if len(sizes) else 1, 1)
+        fresh = count(made[:, 0]) + count(made[:, 1])
+        seq[at] = (FIRST_RULE + len(sizes) + number[pair]).astype(np.uint32)
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([left[enough], right[enough]], 1))
-        n_rules += int(enough.sum())
+        # Only pairs with a new symbol, and those that waited, can be frequent now.
+        again = np.zeros(len(seq), bool)
+        again[at] = again[lost] = True
+        again, seq, last = again[keep], seq[keep], last[keep]
+        again[:-1] |= seq[1:] >= FIRST_RULE + len(sizes)
+        live = again[:-1]
+        rules.append(made)
+        sizes = np.concatenate([sizes, fresh])
     ends = np.flatnonzero(last) + 1
     starts = np.zeros(len(lengths), np.int64)
     full = np.flatnonzero(lengths > 0)
     starts[full] = np.concatenate([[0], ends[:-1]]) if len(ends) else []
-    return seq, starts.astype(np.uint32), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def _count_pairs(slot: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = (slot.astype(np.uint64) << np.uint64(48)) ^ (a.astype(np.uint64) << np.uint64(24)) ^ b.astype(np.uint64)
-    u, n = np.unique(key, return_counts=True)
-    low = np.uint64((1 << 24) - 1)
-    return np.stack([(u >> np.uint64(48)), (u >> np.uint64(24)) & low, u & low], 1).astype(np.uint32), n
-
-
-def expand(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids that each rule stands for: joined, the first of each, and how many."""
-    parts: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        parts.append(np.concatenate([parts[x - FIRST_RULE] if x >= FIRST_RULE else np.array([x], np.uint32) for x in (a, b)]))
-    size = np.array([len(p) for p in parts], np.int64)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), size
+    return seq, starts.astype(np.uint32), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes
+
+
+def _frequent(seq: np.ndarray, last: np.ndarray, least: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places ``live`` (all), those of pairs that occur ``least`` times without overlap, which pair each is, and how often each pair occurs."""
+    ok = ~last[:-1]
+    # In a run of one symbol, every second pair counts.
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & ok)
+    if len(same):
+        fresh = np.ones(len(same), bool)
+        fresh[1:] = same[1:] != same[:-1] + 1
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
+        ok[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
+    # A cell of hashes with fewer than ``least`` entries has no such pair; twice, so that few others are left.
+    # Which pairs of a run count may change with any of its ends.
+    at = live
+    if live is not None:
+        live[same] = True
+        at = np.flatnonzero(live & ok)
+    for one, two in ((0x9E3779B1, 0x85EBCA6B), (0xC2B2AE35, 0x27D4EB2F)):
+        a, b = (seq[:-1], seq[1:]) if at is None else (seq[at], seq[at + 1])
+        cell = ((a * np.uint32(one)) ^ (b * np.uint32(two))) >> np.uint32(32 - _CELL_BITS)
+        if at is None:
+            at = np.flatnonzero(ok)
+            cell = cell[ok] if len(at) < len(ok) else cell
+        hot = np.bincount(cell, minlength=1 << _CELL_BITS) >= least
+        keep = hot[cell]
+        at, cell = at[keep], cell[keep]
+    # By cell, as few bits sort fast; then, where a cell holds several pairs, by pair.
+    slot = (np.cumsum(hot) - 1)[cell]
+    order = np.argsort(slot.astype(np.uint16) if hot.sum() <= 1 << 16 else slot, kind="stable")
+    at, slot = at[order], slot[order]
+    k = seq[at].astype(U64) << U64(32) | seq[at + 1].astype(U64)
+    edge = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])), len(k)) if len(k) else np.zeros(1, np.int64)
+    mixed = np.repeat(k[edge[:-1]], np.diff(edge)) != k
+    if mixed.any():
+        i = np.flatnonzero(np.isin(slot, np.unique(slot[mixed])))
+        by = i[np.lexsort((k[i], slot[i]))]
+        at[i], k[i] = at[by], k[by]
+    edge = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, np.int64)
+    n = np.diff(edge)
+    often = n >= least
+    keep = np.repeat(often, n)
+    return at[keep], np.repeat(np.cumsum(often) - 1, n)[keep], n[often]
+
+
+_CELL_BITS = 18
+
+
+def expand(rules: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that each rule stands for: joined, the first of each, and how many. A rule holds only rules before it."""
+    n = len(rules)
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    inner = rules.astype(np.int64) - FIRST_RULE
+    depth = np.zeros(n, np.int64)
+    while True:  # as often as rules are nested
+        below = np.where(inner >= 0, depth[np.maximum(inner, 0)] + 1, 0).max(axis=1)
+        if np.array_equal(below, depth):
+            break
+        depth = below
+    size = np.ones(n, np.int64) if size is None else size.astype(np.int64)
+    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    part = lambda i, side: np.where(inner[i, side] >= 0, size[np.maximum(inner[i, side], 0)], 1)
+    for i in levels:
+        size[i] = part(i, 0) + part(i, 1)
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    flat = np.zeros(int(first[-1]), np.uint32)
+    for i in levels:
+        to = first[i]
+        for side in (0, 1):
+            m = part(i, side)
+            rule = inner[i, side] >= 0
+            flat[to[~rule]] = rules[i[~rule], side]
+            if rule.any():
+                flat[_places(to[rule], m[rule])] = _gather(flat, first[inner[i[rule], side]], m[rule])
+            to = to + m
+    return flat, first, size
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size)
 
 
 def decode(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -266,9 +406,8 @@ FILE = "shard int, block int, n_docs long, n_tokens long, doc_ids binary, length
 _ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), *[(x, pa.binary()) for x in ("doc_ids", "lengths", "starts", "rules", "expansions")], ("wide", pa.bool_()), ("symbols", pa.binary())])
 
 
-def pack(shard: int, block: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    symbols, starts, rules = compress(ids, lengths)
-    size = expand(rules)[2]
+def pack(shard: int, block: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> pa.RecordBatch:
+    symbols, starts, rules, size = compress(ids, lengths, least)
     # Ids are below 50,257 in the usual vocabularies, so rules fit in what uint16 has left.
     top = int(ids.max(initial=0)) + 1
     wide = top + len(rules) > 1 << 16
@@ -297,58 +436,62 @@ def one_document(rules: bytes, wide: bool, symbols: bytes, starts: bytes, i: int
     return decode(got[s[i] : s[i + 1] if i + 1 < len(s) else len(got)], pairs)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """doc_id and text of batches together, till CHUNK rows or CHUNK_BYTES are there."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK or sum(b.nbytes for b in held) >= CHUNK_BYTES:
-            yield _together(held)
-            held = []
-    if held:
-        yield _together(held)
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows doc_id, unnamed (the text, where doc_id is null), ids: little-endian uint32, the end id included."""
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in batches:
+            own, column = rows(batch, ["doc_id", "text"])
+            for s in text_slices(column):
+                got, n = enc.encode(s)
+                raw = np.insert(got, np.cumsum(n), end_id).astype("<u4")
+                mine = own.slice(s.lo, s.n_docs)
+                unnamed = pc.if_else(mine.is_null(), column.slice(s.lo, s.n_docs), None) if mine.null_count else pa.nulls(s.n_docs, pa.string())
+                yield pa.RecordBatch.from_arrays([mine, unnamed, _cells(raw, n + 1)], names=["doc_id", "unnamed", "ids"])
+                enc.bound()
 
-def _together(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
-    own, texts = zip(*(rows(b, ["doc_id", "text"]) for b in held), strict=True)
-    return pa.concat_arrays(own), pa.concat_arrays(texts)
+    return body.mapInArrow(freed(encode), "doc_id long, unnamed string, ids binary")
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """Writes the files; returns the table read from them, and its path."""
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = body.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+def _cells(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """Writes the files; returns the table read from them, and its path.
+
+    Ids are written first, so texts are tokenised once and only ids are put in
+    order.  Rows without a doc_id are in order of their texts, rows that share
+    one in order of their ids' bytes.
+    """
+    spark = docs.sparkSession
+    ids, path = materialize(encoded(docs, tokenizer, end_id, doc_id, text), "token-ids")
+    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "unnamed", "ids")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        shard, block, held = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
-        ids: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block, held
-            if names:
-                yield pack(shard, block, list(names), np.concatenate(ids), np.concatenate(lengths))
-                block, held = block + 1, 0
-                names.clear(), ids.clear(), lengths.clear()
-
-        for own, column in _chunks(batches):
-            own = own.to_pylist()
-            for lo in range(0, len(own), CHUNK):
-                texts = column.slice(lo, CHUNK)
-                got, n = enc.encode(texts)
-                # The end id follows each document's ids.
-                at = np.cumsum(n)
-                ids.append(np.insert(got, at, end_id).astype(np.uint32))
-                lengths.append(n + 1)
-                names.extend(own[lo : lo + CHUNK])
-                held += len(ids[-1])
+        for batch in batches:
+            own, column = rows(batch, ["doc_id", "ids"])
+            for s in text_slices(column):
+                names += own.slice(s.lo, s.n_docs).to_pylist()
+                parts.append(s.data.view("<u4").copy())
+                lengths.append(np.diff(s.offs) // 4)
+                held += len(parts[-1])
                 if held >= block_tokens:
-                    yield from flush()
-        yield from flush()
+                    yield pack(shard, block, names, np.concatenate(parts), np.concatenate(lengths), least)
+                    block, held, names, parts, lengths = block + 1, 0, [], [], []
+        if names:
+            yield pack(shard, block, names, np.concatenate(parts), np.concatenate(lengths), least)
 
-    return materialize(ordered.mapInArrow(blocks, FILE), "tokens", "none")
+    files, at = materialize(ordered.mapInArrow(freed(blocks), FILE), "tokens", "none")
+    discard(spark, path)
+    return files, at
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -377,5 +520,5 @@ def read(files: DataFrame) -> DataFrame:
                     names=["shard", "block", "doc_id", "in_block", "n_tokens", "ids_crc32"],
                 )
 
-    got = files.mapInArrow(documents, "shard int, block int, doc_id long, in_block long, n_tokens long, ids_crc32 long")
+    got = files.mapInArrow(freed(documents), "shard int, block int, doc_id long, in_block long, n_tokens long, ids_crc32 long")
     return got.join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from loomgraph.llm import chat, decontaminate, jaccard, licenses, mixing, pseudonyms, quality, repeats, tokens, toxicity
+from loomgraph.llm.kernel import text_slices
 from loomgraph.llm.queries import tokenizer_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -392,16 +393,53 @@ def test_parts_are_tokenised_as_wholes():
     rng = np.random.default_rng(2)
     pieces = [" ", "  ", "\n", ".", ",", "a", "foo", "Dé", "7", "!", "_", "\t", "\x0b", "'s", "\xa0", "½", ". ", ".\n", ", ", "\x00", "<|endoftext|>", "　", "字", "\x1f", "\r\n"]
     texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(4000)]
-    ids, n = own.encode(pa.array(texts))
+    (s,) = text_slices(pa.array(texts))
+    ids, n = own.encode(s)
     at = np.concatenate([[0], np.cumsum(n)])
     assert all(plain.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist() for i, t in enumerate(texts))
 
 
+def test_parts_are_forgotten_and_confirmed(monkeypatch):
+    own = tokens.Encoder(tokenizer_path())
+    texts = [" ".join(f"w{i}{j}" for j in range(50)) for i in range(20)] + ["x" * 100_000]
+    (s,) = text_slices(pa.array(texts), 1 << 30)
+    want = own.encode(s)
+    monkeypatch.setattr(own, "MAX_BYTES", 1000)
+    own.bound()
+    assert not len(own.keys)
+    # All parts under one hash: each is confirmed or tokenised by itself.
+    monkeypatch.setattr(type(s), "word_hashes", lambda self, a, b, lower: np.zeros(len(a), np.uint64))
+    got = own.encode(s)
+    assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("least", [2, 3, 8])
+def test_repair_ends_when_no_pair_is_left(least):
+    """By brute force: in what is left, no pair inside a document occurs ``least`` times without overlap."""
+    rng = np.random.default_rng(least)
+    for alphabet in (1, 2, 5, 300):
+        lengths = rng.integers(0, 80, 60)
+        ids = rng.integers(0, alphabet, int(lengths.sum())).astype(np.uint32)
+        symbols, starts, rules, sizes = tokens.compress(ids, lengths, least)
+        assert tokens.decode(symbols, rules).tolist() == ids.tolist()
+        assert [len(tokens.decode(np.array([tokens.FIRST_RULE + i], np.uint32), rules)) for i in range(len(rules))] == sizes.tolist()
+        edge = [*starts[lengths > 0].tolist(), len(symbols)]
+        count = Counter()
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            taken = {}
+            for i in range(lo, hi - 1):
+                p = (symbols[i], symbols[i + 1])
+                if taken.get(p) != i - 1 or p[0] != p[1]:
+                    count[p] += 1
+                    taken[p] = i
+        assert max(count.values(), default=0) < least
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(4)
     lengths = rng.integers(0, 60, 200)
     ids = rng.integers(0, 6, int(lengths.sum())).astype(np.uint32)
-    batch = tokens.pack(0, 0, list(range(200)), ids, lengths).to_pylist()[0]
+    batch = tokens.pack(0, 0, list(range(200)), ids, lengths, 16).to_pylist()[0]
     assert len(batch["rules"]) and (tokens.decode(*tokens.unpack(batch["rules"], batch["wide"], batch["symbols"])) == ids).all()
     at = np.concatenate([[0], np.cumsum(lengths)])
     for i in np.flatnonzero(lengths)[:40]:
