@@ -16,15 +16,18 @@ a shingle there are a region.  Within regions:
   radii, those of the ball that the triangle inequality leaves within reach.
 * What is left of all regions with the same pivot is that pivot's cell: a
   document is repeated in the cells of its pivots, not in all its regions.
-  A cell of up to ``SMALL`` members is joined in one task.  Regions of a larger
-  one are joined recursively, with pivots of their own; if the pivot hardly
-  thinned them, they are first cut by a further shingle, later in the global
-  order than those before (such a pair shares its first l common shingles
-  within the first n - ceil(t * n) + l of both).  Pairs that share no more
-  than the l shingles a region was cut by are linked if their sizes say so:
-  then all members that link to any link to the smallest.
-* What is left after ``CUTS`` cuts or ``ROUNDS`` rounds is joined in blocks: any
-  two members of a cell meet in one of its pairs of blocks.
+
+A cell of up to ``MEMBERS`` members and ``SHINGLES`` shingles is joined in one
+task.  A larger one is divided into Voronoi regions: some members, by hash, are
+pivots, and all are compared to them.  A member's home is its nearest pivot,
+or, if that is as far as 1 - r (r = 1 - t), the rest.  If d(x, y) <= r and
+y's home is q, then d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r for
+x's nearest pivot p, and d(x, q) < 1; so each member is repeated in all regions
+with d(x, q) <= d(x, p) + 2r and d(x, q) < 1, and any two that link meet in the
+home of one of them, or in the rest.  Regions that are still large are divided
+again.  A region that keeps more than ``THICK`` of its cell's members, or is
+large after ``ROUNDS`` rounds, is joined in blocks: any two members meet in one
+of its pairs of blocks.
 
 Only connections count, so pairs known to be connected aren't compared.  Every
 link between two components is found; no region, partner or candidate is
@@ -48,15 +51,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import U64, Slice, mix, rows, shingle_hashes, text_slices
+from .kernel import U64, Slice, freed, mix, rows, shingle_hashes, text_slices
 from .storage import discard, keep_batches_small, materialize, release
 
 WORDS = 5
 PERCENT = 75
-#: A cell of up to so many members is finished in one task.
-SMALL = 4096
-#: Regions are cut by so many shingles, and thinned in so many rounds, before their cells are joined in blocks; results don't change.
-CUTS, ROUNDS = 4, 16
+#: A cell of up to so many members and shingles is finished in one task.
+MEMBERS, SHINGLES = 4096, 1 << 20
+#: Pivots of a larger cell, about; results don't change with these four.
+PIVOTS, THICK, ROUNDS, SALTS = 16, 0.875, 8, 32
+#: Tokens of a part of the shingle space, about.
+PART_TOKENS = 1 << 20
 #: Common shingles kept in order; more of them only make regions larger, results don't change.
 MAX_COMMON = 1 << 17
 NO_ID = (1 << 63) - 1
@@ -275,12 +280,11 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"):
         self.spark, self.percent = docs.sparkSession, percent
         self.body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.n_parts = max(64, 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n, cls) and, of each class that links to another, its root class."""
-        measured, path = materialize(self.body.mapInArrow(_measure, "doc_id long, n long, cls long, common binary, sign binary"), "jaccard-measured")
-        notes = measured.where("common is not null").select("common").mapInArrow(_common, "shingle long, n long")
+        measured, path = materialize(self.body.mapInArrow(freed(_measure), "doc_id long, n long, cls long, common binary, sign binary"), "jaccard-measured")
+        notes = measured.where("common is not null").select("common").mapInArrow(freed(_common), "shingle long, n long")
         often = notes.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
         hashes = np.array([r["shingle"] for r in often], np.int64).view(U64)
         rank = np.array([r["n"] for r in often], np.int64)
@@ -290,9 +294,14 @@ class Join:
         first = measured.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign", True).alias("sign"))
         self.classes, _ = materialize(first, "jaccard-classes")
         discard(self.spark, path)
-        regions, _ = materialize(self._regions(), "jaccard-regions")
+        # A set sends n - ceil(t * n) + 1 tokens; the parts follow the data.
+        tokens = self.classes.agg(F.sum(F.col("n") * (100 - self.percent) / 100 + 1)).first()[0] or 0
+        self.n_parts = max(64, int(tokens // PART_TOKENS))
+        regions, path = materialize(self._regions(), "jaccard-regions")
         release(self.spark)
-        return members, self._joined(regions)
+        roots = self._joined(regions)
+        discard(self.spark, path)
+        return members, roots
 
     def _regions(self) -> DataFrame:
         order, percent, n_parts = self.order, self.percent, self.n_parts
@@ -317,7 +326,7 @@ class Join:
                     cells = [pa.array([c[edge[p] : edge[p + 1]].tobytes() for p in full], pa.binary()) for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *cells], names=["part", "token", "cls", "n"])
 
-        sent = self.body.select("text").mapInArrow(send, "part long, token binary, cls binary, n binary")
+        sent = self.body.select("text").mapInArrow(freed(send), "part long, token binary, cls binary, n binary")
         return sent.groupBy("part").applyInArrow(_share, "region long, cls long, n long")
 
     def _sets(self, need: DataFrame) -> tuple[DataFrame, str]:
@@ -335,7 +344,7 @@ class Join:
                     cells = [x.hashes[x.first[d] : x.first[d + 1]].tobytes() for d in mine]
                     yield pa.RecordBatch.from_arrays([pa.array(x.cls[mine]), pa.array(cells, pa.binary())], names=["cls", "hashes"])
 
-        return materialize(texts.mapInArrow(sets, "cls long, hashes binary"), "jaccard-sets", "none")
+        return materialize(texts.mapInArrow(freed(sets), "cls long, hashes binary"), "jaccard-sets", "none")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs (lo, hi, n, pn) with ``apart``, a lower bound of their symmetric difference."""
@@ -347,10 +356,10 @@ class Join:
                 apart = [least_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*rows(batch, ["lo", "hi", "n", "pn"]), pa.array(apart, pa.int64())], names=["lo", "hi", "n", "pn", "apart"])
 
-        return both.select("lo", "hi", "n", "pn", "x", "y").mapInArrow(compare, "lo long, hi long, n long, pn long, apart long")
+        return both.select("lo", "hi", "n", "pn", "x", "y").mapInArrow(freed(compare), "lo long, hi long, n long, pn long, apart long")
 
-    def _compared(self, pairs: DataFrame) -> DataFrame:
-        """Exact sizes of intersection and union of pairs (lo, hi).
+    def _compared(self, pairs: DataFrame) -> tuple[DataFrame, str]:
+        """Exact sizes of intersection and union of pairs (lo, hi), and where they are written.
 
         A class in very many pairs is a pivot; its set is sent to as many
         tasks as its pairs need, dealt by salt.
@@ -375,9 +384,9 @@ class Join:
                     whole.append(len(a) + len(b) - same)
                 yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("hi"), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["lo", "hi", "shared", "whole"])
 
-        verified, _ = materialize(both.mapInArrow(compare, "lo long, hi long, shared long, whole long"), "jaccard-verified")
+        verified, at = materialize(both.mapInArrow(freed(compare), "lo long, hi long, shared long, whole long"), "jaccard-verified")
         discard(self.spark, path)
-        return verified
+        return verified, at
 
     def _sizes_allow(self, n: str, m: str) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -387,102 +396,127 @@ class Join:
 
     def _joined(self, regions: DataFrame) -> DataFrame:
         radius, slack = 1 - self.percent / 100, 1e-12
-        roots = self.spark.createDataFrame([], "a long, root long")
-        regions = regions.withColumn("path", F.array("region"))
-        for turn in range(1, ROUNDS + 1):
-            least = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot")
-            pivots = regions.groupBy("region").agg(least).select("region", "pivot.p", "pivot.pn")
-            stars = regions.join(pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
-            # The pivot is the side that may be salted.
-            pairs = stars.where("near").select(F.col("p").alias("lo"), F.col("cls").alias("hi"), "n", "pn").distinct()
-            bounded, _ = materialize(self._bounded(pairs), "jaccard-bounded")
-            maybe = F.col("apart") * (100 + self.percent) <= (F.col("n") + F.col("pn")) * (100 - self.percent)
-            verified = self._compared(bounded.where(maybe).select("lo", "hi"))
-            roots = connected(self._linked(verified).unionByName(roots.select("a", F.col("root").alias("b"))))
-            # Where sizes or signatures rule a pair out, it is at least so far apart.
-            total = F.col("n") + F.col("pn")
-            far = bounded.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - (total - F.col("apart")) / (total + F.col("apart"))).alias("far"))
-            got = verified.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - F.col("shared") / F.col("whole")).alias("exact"))
-            known = stars.join(far.join(got, ["p", "cls"], "left"), ["p", "cls"], "left").join(roots.withColumnRenamed("a", "cls"), "cls", "left")
-            known = known.select("region", "path", "p", "cls", "n", F.coalesce("root", "cls").alias("root"), "exact", F.coalesce("exact", "far", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("d"))
-            known, _ = materialize(known, "jaccard-known")
-            inside = F.coalesce(F.col("exact") <= radius + slack, F.lit(False))
-            open_ = known.groupBy("region").agg(
-                F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(~inside, F.col("d"))).alias("edge"), F.count("*").alias("size"), F.count(F.when(~inside, 1)).alias("outside")
-            ).where("r1 != r2 and outside > 0").select("region", "edge", F.expr("outside * 8 <= size * 7").alias("thin"))
-            # Outside the ball, and those of the ball that the boundary window's members may reach.
-            reached = (F.col("edge") <= 2 * radius + slack) & (F.col("d") >= F.col("edge") - radius - slack)
-            parts = known.join(open_, "region").where(~inside | reached)
-            cells = parts.select("p", "cls", "n", "root").distinct()
-            parts, _ = materialize(parts.select("region", "path", "p", "cls", "n", "thin"), "jaccard-parts")
-            cells, _ = materialize(cells, "jaccard-cells")
-            sizes = cells.groupBy("p").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").drop("r1", "r2")
-            roots = self._within(cells.join(sizes.where(F.col("members") <= SMALL).select("p"), "p"), roots)
-            left = parts.join(sizes.where(F.col("members") > SMALL).select("p"), "p", "left_semi")
-            if left.isEmpty():
-                release(self.spark)
+        least = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot")
+        pivots = regions.groupBy("region").agg(least).select("region", "pivot.p", "pivot.pn")
+        stars = self._salted(regions, pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
+        # The pivot is the side that may be salted.
+        pairs = stars.where("near").select(F.col("p").alias("lo"), F.col("cls").alias("hi"), "n", "pn").distinct()
+        bounded, at_bounded = materialize(self._bounded(pairs), "jaccard-bounded")
+        maybe = F.col("apart") * (100 + self.percent) <= (F.col("n") + F.col("pn")) * (100 - self.percent)
+        verified, at_verified = self._compared(bounded.where(maybe).select("lo", "hi"))
+        roots = connected(self._linked(verified))
+        # Where sizes or signatures rule a pair out, it is at least so far apart.
+        total = F.col("n") + F.col("pn")
+        far = bounded.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - (total - F.col("apart")) / (total + F.col("apart"))).alias("far"))
+        got = verified.select(F.col("lo").alias("p"), F.col("hi").alias("cls"), (1 - F.col("shared") / F.col("whole")).alias("exact"))
+        known = stars.join(far.join(got, ["p", "cls"], "left"), ["p", "cls"], "left").join(roots.withColumnRenamed("a", "cls"), "cls", "left")
+        known = known.select("region", "p", "cls", "n", F.coalesce("root", "cls").alias("root"), "exact", F.coalesce("exact", "far", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("d"))
+        known, at_known = materialize(known, "jaccard-known")
+        discard(self.spark, at_bounded, at_verified)
+        inside = F.coalesce(F.col("exact") <= radius + slack, F.lit(False))
+        open_ = known.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(~inside, F.col("d"))).alias("edge")).where("r1 != r2 and edge is not null").select("region", "edge")
+        # Outside the ball, and those of the ball that the boundary window's members may reach.
+        reached = (F.col("edge") <= 2 * radius + slack) & (F.col("d") >= F.col("edge") - radius - slack)
+        cells, at_cells = materialize(self._salted(known, open_, "region").where(~inside | reached).select("p", "cls", "n").distinct(), "jaccard-cells")
+        discard(self.spark, at_known)
+        release(self.spark)
+        roots = self._divided(cells, roots)
+        discard(self.spark, at_cells)
+        return roots
+
+    def _salted(self, rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+        """``rows`` joined with the one row of its key in ``few``; the rows of a key are dealt over ``SALTS`` tasks."""
+        few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("__salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(few, [key, "__salt"]).drop("__salt")
+
+    def _divided(self, cells: DataFrame, roots: DataFrame) -> DataFrame:
+        """The roots, once the members (p, cls, n) of each cell are joined, large cells by Voronoi regions."""
+        before = None
+        for turn in range(ROUNDS + 1):
+            with_root = cells.join(roots.withColumnRenamed("a", "cls"), "cls", "left").select("p", "cls", "n", *(["cell"] if turn else []), F.coalesce("root", "cls").alias("root"))
+            sizes = with_root.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("root").alias("r1"), F.max("root").alias("r2"), *([F.first("cell").alias("cell")] if turn else []))
+            sizes = sizes.where("r1 != r2").drop("r1", "r2")
+            # A region is thick if it has most of the cell that it was divided from.
+            sizes = sizes.join(before, "cell", "left").withColumn("thick", F.col("members") > THICK * F.col("whole")) if turn else sizes.withColumn("thick", F.lit(False))
+            sizes, at_sizes = materialize(sizes.select("p", "members", "shingles", "thick"), "jaccard-sizes")
+            small = (F.col("members") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
+            roots = self._within(self._salted(with_root, sizes.where(small).select("p"), "p").select("p", "cls", "n", "root"), roots)
+            large = sizes.where(~small)
+            if large.isEmpty():
+                discard(self.spark, at_sizes)
                 return roots
-            thick = F.lit(turn == ROUNDS) | (~F.col("thin") & (F.size("path") >= CUTS))
-            roots = self._within(self._blocks(left.where(thick), roots), roots)
-            cut = left.where(~thick & ~F.col("thin"))
-            roots = connected(self._exhausted(cut).unionByName(roots.select("a", F.col("root").alias("b"))))
-            regions, _ = materialize(left.where(~thick & F.col("thin")).select("region", "cls", "n", "path").unionByName(self._split(cut)), "jaccard-regions")
+            last = F.lit(turn == ROUNDS) | F.col("thick")
+            left = self._salted(cells.select("p", "cls", "n"), large, "p")
+            roots = self._within(self._blocks(left.where(last), roots), roots)
+            homes, links = self._homes(left.where(~last), turn)
+            roots = connected(links.unionByName(roots.select("a", F.col("root").alias("b"))))
+            before = large.select(F.col("p").alias("cell"), F.col("members").alias("whole"))
+            cells, _ = materialize(homes, "jaccard-cells")
             release(self.spark)
-            if regions.isEmpty():
+            if cells.isEmpty():
                 break
         return roots
 
+    def _homes(self, left: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members (p, cls, n, cell) of the Voronoi regions of cells (p, cls, n, members, shingles), and links to pivots."""
+        percent, radius, slack = self.percent, 1 - self.percent / 100, 1e-9
+        deals = F.ceil(F.col("shingles") / SHINGLES).cast("int")
+        dealt = left.select("p", "cls", "n", "members", deals.alias("deals"), F.pmod(F.xxhash64("cls", F.lit(1)), deals).cast("int").alias("deal"), F.pmod(F.xxhash64("p", "cls", F.lit(turn)), F.lit(1 << 30)).alias("h"))
+        dealt, at_dealt = materialize(dealt, "jaccard-dealt")
+        first = dealt.groupBy("p").agg(F.min(F.struct("h", "cls")).alias("x"), F.first("deals").alias("deals")).select("p", F.col("x.cls").alias("cls"), "deals")
+        some = dealt.where(F.col("h") * F.col("members") < PIVOTS * (1 << 30)).select("p", "cls", "deals").unionByName(first).distinct()
+        sets, at_sets = self._sets(dealt)
+        pivots = some.join(sets, "cls").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("p", "deal", "cls", "hashes").toDF("of", "dealt", "cls", "hashes")
+        members = dealt.select("p", "deal", "cls", "n").join(sets, "cls").select("p", "deal", "cls", "n", "hashes").toDF("p", "deal", "cls", "n", "hashes")
+
+        def assign(own: pa.Table, of: pa.Table) -> pa.Table:
+            cls, n, q = own["cls"].to_numpy(), own["n"].to_numpy(), of["cls"].to_numpy()
+            joined = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in own["hashes"]] or [np.zeros(0, U64)])
+            if not len(cls):
+                return pa.table({c: pa.array([], k) for c, k in (("p", pa.int64()), ("q", pa.int64()), ("rest", pa.bool_()), ("cls", pa.int64()), ("n", pa.int64()), ("link", pa.bool_()))})
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            d, link = np.ones((len(q), len(cls))), np.zeros((len(q), len(cls)), bool)
+            for k, x in enumerate(of["hashes"]):
+                y = np.frombuffer(x.as_buffer(), "<u8")
+                same = np.add.reduceat((y[np.minimum(np.searchsorted(y, joined), len(y) - 1)] == joined).astype(np.int64), first)
+                whole = n + len(y) - same
+                d[k], link[k] = 1 - same / whole, same * 100 >= whole * percent
+            low = d.min(axis=0)
+            inside = (d <= low + 2 * radius + slack) & (d < 1)
+            k, i = np.nonzero(inside)
+            far = np.flatnonzero(low >= 1 - radius - slack)
+            p = np.full(len(k) + len(far), own["p"][0].as_py())
+            nothing = np.zeros(len(far), bool)
+            return pa.table({"p": p, "q": np.concatenate([q[k], cls[far]]), "rest": np.concatenate([np.zeros(len(k), bool), ~nothing]), "cls": np.concatenate([cls[i], cls[far]]), "n": np.concatenate([n[i], n[far]]), "link": np.concatenate([link[k, i], nothing])})
+
+        found = members.groupBy("p", "deal").cogroup(pivots.groupBy("of", "dealt")).applyInArrow(assign, "p long, q long, rest boolean, cls long, n long, link boolean")
+        found, _ = materialize(found, "jaccard-homes")
+        discard(self.spark, at_dealt, at_sets)
+        region = F.when(F.col("rest"), F.xxhash64("p", F.lit("rest"))).otherwise(F.xxhash64("p", "q"))
+        homes = found.select(region.alias("__p"), "cls", "n", F.col("p").alias("cell")).withColumnRenamed("__p", "p")
+        return homes, found.where("link and cls != q").select(F.col("cls").alias("a"), F.col("q").alias("b"))
+
     def _within(self, cells: DataFrame, roots: DataFrame) -> DataFrame:
         """The roots, once the members of each cell p are joined."""
         some = cells.join(self.classes.select("cls", "sign"), "cls").groupBy("p").applyInArrow(_cell(self.percent), "p long, cls long, n long, root long")
-        some, _ = materialize(some, "jaccard-cells")
+        some, at_some = materialize(some, "jaccard-cells")
+        if some.isEmpty():
+            discard(self.spark, at_some)
+            return roots
         sets, path = self._sets(some)
         found = some.join(sets, "cls").groupBy("p").applyInArrow(_cell_links(self.percent), "a long, b long")
         found, _ = materialize(found, "jaccard-links")
-        discard(self.spark, path)
+        discard(self.spark, path, at_some)
         return connected(found.unionByName(roots.select("a", F.col("root").alias("b"))))
 
     def _blocks(self, parts: DataFrame, roots: DataFrame) -> DataFrame:
-        """Cells of about ``SMALL`` members: each two blocks of a pivot's cell are one."""
-        members = parts.select("p", "cls", "n").distinct()
-        blocks = members.groupBy("p").agg(F.ceil(F.count("*") * 2 / SMALL).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-        dealt = members.join(blocks, "p").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        """Cells of a size for one task: each two blocks of a cell (p, cls, n, members, shingles) are one."""
+        blocks = F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("shingles") / SHINGLES) * 2).cast("int")
+        own = F.pmod(F.xxhash64("cls", F.lit(2)), blocks).cast("int")
+        dealt = parts.select("p", "cls", "n", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.join(roots.withColumnRenamed("a", "cls"), "cls", "left")
         return dealt.select(F.xxhash64("p", F.least("own", "other"), F.greatest("own", "other")).alias("p"), "cls", "n", F.coalesce("root", "cls").alias("root"))
 
-    def _exhausted(self, parts: DataFrame) -> DataFrame:
-        """Links (a, b) of pairs that need no more shared shingles than their region was cut by."""
-        low = parts.groupBy("region").agg(F.min(F.struct("n", "cls")).alias("low")).select("region", F.col("low.n").alias("m"), F.col("low.cls").alias("b"))
-        shared = F.size("path").cast("long")
-        enough = shared * 100 >= (F.col("n") + F.col("m") - shared) * self.percent
-        return parts.join(low, "region").where("cls != b").where(enough).select(F.col("cls").alias("a"), "b").distinct()
-
-    def _split(self, parts: DataFrame) -> DataFrame:
-        """Cuts a region by a further shingle of its members' longer beginnings, later in the global order than those it was cut by."""
-        order, percent = self.order, self.percent
-        if parts.isEmpty():
-            return parts.select("region", "cls", "n", "path")
-        body = parts.select("region", "path", "cls", "n").join(self._sets(parts)[0], "cls")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common, rank = order.value
-            for batch in batches:
-                for r in batch.to_pylist():
-                    h = np.frombuffer(r["hashes"], "<u8")
-                    x = Sets.__new__(Sets)
-                    x.hashes, x.doc, x.n, x.first = h, np.zeros(len(h), np.int64), np.array([len(h)]), np.array([0, len(h)])
-                    token, _ = prefix(x, common, rank, percent, len(r["path"]) + 1)
-                    token = token.view(np.int64)
-                    token = token[int(np.flatnonzero(token == r["path"][-1])[0]) + 1 :]
-                    m = len(token)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, r["region"])), pa.array([r["path"]] * m, pa.list_(pa.int64())), pa.array(np.full(m, r["cls"])), pa.array(np.full(m, r["n"])), pa.array(token)], names=["region", "path", "cls", "n", "token"])
-
-        got = body.mapInArrow(cut, "region long, path array<long>, cls long, n long, token long")
-        got = got.select(F.xxhash64("region", "token").alias("region"), F.concat("path", F.array("token")).alias("path"), "cls", "n")
-        shared = got.groupBy("region").count().where("count > 1").select("region")
-        return got.join(shared, "region").select("region", "cls", "n", "path")
-
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows cls, root and the least doc_id of each class with words."""
@@ -522,7 +556,7 @@ def kept_one(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", te
                 x = Sets(s)
                 yield pa.RecordBatch.from_arrays([row.slice(s.lo, s.n_docs), pa.array(x.n), pa.array(x.cls)], names=["row", "n", "cls"])
 
-    classed = lambda rows: rows.mapInArrow(classes, f"row {kind}, n long, cls long").withColumn("id", key)
+    classed = lambda rows: rows.mapInArrow(freed(classes), f"row {kind}, n long, cls long").withColumn("id", key)
     mine = (F.col("id") == F.col("__id")) & (F.col("cls") == F.col("__cls"))
     out = classed(body).join(keep.where("not __many"), mine, "left").where("n = 0 or __id is not null").select("row.*")
     many = keep.where("__many")
