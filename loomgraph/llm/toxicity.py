@@ -7,8 +7,8 @@ up most of what a strong stem was seen in.  Both are held as tries.  A word is
 a hit if a stem is its beginning, or if the Levenshtein automaton of the word,
 run down the trie of terms, accepts one of five letters or more within one edit
 (two from eight letters; a swap of neighbours is one edit): a misspelled hit.
-Each hit is weighed by its context window: inside quotation marks or after a
-reporting word it is quoted, otherwise used.  A logistic model over the capped
+Each hit is weighed by its context window: inside quotation marks, or with a
+reporting word among the three words before it, it is quoted, otherwise used.  A logistic model over the capped
 counts of the six kinds of hits gives the score; the lexicon decides which
 words count, the labels what each kind is worth.
 
@@ -24,6 +24,8 @@ every score is 0.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, Slice, byte_codes, mix, powers, rows, text_slices
+from .kernel import U64, Slice, byte_codes, freed, mix, powers, rows, text_slices
 from .storage import discard, keep_batches_small, materialize
 
 MAX_ROWS = 20_000
@@ -42,6 +44,7 @@ MIN_SHARE, MIN_Z = 0.01, 4.0
 PREFIXES = range(4, 9)
 #: Opening and closing quotation marks, and words that report another's speech.
 QUOTES = ('"', "“", "”", "„", "«", "»")
+_MARKS = re.compile("|".join([*QUOTES, "\n"]).encode())
 REPORTING = frozenset(b"said says wrote called quoted quote word term sagte schrieb dit dijo".split())
 CONTEXT_BYTES = 60
 #: Strong, weak and misspelled hits, each used and quoted.
@@ -197,25 +200,44 @@ class Scanner:
         kind[new] = self._classify(s, a[first[new]], b[first[new]], c)
         if len(self.known) > self.MAX_KNOWN:
             self.known, self.kind = np.zeros(0, U64), np.zeros(0, np.int8)
-        both = np.concatenate([self.known, u[new]])
-        order = np.argsort(both, kind="stable")
-        self.known, self.kind = both[order], np.concatenate([self.kind, kind[new]])[order]
+        at = np.searchsorted(self.known, u[new])
+        self.known, self.kind = np.insert(self.known, at, u[new]), np.insert(self.kind, at, kind[new])
         each = kind[back]
+        d, inside = -1, None
         for i in np.flatnonzero(each).tolist():
-            lo, hi = int(s.offs[docs[i]]), int(s.offs[docs[i] + 1])
-            quoted = self._quoted(s.data, int(a[i]), int(b[i]), lo, hi)
-            out[docs[i], 2 * (int(each[i]) - 1) + quoted] += 1
+            if docs[i] != d:
+                d = int(docs[i])
+                lo, text = int(s.offs[d]), s.data[s.offs[d] : s.offs[d + 1]].tobytes()
+                inside = quotations(text)
+            quoted = self._quoted(text, int(a[i]) - lo, inside)
+            out[d, 2 * (int(each[i]) - 1) + quoted] += 1
         return out
 
     @staticmethod
-    def _quoted(data: np.ndarray, a: int, b: int, lo: int, hi: int) -> bool:
-        before = data[max(lo, a - CONTEXT_BYTES) : a].tobytes()
-        after = data[b : min(hi, b + CONTEXT_BYTES)].tobytes()
-        marks = [m.encode() for m in QUOTES]
-        opened = max(before.rfind(m) for m in marks)
-        if opened >= 0 and any(m in after for m in marks) and sum(before.count(m) for m in marks) % 2:
+    def _quoted(text: bytes, at: int, inside: list[tuple[int, int]]) -> bool:
+        k = bisect.bisect(inside, (at + 1,)) - 1
+        if k >= 0 and at < inside[k][1]:
             return True
-        return bool(REPORTING & set(before.lower().split()[-3:]))
+        return bool(REPORTING & set(text[max(0, at - CONTEXT_BYTES) : at].lower().split()[-3:]))
+
+
+def quotations(text: bytes) -> list[tuple[int, int]]:
+    """Where the quotations of a text begin and end, however long, apart and ascending.
+
+    Within a line, a mark opens a quotation if none is open, and the next mark
+    closes it; so it doesn't matter which way round a language has its marks.
+    A mark that nothing closes in its line quotes nothing.
+    """
+    out, opened = [], None
+    for m in _MARKS.finditer(text):
+        if m[0] == b"\n":
+            opened = None
+        elif opened is None:
+            opened = m.end()
+        else:
+            out.append((opened, m.start()))
+            opened = None
+    return out
 
 
 def _stem_counts(batches):
@@ -287,9 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
     n_toxic, n_clean = by.get(1, 0), by.get(0, 0)
     if not n_toxic or not n_clean:
         return Model({}, [])
-    stems = sample.mapInArrow(_stem_counts, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    often = (F.col("t") >= 4) & (F.col("t") * n_clean >= 5 * F.col("c") * n_toxic)
-    counted = [tuple(r) for r in stems.where(often).orderBy(F.desc("t"), "stem").limit(50_000).collect()]
+    stems = sample.mapInArrow(freed(_stem_counts), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    # Stems in this share of the sample's toxic documents: a hundred times what such a document holds, at most.
+    often = (F.col("t") >= max(4, MIN_SHARE * n_toxic)) & (F.col("t") * n_clean >= 5 * F.col("c") * n_toxic)
+    counted = [tuple(r) for r in stems.where(often).collect()]
     model = Model(*_lexicon(counted, n_toxic, n_clean))
 
     def features(batches, stems=model.stems, terms=model.terms):
@@ -301,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
                 yield pa.RecordBatch.from_arrays([toxic.slice(s.lo, s.n_docs).cast(pa.int64()), *[pa.array(got[:, k]) for k in range(KINDS)]], names=["y", *(f"k{k}" for k in range(KINDS))])
 
     kinds = [f"k{k}" for k in range(KINDS)]
-    seen = sample.mapInArrow(features, "y long, " + ", ".join(f"{k} long" for k in kinds))
+    seen = sample.mapInArrow(freed(features), "y long, " + ", ".join(f"{k} long" for k in kinds))
     seen = seen.select("y", *[F.least(k, F.lit(c)).alias(k) for k, c in zip(kinds, CAPS, strict=True)]).groupBy("y", *kinds).count().collect()
     discard(docs.sparkSession, path)
     x = np.repeat(np.array([[r[k] for k in kinds] for r in seen], float), [r["count"] for r in seen], axis=0)
@@ -333,7 +356,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 p = model.score(got)
                 yield pa.RecordBatch.from_arrays([row.slice(s.lo, s.n_docs), pa.array(p), *[pa.array(got[:, k]) for k in range(KINDS)]], names=["row", "score", *(f"k{k}" for k in range(KINDS))])
 
-    out = body.mapInArrow(scan, f"row {kind}, score double, " + ", ".join(f"k{k} long" for k in range(KINDS)))
+    out = body.mapInArrow(freed(scan), f"row {kind}, score double, " + ", ".join(f"k{k} long" for k in range(KINDS)))
     out = out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     hits = [F.col(f"k{k}").alias(name) for k, name in enumerate(NAMES)]
     return out.select("row", "predicted") if keep else out.select(F.col("row").alias("doc_id"), "score", "predicted", *hits)
