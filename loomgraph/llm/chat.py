@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import rows
+from .kernel import freed, rows
 from .storage import discard, materialize
 
 _TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
@@ -154,7 +154,7 @@ def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -
             arrays = [conv, turn, role, pa.array(out["content"], pa.string()), pa.array(out["answers"], pa.string()), pa.array(out["calls"], _CALL), pa.array(out["json"], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "content", "answers", "calls", "json"])
 
-    return body.mapInArrow(read, MESSAGE).withColumn("message", F.monotonically_increasing_id())
+    return body.mapInArrow(freed(read), MESSAGE).withColumn("message", F.monotonically_increasing_id())
 
 
 def links(msgs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, Slice, rows, text_slices
+from .kernel import U64, Slice, freed, rows, text_slices
 from .storage import keep_batches_small, materialize
 
 WINDOW = 13
@@ -239,7 +239,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int
                         names=["row", "doc_id", "n_words", "spans", "items"],
                     )
 
-        parts.append(body.mapInArrow(scan, SCHEMA))
+        parts.append(body.mapInArrow(freed(scan), SCHEMA))
     if not parts:
         words = F.regexp_count(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
         return body.select("doc_id", words.cast("long").alias("n_words"), F.expr("cast(array() as array<struct<lo:long,hi:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
@@ -300,7 +300,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: in
                 keep = (hit == 0) | (20 * hit < n_words)
                 yield pa.RecordBatch.from_arrays([row.slice(s.lo, s.n_docs).filter(pa.array(keep))], names=["row"])
 
-    return body.mapInArrow(judge, f"row {kind}").select("row.*")
+    return body.mapInArrow(freed(judge), f"row {kind}").select("row.*")
 
 
 def covered(spans: list[tuple[int, int]]) -> int:

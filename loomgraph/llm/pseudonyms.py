@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import rows
+from .kernel import freed, rows
 
 ROUNDS = 10
 KINDS = ("card", "iban", "phone", "ip", "date", "email", "secret")
@@ -215,4 +215,4 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
                 counts = [pa.array([c.get(k, 0) for _, c in got], pa.int64()) for k in KINDS]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array([t for t, _ in got], pa.string()), *counts], names=["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
-    return body.mapInArrow(replace, f"doc_id {kind}, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return body.mapInArrow(freed(replace), f"doc_id {kind}, text string, " + ", ".join(f"n_{k} long" for k in KINDS))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, Slice, byte_codes, mix, powers, rows, text_slices
+from .kernel import U64, Slice, byte_codes, freed, mix, powers, rows, text_slices
 from .storage import materialize, release
 
 LENGTH = 50
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     spark = docs.sparkSession
     n_parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks, _ = materialize(body.mapInArrow(_blocks, BLOCK), "repeats-blocks", "none")
+    blocks, _ = materialize(body.mapInArrow(freed(_blocks), BLOCK), "repeats-blocks", "none")
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     reply = "block long, at binary, low binary, kind int"
     runs = "part long, block long, key binary, content binary, own binary, at binary"
-    settled, _ = materialize(blocks.mapInArrow(send_runs, runs).groupBy("part").applyInArrow(compare_runs, reply), "repeats-runs", "none")
+    settled, _ = materialize(blocks.mapInArrow(freed(send_runs), runs).groupBy("part").applyInArrow(compare_runs, reply), "repeats-runs", "none")
     release(spark)
 
     def to_compare(x: Runs, table: pa.Table) -> np.ndarray:
