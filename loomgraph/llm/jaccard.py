@@ -25,9 +25,10 @@ y's home is q, then d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r for
 x's nearest pivot p, and d(x, q) < 1; so each member is repeated in all regions
 with d(x, q) <= d(x, p) + 2r and d(x, q) < 1, and any two that link meet in the
 home of one of them, or in the rest.  Regions that are still large are divided
-again.  A region that keeps more than ``THICK`` of its cell's members, or is
-large after ``ROUNDS`` rounds, is joined in blocks: any two members meet in one
-of its pairs of blocks.
+again.  A cell whose regions, but for those that are all connected by then,
+hold its members more than ``REPEATS`` times, or that is large after ``ROUNDS``
+rounds, is joined in blocks: any two members meet in one of its pairs of
+blocks.
 
 Only connections count, so pairs known to be connected aren't compared.  Every
 link between two components is found; no region, partner or candidate is
@@ -43,6 +44,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,9 +59,9 @@ from .storage import discard, keep_batches_small, materialize, release
 WORDS = 5
 PERCENT = 75
 #: A cell of up to so many members and shingles is finished in one task.
-MEMBERS, SHINGLES = 4096, 1 << 20
+MEMBERS, SHINGLES = 4096, 1 << 22
 #: Pivots of a larger cell, about; results don't change with these four.
-PIVOTS, THICK, ROUNDS, SALTS = 16, 0.875, 8, 32
+PIVOTS, REPEATS, ROUNDS, SALTS = 16, 2, 8, 32
 #: Tokens of a part of the shingle space, about.
 PART_TOKENS = 1 << 20
 #: Common shingles kept in order; more of them only make regions larger, results don't change.
@@ -417,7 +419,7 @@ class Join:
         open_ = known.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(~inside, F.col("d"))).alias("edge")).where("r1 != r2 and edge is not null").select("region", "edge")
         # Outside the ball, and those of the ball that the boundary window's members may reach.
         reached = (F.col("edge") <= 2 * radius + slack) & (F.col("d") >= F.col("edge") - radius - slack)
-        cells, at_cells = materialize(self._salted(known, open_, "region").where(~inside | reached).select("p", "cls", "n").distinct(), "jaccard-cells")
+        cells, at_cells = materialize(self._salted(known, open_, "region").where(~inside | reached).select(F.col("p").alias("cell"), "p", "cls", "n").distinct(), "jaccard-cells")
         discard(self.spark, at_known)
         release(self.spark)
         roots = self._divided(cells, roots)
@@ -430,35 +432,39 @@ class Join:
         return rows.withColumn("__salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(few, [key, "__salt"]).drop("__salt")
 
     def _divided(self, cells: DataFrame, roots: DataFrame) -> DataFrame:
-        """The roots, once the members (p, cls, n) of each cell are joined, large cells by Voronoi regions."""
-        before = None
+        """The roots, once the members (cell, p, cls, n) of each cell p are joined, large cells by Voronoi regions; ``cell`` is what p is a region of."""
+        whole = None
         for turn in range(ROUNDS + 1):
-            with_root = cells.join(roots.withColumnRenamed("a", "cls"), "cls", "left").select("p", "cls", "n", *(["cell"] if turn else []), F.coalesce("root", "cls").alias("root"))
-            sizes = with_root.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("root").alias("r1"), F.max("root").alias("r2"), *([F.first("cell").alias("cell")] if turn else []))
-            sizes = sizes.where("r1 != r2").drop("r1", "r2")
-            # A region is thick if it has most of the cell that it was divided from.
-            sizes = sizes.join(before, "cell", "left").withColumn("thick", F.col("members") > THICK * F.col("whole")) if turn else sizes.withColumn("thick", F.lit(False))
-            sizes, at_sizes = materialize(sizes.select("p", "members", "shingles", "thick"), "jaccard-sizes")
+            rooted = cells.join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            sizes = rooted.groupBy("cell", "p").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+            sizes, at_sizes = materialize(sizes.where("r1 != r2").drop("r1", "r2"), "jaccard-sizes")
+            joined, at_whole = [], []
+            if whole is not None:
+                # Cells whose open regions hold many members several times are joined whole.
+                many = sizes.groupBy("cell").agg(F.sum("members").alias("held")).join(whole.select("p", "members", "shingles").distinct().withColumnRenamed("p", "cell"), "cell").where(F.col("held") > REPEATS * F.col("members"))
+                many, path = materialize(many, "jaccard-whole")
+                at_whole.append(path)
+                again = many.select(F.col("cell").alias("p"), F.lit(1).alias("again"))
+                joined.append(self._blocks(self._salted(whole, again, "p"), roots))
+                sizes = sizes.join(many.select("cell"), "cell", "left_anti")
             small = (F.col("members") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
-            roots = self._within(self._salted(with_root, sizes.where(small).select("p"), "p").select("p", "cls", "n", "root"), roots)
-            large = sizes.where(~small)
-            if large.isEmpty():
-                discard(self.spark, at_sizes)
+            joined.append(self._salted(rooted, sizes.where(small).select("p"), "p").select("p", "cls", "n", "root"))
+            left = self._salted(cells.select("p", "cls", "n"), sizes.where(~small).drop("cell"), "p")
+            if turn == ROUNDS:
+                joined.append(self._blocks(left, roots))
+            roots = self._within(functools.reduce(DataFrame.unionByName, joined), roots)
+            left, at_left = materialize(left, "jaccard-left")
+            discard(self.spark, at_sizes, *at_whole)
+            if turn == ROUNDS or left.isEmpty():
                 return roots
-            last = F.lit(turn == ROUNDS) | F.col("thick")
-            left = self._salted(cells.select("p", "cls", "n"), large, "p")
-            roots = self._within(self._blocks(left.where(last), roots), roots)
-            homes, links = self._homes(left.where(~last), turn)
+            whole = left
+            cells, links = self._homes(left, turn)
             roots = connected(links.unionByName(roots.select("a", F.col("root").alias("b"))))
-            before = large.select(F.col("p").alias("cell"), F.col("members").alias("whole"))
-            cells, _ = materialize(homes, "jaccard-cells")
             release(self.spark)
-            if cells.isEmpty():
-                break
         return roots
 
     def _homes(self, left: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Members (p, cls, n, cell) of the Voronoi regions of cells (p, cls, n, members, shingles), and links to pivots."""
+        """Members (cell, p, cls, n) of the Voronoi regions of cells (p, cls, n, members, shingles), and links to pivots."""
         percent, radius, slack = self.percent, 1 - self.percent / 100, 1e-9
         deals = F.ceil(F.col("shingles") / SHINGLES).cast("int")
         dealt = left.select("p", "cls", "n", "members", deals.alias("deals"), F.pmod(F.xxhash64("cls", F.lit(1)), deals).cast("int").alias("deal"), F.pmod(F.xxhash64("p", "cls", F.lit(turn)), F.lit(1 << 30)).alias("h"))
@@ -493,7 +499,7 @@ class Join:
         found, _ = materialize(found, "jaccard-homes")
         discard(self.spark, at_dealt, at_sets)
         region = F.when(F.col("rest"), F.xxhash64("p", F.lit("rest"))).otherwise(F.xxhash64("p", "q"))
-        homes = found.select(region.alias("__p"), "cls", "n", F.col("p").alias("cell")).withColumnRenamed("__p", "p")
+        homes = found.select(F.col("p").alias("cell"), region.alias("p"), "cls", "n")
         return homes, found.where("link and cls != q").select(F.col("cls").alias("a"), F.col("q").alias("b"))
 
     def _within(self, cells: DataFrame, roots: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ def test_quotation_is_told_apart():
 
 def test_quotation_of_any_length():
     scanner = toxicity.Scanner({"scum": 1}, [])
-    far = "word " * 400
+    far = "blah " * 400
     texts = [f'"{far}" you scum and "bye"', f'"{far} scum {far}"', 'a " mark\nyou scum "', "„ihr scum“ und »scum« scum", None, ""]
     s = next(iter(toxicity.text_slices(pa.array(texts))))
     assert scanner.counts(s)[:, :2].tolist() == [[1, 0], [0, 1], [1, 0], [1, 2], [0, 0], [0, 0]]
@@ -321,12 +321,12 @@ def family(seed, n, length=60, edits=4):
     return out
 
 
-@pytest.mark.parametrize("members, shingles, thick", [(4096, 1 << 20, 0.875), (6, 1 << 20, 0.875), (4096, 400, 2)])
-def test_families(spark, monkeypatch, members, shingles, thick):
+@pytest.mark.parametrize("members, shingles, repeats", [(4096, 1 << 22, 2), (6, 1 << 22, 2), (4096, 400, 100)])
+def test_families(spark, monkeypatch, members, shingles, repeats):
     """Chains of near copies; with small cells, they are divided again and again, or joined in blocks."""
     monkeypatch.setattr(jaccard, "MEMBERS", members)
     monkeypatch.setattr(jaccard, "SHINGLES", shingles)
-    monkeypatch.setattr(jaccard, "THICK", thick)
+    monkeypatch.setattr(jaccard, "REPEATS", repeats)
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
     monkeypatch.setattr(jaccard, "ROUNDS", 2)
     texts = [t for s in range(4) for t in family(s, 25)] + family(9, 30, 80, 8)
@@ -335,11 +335,11 @@ def test_families(spark, monkeypatch, members, shingles, thick):
     assert counted(jaccard.components(df)) == plain_components(data)
 
 
-@pytest.mark.parametrize("thick", [0.875, 2])
-def test_short_hub_with_many_variants(spark, monkeypatch, thick):
+@pytest.mark.parametrize("repeats", [2, 100])
+def test_short_hub_with_many_variants(spark, monkeypatch, repeats):
     """Variants link to the hub only, in cells larger than is joined at once."""
     monkeypatch.setattr(jaccard, "MEMBERS", 6)
-    monkeypatch.setattr(jaccard, "THICK", thick)
+    monkeypatch.setattr(jaccard, "REPEATS", repeats)
     monkeypatch.setattr(jaccard, "ROUNDS", 1)
     hubs = ["a b c d e f g", "k l m n o p q r s"]
     texts = [h if i == 30 else " ".join(h.split()[: 7 + 2 * j] + [f"v{j}x{i}"] * (1 + j)) for j, h in enumerate(hubs) for i in range(60)]
