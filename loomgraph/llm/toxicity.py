@@ -44,6 +44,8 @@ MIN_SHARE, MIN_Z = 0.01, 4.0
 PREFIXES = range(4, 9)
 #: Opening and closing quotation marks, and words that report another's speech.
 QUOTES = ('"', "“", "”", "„", "«", "»")
+#: Marks outside ASCII that may stand at the ends of what counts as a word.
+EDGES = "“”„«»‘’‚…–—¿¡"
 _MARKS = re.compile("|".join([*QUOTES, "\n"]).encode())
 REPORTING = frozenset(b"said says wrote called quoted quote word term sagte schrieb dit dijo".split())
 CONTEXT_BYTES = 60
@@ -175,7 +177,7 @@ class Scanner:
                 lost, new = np.bitwise_count(U64(term) & ~bits[i]), np.bitwise_count(bits[i] & ~U64(term))
                 near[i[(lost <= k) & (new <= k + 1)]] = True
         for i in np.flatnonzero(maybe | near).tolist():
-            word = s.data[a[i] : b[i]].tobytes().decode("utf-8", "replace").lower()
+            word = s.data[a[i] : b[i]].tobytes().decode("utf-8", "replace").lower().strip(EDGES)
             stems = self.trie.exact(word) if maybe[i] else []
             kind[i] = min(self.stems[x] for x in stems) if stems else 3 if near[i] and self.terms.fuzzy(word) else 0
         return kind
@@ -209,16 +211,18 @@ class Scanner:
                 d = int(docs[i])
                 lo, text = int(s.offs[d]), s.data[s.offs[d] : s.offs[d + 1]].tobytes()
                 inside = quotations(text)
-            quoted = self._quoted(text, int(a[i]) - lo, inside)
+            quoted = self._quoted(text, int(a[i]) - lo, int(b[i]) - lo, inside)
             out[d, 2 * (int(each[i]) - 1) + quoted] += 1
         return out
 
     @staticmethod
-    def _quoted(text: bytes, at: int, inside: list[tuple[int, int]]) -> bool:
+    def _quoted(text: bytes, a: int, b: int, inside: list[tuple[int, int]]) -> bool:
+        """Whether the middle of the word a..b is in a quotation (its ends may be marks), or a reporting word stands before it."""
+        at = (a + b) // 2
         k = bisect.bisect(inside, (at + 1,)) - 1
         if k >= 0 and at < inside[k][1]:
             return True
-        return bool(REPORTING & set(text[max(0, at - CONTEXT_BYTES) : at].lower().split()[-3:]))
+        return bool(REPORTING & set(text[max(0, a - CONTEXT_BYTES) : a].lower().split()[-3:]))
 
 
 def quotations(text: bytes) -> list[tuple[int, int]]:
