@@ -128,6 +128,9 @@ class _Grown:
         self.n += len(more)
 
 
+_SLOT_BITS = 22
+
+
 class Encoder:
     """Ids of texts by a tokenizer file.
 
@@ -138,7 +141,7 @@ class Encoder:
     held in arrays of ``MAX_BYTES`` at most, besides one slice's parts.
     """
 
-    MAX_BYTES = 64 << 20
+    MAX_BYTES = 128 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,8 +162,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: Sorted hashes, and the number of the part of each.
-        self.keys, self.number = np.zeros(0, U64), np.zeros(0, np.int32)
+        #: The hash of each part; a part's number is in one of two slots that its hash names, unless others took both.
+        self.keys, self.slots = _Grown(U64), np.full(1 << _SLOT_BITS, -1, np.int32)
         self.raw, self.raw_end, self.ids, self.ids_end = _Grown(np.uint8), _Grown(np.int64), _Grown(np.uint32), _Grown(np.int64)
         self.raw_end.extend(np.zeros(1, np.int64))
         self.ids_end.extend(np.zeros(1, np.int64))
@@ -203,9 +206,30 @@ class Encoder:
         self.raw_end.extend(self.raw_end.view[-1] + np.cumsum(b - a))
         self.ids.extend(got)
         self.ids_end.extend(self.ids_end.view[-1] + np.cumsum(sizes))
-        at = np.searchsorted(self.keys, h)
-        self.keys = np.insert(self.keys, at, h)
-        self.number = np.insert(self.number, at, np.arange(n, n + len(h), dtype=np.int32))
+        self.keys.extend(h)
+        left = np.arange(n, n + len(h), dtype=np.int32)
+        for at in self._places(h):
+            own = at[left - n]
+            free = self.slots[own] < 0
+            self.slots[own[free]] = left[free]
+            left = left[self.slots[own] != left]
+
+    @staticmethod
+    def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> U64(64 - _SLOT_BITS)).astype(np.int64), (h & U64((1 << _SLOT_BITS) - 1)).astype(np.int64)
+
+    def _known(self, h: np.ndarray) -> np.ndarray:
+        """The number of the part of each hash, or -1."""
+        keys, out = self.keys.view, np.full(len(h), -1, np.int32)
+        if not len(keys):
+            return out
+        left = np.arange(len(h))
+        for at in self._places(h):
+            n = self.slots[at[left]]
+            found = (n >= 0) & (keys[n] == h[left])
+            out[left[found]] = n[found]
+            left = left[~found]
+        return out
 
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice's texts, and how many each text has."""
@@ -218,14 +242,12 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(s.n_docs, np.int64)
         b = np.append(a[1:], len(s.data))
         h = s.word_hashes(a, b, False)
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
-        old = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
-        new = np.flatnonzero(~old)
+        n = self._known(h)
+        new = np.flatnonzero(n < 0)
         if len(new):
-            self._learn(s, u[new], a[first[new]], b[first[new]])
-            at = np.searchsorted(self.keys, u)
-        n = self.number[at][back]
+            u, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            n[new] = len(self.keys) + back
+            self._learn(s, u, a[new[first]], b[new[first]])
         raw_end, ids_end = self.raw_end.view, self.ids_end.view
         long = raw_end[n + 1] - raw_end[n]
         # The parts found must spell the texts; where two parts have one hash, those are tokenised by themselves.
@@ -248,7 +270,7 @@ class Encoder:
 
     def bound(self) -> None:
         """Forget all parts once their arrays take more than ``MAX_BYTES``."""
-        if self.keys.nbytes + self.number.nbytes + sum(x.held.nbytes for x in (self.raw, self.raw_end, self.ids, self.ids_end)) > self.MAX_BYTES:
+        if self.slots.nbytes + sum(x.held.nbytes for x in (self.keys, self.raw, self.raw_end, self.ids, self.ids_end)) > self.MAX_BYTES:
             self._forget()
 
 
@@ -437,16 +459,17 @@ def one_document(rules: bytes, wide: bool, symbols: bytes, starts: bytes, i: int
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows doc_id, unnamed (the text, where doc_id is null), ids: little-endian uint32, the end id included."""
+    """Rows doc_id, unnamed (the text, where doc_id is null), ids: little-endian, the end id included, in two bytes each where the vocabulary allows it (see :func:`id_type`)."""
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        kind = id_type(enc.tokenizer, end_id)
         for batch in batches:
             own, column = rows(batch, ["doc_id", "text"])
             for s in text_slices(column):
                 got, n = enc.encode(s)
-                raw = np.insert(got, np.cumsum(n), end_id).astype("<u4")
+                raw = np.insert(got.astype(kind), np.cumsum(n), end_id)
                 mine = own.slice(s.lo, s.n_docs)
                 unnamed = pc.if_else(mine.is_null(), column.slice(s.lo, s.n_docs), None) if mine.null_count else pa.nulls(s.n_docs, pa.string())
                 yield pa.RecordBatch.from_arrays([mine, unnamed, _cells(raw, n + 1)], names=["doc_id", "unnamed", "ids"])
@@ -455,8 +478,12 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str =
     return body.mapInArrow(freed(encode), "doc_id long, unnamed string, ids binary")
 
 
+def id_type(tokenizer, end_id: int) -> str:
+    return "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def _cells(ids: np.ndarray, n: np.ndarray) -> pa.Array:
-    offs = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(ids.itemsize * n)]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
 
 
@@ -473,6 +500,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: i
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, held = TaskContext.get().partitionId(), 0, 0
+        kind = np.dtype(id_type(encoder(tokenizer).tokenizer, end_id))
         names: list[int | None] = []
         parts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -480,8 +508,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_tokens: i
             own, column = rows(batch, ["doc_id", "ids"])
             for s in text_slices(column):
                 names += own.slice(s.lo, s.n_docs).to_pylist()
-                parts.append(s.data.view("<u4").copy())
-                lengths.append(np.diff(s.offs) // 4)
+                parts.append(s.data.view(kind).astype("<u4"))
+                lengths.append(np.diff(s.offs) // kind.itemsize)
                 held += len(parts[-1])
                 if held >= block_tokens:
                     yield pack(shard, block, names, np.concatenate(parts), np.concatenate(lengths), least)
