@@ -400,7 +400,7 @@ class Join:
         radius, slack = 1 - self.percent / 100, 1e-12
         least = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("pivot")
         pivots = regions.groupBy("region").agg(least).select("region", "pivot.p", "pivot.pn")
-        stars = self._salted(regions, pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
+        stars = regions.join(pivots, "region").where("cls != p").withColumn("near", self._sizes_allow("n", "pn"))
         # The pivot is the side that may be salted.
         pairs = stars.where("near").select(F.col("p").alias("lo"), F.col("cls").alias("hi"), "n", "pn").distinct()
         bounded, at_bounded = materialize(self._bounded(pairs), "jaccard-bounded")
@@ -419,7 +419,7 @@ class Join:
         open_ = known.groupBy("region").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(~inside, F.col("d"))).alias("edge")).where("r1 != r2 and edge is not null").select("region", "edge")
         # Outside the ball, and those of the ball that the boundary window's members may reach.
         reached = (F.col("edge") <= 2 * radius + slack) & (F.col("d") >= F.col("edge") - radius - slack)
-        cells, at_cells = materialize(self._salted(known, open_, "region").where(~inside | reached).select(F.col("p").alias("cell"), "p", "cls", "n").distinct(), "jaccard-cells")
+        cells, at_cells = materialize(known.join(open_, "region").where(~inside | reached).select(F.col("p").alias("cell"), "p", "cls", "n").distinct(), "jaccard-cells")
         discard(self.spark, at_known)
         release(self.spark)
         roots = self._divided(cells, roots)
@@ -448,7 +448,7 @@ class Join:
                 joined.append(self._blocks(self._salted(whole, again, "p"), roots))
                 sizes = sizes.join(many.select("cell"), "cell", "left_anti")
             small = (F.col("members") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
-            joined.append(self._salted(rooted, sizes.where(small).select("p"), "p").select("p", "cls", "n", "root"))
+            joined.append(rooted.join(sizes.where(small).select("p"), "p").select("p", "cls", "n", "root"))
             left = self._salted(cells.select("p", "cls", "n"), sizes.where(~small).drop("cell"), "p")
             if turn == ROUNDS:
                 joined.append(self._blocks(left, roots))
