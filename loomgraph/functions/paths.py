@@ -11,8 +11,8 @@ from .ids import posix
 
 # Suffixes and path segments that decide a file's kind.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
-    ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx", ".mts": "typescript",
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript",
+    ".tsx": "tsx", ".java": "java", ".md": "markdown", ".markdown": "markdown",
 }
 DOC_SUFFIXES = (".md", ".markdown", ".rst", ".txt", ".adoc", ".html")
 SOURCE_SUFFIXES = (".py", ".java", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".kt", ".kts", ".cs", ".cpp", ".c", ".h", ".hpp", ".rb", ".php", ".scala")
@@ -23,7 +23,10 @@ NOISE_SEGMENTS = (
     "src", "main", "java", "kotlin", "scala", "resources", "test", "tests", "python", "__pycache__", "node_modules", "target",
     "build", "dist", "out", "bin", "lib", "libs", "vendor", "com", "org", "net", "io",
 )
-ENTRY_FILES = ("main.py", "app.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "server.py", "cli.py", "index.js", "index.ts", "main.js", "main.ts", "app.js", "app.ts", "server.js", "main.java")
+ENTRY_FILES = (
+    "main.py", "app.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "index.js", "index.ts", "index.tsx", "main.ts", "main.js",
+    "app.ts", "Application.java", "Main.java", "App.java", "Bootstrap.java",
+)
 
 
 def _suffix(path: Column, suffixes: tuple[str, ...]) -> Column:

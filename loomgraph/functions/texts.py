@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 LEXICAL = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\s]"
 DENSE = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
-STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "are", "how", "what", "does", "do", "this", "that", "for", "with", "on", "by", "from", "it", "be", "where", "which", "when", "why", "who")
+# Words that no question is about.
+STOP = ("the", "and", "for", "with", "from", "this", "that", "into", "main", "note", "list", "call", "find", "out", "key")
+WORD = r"[A-Za-z][A-Za-z0-9_]{2,}"
+QUERY_TOKEN = r"[A-Za-z0-9_./+-]+"
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -26,12 +29,16 @@ def n_tokens(text: Column) -> Column:
 
 
 def keywords(text: Column, most: int = 6) -> Column:
-    words = F.filter(dense_tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOP))
+    """The first distinct words of three characters or more that aren't stop words, as they are written."""
+    words = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: ~F.lower(w).isin(*STOP))
     return F.slice(F.array_distinct(words), 1, most)
 
 
 def short_query(text: Column, most: int = 8, chars: int = 64) -> Column:
-    return F.substring(F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, most), " "), 1, chars)
+    """The first tokens, without white space at the end where it is cut."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUERY_TOKEN), F.lit(0))
+    clipped = F.array_join(F.slice(tokens, 1, most), " ")
+    return F.when(F.length(clipped) > chars, F.rtrim(F.substring(clipped, 1, chars))).otherwise(clipped)
 
 
 def joined_query(parts: Column, chars: int = 220) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,17 +112,47 @@ def layer_edges(edges: DataFrame, nodes: DataFrame, layer) -> DataFrame:
     return both.agg(F.count(F.when(F.col("r2") > F.col("r1"), 1)).alias("downward"), F.count(F.when(F.col("r2") < F.col("r1"), 1)).alias("upward"))
 
 
-def pattern_scores(counts: DataFrame, layers: DataFrame, blob: Column | None = None) -> DataFrame:
-    """Rows pattern, score (up to 1), from one row of role counts and layer edges."""
-    n = counts.groupBy().pivot("role", ["controller", "service", "repository", "mq", "gateway", "cache"]).agg(F.first("n")).fillna(0)
-    row = n.crossJoin(layers)
-    has = lambda r: (F.col(r) > 0).cast("double")
-    down = F.col("downward") / F.greatest(F.col("downward") + F.col("upward"), F.lit(1))
-    layered = 0.25 * (has("controller") + has("service") + has("repository")) + 0.25 * F.when(F.col("downward") > 0, down).otherwise(0.0)
-    mvc = 0.45 * has("controller") + 0.25 * has("service") + 0.15 * has("repository")
-    hexagonal = 0.3 * has("repository") * has("service") + 0.2 * has("gateway")
-    event = F.least(0.45 * has("mq") + 0.05 * F.col("mq"), F.lit(0.9))
-    each = F.array(*[F.struct(F.lit(k).alias("pattern"), F.least(v, F.lit(1.0)).alias("score")) for k, v in (("layered", layered), ("mvc", mvc), ("hexagonal", hexagonal), ("event_driven", event))])
+# Path parts and names that patterns show themselves by.
+MODEL_PATHS = ("/model", "/models", "/entity", "/entities", "/dto")
+VIEW_PATHS = ("/view", "/views", "/templates", "/thymeleaf")
+DOMAIN_PATHS = ("/domain/", "/application/", "/usecase", "/port/", "/ports/")
+ADAPTER_PATHS = ("/adapter", "/adapters", "/infra/", "/infrastructure/", "/persistence/")
+MESSAGE_PATHS = ("/messaging", "/kafka", "/rabbit", "/events", "/consumer")
+MESSAGE_NAMES = ("listener", "consumer", "producer", "publisher", "onmessage")
+
+
+def pattern_signals(nodes: DataFrame) -> DataFrame:
+    """One row: nodes of each role, and whether paths and names have what patterns look for; one aggregate over all nodes."""
+    path = F.lower(F.coalesce("file_path", F.lit("")))
+    holds = lambda c, parts: functools.reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in parts])
+    symbol = F.col("kind") != "file"
+    flag = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0))
+    return nodes.agg(
+        *[F.count(F.when(symbol & (F.col("role") == r), 1)).alias(r) for r in ("controller", "service", "repository", "mq")],
+        *[flag(holds(path, v)).alias(k) for k, v in (("model", MODEL_PATHS), ("view", VIEW_PATHS), ("domainish", DOMAIN_PATHS), ("adapterish", ADAPTER_PATHS), ("messaging", MESSAGE_PATHS), ("domain", ("domain/",)), ("adapter", ("adapter",)))],
+        F.count(F.when(symbol & holds(F.lower("name"), MESSAGE_NAMES), 1)).alias("hints"),
+    )
+
+
+def pattern_scores(signals: DataFrame, layers: DataFrame, layer_modules: DataFrame, mq_infra: int = 0) -> DataFrame:
+    """Rows pattern, score (0 to 1), from one row each of signals, layer edges (downward, upward) and layer modules (n).
+
+    ``mq_infra`` counts message queues that the repository's profile names.
+    Message names add 0.05 each until the score is 0.9.
+    """
+    row = signals.crossJoin(layers).crossJoin(layer_modules.select(F.col("n").alias("layer_modules")))
+    has = lambda r: (F.col(r) > 0).cast("int")
+    trio = has("controller") * has("service") * has("repository")
+    calls = F.col("downward") + F.col("upward")
+    layered = 0.2 * (has("controller") + has("service") + has("repository")) + 0.15 * trio + F.when(calls > 0, 0.25 * F.col("downward") / F.greatest(calls, F.lit(1))).otherwise(0.0) - F.when(F.col("upward") > F.col("downward"), 0.1).otherwise(0.0) + F.when(F.col("layer_modules") >= 2, 0.1).otherwise(0.0)
+    mvc = 0.35 * has("controller") + 0.25 * has("repository") + 0.15 * F.col("model") + 0.15 * has("service") + 0.15 * F.col("view") - 0.1 * F.col("domain") * F.col("adapter")
+    hexagonal = 0.35 * F.col("domainish") + 0.35 * F.col("adapterish") + 0.2 * F.col("domainish") * F.col("adapterish") - 0.15 * has("controller") * has("service") * (1 - F.col("domainish"))
+    base = 0.4 * has("mq") + 0.25 * F.col("messaging") + 0.25 * mq_infra
+    # One name at least is added, even to a score of 0.9.
+    added = F.least(F.col("hints"), F.greatest(F.lit(1), F.ceil((0.9 - base) / 0.05 - 1e-9)))
+    event = base + 0.05 * added
+    clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    each = F.array(*[F.struct(F.lit(k).alias("pattern"), clip(v).cast("double").alias("score")) for k, v in (("layered", layered), ("mvc", mvc), ("hexagonal", hexagonal), ("event_driven", event))])
     return row.select(F.explode(each).alias("p")).select("p.pattern", "p.score")
 
 

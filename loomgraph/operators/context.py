@@ -29,7 +29,9 @@ def priorities(candidates: DataFrame, by: str = "query_id") -> DataFrame:
     entry = F.when(paths.is_entry(F.col("file_path")), 1.0).otherwise(0.0)
     t = tier(F.col("source"), F.col("reason"))
     w = WEIGHTS
-    total = w["entry"] * entry + w["graph"] * graph + w["relevance"] * min_max(F.col("relevance"), own) + w["tier"] * t
+    # What the graph brought in has no relevance of its own.
+    raw = F.when(F.col("source") == "graph_expand", 0.0).otherwise(F.col("relevance"))
+    total = w["entry"] * entry + w["graph"] * graph + w["relevance"] * min_max(raw, own) + w["tier"] * t
     return candidates.withColumn("tier", t).withColumn("priority", total)
 
 

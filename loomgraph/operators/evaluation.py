@@ -77,3 +77,23 @@ def edge_recall(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame
 
 def label_summary(labels: DataFrame, columns: list[str]) -> DataFrame:
     return labels.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+def containing(docs: DataFrame, questions: DataFrame, head: int = 5) -> DataFrame:
+    """Rows query_id, doc_id: documents whose text contains the question's.
+
+    Pairs are found by an equal join on the ``head`` words after the question's
+    first, which stand between spaces wherever the question does, and then
+    verified; questions of fewer words are searched for in every text.
+    """
+    words = F.split("text", " ")
+    asked = questions.select("query_id", F.col("text").alias("asked"), words.alias("w"))
+    long = F.size("w") >= head + 2
+    keyed = asked.where(long).select("query_id", "asked", F.xxhash64(F.slice("w", 2, head)).alias("key"))
+    at = F.sequence(F.lit(1), F.size("w") - head + 1)
+    windows = docs.select("doc_id", "text", words.alias("w")).where(F.size("w") >= head)
+    found = windows.select("doc_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, head))))).alias("key"))
+    one = found.join(F.broadcast(keyed), "key").where(F.contains("text", F.col("asked"))).select("query_id", "doc_id").distinct()
+    short = asked.where(~long)
+    two = docs.select("doc_id", "text").join(F.broadcast(short), F.contains(F.col("text"), F.col("asked"))).select("query_id", "doc_id").distinct()
+    return one.unionByName(two)

@@ -17,7 +17,11 @@ from ..sources.tables import written
 
 KINDS = ("file", "class", "function", "method")
 TYPES = ("import", "call", "inherit")
-NOISE = ("get", "set", "str", "repr", "len", "print", "log", "info", "debug", "warn", "error", "format", "append", "add", "join", "map", "filter")
+# Callees that no flow follows.
+NOISE = (
+    "tostring", "hashcode", "equals", "getclass", "clone", "finalize", "notify", "notifyall", "wait", "logger", "log", "debug", "info",
+    "warn", "error", "print", "println",
+)
 
 
 def related(edges: DataFrame, seeds: DataFrame, kind: str, way: str) -> DataFrame:

@@ -11,25 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, paths, texts
+from ..sources.tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def bm25_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (doc_id, term, tf, dl), terms (term, df, idf) and one row of totals (n_docs, avgdl)."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), texts.lexical_tokens(F.col(text)).alias("t"))
+    """Tokens (doc_id, t), written once; terms (term, df, idf) and one row of totals (n_docs, avgdl)."""
+    tokens = written(docs.select(F.col(doc_id).alias("doc_id"), texts.lexical_tokens(F.col(text)).alias("t")), "tokens")
     totals = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
-    postings = tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = written(raw, "terms")
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, totals
+    return tokens, terms, totals
 
 
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """Rows query_id, doc_id, score over 0, for each query of a set; a term counts as often as the query has it."""
-    postings, terms, totals = index
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(texts.lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    """Rows query_id, doc_id, score over 0, for each query of a stated set; a term counts as often as the query has it.
+
+    Only tokens that a query has leave their row, so the shuffle holds the
+    queries' postings and not the corpus.
+    """
+    tokens, terms, totals = index
+    asked = stated(queries).select(F.col(query_id).alias("query_id"), F.explode(texts.lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    wanted = asked.select("term").distinct()
+    postings = tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     weighted = asked.join(terms, "term")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, texts, topics
-from ..operators import architecture, changes, context, evaluation, graph, retrieval
+from ..operators import architecture, changes, context, evaluation, flow, graph, retrieval
 from ..sources.tables import table
 from ..streaming import watch
 
@@ -52,15 +52,15 @@ _REF = "concat('app/m', {x} % 9, '/f', {x} % 40, '.py::S', {x} % 60, '.go', {x})
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    """Call edges between 120 symbols in 40 files and 9 modules."""
-    x = table(spark, d, "lineitem").where("l_quantity >= 49 and l_linenumber = 1").select((F.col("l_partkey") % 120).alias("a"), (F.col("l_orderkey") % 120).alias("b")).distinct()
+    """A call edge from the part of each line item to its order's number; symbols are in 360 files of 9 modules."""
+    x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_orderkey").alias("b")).distinct()
     return x.select(
         F.expr(_REF.format(x="a")).alias("source"), F.expr(_REF.format(x="b")).alias("target"), F.lit("call").alias("edge_type"),
-        (F.lit(0.5) + (F.col("a") + F.col("b")) % 6 * 0.1).alias("confidence"), F.lit(None).cast("string").alias("relation"), (F.col("a") * 1000 + F.col("b")).alias("ordinal"),
+        (F.lit(0.5) + (F.col("a") + F.col("b")) % 6 * 0.1).alias("confidence"), F.lit(None).cast("string").alias("relation"), (F.col("a") * 100000000 + F.col("b")).alias("ordinal"),
     )
 
 
-_CALLS = f"(SELECT {_REF.format(x='a')} AS source, {_REF.format(x='b')} AS target, 'call' AS edge_type, 0.5 + (a + b) % 6 * 0.1 AS confidence, NULL AS relation, a * 1000 + b AS ordinal FROM (SELECT DISTINCT l_partkey % 120 AS a, l_orderkey % 120 AS b FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1))"
+_CALLS = f"(SELECT {_REF.format(x='a')} AS source, {_REF.format(x='b')} AS target, 'call' AS edge_type, 0.5 + (a + b) % 6 * 0.1 AS confidence, NULL AS relation, a * 100000000 + b AS ordinal FROM (SELECT DISTINCT l_partkey AS a, l_orderkey AS b FROM lineitem))"
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -73,11 +73,11 @@ _FILE_OF = "split_part({}, '::', 1)"
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols whose number is divisible by 30."""
-    return symbols(spark, d).where(F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 30 == 0).select(F.col("ref").alias("seed"))
+    """The query set: symbols whose number is divisible by 100."""
+    return symbols(spark, d).where(F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 100 == 0).select(F.col("ref").alias("seed"))
 
 
-_SEEDS = f"(SELECT ref AS seed FROM {_SYMBOLS} WHERE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 30 = 0)"
+_SEEDS = f"(SELECT ref AS seed FROM {_SYMBOLS} WHERE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 100 = 0)"
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def symbol_parts(spark, d):
 _DOC = "file_path LIKE 'docs/%' OR file_path LIKE '%/docs/%' OR file_path LIKE '%.md'"
 
 
-@query(f"""SELECT doc_id, CASE WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.java' THEN 'java' WHEN file_path LIKE '%.ts' THEN 'typescript' END AS language,
+@query(f"""SELECT doc_id, CASE WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.java' THEN 'java' WHEN file_path LIKE '%.ts' THEN 'typescript' ELSE 'markdown' END AS language,
 round(CAST(CASE WHEN {_DOC} THEN 0.35 ELSE 1.15 * 1.1 * CASE WHEN file_path LIKE '%/test/%' THEN 0.9 ELSE 1 END END AS DOUBLE), 6) AS quality FROM {_FILES}""")
 def source_quality(spark, d):
     p = F.col("file_path")
@@ -143,9 +143,8 @@ def token_counts(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in texts.STOP)
 
 
-@query(f"""SELECT item_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS keywords FROM (
-SELECT item_id, w, p, row_number() OVER (PARTITION BY item_id ORDER BY p) AS n FROM (
-SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '{_DENSE}') AS ws FROM benchmark)) WHERE length(w) > 2 AND w NOT IN ({_STOP}) GROUP BY item_id, w)) WHERE n <= 6 GROUP BY item_id""")
+@query(f"""SELECT item_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {{'p': list_position(ws, w), 'w': w}}))[1:6], lambda x: x.w), ' '), '') AS keywords
+FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{2,}}'), lambda w: lower(w) NOT IN ({_STOP})) AS ws FROM benchmark)""")
 def question_keywords(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(texts.keywords(F.col("text")), " ").alias("keywords"))
 
@@ -251,22 +250,18 @@ SELECT b.item_id AS query_id, round(coalesce(found / wanted, 0), 6) AS recall, r
 FROM benchmark b LEFT JOIN hit h ON h.query_id = b.item_id LEFT JOIN g ON g.query_id = b.item_id LEFT JOIN s ON s.query_id = b.item_id""")
 def retrieval_metrics(spark, d):
     docs, q = table(spark, d, "documents"), questions(spark, d)
-    gold = docs.alias("d").join(F.broadcast(retrieval.stated(q).alias("q")), F.contains(F.col("d.text"), F.col("q.text"))).select("query_id", "doc_id")
+    gold = evaluation.containing(docs, retrieval.stated(q)).select("query_id", "doc_id")
     m = evaluation.at_k(retrieval.top_k(_bm25(spark, d), 5), gold, q)
     return m.select("query_id", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "mrr")])
 
 
-@query(f"""WITH f AS {_FILES}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, ({_DOC}) AS doc FROM f)
-SELECT doc_id, source FROM n ORDER BY CASE WHEN k = 1 AND NOT doc THEN 0 WHEN k = 1 THEN 1 ELSE 2 END, doc_id LIMIT 30""")
+@query(f"""WITH f AS (SELECT doc_id, lang, 'lib/' || source || CASE WHEN source IN ('src0', 'src1') THEN '.md' ELSE '.py' END AS file_path FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY doc_id) AS k FROM f)
+SELECT doc_id, file_path FROM n ORDER BY CASE WHEN k > 1 THEN 2 WHEN file_path LIKE '%.py' THEN 0 ELSE 1 END, doc_id LIMIT 30""")
 def diverse_sample(spark, d):
-    p = F.col("path0")
-    x = files(spark, d).select("doc_id", "source", F.col("file_path").alias("path0"))
-    x = x.select("doc_id", "source", F.concat(F.col("source"), F.when(paths.is_doc(p), ".md").otherwise(".py")).alias("__p"), F.col("doc_id").alias("ordinal"), paths.language(p).alias("language"))
-    # One "file" a source: its first document decides what kind it is.
-    x = x.select("doc_id", "ordinal", "language", "source", F.col("source").alias("file_path"), "__p")
-    first = F.row_number().over(retrieval.Window.partitionBy("source").orderBy("ordinal"))
-    turn = F.when((first == 1) & ~paths.is_doc(F.col("__p")), 0).when(first == 1, 1).otherwise(2)
-    return x.withColumn("pass", turn).orderBy("pass", "ordinal").limit(30).select("doc_id", "source")
+    p = F.concat(F.lit("lib/"), "source", F.when(F.col("source").isin("src0", "src1"), ".md").otherwise(".py"))
+    chunks = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ordinal"), p.alias("file_path")).withColumn("language", paths.language(F.col("file_path")))
+    return retrieval.diverse(chunks, 30).select("doc_id", "file_path")
 
 
 @query(f"""WITH e AS {_CALLS}, s AS {_SEEDS}, hits AS (SELECT 1 AS query_id, 'c' || seed AS chunk_id, seed AS ref, row_number() OVER (ORDER BY seed) AS rank FROM s),
@@ -329,15 +324,15 @@ def call_chains(spark, d):
     return graph.call_chain(calls(spark, d), seeds(spark, d)).select("seed", F.array_join("path", " > ").alias("path"))
 
 
-_PAIRS = f"(SELECT DISTINCT split_part(source, '/', 2) AS source, split_part(target, '/', 2) AS target FROM {_CALLS} WHERE confidence >= 0.99)"
+_PAIRS = f"(SELECT DISTINCT split_part(source, '/', 2) AS source, split_part(target, '/', 2) AS target FROM {_CALLS})"
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT * FROM {_PAIRS} WHERE source != target), p AS (SELECT source AS a, target AS b, [source, target] AS path FROM e WHERE target > source
-UNION ALL SELECT a, e.target, list_append(path, e.target) FROM p JOIN e ON e.source = p.b WHERE e.target > a AND NOT list_contains(path, e.target) AND len(path) < 4)
+UNION ALL SELECT a, e.target, list_append(path, e.target) FROM p JOIN e ON e.source = p.b WHERE e.target > a AND NOT list_contains(path, e.target) AND len(path) < 6)
 SELECT array_to_string(path, ' > ') AS cycle, CAST(len(path) AS INT) AS length FROM p JOIN e ON e.source = p.b AND e.target = p.a""")
 def module_cycles(spark, d):
-    pairs = calls(spark, d).where("confidence >= 0.99").select(F.split("source", "/")[1].alias("source"), F.split("target", "/")[1].alias("target"))
-    return graph.cycles(pairs, longest=4).select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))
+    pairs = calls(spark, d).select(F.split("source", "/")[1].alias("source"), F.split("target", "/")[1].alias("target"))
+    return graph.cycles(pairs).select(F.array_join("path", " > ").alias("cycle"), F.size("path").alias("length"))
 
 
 @query(f"""SELECT name, ref FROM (SELECT ref, unnest([ref, split_part(ref, '::', 2), regexp_extract(ref, '\\.([^.]*)$', 1)]) AS name FROM {_SYMBOLS}) WHERE name IN (SELECT 'go' || s_suppkey FROM supplier)""")
@@ -436,6 +431,17 @@ def architecture_totals(spark, d):
     return architecture.totals(*_modules(spark, d)).withColumn("density", r6(F.col("density")))
 
 
+_FILE_ROLE = "CASE doc_id % 7 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 4 THEN 'controller' WHEN 5 THEN 'mq' ELSE 'unknown' END"
+_KIND4 = "CASE CAST(regexp_extract({x}, 'go(\\d+)$', 1) AS INT) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END"
+_LAYERS = f"(SELECT count(*) FILTER (b > a) AS downward, count(*) FILTER (b < a) AS upward FROM (SELECT {_KIND4.format(x='source')} AS a, {_KIND4.format(x='target')} AS b FROM {_CALLS}))"
+
+
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    n = F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 4
+    role = F.when(n == 0, "controller").when(n == 1, "service").when(n == 2, "repository").otherwise("unknown")
+    return architecture.layer_edges(calls(spark, d), symbols(spark, d).select(F.col("ref").alias("qualified_name"), role.alias("role")), roles.layer)
+
+
 def _file_nodes(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("file_path")
     n = files(spark, d).select(ids.symbol_node(F.concat(p, F.lit("::X"))).alias("id"), F.lit("class").alias("kind"), F.lit("X").alias("name"), F.concat(p, F.lit("::X")).alias("qualified_name"), "file_path", paths.language(p).alias("language"), F.lit(None).cast("string").alias("parent_id"))
@@ -455,16 +461,30 @@ def role_counts(spark, d):
     return architecture.role_counts(_file_nodes(spark, d))
 
 
-@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'java' ELSE 'typescript' END AS language, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr') GROUP BY 1")
+@query("SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'java' WHEN 'fr' THEN 'typescript' ELSE 'markdown' END AS language, count(*) AS n FROM documents GROUP BY 1")
 def language_counts(spark, d):
     return architecture.language_counts(files(spark, d).withColumn("language", paths.language(F.col("file_path"))))
 
 
-@query()
+_BLOB = f"(SELECT lower(file_path) AS p, {_FILE_ROLE} AS role FROM {_FILES})"
+
+
+@query(f"""WITH n AS {_BLOB}, e AS {_LAYERS}, g AS (SELECT count(*) FILTER (role = 'controller') AS c, count(*) FILTER (role = 'service') AS s, count(*) FILTER (role = 'repository') AS r, count(*) FILTER (role = 'mq') AS m,
+CAST(bool_or(regexp_matches(p, '/(model|entity|entities|dto)')) AS INT) AS model, CAST(bool_or(regexp_matches(p, '/(view|templates|thymeleaf)')) AS INT) AS view,
+CAST(bool_or(regexp_matches(p, '/domain/|/application/|/usecase|/ports?/')) AS INT) AS dom, CAST(bool_or(regexp_matches(p, '/adapter|/infra/|/infrastructure/|/persistence/')) AS INT) AS ada,
+CAST(bool_or(contains(p, 'domain/')) AND bool_or(contains(p, 'adapter')) AS INT) AS hex, CAST(bool_or(regexp_matches(p, '/(messaging|kafka|rabbit|events|consumer)')) AS INT) AS msg FROM n),
+x AS (SELECT *, CAST(c > 0 AS INT) AS hc, CAST(s > 0 AS INT) AS hs, CAST(r > 0 AS INT) AS hr, CAST(m > 0 AS INT) AS hm FROM g, e),
+sc AS (SELECT 'layered' AS pattern, 0.2 * (hc + hs + hr) + 0.15 * hc * hs * hr + CASE WHEN downward + upward > 0 THEN 0.25 * downward / (downward + upward) ELSE 0 END - CASE WHEN upward > downward THEN 0.1 ELSE 0 END + 0.1 AS score FROM x
+UNION ALL SELECT 'mvc', 0.35 * hc + 0.25 * hr + 0.15 * model + 0.15 * hs + 0.15 * view - 0.1 * hex FROM x
+UNION ALL SELECT 'hexagonal', 0.35 * dom + 0.35 * ada + 0.2 * dom * ada - 0.15 * hc * hs * (1 - dom) FROM x
+UNION ALL SELECT 'event_driven', 0.4 * hm + 0.25 * msg FROM x),
+k AS (SELECT pattern, round(CAST(least(greatest(score, 0), 1) AS DOUBLE), 6) AS score FROM sc)
+SELECT pattern, score, CAST(row_number() OVER (ORDER BY score DESC, pattern) AS INT) AS rank, row_number() OVER (ORDER BY score DESC, pattern) = 1 AND score >= 0.45 AS "primary" FROM k""")
 def pattern_ranking(spark, d):
     n = _file_nodes(spark, d)
-    layers = architecture.layer_edges(calls(spark, d), roles.with_roles(_nodes(spark, d)), roles.layer)
-    return architecture.ranked_patterns(architecture.pattern_scores(architecture.role_counts(n), layers)).withColumn("score", r6(F.col("score")))
+    modules = architecture.modules(n).where("module_type = 'layer'").agg(F.count("*").alias("n"))
+    scores = architecture.pattern_scores(architecture.pattern_signals(n), _layers(spark, d), modules)
+    return architecture.ranked_patterns(scores.withColumn("score", r6(F.col("score"))))
 
 
 # --- changes, context, review, evaluation, streaming ----------------------------
@@ -495,8 +515,8 @@ def recent_runs(spark, d):
 
 
 _PRIO = f"""WITH {_BM25}, f AS {_FILES}, c AS (SELECT query_id, doc_id AS chunk_id, file_path, doc_id % 5 AS fr, doc_id % 3 AS sr, score AS relevance, CAST((length(text) + 3) // 4 AS BIGINT) AS tokens, rank FROM bmr JOIN f USING (doc_id) WHERE rank <= 12),
-n AS (SELECT *, min(fr) OVER w AS f0, max(fr) OVER w AS f1, min(sr) OVER w AS s0, max(sr) OVER w AS s1, min(relevance) OVER w AS r0, max(relevance) OVER w AS r1 FROM c WINDOW w AS (PARTITION BY query_id)),
-p AS (SELECT query_id, chunk_id, tokens, CASE WHEN rank > 9 THEN 0.35 ELSE 1.0 END AS tier, round(0.3 * (0.5 * CASE WHEN f1 > f0 THEN (fr - f0) / (f1 - f0) ELSE 0 END + 0.5 * CASE WHEN s1 > s0 THEN (sr - s0) / (s1 - s0) ELSE 0 END) + 0.4 * CASE WHEN r1 - r0 >= 1e-12 THEN (CASE WHEN rank > 9 THEN relevance ELSE relevance END - r0) / (r1 - r0) ELSE 0 END + 0.1 * CASE WHEN rank > 9 THEN 0.35 ELSE 1.0 END, 6) AS priority FROM n)"""
+n AS (SELECT *, min(fr) OVER w AS f0, max(fr) OVER w AS f1, min(sr) OVER w AS s0, max(sr) OVER w AS s1, min(own) OVER w AS r0, max(own) OVER w AS r1 FROM (SELECT *, CASE WHEN rank > 9 THEN 0 ELSE relevance END AS own FROM c) WINDOW w AS (PARTITION BY query_id)),
+p AS (SELECT query_id, chunk_id, tokens, CASE WHEN rank > 9 THEN 0.35 ELSE 1.0 END AS tier, round(0.3 * (0.5 * CASE WHEN f1 > f0 THEN (fr - f0) / (f1 - f0) ELSE 0 END + 0.5 * CASE WHEN s1 > s0 THEN (sr - s0) / (s1 - s0) ELSE 0 END) + 0.4 * CASE WHEN r1 - r0 >= 1e-12 THEN (own - r0) / (r1 - r0) ELSE 0 END + 0.1 * CASE WHEN rank > 9 THEN 0.35 ELSE 1.0 END, 6) AS priority FROM n)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -526,17 +546,17 @@ def history_within_budget(spark, d):
     return context.prefix_within(table(spark, d, "conversations"), 300, "conv_id", "turn", "text").select("conv_id", "turn")
 
 
-@query(f"""WITH f AS {_FILES}, x AS (SELECT doc_id, file_path || ':1-9' AS c, doc_id % 6 AS k FROM f WHERE doc_id % 2 = 0)
+@query(f"""WITH f AS {_FILES}, x AS (SELECT doc_id, file_path || ':1-9' AS c, doc_id % 6 AS k FROM f)
 SELECT type, finding_id, citation, severity FROM (
 SELECT 'missing_citation' AS type, doc_id AS finding_id, CAST(NULL AS VARCHAR) AS citation, 'high' AS severity FROM x WHERE k = 0
 UNION ALL SELECT 'malformed_citation', doc_id, 'nowhere', 'high' FROM x WHERE k = 2
-UNION ALL SELECT 'citation_not_in_retrieve', doc_id, c, 'high' FROM x WHERE k = 4 AND doc_id % 5 = 0
-UNION ALL SELECT 'expanded_citation', doc_id, c, 'low' FROM x WHERE k = 4 AND doc_id % 5 = 1)""")
+UNION ALL SELECT 'citation_not_in_retrieve', doc_id, c, 'high' FROM x WHERE k NOT IN (0, 2) AND doc_id % 5 = 0
+UNION ALL SELECT 'expanded_citation', doc_id, c, 'low' FROM x WHERE k NOT IN (0, 2) AND doc_id % 5 = 1)""")
 def review_issues(spark, d):
     f = files(spark, d).withColumn("c", ids.citation(F.col("file_path"), F.lit(1), F.lit(9)))
     i = F.col("doc_id")
     cites = F.when(i % 6 == 0, F.array().cast("array<string>")).when(i % 6 == 2, F.array(F.lit("nowhere"))).otherwise(F.array("c"))
-    findings = f.where(i % 2 == 0).select(i.alias("finding_id"), F.lit("all about the plan").alias("claim"), cites.alias("citations"), F.array().cast("array<string>").alias("symbols"), F.lit(1).alias("step"))
+    findings = f.select(i.alias("finding_id"), F.lit("all about the plan").alias("claim"), cites.alias("citations"), F.array().cast("array<string>").alias("symbols"), F.lit(1).alias("step"))
     allowed = f.where(i % 5 != 0).select(F.col("c").alias("citation"), F.col("text").alias("content"), (i % 5 == 1).alias("expanded"))
     plan = spark.createDataFrame([(1, "what is planned")], "step int, question string")
     return context.review(findings, allowed, plan)
@@ -576,7 +596,7 @@ def debounced_changes(spark, d):
 @query(f"SELECT source, target, ordinal FROM {_CALLS}")
 def deduplicated_edges(spark, d):
     e = calls(spark, d)
-    later = e.withColumn("ordinal", F.col("ordinal") + 1_000_000)
+    later = e.withColumn("ordinal", F.col("ordinal") + 10**15)
     return graph.deduplicated(later.unionByName(e)).select("source", "target", "ordinal")
 
 
@@ -594,23 +614,24 @@ def page_links(spark, d):
     return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_targets"))
 
 
-@query(r"SELECT item_id, array_to_string(string_split_regex(trim(text), '\s+')[1:8], ' ')[1:64] AS short FROM benchmark")
+@query(r"SELECT item_id, CASE WHEN length(q) > 64 THEN rtrim(q[1:64]) ELSE q END AS short FROM (SELECT item_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9_./+-]+')[1:8], ' ') AS q FROM benchmark)")
 def short_queries(spark, d):
     return table(spark, d, "benchmark").select("item_id", texts.short_query(F.col("text")).alias("short"))
 
 
+_TOPIC_WORDS = "|".join(dict.fromkeys(w for words in topics.TOPICS.values() for w in words))
 _INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p.pattern}') THEN '{n}'" for n, p in topics.INTENTS) + " ELSE 'summary' END"
 
 
-@query(f"SELECT conv_id, turn, {_INTENT_SQL} AS intent, regexp_matches(text, '{topics.FLOW.pattern}') AS is_flow FROM conversations")
+@query(f"SELECT conv_id, turn, {_INTENT_SQL} AS intent, regexp_matches(text, '{topics.FLOW.pattern}') OR (regexp_matches(text, '{topics.ASKED.pattern}') AND regexp_matches(lower(text), '{_TOPIC_WORDS}')) AS is_flow FROM conversations")
 def question_kinds(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", topics.intent_of(F.col("text")).alias("intent"), topics.flow_of(F.col("text")).alias("is_flow"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT 2 * vec_id FROM embeddings) UNION ALL SELECT 2 * vec_id, label + 100 FROM embeddings")
 def upserted_vectors(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
-    return retrieval.upserted(v.where("vec_id % 2 = 0"), v.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+    return retrieval.upserted(v, v.select((2 * F.col("vec_id")).alias("vec_id"), (F.col("label") + 100).alias("label")), "vec_id")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS run_id, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN 'again' ELSE event_type END AS status FROM events")
@@ -625,13 +646,13 @@ def row_hashes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ids.row_hash(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("row_hash"))
 
 
-@query(f"""SELECT file_path, doc_id % 4 != 1 AS structural FROM {_FILES} WHERE doc_id % 2 = 1""")
+@query(f"""SELECT file_path, doc_id % 4 != 1 AS structural FROM {_FILES}""")
 def structural_changes(spark, d):
     f = files(spark, d)
     i = F.col("doc_id")
     old = f.where(i % 8 != 7).select("file_path", i.cast("string").alias("structure_hash"))
     new = f.select("file_path", F.when(i % 4 == 1, i.cast("string")).otherwise("new").alias("structure_hash"))
-    return changes.structural(f.where(i % 2 == 1).select("file_path"), old, new)
+    return changes.structural(f.select("file_path"), old, new)
 
 
 _RANKED = f"(SELECT ref, CASE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS k FROM {_SYMBOLS})"
@@ -639,12 +660,143 @@ _RANKED = f"(SELECT ref, CASE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) %
 
 @query(f"SELECT count(*) FILTER (b.k > a.k) AS downward, count(*) FILTER (b.k < a.k) AS upward FROM {_CALLS} JOIN {_RANKED} a ON a.ref = source JOIN {_RANKED} b ON b.ref = target")
 def layer_edge_counts(spark, d):
-    n = F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 4
-    role = F.when(n == 0, "controller").when(n == 1, "service").when(n == 2, "repository").otherwise("unknown")
-    return architecture.layer_edges(calls(spark, d), symbols(spark, d).select(F.col("ref").alias("qualified_name"), role.alias("role")), roles.layer)
+    return _layers(spark, d)
 
 
 @query(f"""SELECT ref FROM {_SYMBOLS} WHERE CAST(regexp_extract(ref, 'go(\\d+)$', 1) AS INT) % 3 = 0""")
 def orphan_refs(spark, d):
     known = symbols(spark, d).where(F.regexp_extract("ref", r"go(\d+)$", 1).try_cast("int") % 3 > 0)
     return graph.orphans(known.select(F.col("ref").alias("qualified_name")), calls(spark, d))
+
+
+# --- flow: lookups, entries, steps ------------------------------------------------
+
+
+def _flow_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return roles.with_roles(_nodes(spark, d))
+
+
+_NUM = "CAST(regexp_extract({x}, 'go(\\d+)$', 1) AS BIGINT)"
+
+
+@query(f"SELECT DISTINCT 'file:' || split_part(ref, '::', 1) AS id, 'file' AS kind FROM {_SYMBOLS}")
+def nodes_by_kind(spark, d):
+    return flow.of_kind(_nodes(spark, d), "file").select("id", "kind")
+
+
+@query(f"SELECT 'sym:{_NODE}' AS id, '{_NODE}' AS qualified_name FROM {_SYMBOLS} WHERE ref = '{_NODE}'")
+def node_lookup(spark, d):
+    return flow.node(_nodes(spark, d), f"sym:{_NODE}").select("id", "qualified_name")
+
+
+@query(f"""SELECT parent, id, CAST(row_number() OVER (PARTITION BY parent ORDER BY id) AS INT) AS place FROM (
+SELECT 'sym:' || split_part(ref, '.go', 1) AS parent, 'sym:' || ref AS id FROM {_SYMBOLS} WHERE {_NUM.format(x='ref')} % 3 > 0)""")
+def child_nodes(spark, d):
+    nodes = _nodes(spark, d)
+    return flow.children(nodes, nodes.select(F.col("parent_id").alias("id")).where("id is not null").distinct())
+
+
+@query(f"SELECT seed AS qualified_name, 'sym:' || seed AS id FROM {_SEEDS}")
+def qualified_lookup(spark, d):
+    return flow.named(_nodes(spark, d), seeds(spark, d).select(F.col("seed").alias("qualified_name")))
+
+
+@query("""SELECT p_partkey, p_partkey % 3 = 0 AS constructor FROM part""")
+def constructors(spark, d):
+    k = F.col("p_partkey")
+    cls = F.concat(F.lit("C"), k)
+    name = F.when(k % 3 == 0, cls).otherwise(F.concat(F.lit("m"), k))
+    return table(spark, d, "part").select("p_partkey", flow.is_constructor(F.lit("method"), name, F.concat(F.lit("a.java::"), cls, F.lit("."), name), F.when(k % 2 == 0, F.concat(F.lit("sym:a.java::"), cls))).alias("constructor"))
+
+
+_TERMS = ["go30", "task", "m4/f1", "go", "s7"]
+
+
+def _like(x: str, t: str) -> str:
+    return f"contains(lower({x}), '{t}')"
+
+
+_NS = "greatest(" + ", ".join(f"CASE WHEN NOT contains(blob, '{t}') THEN 0 WHEN name = '{t}' THEN 1.0 WHEN contains(name, '{t}') THEN {min(0.85, 0.65 if t == 'task' else 1)} ELSE {min(0.55, 0.65 if t == 'task' else 1)} END" for t in _TERMS) + ")"
+_NH = "(" + " + ".join(f"CAST(contains(blob, '{t}') AS INT)" for t in _TERMS) + ")"
+_PS = "greatest(0, " + ", ".join(f"CASE WHEN contains(path, '{t}') THEN {0.45 if t == 'task' else 0.75} ELSE 0 END" for t in _TERMS) + ")"
+_ENTRY = rf"""(SELECT ref, blob, name, fan, least(1.0, ns + 0.1 * greatest(nh - 1, 0)) * CAST(nh > 0 AS INT) AS ns, ps, least(1.0, 0.4 + CASE WHEN fan = 0 THEN 0.3 WHEN fan = 1 THEN 0.15 ELSE 0 END) AS le FROM (
+SELECT *, {_NS} AS ns, {_NH} AS nh, {_PS} AS ps FROM (SELECT ref, lower(regexp_extract(ref, '\.([^.]*)$', 1)) AS name, lower(regexp_extract(ref, '\.([^.]*)$', 1)) || ' ' || lower(ref) AS blob, lower(split_part(ref, '::', 1)) AS path, coalesce(fan, 0) AS fan
+FROM {_SYMBOLS} LEFT JOIN (SELECT target, count(*) AS fan FROM {_CALLS} GROUP BY target) ON target = ref)))"""
+
+
+@query(f"SELECT 'sym:' || ref AS id, round(CAST(0.35 * ns + 0.25 * ps + 0.2 * 0.25 + 0.05 * le AS DOUBLE), 6) AS score FROM {_ENTRY} WHERE greatest(ns, CASE WHEN ps > 0 THEN 0.9 ELSE 0 END) >= 0.35")
+def entry_scores(spark, d):
+    return flow.scored_entries(_flow_nodes(spark, d), calls(spark, d), _TERMS).select("id", r6(F.col("score")).alias("score"))
+
+
+@query(f"""WITH r AS (SELECT ref, round(CAST(0.35 * ns + 0.25 * ps + 0.2 * 0.25 + 0.05 * le AS DOUBLE), 6) AS score FROM {_ENTRY})
+SELECT 'sym:' || ref AS id, score, CAST(row_number() OVER (ORDER BY score DESC, 'sym:' || ref) AS INT) AS position FROM r QUALIFY position <= 5""")
+def entry_candidates(spark, d):
+    return flow.entries(_flow_nodes(spark, d), calls(spark, d), _TERMS).select("id", r6(F.col("score")).alias("score"), "position")
+
+
+@query(f"""SELECT 'sym:' || seed AS id, round(CAST(max(greatest(0.2, 1.0 - 0.07 * (rank - 1))) AS DOUBLE), 6) AS boost FROM (SELECT seed, row_number() OVER (ORDER BY seed) AS rank FROM {_SEEDS}) WHERE rank <= 12 GROUP BY 1""")
+def retrieval_boosts(spark, d):
+    s = seeds(spark, d).withColumn("rank", F.row_number().over(retrieval.Window.orderBy("seed")))
+    hits = s.select("rank", ids.ref_file(F.col("seed")).alias("file_path"), ids.ref_symbol(F.col("seed")).alias("symbol_name"))
+    return flow.retrieval_boosts(_nodes(spark, d), hits).withColumn("boost", r6(F.col("boost")))
+
+
+@query("""SELECT p_partkey, CASE WHEN n IN ('submittask', 'login', 'logout') THEN 4 WHEN regexp_matches(n, '^(submit|schedule|execute)') THEN 3 WHEN regexp_matches(n, '^(get|list|delete)') THEN 0 ELSE 1 END AS rank
+FROM (SELECT p_partkey, list_extract(['submittask', 'login', 'scheduleall', 'executeone', 'getrow', 'listrows', 'deleteit', 'other', 'submitform', 'logout'], CAST(p_partkey % 10 AS INT) + 1) AS n FROM part)""")
+def action_ranks(spark, d):
+    names = F.array(*map(F.lit, ("submit_task", "Login", "schedule_all", "executeOne", "getRow", "listRows", "delete_it", "other", "submitForm", "logout")))
+    return table(spark, d, "part").select("p_partkey", flow.action_rank(F.get(names, (F.col("p_partkey") % 10).cast("int"))).cast("int").alias("rank"))
+
+
+_CHAIN_NODES = f"(SELECT seed AS path_id, unnest([seed, nx]) AS ref, unnest([1, 2]) AS step, seed FROM (SELECT seed, min(target) AS nx FROM {_SEEDS} JOIN {_CALLS} ON source = seed GROUP BY seed))"
+
+
+@query(f"""WITH c AS {_CHAIN_NODES} SELECT path_id, step, split_part(ref, '::', 2) AS symbol, CASE WHEN {_NUM.format(x='ref')} % 3 > 0 THEN split_part(ref, '::', 1) || ':1-2' END AS citation,
+CASE WHEN {_NUM.format(x='ref')} % 3 > 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN step = 2 THEN 'call:sym:' || seed || '->sym:' || ref END AS edge, CASE step WHEN 1 THEN 'entry' ELSE 'call_edge' END AS reason,
+CASE WHEN {_NUM.format(x='ref')} % 3 = 0 THEN 'missing_location:' || split_part(ref, '::', 2) END AS problem FROM c""")
+def flow_steps(spark, d):
+    chains = graph.call_chain(calls(spark, d), seeds(spark, d), depth=2)
+    found = chains.select(F.col("seed").alias("path_id"), F.transform("path", lambda r: ids.symbol_node(r)).alias("path"))
+    return flow.steps(found, _flow_nodes(spark, d)).select("path_id", "step", "symbol", "citation", "confidence", "edge", "reason", "problem")
+
+
+@query("""SELECT target AS file_path, count(*) AS file_refs FROM (SELECT 'p' || l_partkey || '.py' AS target FROM lineitem) GROUP BY target""")
+def file_references(spark, d):
+    e = table(spark, d, "lineitem").select(F.lit("import").alias("edge_type"), F.concat(F.lit("o"), "l_orderkey", F.lit(".py")).alias("source"), F.concat(F.lit("p"), "l_partkey", F.lit(".py")).alias("target"))
+    return flow.file_references(e)
+
+
+@query(f"""SELECT seed AS ref, CAST(count(target) AS BIGINT) AS symbol_refs FROM {_SEEDS} LEFT JOIN {_CALLS} ON target = seed GROUP BY seed""")
+def symbol_references(spark, d):
+    hits = seeds(spark, d).select(F.col("seed").alias("ref"), ids.ref_file(F.col("seed")).alias("file_path"), ids.ref_symbol(F.col("seed")).alias("symbol_name"))
+    return flow.symbol_references(hits, calls(spark, d)).select("ref", F.col("symbol_refs").cast("long").alias("symbol_refs"))
+
+
+@query(f"""SELECT role, 'sym:' || file_path || '::X' AS id, file_path, 'symbol' AS kind FROM (SELECT file_path, {_FILE_ROLE} AS role FROM {_FILES}) QUALIFY row_number() OVER (PARTITION BY role ORDER BY 'sym:' || file_path || '::X') <= 2""")
+def role_evidence(spark, d):
+    return flow.role_evidence(_file_nodes(spark, d), 2)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def evidence_once(spark, d):
+    return flow.distinct_evidence(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query(f"SELECT source, target, ordinal AS first, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM {_CALLS}")
+def call_evidence(spark, d):
+    e = calls(spark, d)
+    again = e.withColumn("ordinal", F.col("ordinal") + 10**15).withColumn("confidence", F.col("confidence") - 0.1)
+    return flow.call_evidence(e.unionByName(again)).withColumn("confidence", r6(F.col("confidence").cast("double")))
+
+
+@query(f"SELECT DISTINCT split_part(ref, '::', 1) AS file_path FROM {_SYMBOLS}")
+def edge_files(spark, d):
+    return flow.paths_of_kinds(_nodes(spark, d).where("false"), calls(spark, d))
+
+
+@query("""SELECT c_custkey, CASE WHEN low THEN 'low' WHEN made AND c = 'high' THEN 'medium' ELSE c END AS confidence FROM (SELECT c_custkey, c_custkey % 5 = 0 AS low, c_custkey % 2 = 0 AS made, CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS c FROM customer)""")
+def trace_confidences(spark, d):
+    k = F.col("c_custkey")
+    c = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
+    return table(spark, d, "customer").select("c_custkey", flow.trace_confidence(c, k % 5 == 0, k % 2 == 0).alias("confidence"))

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, paths, roles
-from ..operators import architecture, changes, graph, retrieval
+from ..functions import ids, paths, roles, topics
+from ..operators import architecture, changes, flow, graph, retrieval
 from ..sources import code
 from ..sources.tables import load, save, written
 
 FLOW = re.compile(r"(?i)\b(flow|trace|how does|how do|call path|what happens|walk through|end to end)\b|流程|链路|怎么")
-STOP = {"the", "a", "an", "how", "does", "do", "is", "are", "what", "work", "works", "of", "in", "to", "flow", "trace", "when", "happens", "and", "for"}
 
 
 @dataclass
@@ -150,32 +149,43 @@ class CodeIndex:
         r = f.select("file_path", "start_line", last.alias("end_line"), text.alias("content"), (last < F.col("end_line")).alias("cut")).first()
         return r.asDict() if r else {}
 
-    def _terms(self, question: str) -> list[str]:
-        return [t for t in dict.fromkeys(re.findall(r"[A-Za-z_]\w+", question.lower())) if t not in STOP][:12]
-
-    def entries(self, question: str, k: int = 5) -> DataFrame:
-        """Callables that a question may start from, by name, path, role and being called by nothing."""
-        terms, n = self._terms(question), self.nodes().where("kind in ('function', 'method')")
-        name, path = F.col("name"), F.coalesce("file_path", F.lit(""))
-        hit = graph.topic_score(name, F.lit(""), terms)
-        near = F.when(paths.is_api(path), 0.4).otherwise(0.0) + F.greatest(F.lit(0.0), *[F.when(F.contains(F.lower(path), F.lit(t)), 0.45).otherwise(0.0) for t in terms])
-        role = F.when(F.col("role") == "controller", 1.0).when(F.col("role") == "service", 0.5).otherwise(0.2)
-        calls = graph.fan_in(self.edges).withColumnRenamed("ref", "qualified_name")
-        scored = n.join(calls, "qualified_name", "left").withColumn("score", 0.35 * hit + 0.25 * F.least(near, F.lit(1.0)) + 0.20 * role + F.when(F.col("fan_in").isNull(), 0.05).otherwise(0.0))
-        return scored.where(hit > 0).orderBy(F.desc("score"), "qualified_name").limit(k).select(F.col("qualified_name").alias("entry"), "score")
-
-    def trace_flow(self, question: str, depth: int = 5) -> dict:
-        entries = self.entries(question)
-        first = entries.collect()
+    def entries(self, question: str, k: int = 5, hint: str | None = None) -> DataFrame:
+        """Where a question's flow may start, best first; see :func:`flow.entries`."""
+        _, terms = topics.topic(question)
+        words = " ".join(dict.fromkeys([*terms[:6], "controller", "handler", "endpoint", question]))[:180]
+        hits = self.search(words, 8).select("rank", "file_path", "symbol_name")
+        nodes = self.nodes()
+        return flow.entries(nodes, self.edges, terms, topics.entry_hint(hint), flow.retrieval_boosts(nodes, hits), None, k)
+
+    def trace_flow(self, question: str, depth: int = 5, hint: str | None = None, most: int = 3) -> dict:
+        """The best call path from an entry, step by step with citations, and other paths."""
+        _, terms = topics.topic(question)
+        nodes = written(self.nodes(), "nodes")
+        first = self.entries(question, 5, hint).orderBy("position").collect()
         if not first:
-            return {"steps": [], "score": 0.0, "alternatives": []}
-        nodes = self.nodes().withColumn("id", F.col("qualified_name"))
-        found = graph.beam_search(nodes, self.edges, entries.limit(3), self._terms(question), min(depth, 10)).collect()
-        if not found:
-            return {"steps": [first[0].entry], "score": first[0].score, "alternatives": []}
-        start = {r.entry: r.score for r in first}
-        best = sorted(found, key=lambda r: (-(r.score + start[r.entry]), r.path))
-        return {"steps": best[0].path, "score": best[0].score, "alternatives": [r.path for r in best[1:4]]}
+            return {"steps": [], "score": 0.0, "alternatives": [], "cited": [], "confidence": "low", "unresolved": ["no_entry_candidate"], "warnings": []}
+        warnings = [] if first[0].role in ("controller", "gateway") else [f"entry_role_is_{first[0].role}_not_controller"]
+        starts = self.spark.createDataFrame([(r.qualified_name,) for r in first[:3]], "entry string")
+        found = graph.beam_search(nodes.withColumn("id", F.col("qualified_name")), self.edges, starts, terms, min(depth, 10), max(4, most + 1), most=most).collect()
+        rank = {r.qualified_name: r.position for r in first}
+        best = sorted(found, key=lambda r: (-r.score, rank[r.entry], r.path))
+        unresolved = [f"no_call_path_from:{r.id}" for r in first[:3] if r.qualified_name not in {b.entry for b in best}]
+        path = best[0].path if best else [first[0].qualified_name]
+        own = self.spark.createDataFrame([(1, path)], "path_id int, refs array<string>").select("path_id", F.transform("refs", lambda r: ids.symbol_node(r)).alias("path"))
+        cited = [r.asDict() for r in flow.steps(own, nodes).orderBy("step").collect()]
+        unresolved += [r["problem"] for r in cited if r["problem"]]
+        if best:
+            confidence = self._path_confidence(path, best[0].roles)
+            confidence = "low" if any(r["confidence"] == "low" for r in cited) else "medium" if confidence == "high" and cited[-1]["id"] is None else confidence
+        else:
+            unresolved, confidence = [*unresolved, "partial_trace_entry_only"], "low"
+        others = [list(p) for p in dict.fromkeys(tuple(r.path) for r in best[1:]) if list(p) != path]
+        return {"steps": path, "score": best[0].score if best else first[0].score, "alternatives": others[: most - 1], "cited": cited, "confidence": confidence, "unresolved": list(dict.fromkeys(unresolved)), "warnings": warnings}
+
+    def _path_confidence(self, path: list[str], role_path: list[str]) -> str:
+        pairs = self.spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "source string, target string")
+        edges = flow.call_evidence(self.edges).join(F.broadcast(pairs), ["source", "target"]).agg(F.collect_list(ids.confidence_bucket(F.col("confidence"))).alias("buckets"))
+        return edges.select(graph.path_confidence(F.col("buckets"), F.lit(0), F.array(*map(F.lit, role_path))).alias("c")).first().c
 
     def context_explore(self, query: str, top_k: int = 8, depth: int = 2) -> dict:
         hits = self.search(query, min(top_k, 20)).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
@@ -201,7 +211,7 @@ class CodeIndex:
         nodes = self.nodes()
         per = architecture.coupling(pairs, names).join(architecture.cohesion(pairs, names), "module")
         cycles = graph.cycles(pairs.select("source", "target"))
-        patterns = architecture.ranked_patterns(architecture.pattern_scores(architecture.role_counts(nodes), architecture.layer_edges(self.edges, nodes, roles.layer)))
+        patterns = architecture.ranked_patterns(architecture.pattern_scores(architecture.pattern_signals(nodes), architecture.layer_edges(self.edges, nodes, roles.layer), architecture.modules(nodes).where("module_type = 'layer'").agg(F.count("*").alias("n"))))
         return {
             "totals": architecture.totals(pairs, names).first().asDict(),
             "modules": [r.asDict() for r in architecture.modules(nodes).join(per, "module", "left").orderBy("module").limit(1000).collect()],

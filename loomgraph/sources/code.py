@@ -35,7 +35,7 @@ MAX_HIDDEN_BYTES = 64 << 20
 
 
 def _hidden(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """Spark's file readers skip names that begin with an underscore; those (``__init__.py``) are read by the driver, through the file system that holds the folder."""
+    """Spark's file readers skip files and folders whose name begins with an underscore or a full stop; source files there (``__init__.py``, ``__tests__/a.js``) are read by the driver, through the file system that holds the folder."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -44,8 +44,8 @@ def _hidden(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     while listed.hasNext():
         status = listed.next()
         rel = status.getPath().toString().removeprefix(base)
-        name = rel.rsplit("/", 1)[-1]
-        if not name.startswith("_") or not name.endswith(tuple(paths.LANGUAGES)) or set(rel.split("/")) & set(EXCLUDED):
+        parts = rel.split("/")
+        if not any(x.startswith(("_", ".")) for x in parts) or not rel.lower().endswith(tuple(paths.LANGUAGES)) or set(parts) & set(EXCLUDED):
             continue
         size += status.getLen()
         if size > MAX_HIDDEN_BYTES:
@@ -58,7 +58,9 @@ def _hidden(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Rows file_path (relative), content, content_hash, language of all source files under a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # Only files of the known suffixes are opened.
+    suffixes = ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in paths.LANGUAGES)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{suffixes}}}").load(folder)
     root = re.escape(folder.rstrip("/").removeprefix("file://"))
     rel = F.regexp_replace(F.col("path"), rf"^[a-z]+:/*{root}/|^[a-z]+://{root}/|^file:{root}/", "")
     seen = raw.select(rel.alias("file_path"), F.decode("content", "UTF-8").alias("content"))

@@ -13,9 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in local tests, a folder of the driver."""
+    """``spark.checkpoint.dir`` of the session; where it is unset in local mode, as in tests, a folder of the driver. A cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

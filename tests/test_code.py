@@ -38,7 +38,17 @@ def index(spark, tree):
 def test_scan_keeps_source_files(index):
     got = {r.file_path: r.language for r in index.files.collect()}
     assert got["web/main.ts"] == "typescript" and got["java/pets/Dog.java"] == "java"
-    assert "notes.md" not in got and len(got) == len(FILES) - 1
+    assert got["notes.md"] == "markdown" and len(got) == len(FILES)
+
+
+def test_scan_of_hidden_folders(spark, tmp_path):
+    files = {"__tests__/a.js": "let a = 1;\n", "_private/m.py": "x = 1\n", "pkg/__init__.py": "", ".ci/run.PY": "y = 2\n", "node_modules/x.js": "no", "pkg/data.bin": "no", "README.markdown": "# title\n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.file_path: (r.language, r.content) for r in code.read_tree(spark, str(tmp_path)).collect()}
+    assert set(got) == {"__tests__/a.js", "_private/m.py", "pkg/__init__.py", ".ci/run.PY", "README.markdown"}
+    assert got["README.markdown"] == ("markdown", "# title\n")
 
 
 def test_definitions(index):
@@ -77,6 +87,8 @@ def test_tools(index):
     # show() calls find() on something unknown: the only method of that name is a weaker guess.
     assert affected == {("shop/services/login.py::sign_in", 1), ("shop/other.py::show", 1), ("shop/api/auth.py::login", 2)}
     trace = index.trace_flow("how does login work")
+    assert [r["symbol"] for r in trace["cited"]][:2] == ["login", "sign_in"] and trace["cited"][0]["citation"].startswith("shop/api/auth.py:")
+    assert trace["confidence"] in ("high", "medium", "low") and isinstance(trace["alternatives"], list)
     assert trace["steps"][:2] == ["shop/api/auth.py::login", "shop/services/login.py::sign_in"]
     hits = index.search_code("sign_in login", top_k=3)
     assert hits[0]["file_path"].startswith("shop/")
@@ -85,7 +97,7 @@ def test_tools(index):
     assert arch["totals"]["module_count"] >= 3
     explored = index.context_explore("login sign_in")
     assert explored["seeds"] and any(h["relation"] in ("caller", "callee") for h in explored["blast_radius"])
-    assert index.get_repo_summary()["n_files"] == len(FILES) - 1
+    assert index.get_repo_summary()["n_files"] == len(FILES)
     assert index.get_initial_context()["modules"]
     assert isinstance(index.suggest_refactor("shop/store/users.py"), list)
 
