@@ -20,7 +20,9 @@ Nulls: a null text is an empty content, a null role "user"; a null
 conversation is one of its own.  A call whose id another call of the
 conversation has (in an earlier turn, or before it in its message) is a
 duplicate and invalid; of several results for a call the earliest counts.
-Repeated rows are messages each.  Extra columns are ignored.
+Repeated rows are messages each.  No rows give no rows.  Extra columns are
+ignored.  JSON with NaN or infinities, or nested deeper than ``MAX_NESTING``,
+is content; lone surrogates are written as escapes.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ from .storage import discard, materialize
 
 _TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
 _TEXT, _WHOLE, _FLAG = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
@@ -65,8 +70,35 @@ TOOLS: dict[str, dict] = {
 }
 
 
+#: Objects and arrays inside each other; a text nested deeper is content, not a call.
+MAX_NESTING = 200
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Keys by code point, no white space, non-ASCII as it is; a lone surrogate, which UTF-8 can't hold, stays an escape."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
+
+
+def _writable(text: str) -> str:
+    """``text`` for an Arrow string: a lone surrogate as its escape."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _nesting(text: str) -> int:
+    """How deep brackets outside of strings stand inside each other, at most."""
+    deep = most = 0
+    for m in _BRACKET.finditer(text):
+        if m[0] in "{[":
+            deep += 1
+            most = max(most, deep)
+        elif m[0] in "}]":
+            deep -= 1
+    return most
+
+
+def _no_constant(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
 
 
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -96,8 +128,10 @@ def _object(text: str) -> dict | None:
     text = text.strip()
     if not text.startswith("{"):
         return None
+    if text.count("[") + text.count("{") > MAX_NESTING and _nesting(text) > MAX_NESTING:
+        return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_no_constant)
     except ValueError:
         return None
     return value if isinstance(value, dict) else None
@@ -116,7 +150,7 @@ def parse(role: str, text: str) -> tuple[str, list[dict], str | None]:
     if role == "tool":
         if whole and isinstance(whole.get("tool_call_id"), str):
             content = whole.get("content", "")
-            return content if isinstance(content, str) else canonical(content), [], whole["tool_call_id"]
+            return content if isinstance(content, str) else canonical(content), [], _writable(whole["tool_call_id"])
         return text, [], None
     found = whole.get("tool_calls") if whole else None
     if isinstance(found, list):
@@ -126,16 +160,16 @@ def parse(role: str, text: str) -> tuple[str, list[dict], str | None]:
         found = [_object(x) for x in _TAG.findall(text)] if "<tool_call>" in text else []
         content = _TAG.sub("", text) if found else text
     calls = [c for c in found if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str)]
-    return content, [{"id": c["id"], "name": c["name"], "arguments": c.get("arguments", {})} for c in calls], None
+    return content, [{"id": _writable(c["id"]), "name": _writable(c["name"]), "arguments": c.get("arguments", {})} for c in calls], None
 
 
-MESSAGE = "conv_id long, turn long, role string, content string, answers string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,refs:array<string>,json:string>>, json string"
+MESSAGE = "turn long, role string, content string, answers string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,refs:array<string>,json:string>>, json string"
 _CALL = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("valid", pa.bool_()), ("refs", pa.list_(pa.string())), ("json", pa.string())]))
 
 
 def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a message: its number, its parts, and its canonical JSON without the calls, whose order isn't known yet."""
-    body = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    body = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     known = schemas or {}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +181,16 @@ def messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -
                 message: dict[str, object] = {"content": content, "role": r}
                 if answers is not None:
                     message["tool_call_id"] = answers
-                out["content"].append(content)
+                out["content"].append(_writable(content))
                 out["answers"].append(answers)
-                out["calls"].append([{"id": c["id"], "name": c["name"], "arguments": canonical(c["arguments"]), "valid": not errors(c["arguments"], known.get(c["name"], {})), "refs": sorted(_references(c["arguments"])), "json": canonical(c)} for c in calls])
+                out["calls"].append([{"id": c["id"], "name": c["name"], "arguments": canonical(c["arguments"]), "valid": not errors(c["arguments"], known.get(c["name"], {})), "refs": sorted(map(_writable, _references(c["arguments"]))), "json": canonical(c)} for c in calls])
                 out["json"].append(canonical(message))
             arrays = [conv, turn, role, pa.array(out["content"], pa.string()), pa.array(out["answers"], pa.string()), pa.array(out["calls"], _CALL), pa.array(out["json"], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "content", "answers", "calls", "json"])
 
-    return body.mapInArrow(freed(read), MESSAGE).withColumn("message", F.monotonically_increasing_id())
+    # Conversations may be named by numbers or by texts.
+    kind = body.schema["conv_id"].dataType.simpleString()
+    return body.mapInArrow(freed(read), f"conv_id {kind}, {MESSAGE}").withColumn("message", F.monotonically_increasing_id())
 
 
 def links(msgs: DataFrame) -> DataFrame:
