@@ -303,6 +303,45 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: in
     return body.mapInArrow(freed(judge), f"row {kind}").select("row.*")
 
 
+def without_spans(docs: DataFrame, items: DataFrame, least: int = 1, window: int = WINDOW, max_words: int = 200_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with spans of ``least`` hit words or more cut out of their texts; all rows stay.
+
+    Spans of all groups of items are united before they are measured.  Nulls
+    stay null.
+    """
+    spark = docs.sparkSession
+    groups = [spark.sparkContext.broadcast(Matcher(g, window)) for g in _groups(items, item_id, item_text, max_words)]
+    body = docs.select(F.col(text).alias("text"), F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"))
+    kind = body.schema["rest"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, rest = rows(batch, ["text", "rest"])
+            for s in text_slices(column):
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(s.n_docs)]
+                for g in groups:
+                    for d, _, found, _ in g.value.match(s):
+                        spans[d] += found
+                out = column.slice(s.lo, s.n_docs).to_pylist()
+                for d in range(s.n_docs):
+                    if own := [x for x in united(spans[d]) if x[1] - x[0] >= least]:
+                        out[d] = removed_spans(out[d], own)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), rest.slice(s.lo, s.n_docs)], names=["text", "rest"])
+
+    got = body.mapInArrow(freed(cut), f"text string, rest {kind}")
+    return got.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def covered(spans: list[tuple[int, int]]) -> int:
     total, end = 0, 0
     for lo, hi in sorted(spans):

@@ -134,10 +134,6 @@ def plan(patterns: list[tuple[tuple[str | None, ...], int]], weights: tuple[int,
     return sizes, goal, {tuple(p): take.get(frozenset(p), 0) for p, _ in patterns}
 
 
-def _bucket(seed: int, n: int, *cols: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(n)).cast("long")
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17, buckets: int = 1 << 14, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = False) -> DataFrame:
     """Rows doc_id, size, source, source_size, target, taken for each document; ``source`` may be an array of sources.
 

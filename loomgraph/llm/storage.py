@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset, as
-in local tests, a temporary folder of the driver is set once for the session.
+The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset in
+local mode, as in tests, a temporary folder of the driver is set once for the
+session; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -106,6 +106,35 @@ def test_decontamination_without_items(spark, docs):
     assert not any(r.contaminated for r in got)
 
 
+@pytest.mark.parametrize("max_words", [8, 200_000])
+def test_without_spans(spark, docs, max_words):
+    """Against spans of the plain version, cut out word by word."""
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+
+    def plain(text, least):
+        if text is None:
+            return None
+        w = list(ALNUM.finditer(low(text)))
+        hit = set()
+        for _, t in ITEMS:
+            v = ALNUM.findall(low(t))
+            k = min(len(v), 13)
+            for j in range(len(v) - k + 1 if k else 0):
+                for i in range(len(w) - k + 1):
+                    if [x[0] for x in w[i : i + k]] == v[j : j + k]:
+                        hit.add((i, i + k))
+        out, at = "", 0
+        for lo, hi in decontaminate.united(list(hit)):
+            if hi - lo >= least:
+                out, at = out + text[at : w[lo].start()], w[hi - 1].end()
+        return out + text[at:]
+
+    for least in (1, 4):
+        got = decontaminate.without_spans(docs, items, least, max_words=max_words)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, plain(t, least)) for i, t in rows(docs))
+
+
 def test_removed_spans():
     assert decontaminate.removed_spans("a b, c d e", [(1, 3)]) == "a  d e"
 
@@ -132,6 +161,27 @@ def test_flow_repeats_at_rising_cost():
     assert got == {(frozenset("a"), "a"): 20, (frozenset("ab"), "a"): 20}
 
 
+def test_flow_costs_least_by_brute_force():
+    """All ways to route words of two patterns to two sources: none fills more, or as much at a lower cost."""
+    import itertools
+
+    a, b = frozenset("a"), frozenset("ab")
+
+    def cost(words, uses):
+        whole, rest = divmod(uses, words) if words else (0, 0)
+        return sum(i * words for i in range(whole)) + whole * rest
+
+    for words_a, words_b, quota_a, quota_b in itertools.product((1, 2), (1, 3), (0, 2, 5), (1, 4)):
+        got = mixing.flow({a: words_a, b: words_b}, {"a": quota_a, "b": quota_b}, 3)
+        ways = []
+        for x, y, z in itertools.product(range(3 * words_a + 1), range(3 * words_b + 1), range(3 * words_b + 1)):
+            if x + y <= quota_a and z <= quota_b and y + z <= 3 * words_b:
+                ways.append((-(x + y + z), cost(words_a, x) + cost(words_b, y + z)))
+        x, y, z = got.get((a, "a"), 0), got.get((b, "a"), 0), got.get((b, "b"), 0)
+        assert x + y <= quota_a and z <= quota_b
+        assert (-(x + y + z), cost(words_a, x) + cost(words_b, y + z)) == min(ways)
+
+
 def test_mix(docs, no_docs):
     got = mixing.mix(docs).collect()
     sizes = {}
@@ -535,6 +585,24 @@ def test_feistel_is_a_permutation():
         assert sorted(got) == list(range(size)) and [p.undo(x) for x in got] == list(range(size))
 
 
+def test_pseudonyms_by_brute_force(spark):
+    """Every value is found by looking at all stretches of a text, and permuted one by one."""
+    own = pseudonyms.Pseudonyms(b"k")
+    texts = ["card 4111 1111 1111 1111.", "no 4111111111111112 luhn", "mail a.b@x.org and A.B@x.org", "2024-02-30 is none, 2024-02-29 is", "ip 10.0.0.1, 10.0.0.256", "", "plain words only", "GB82WEST12345698765432 x", "x" * 2_000_000 + " 10.0.0.1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(df, b"k").collect()}
+    want = {0: "4111 1111 1111 1111", 3: "2024-02-29", 4: "10.0.0.1", 7: "GB82WEST12345698765432", 8: "10.0.0.1"}
+    kinds = {0: "card", 3: "date", 4: "ip", 7: "iban", 8: "ip"}
+    for i, t in enumerate(texts):
+        if i in want:
+            assert got[i] == t.replace(want[i], own._replaced(kinds[i], want[i], False)) != t
+        elif i == 2:
+            assert got[i] == t.replace("a.b@", own._replaced("email", "a.b@x.org", False).split("@")[0] + "@").replace("A.B@", own._replaced("email", "A.B@x.org", False).split("@")[0] + "@")
+        else:
+            assert got[i] == t
+    assert got[99] is None
+
+
 def test_pseudonyms(spark, docs, no_docs):
     text = "card 4539578763621486, again 4539578763621486; not 4539578763621487. IBAN GB82WEST12345698765432 on 2024-02-29, not 2023-02-29; ip 10.0.0.255 not 10.0.0.256; mail a.b1@x.org; +1 (017) 555-7713"
     df = spark.createDataFrame([(1, text), (2, "see 4539578763621486"), (3, None)], "doc_id long, text string")
@@ -580,6 +648,68 @@ def test_chat(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_survives_odd_texts(spark):
+    """Surrogates, deep nesting, constants that aren't JSON, list types, conversations named by texts, nulls."""
+    call = lambda a: '{"tool_calls":[{"id":"a","name":"f","arguments":' + a + "}]}"
+    data = [
+        ("x", 1, "assistant", call('{"q":"\\ud800"}')),
+        ("x", 2, "tool", '{"tool_call_id":"a","content":"\\udfff"}'),
+        ("y", 1, "assistant", call("[" * 200_000)),
+        ("y", 2, "assistant", call("[" * 5000 + "]" * 5000)),
+        ("z", 1, "assistant", call('{"q":NaN}')),
+        ("w", 1, "assistant", call('{"q":null}')),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame(data, "conv_id string, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.formatted(df, {"f": {"properties": {"q": {"type": ["string", "null"]}}}}).collect()}
+    assert {k: (r.n_calls, r.n_valid, r.n_answered) for k, r in got.items()} == {("x", 1): (1, 1, 1), ("x", 2): (0, 0, 0), ("y", 1): (0, 0, 0), ("y", 2): (0, 0, 0), ("z", 1): (0, 0, 0), ("w", 1): (1, 1, 0), (None, None): (0, 0, 0)}
+    assert "\\ud800" in got["x", 1].json and got[None, None].json == '{"content":"","role":"user"}'
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+def plain_links(data, schemas):
+    """Calls of messages one by one: (conversation, turn, valid, depth)."""
+    made, answers = [], {}
+    for i, (conv, turn, role, text) in enumerate(data):
+        _, calls, ref = chat.parse(role, text)
+        if ref is not None:
+            answers[conv, ref] = min(answers.get((conv, ref), turn), turn)
+        made += [(conv, turn, place, i, c) for place, c in enumerate(calls)]
+    first = {}
+    for conv, turn, place, _, c in made:
+        first[conv, c["id"]] = min(first.get((conv, c["id"]), (turn, place)), (turn, place))
+    refs = {(conv, c["id"]): {r for r in chat._references(c["arguments"]) if (conv, r) in first} for conv, turn, place, _, c in made if first[conv, c["id"]] == (turn, place)}
+
+    def depth(key, above=()):
+        if key in above:
+            return None
+        inner = [depth((key[0], r), (*above, key)) for r in refs[key]]
+        return None if None in inner else 1 + max(inner, default=-1)
+
+    out = Counter()
+    for conv, turn, place, _, c in made:
+        alone, d = first[conv, c["id"]] == (turn, place), depth((conv, c["id"]))
+        ok = not chat.errors(c["arguments"], schemas.get(c["name"], {})) and alone and d is not None and answers.get((conv, c["id"]), turn + 1) > turn
+        out[conv, turn, place, c["id"], ok, d] += 1
+    return out
+
+
+def test_chat_links_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}}
+    data = []
+    for conv in range(12):
+        for turn in range(8):
+            if rng.random() < 0.35:
+                data.append((conv, turn, "tool", '{"tool_call_id":"c%d","content":"r"}' % rng.integers(6)))
+                continue
+            calls = [{"id": f"c{rng.integers(6)}", "name": "f" if rng.random() < 0.7 else "g", "arguments": {"n": int(rng.integers(9)) if rng.random() < 0.8 else "x", "of": [f"$c{rng.integers(6)}"] if rng.random() < 0.5 else []}} for _ in range(rng.integers(0, 3))]
+            data.append((conv, turn, "assistant", chat.canonical({"tool_calls": calls})))
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    got = Counter((r.conv_id, r.turn, r.place, r.call_id, r.valid, r.depth) for r in chat.links(chat.messages(df, schemas)).collect())
+    assert got == plain_links(data, schemas)
+
+
 def test_chat_depth_has_no_limit(spark):
     """A chain of 40 calls, two of which also need an earlier one, and a circle with a call that depends on it."""
     args = {f"c{i}": {"x": f"$c{i - 1}", "y": f"$c{i // 2}" if i % 9 == 0 else 1} for i in range(1, 40)} | {"c0": {}, "p": {"x": "$q"}, "q": {"x": "$p"}, "z": ["$p", "$c3"]}
