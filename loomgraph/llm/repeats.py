@@ -230,9 +230,10 @@ def _replies(blocks: np.ndarray, chosen: np.ndarray, names: list[str], columns:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans as bytes of int64 pairs."""
     spark = docs.sparkSession
-    n_parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks, _ = materialize(body.mapInArrow(freed(_blocks), BLOCK), "repeats-blocks", "none")
+    # The parts of the key space follow the data: what four blocks send is one part's, about.
+    n_parts = max(8, blocks.count() // 4)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +252,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         key, content = _column(table, "key", _long), _column(table, "content", _long)
         own, at = _column(table, "own", _added), _column(table, "at", _added)
         block = np.repeat(table["block"].to_numpy(), [len(x) // 6 for x in table["key"].to_pylist()])
-        low = smaller(mix(key ^ (content << U64(1))), own)
-        # Anchors with different runs in different documents: windows of the runs' first documents are compared.
+        # Runs are equal if anchor and content are, 96 bits together; they are numbered in that order.
         order = np.lexsort((own, content, key))
         k, c, o = key[order], content[order], own[order]
+        number = np.zeros(len(k), U64)
+        number[order] = np.cumsum(np.append(False, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))[: len(k)].astype(U64)
+        low = smaller(number, own)
+        # Anchors with different runs in different documents: windows of the runs' first documents are compared.
         edge = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
         differ = np.zeros(len(k), np.int64)
         differ[1:] = (k[1:] == k[:-1]) & ((c[1:] != c[:-1]) | ((c[1:] == 0) & (o[1:] != o[:-1])))
