@@ -100,6 +100,23 @@ def hash_embedding(docs: DataFrame, dim: int = 384, doc_id: str = "doc_id", text
     return sums.select("doc_id", "idx", (F.col("w") / F.greatest(size, F.lit(1e-12))).alias("weight"))
 
 
+def sparse_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows query_id, doc_id, score: dot products of sparse vectors (doc_id, idx, weight) and (query_id, idx, weight); pairs without a common place have none."""
+    q = stated(queries).select("query_id", "idx", F.col("weight").alias("q"))
+    return vectors.join(F.broadcast(q), "idx").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+
+
+def hybrid(index: tuple[DataFrame, DataFrame, DataFrame], vectors: DataFrame, queries: DataFrame, each: int = 50, k: int = 60, digits: int = 9) -> DataFrame:
+    """Rows query_id, doc_id, score: reciprocal rank fusion of the ``each`` best of lexical and vector search.
+
+    Channel scores are ranked to ``digits`` places, so that sums in another
+    order don't change a tie.
+    """
+    asked = hash_embedding(queries, doc_id="query_id").withColumnRenamed("doc_id", "query_id")
+    channel = lambda scores: top_k(scores.withColumn("score", F.round("score", digits)).where("score > 0"), each).select("query_id", "doc_id", "rank")
+    return rrf(channel(bm25_scores(index, queries)).unionByName(channel(sparse_scores(vectors, asked))), k)
+
+
 def rrf(channels: DataFrame, k: int = 60, by: str = "query_id", item: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of rows (by, channel, item, rank)."""
     return channels.groupBy(by, item).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))

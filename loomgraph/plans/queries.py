@@ -229,6 +229,21 @@ def rrf_fusion(spark, d):
     return retrieval.rrf(_channels(spark, d)).withColumn("score", r6(F.col("score")))
 
 
+def _embedded(table_: str, key: str) -> str:
+    return f"""(SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (SELECT id, CAST(h % 384 AS INT) AS idx, sum(CASE WHEN (h // 384) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS w
+FROM (SELECT {key} AS id, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '{_DENSE}')) AS t FROM {table_})) GROUP BY ALL HAVING w != 0))"""
+
+
+@query(f"""WITH {_BM25}, ve AS (SELECT q.id AS query_id, v.id AS doc_id, round(sum(q.weight * v.weight), 6) AS score FROM {_embedded('benchmark', 'item_id')} q JOIN {_embedded('documents', 'doc_id')} v ON q.idx = v.idx GROUP BY ALL),
+ver AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ve WHERE score > 0),
+ch AS (SELECT query_id, doc_id, rank FROM bmr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM ver WHERE rank <= 20)
+SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM ch GROUP BY ALL""")
+def hybrid_search(spark, d):
+    docs = table(spark, d, "documents")
+    found = retrieval.hybrid(retrieval.bm25_index(docs), retrieval.hash_embedding(docs), questions(spark, d), each=20, digits=6)
+    return found.withColumn("score", r6(F.col("score")))
+
+
 @query(f"""WITH {_BM25}, {_CH2}, {_CH}, s AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ch WINDOW w AS (PARTITION BY query_id, channel))
 SELECT query_id, doc_id, round(sum(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END * CASE channel WHEN 'bm25' THEN 0.6 ELSE 0.4 END), 6) AS score FROM s GROUP BY ALL""")
 def weighted_fusion(spark, d):

@@ -121,23 +121,47 @@ class CodeIndex:
         ways = ("affected", "depends_on") if direction == "both" else (direction,)
         return {w: [r.asDict() for r in graph.impact(self.edges, seeds, depth, w, limit).orderBy("hops", "ref").collect()] for w in ways}
 
-    def search(self, query: str, top_k: int = 10) -> DataFrame:
-        """Chunks by BM25 on names and text, boosted by source quality."""
+    def kept(self, name: str, make) -> object:
+        """What searches need again and again is made once for an index."""
+        if name not in self.__dict__:
+            self.__dict__[name] = make()
+        return self.__dict__[name]
+
+    def _corpus(self) -> DataFrame:
         text = F.concat_ws(" ", "file_path", "symbol_name", "content")
-        own = self.chunks.withColumn("doc_id", F.col("chunk_id")).withColumn("text", text)
+        return self.chunks.withColumn("doc_id", F.col("chunk_id")).withColumn("text", text)
+
+    def search(self, query: str, top_k: int = 10) -> DataFrame:
+        """Chunks by lexical and vector search, fused by rank and boosted by source quality."""
+        own = self._corpus()
+        postings = self.kept("_postings", lambda: retrieval.bm25_index(own))
+        vectors = self.kept("_vectors", lambda: written(retrieval.hash_embedding(own), "vectors"))
         asked = self.spark.createDataFrame([(1, query)], "query_id int, text string")
-        scored = retrieval.bm25_scores(retrieval.bm25_index(own), asked).join(own, "doc_id")
+        scored = retrieval.hybrid(postings, vectors, asked).join(own, "doc_id")
         return retrieval.top_k(retrieval.boosted(scored), top_k)
 
+    def expanded(self, hits: DataFrame, limit: int = 4) -> DataFrame:
+        """Chunks of callers and callees of the hits' symbols, with the reason; score 0."""
+        chunks = self.chunks.where("symbol_name is not null").withColumn("ref", F.concat("file_path", F.lit("::"), "symbol_name"))
+        seen = hits.where("symbol_name is not null").select("query_id", "chunk_id", F.concat("file_path", F.lit("::"), "symbol_name").alias("ref"), "rank")
+        calls = self.edges.where("edge_type = 'call'").select(F.col("source").alias("caller"), F.col("target").alias("callee")).distinct()
+        return retrieval.one_hop(seen, calls, chunks.select("chunk_id", "ref"), limit).join(self.chunks, "chunk_id").withColumn("score", F.lit(0.0))
+
     def sample(self, k: int) -> DataFrame:
         """What to show where a search finds nothing: chunks of different files, source files first."""
         return retrieval.diverse(self.chunks.withColumn("ordinal", F.struct("file_path", "start_line")), k).withColumn("score", F.lit(0.0)).withColumn("rank", F.row_number().over(retrieval.Window.orderBy("pass", "ordinal")))
 
-    def search_code(self, query: str, top_k: int = 10) -> list[dict]:
+    def search_code(self, query: str, top_k: int = 10, graph_expand: bool = False) -> list[dict]:
+        """The best chunks, and with ``graph_expand`` chunks next to them in the call graph (``reason`` says how)."""
         keep = ("file_path", "start_line", "end_line", "symbol_name", "kind", "score")
-        return [r.asDict() for r in self.search(query, min(top_k, 50)).orderBy("rank").select(*keep).collect()]
+        hits = self.search(query, min(top_k, 50))
+        out = [r.asDict() | {"reason": None} for r in hits.orderBy("rank").select(*keep).collect()]
+        if graph_expand:
+            out += [r.asDict() for r in self.expanded(hits).orderBy("position").select(*keep, "reason").collect()]
+        return out
 
-    def view_source(self, file_path: str, symbol: str | None = None, start: int | None = None, end: int | None = None, most_lines: int = 400) -> dict:
+    def view_source(self, file_path: str, symbol: str | None = None, start: int | None = None, end: int | None = None, most_lines: int = 400, most_chars: int = 20_000) -> dict:
+        """Lines of a file or symbol, up to both limits; ``next_line`` is where to go on if they cut it, ``outline`` lists the file's definitions."""
         f = self.files.where(F.col("file_path") == file_path)
         if symbol:
             d = self.definitions.where((F.col("file_path") == file_path) & ((F.col("name") == symbol) | (F.concat_ws(".", "parent_name", "name") == symbol))).orderBy("ordinal").limit(1)
@@ -147,7 +171,14 @@ class CodeIndex:
         last = F.least("end_line", F.col("start_line") + most_lines - 1)
         text = F.array_join(F.slice(F.split("content", "\n", -1), F.col("start_line"), last - F.col("start_line") + 1), "\n")
         r = f.select("file_path", "start_line", last.alias("end_line"), text.alias("content"), (last < F.col("end_line")).alias("cut")).first()
-        return r.asDict() if r else {}
+        if not r:
+            return {}
+        out = r.asDict()
+        if len(out["content"]) > most_chars:
+            whole = out["content"][: most_chars + 1].rsplit("\n", 1)[0] if "\n" in out["content"][: most_chars + 1] else out["content"][:most_chars]
+            out |= {"content": whole[:most_chars], "end_line": out["start_line"] + whole.count("\n"), "cut": True}
+        outline = self.definitions.where(F.col("file_path") == file_path).orderBy("start_line").limit(200).select("kind", F.concat_ws(".", "parent_name", "name").alias("symbol"), "start_line", "end_line").collect()
+        return out | {"next_line": out["end_line"] + 1 if out["cut"] else None, "outline": [x.asDict() for x in outline]}
 
     def entries(self, question: str, k: int = 5, hint: str | None = None) -> DataFrame:
         """Where a question's flow may start, best first; see :func:`flow.entries`."""

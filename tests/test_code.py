@@ -92,6 +92,14 @@ def test_tools(index):
     assert trace["steps"][:2] == ["shop/api/auth.py::login", "shop/services/login.py::sign_in"]
     hits = index.search_code("sign_in login", top_k=3)
     assert hits[0]["file_path"].startswith("shop/")
+    assert {h["symbol_name"] for h in hits[:2]} <= {"login", "sign_in"}
+    near = [h for h in index.search_code("health", top_k=1, graph_expand=True) + index.search_code("sign_in", top_k=1, graph_expand=True) if h["reason"]]
+    assert near and all(h["reason"].startswith(("calls:", "called_by:")) and h["score"] == 0 for h in near)
+    part = index.view_source("shop/api/auth.py", most_chars=70)
+    assert part["cut"] and len(part["content"]) <= 70 and part["next_line"] == part["end_line"] + 1
+    assert [x["symbol"] for x in part["outline"]] == ["login", "health"]
+    rest = index.view_source("shop/api/auth.py", start=part["next_line"])
+    assert part["content"] + "\n" + rest["content"] == FILES["shop/api/auth.py"] and rest["next_line"] is None
     assert index.view_source("web/util.ts", symbol="trim")["content"].startswith("export function trim")
     arch = index.analyze_architecture()
     assert arch["totals"]["module_count"] >= 3
