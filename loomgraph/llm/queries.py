@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, mixing, pseudonyms, quality, repeats, tokens, toxicity
+from . import chat, decontaminate, jaccard, licenses, mixing, negatives, pseudonyms, quality, repeats, simhash, tokens, toxicity, variants
 from .storage import read_table
 
 
@@ -71,6 +71,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).select("doc_id", "licenses", "n_licenses")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read_table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(read_table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_simhash": op11_simhash,
+    "op12_variants": op12_variants,
+    "op13_negatives": op13_negatives,
 }
 
 _OP1 = """
@@ -163,10 +180,67 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses
 """
 
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: CRC-32 over bytes by a table of 256 entries that a rule makes; near words by equal wildcard keys.
+_OP12 = f"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY doc_id, w),
+bytes AS (
+  SELECT w, n, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''),
+         lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT w, n, CASE WHEN b IS NOT NULL THEN xor(list_reduce(b, lambda c, x: xor(c >> 8, CAST(t.t[(xor(c, x) & 255) + 1] AS BIGINT)), CAST(4294967295 AS BIGINT)), 4294967295) END AS h
+  FROM bytes, t),
+words AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+wild AS (SELECT word, n, left(word, i - 1) || '*' || substring(word, i + 1) AS k FROM places),
+cut AS (SELECT DISTINCT word, n, left(word, i - 1) || substring(word, i + 1) AS k FROM places),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.k = b.k AND a.word != b.word
+  UNION ALL SELECT c.word, c.n, w.word, w.n FROM cut c JOIN words w ON c.k = w.word
+  UNION ALL SELECT w.word, w.n, c.word, c.n FROM cut c JOIN words w ON c.k = w.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word, n),
+forms AS (SELECT word, other AS form, m AS form_n FROM best WHERE m >= 5 * n),
+path AS (
+  SELECT word, word AS last, 0 AS hop FROM words
+  UNION ALL SELECT p.word, f.form, p.hop + 1 FROM path p JOIN forms f ON f.word = p.last)
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) JOIN (SELECT word, arg_max(last, hop) AS root FROM path GROUP BY word) r USING (word)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": _OP1,
     "op2_decontaminate": _OP2,
     "op6_jaccard": _OP6,
     "op9_quality": _OP9,
     "op10_licenses": _op10(),
+    "op12_variants": _OP12,
+    "op13_negatives": _OP13,
 }
