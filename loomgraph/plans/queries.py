@@ -7,14 +7,16 @@ graph, events for file changes and run times.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, texts, topics
-from ..operators import architecture, changes, context, evaluation, flow, graph, retrieval
-from ..sources.tables import table
+from ..operators import architecture, cells, changes, context, evaluation, flow, graph, postings, retrieval
+from ..sources.tables import shared_folder, table
+from ..sources.versions import Versions
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +200,56 @@ def cosine_search(spark, d):
     return retrieval.top_k(retrieval.cosine_scores(v, q).withColumn("score", r6(F.col("score"))), 10, item="vec_id")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a kept index."""
+    return f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
+
+
+def _as_before(t: DataFrame, key: str, changed: dict[str, Column]) -> DataFrame:
+    """A table as it was: a tenth of the rows not there yet, a seventh with other values, and some rows that are gone since."""
+    k = F.col(key)
+    was = t.where(k % 10 != 3)
+    for c, v in changed.items():
+        was = was.withColumn(c, F.when(k % 7 == 0, v).otherwise(F.col(c)))
+    return was.unionByName(t.where(k % 11 == 0).withColumn(key, k + 1_000_000_000_000))
+
+
+@query(f"WITH {_BM25} SELECT * FROM bmr WHERE rank <= 10")
+def kept_bm25_search(spark, d):
+    """The index is written, opened again and searched by its bounds."""
+    at = postings.Postings.build(_folder(spark, "postings"), table(spark, d, "documents")).kept.folder
+    return postings.Postings(spark, at).search(questions(spark, d), 10, 6)
+
+
+@query(f"WITH {_BM25} SELECT * FROM bmr WHERE rank <= 10")
+def kept_bm25_updated(spark, d):
+    """The index of the table as it was, updated to the table as it is."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    was = _as_before(docs, "doc_id", {"text": F.concat(F.substring("text", 1, 40), F.lit(" since rewritten"))})
+    return postings.Postings.build(_folder(spark, "postings"), was).updated(docs).search(questions(spark, d), 10, 6)
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"WITH {_COS} SELECT * FROM csr WHERE rank <= 10")
+def kept_cosine_search(spark, d):
+    """Cells are written, opened again, and dropped by the triangle inequality."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    at = cells.Cells.build(_folder(spark, "cells"), v).kept.folder
+    return cells.Cells(spark, at).search(_asked_vectors(spark, d), 10, 6)
+
+
+@query(f"WITH {_COS} SELECT * FROM csr WHERE rank <= 10")
+def kept_cosine_updated(spark, d):
+    """The store of the table as it was, with what is new or changed upserted and what is gone deleted."""
+    now = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    was = _as_before(now, "vec_id", {"v": F.transform("v", lambda x: -x)})
+    fresh = now.where("vec_id % 10 = 3 OR vec_id % 7 = 0")
+    return cells.Cells.build(_folder(spark, "cells"), was).upserted(fresh, was.join(now, "vec_id", "left_anti")).search(_asked_vectors(spark, d), 10, 6)
+
+
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM embeddings""")
 def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(retrieval.norm(F.col("embedding"))).alias("norm"))
@@ -815,3 +867,33 @@ def trace_confidences(spark, d):
     k = F.col("c_custkey")
     c = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
     return table(spark, d, "customer").select("c_custkey", flow.trace_confidence(c, k % 5 == 0, k % 2 == 0).alias("confidence"))
+
+
+# --- kept tables -----------------------------------------------------------------
+
+
+def _kept_tables(spark: SparkSession, d: str) -> tuple[Versions, dict]:
+    """Orders and customers as they were, then as they are, in one folder; and the counts of the second commit."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    who = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    kept = Versions(spark, _folder(spark, "tables"))
+    kept.sync({"orders": (_as_before(orders, "o_orderkey", {"o_orderstatus": F.lit("?")}), ["o_orderkey"]), "customers": (_as_before(who, "c_custkey", {"c_name": F.lit("?")}), ["c_custkey"])})
+    return kept, kept.sync({"orders": (orders, ["o_orderkey"]), "customers": (who, ["c_custkey"])})
+
+
+_KEPT = """SELECT '{name}' AS name, count(*) FILTER ({k} % 10 = 3 OR {k} % 7 = 0) AS written, count(*) FILTER ({k} % 11 = 0) AS deleted, count(*) FILTER ({k} % 10 != 3 AND {k} % 7 != 0) AS unchanged FROM {table}"""
+
+
+@query(_KEPT.format(name="orders", k="o_orderkey", table="orders") + " UNION ALL " + _KEPT.format(name="customers", k="c_custkey", table="customer"))
+def kept_table_counts(spark, d):
+    _, counts = _kept_tables(spark, d)
+    return spark.createDataFrame([(n, c["written"], c["deleted"], c["unchanged"]) for n, c in counts.items()], "name string, written long, deleted long, unchanged long")
+
+
+@query("""SELECT o_custkey AS c_custkey, c_name, count(*) AS n_orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+def kept_tables_read(spark, d):
+    """Both tables of the last version, read together."""
+    kept, _ = _kept_tables(spark, d)
+    now = kept.manifest()
+    orders, who = kept.read("orders", manifest=now), kept.read("customers", manifest=now)
+    return orders.join(who, orders.o_custkey == who.c_custkey).groupBy("c_custkey", "c_name").agg(F.count("*").alias("n_orders"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, topics
 from ..operators import architecture, changes, flow, graph, retrieval
-from ..sources import code
+from ..sources import code, resolution
 from ..sources.tables import load, save, written
 
 FLOW = re.compile(r"(?i)\b(flow|trace|how does|how do|call path|what happens|walk through|end to end)\b|流程|链路|怎么")
@@ -80,15 +80,15 @@ class CodeIndex:
         parsed = written(kept.unionByName(fresh), "parsed")
         if plan["mode"] == "full":
             return self._of(files, parsed)
-        touched = status.where("status != 'unchanged'").select("file_path", (F.col("status") == "deleted").alias("deleted"))
-        rebuilt = graph.affected_origins(self.edges, touched)
+        moved = status.where("status != 'unchanged'").select("file_path")
         defs = code.definitions(parsed)
-        partial = code.edges(parsed.join(rebuilt, "file_path", "left_semi"), defs, files)
-        # An added file may be what an unresolved name was waiting for.
-        if plan["counts"].get("added"):
-            return self._of(files, parsed)
-        gone = rebuilt.unionByName(touched.select("file_path")).distinct()
-        return self._of(files, parsed, graph.merged(self.edges, partial, gone, touched))
+        of = lambda d: d.join(moved, "file_path", "left_semi")
+        asks = resolution.asked(parsed, code.import_candidates(parsed))
+        redo = written(resolution.waiting(asks, moved, of(self.definitions).unionByName(of(defs)), defs, parsed), "waiting")
+        partial = code.edges(parsed.join(redo, "file_path", "left_semi"), defs, files)
+        # What nobody waits for is as it was.
+        kept = self.edges.join(redo.withColumnRenamed("file_path", "__f"), ids.ref_file(F.col("source")) == F.col("__f"), "left_anti")
+        return self._of(files, parsed, kept.unionByName(partial))
 
     # --- tools --------------------------------------------------------------------
 

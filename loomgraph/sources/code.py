@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, paths
+from . import resolution
 
 EXCLUDED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".mypy_cache", ".pytest_cache")
 CHUNK_LINES = 80
@@ -250,15 +251,11 @@ def chunks(files: DataFrame, defs: DataFrame) -> DataFrame:
 
 def path_index(files: DataFrame) -> DataFrame:
     """Rows key, target: keys a file can be imported by; of several files the last by name counts."""
-    p = F.col("file_path")
-    plain = F.regexp_replace(p, r"\.[^./]*$", "")
-    package = F.regexp_replace(plain, r"/(__init__|index)$", "")
-    keys = F.array_distinct(F.array(p, plain, F.replace(plain, F.lit("/"), F.lit(".")), package, F.replace(package, F.lit("/"), F.lit(".")), paths.stem(p)))
-    return files.select(p.alias("target"), F.explode(keys).alias("key")).groupBy("key").agg(F.max("target").alias("target"))
+    return resolution.file_keys(files).groupBy("key").agg(F.max("target").alias("target"))
 
 
-def resolved_imports(parsed_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows file_path, target, alias, name, line: the first candidate that is a file counts."""
+def import_candidates(parsed_files: DataFrame) -> DataFrame:
+    """Rows file_path, pos, alias, name, line, language, turn, key: keys that an import may mean, best first."""
     raw = parsed_files.select("file_path", "language", F.posexplode("imports").alias("pos", "i")).select("file_path", "language", "pos", "i.*")
     parts = F.split("file_path", "/")
     here = F.slice(parts, 1, F.greatest(F.size(parts) - F.greatest(F.col("level"), F.lit(1)), F.lit(0)))
@@ -271,29 +268,18 @@ def resolved_imports(parsed_files: DataFrame, files: DataFrame) -> DataFrame:
     js = F.when(F.col("module").startswith("."), F.array(F.array_join(walked, "/"), F.regexp_replace(F.array_join(walked, "/"), r"\.[cm]?[jt]sx?$", "")))
     java = F.array(F.replace("module", F.lit("."), F.lit("/")), F.element_at(F.split("module", r"\."), -1))
     keys = F.when(F.col("language") == "python", python).when(F.col("language") == "java", java).otherwise(js)
-    cand = raw.select("file_path", "pos", "alias", "name", "line", "language", F.posexplode(keys).alias("turn", "key")).where("key is not null and key != ''")
-    hit = cand.join(path_index(files), "key").where("target != file_path")
+    return raw.select("file_path", "pos", "alias", "name", "line", "language", F.posexplode(keys).alias("turn", "key")).where("key is not null and key != ''")
+
+
+def resolved_imports(parsed_files: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows file_path, target, alias, name, line: the first candidate that is a file counts."""
+    hit = import_candidates(parsed_files).join(path_index(files), "key").where("target != file_path")
     # A name of a package that is itself a module is that module.
     first = hit.groupBy("file_path", "pos", "alias", "name", "line").agg(F.min_by("target", "turn").alias("target"), F.min_by("key", "turn").alias("key"))
     return first.select("file_path", "target", "alias", F.when(F.element_at(F.split("key", r"[./]"), -1) == F.col("name"), F.when(paths.stem(F.col("target")) == F.col("name"), F.lit(None).cast("string")).otherwise(F.col("name"))).otherwise(F.col("name")).alias("name"), "line")
 
 
-def _ratio_pairs(names: DataFrame, known: DataFrame, least: float = 0.82) -> DataFrame:
-    """Rows name, match, ratio of the longest-blocks ratio; lengths bound it, so only near lengths meet."""
-    lo, hi = least / (2 - least), (2 - least) / least
-    n = names.select("name", F.explode(F.sequence(F.ceil(F.length("name") * lo).cast("int"), F.floor(F.length("name") * hi).cast("int"))).alias("size"))
-    pairs = n.join(known.select(F.col("name").alias("match"), F.length("name").alias("size")), "size").where("name != match").select("name", "match")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    return pairs.withColumn("ratio", ratio("name", "match")).where(F.col("ratio") >= least)
-
-
-def resolved_calls(parsed_files: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
+def resolved_calls(parsed_files: DataFrame, defs: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """Call edges by falling trust, the first tier that finds a target: rows source, target, confidence, strategy, line."""
     sites = parsed_files.select("file_path", F.posexplode("calls").alias("pos", "c")).select("file_path", "pos", "c.*").where("caller is not null")
     fields = parsed_files.select("file_path", F.explode("fields").alias("f")).select("file_path", F.col("f.name").alias("receiver"), F.col("f.type").alias("type")).dropDuplicates(["file_path", "receiver"])
@@ -322,14 +308,11 @@ def resolved_calls(parsed_files: DataFrame, defs: DataFrame, imports: DataFrame)
     close = close.withColumn("n", F.row_number().over(order)).withColumn("tie", F.lead(F.struct(F.coalesce("near", F.lit(0)), "shared")).over(order) == F.struct(F.coalesce("near", F.lit(0)), "shared"))
     t5 = close.where("n = 1 and not coalesce(tie, false)")
     unknown = bare.join(world.select("d_name").distinct(), F.col("callee") == F.col("d_name"), "left_anti").select(F.col("callee").alias("name")).distinct()
-    fuzzy = _ratio_pairs(unknown, world.where("same = 1").select(F.col("d_name").alias("name")))
+    fuzzy = resolution.near_names(unknown, world.where("same = 1").select(F.col("d_name").alias("name")))
     best = fuzzy.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ratio"), "match"))).where("n = 1")
     t6 = bare.join(best, F.col("callee") == F.col("name")).join(world.where("same = 1"), F.col("match") == F.col("d_name"))
-    methods = first(defs.where("kind = 'method'"), ["file_path", "parent_name", "name"]).select(F.col("file_path").alias("m_file"), F.col("parent_name").alias("m_type"), F.col("name").alias("m_name"), "ref")
-    typed = F.array(F.concat("type", F.lit("Impl")), F.col("type"))
-    wide = sent.select("file_path", "pos", "callee", "receiver", F.posexplode(typed).alias("way", "m_type")).join(methods, "m_type").where("callee = m_name")
-    near = wide.join(reach.select("file_path", F.col("d_file").alias("m_file"), F.lit(1).alias("near")), ["file_path", "m_file"], "left")
-    r1 = near.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("way", (F.col("m_file") == F.col("file_path")).desc(), F.coalesce("near", F.lit(0)).desc(), "m_file"))).where("n = 1")
+    methods = first(defs.where("kind = 'method'"), ["file_path", "parent_name", "name"]).select(F.col("name").alias("m_name"), "ref")
+    r1 = resolution.methods_on_types(sent, defs, imports, files)
     r2 = sent.join(imp.select("file_path", "d_file", F.col("alias").alias("receiver")), ["file_path", "receiver"]).join(own, "d_file").where("callee = d_name")
     lone = methods.withColumn("same", F.count("*").over(Window.partitionBy("m_name"))).where("same = 1")
     r3 = sent.join(lone, F.col("callee") == F.col("m_name"))
@@ -348,15 +331,13 @@ def resolved_calls(parsed_files: DataFrame, defs: DataFrame, imports: DataFrame)
     return out.where("source != target").withColumn("__n", F.row_number().over(Window.partitionBy("source", "target").orderBy("line"))).where("__n = 1").drop("__n")
 
 
-def inherit_edges(defs: DataFrame, imports: DataFrame) -> DataFrame:
-    """Rows source (child), target (parent), relation, line: the imported type, one of the same file, or the only one of its name."""
-    child = defs.select("file_path", "ref", "start_line", F.explode("bases").alias("b")).select("file_path", F.col("ref").alias("source"), F.col("start_line").alias("line"), F.col("b.name").alias("base"), F.col("b.relation").alias("relation"))
-    types = defs.where("kind = 'class'").select(F.col("file_path").alias("t_file"), F.col("name").alias("base"), F.col("ref").alias("target")).dropDuplicates(["t_file", "base"])
-    types = types.withColumn("same", F.count("*").over(Window.partitionBy("base")))
-    hit = child.join(types, "base").join(imports.select("file_path", F.col("target").alias("t_file"), F.lit(1).alias("near")).distinct(), ["file_path", "t_file"], "left")
-    turn = F.when(F.col("near") == 1, 0).when(F.col("t_file") == F.col("file_path"), 1).when(F.col("same") == 1, 2)
-    best = hit.withColumn("turn", turn).where("turn is not null and source != target").withColumn("n", F.row_number().over(Window.partitionBy("source", "base").orderBy("turn", "t_file"))).where("n = 1")
-    return best.select("source", "target", "relation", "line")
+def inherit_edges(defs: DataFrame, imports: DataFrame, files: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """Rows source (child), target (parent), relation, line of each base that is found (see :func:`resolution.named_types`); of the definitions ``children`` if given."""
+    own = children if children is not None else defs
+    child = own.where("kind = 'class'").select("file_path", F.col("ref").alias("source"), F.col("start_line").alias("line"), F.explode("bases").alias("b")).select("file_path", "source", "line", F.col("b.name").alias("type"), F.col("b.relation").alias("relation"))
+    found = resolution.named_types(child, defs, imports, files)
+    hit = child.join(found, ["file_path", "type"]).select("source", F.col("ref").alias("target"), "relation", "line").where("source != target")
+    return resolution.first_by(hit, ["source", "target", "relation"], "line")
 
 
 def edges(parsed_files: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
@@ -364,6 +345,7 @@ def edges(parsed_files: DataFrame, defs: DataFrame, files: DataFrame) -> DataFra
     imp = resolved_imports(parsed_files, files)
     none = lambda t: F.lit(None).cast(t)
     i = imp.groupBy(F.col("file_path").alias("source"), "target").agg(F.min("line").alias("line")).select("source", "target", F.lit("import").alias("edge_type"), F.lit(1.0).alias("confidence"), none("string").alias("strategy"), "line", none("string").alias("relation"))
-    c = resolved_calls(parsed_files, defs, imp).select("source", "target", F.lit("call").alias("edge_type"), "confidence", "strategy", "line", none("string").alias("relation"))
-    h = inherit_edges(defs, imp).select("source", "target", F.lit("inherit").alias("edge_type"), F.lit(1.0).alias("confidence"), none("string").alias("strategy"), "line", "relation")
+    c = resolved_calls(parsed_files, defs, imp, files).select("source", "target", F.lit("call").alias("edge_type"), "confidence", "strategy", "line", none("string").alias("relation"))
+    own = defs.join(parsed_files.select("file_path"), "file_path", "left_semi")
+    h = inherit_edges(defs, imp, files, own).select("source", "target", F.lit("inherit").alias("edge_type"), F.lit(1.0).alias("confidence"), none("string").alias("strategy"), "line", "relation")
     return i.unionByName(c).unionByName(h).withColumn("ordinal", F.coalesce("line", F.lit(0)).cast("long"))

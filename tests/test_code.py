@@ -3,7 +3,7 @@
 import pytest
 
 from loomgraph.plans.tools import CodeIndex
-from loomgraph.sources import code
+from loomgraph.sources import code, resolution
 
 FILES = {
     "shop/__init__.py": "VERSION = 1\n",
@@ -134,4 +134,4 @@ def test_incremental_equals_full(spark, index):
 def test_fuzzy_ratio(spark):
     names = spark.createDataFrame([("find_user",)], "name string")
     known = spark.createDataFrame([("find_users",), ("remove",)], "name string")
-    assert [(r.match, round(r.ratio, 3)) for r in code._ratio_pairs(names, known).collect()] == [("find_users", 0.947)]
+    assert [(r.match, round(r.ratio, 3)) for r in resolution.near_names(names, known).collect()] == [("find_users", 0.947)]
