@@ -122,6 +122,12 @@ def knowledge_nodes(files: DataFrame, definitions: DataFrame, edges: DataFrame)
     return f.unionByName(s).unionByName(shadow, allowMissingColumns=True)
 
 
+def with_line_evidence(edges: DataFrame) -> DataFrame:
+    """Adds ``evidence``: the place of the line that made the edge, in the file that the edge starts from; empty without a line."""
+    at = F.array(F.struct(ids.ref_file(F.col("source")).alias("file_path"), F.col("line").alias("start_line"), F.col("line").alias("end_line")))
+    return edges.withColumn("evidence", F.when(F.col("line").isNotNull(), at).otherwise(F.slice(at, 1, 0)))
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts by kind of node and edge, kinds without any too. Rows what, kind, n."""
     spark = nodes.sparkSession
@@ -201,9 +207,57 @@ def path_confidence(buckets: Column, missing_lines: Column, role_path: Column) -
     return F.when(low, "low").when(F.forall(buckets, lambda b: b == "high") & down, "high").otherwise("medium")
 
 
+def strong(edges: DataFrame) -> DataFrame:
+    """Rows node, root of nodes in strongly connected components of two nodes or more of edges (source, target).
+
+    Edges from nodes that nothing leads to, or into nodes that lead nowhere,
+    are on no cycle and go first.  Then each node takes the least node that
+    reaches it as its colour, and what leads back to that node inside its
+    colour is its component; edges between colours are on no cycle either.
+    """
+    left = written(edges.where("source != target").select("source", "target").distinct(), "strong")
+    found = None
+    while True:
+        live = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        left = written(live.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "strong")
+        if left.isEmpty():
+            return found if found is not None else left.select(F.col("source").alias("node"), F.col("target").alias("root"))
+        nodes = left.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+        colour = written(nodes.withColumn("colour", F.col("node")), "colour")
+        while True:
+            into = left.join(colour.toDF("source", "c"), "source").groupBy(F.col("target").alias("node")).agg(F.min("c").alias("c"))
+            step = colour.join(into, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved"))
+            step = written(step, "colour")
+            colour = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        inside = left.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target").where("a = b").select("source", "target", F.col("a").alias("colour"))
+        inside = written(inside, "inside")
+        back = written(colour.where("node = colour"), "back")
+        while True:
+            more = inside.join(back.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node"), "colour").distinct()
+            more = written(more.join(back, "node", "left_anti"), "back")
+            if more.isEmpty():
+                break
+            back = written(back.unionByName(more), "back")
+        size = Window.partitionBy("colour")
+        some = back.withColumn("n", F.count("*").over(size)).where("n > 1").select("node", F.col("colour").alias("root"))
+        found = written(some if found is None else found.unionByName(some), "components")
+        # What is left has both ends in one colour and outside its component.
+        gone = back.select("node")
+        left = inside.select("source", "target").join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+
+
 def cycles(pairs: DataFrame, longest: int = 6) -> DataFrame:
-    """Simple cycles of 2 to ``longest`` nodes over distinct (source, target); each starts at its smallest node."""
-    e = pairs.where("source != target").select("source", "target").distinct()
+    """Simple cycles of 2 to ``longest`` nodes over distinct (source, target); each starts at its smallest node.
+
+    Paths are followed inside strongly connected components only: one that
+    can't come back isn't begun.
+    """
+    every = pairs.where("source != target").select("source", "target").distinct()
+    roots = strong(every)
+    e = every.join(roots.toDF("source", "a"), "source").join(roots.toDF("target", "b"), "target").where("a = b").select("source", "target")
+    e = written(e, "cycle-edges")
     paths, found = e.where("target > source").select(F.array("source", "target").alias("path")), None
     for n in range(2, longest + 1):
         last = paths.join(e, F.element_at("path", -1) == F.col("source"))

@@ -6,11 +6,17 @@ are broken by id.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, paths, texts
+from ..functions.settings import Retrieval
 from ..sources.tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -86,18 +92,52 @@ def stated(queries: DataFrame) -> DataFrame:
     return queries
 
 
-def hash_embedding(docs: DataFrame, dim: int = 384, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _md5(token: str) -> int:
+    """60 bits, which SQL engines can cut out of the digest too."""
+    return int(hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()[:15], 16)
+
+
+def _blake2b(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+
+
+DIGESTS: dict[str, Callable[[str], int]] = {"md5": _md5, "blake2b": _blake2b}
+#: Tokens whose place a task remembers.
+KNOWN_TOKENS = 1 << 20
+
+
+def hash_embedding(docs: DataFrame, dim: int = 384, doc_id: str = "doc_id", text: str = "text", digest: str = "md5") -> DataFrame:
     """Sparse signed bag of hashed tokens, l2-normalised: rows doc_id, idx, weight.
 
-    Bucket and sign come from 60 bits of the token's MD5, which other engines have too.
+    Place and sign come from a digest of the token: 64 bits of BLAKE2b, or 60
+    of MD5.  A document is one row, so nothing is shuffled; a task hashes the
+    distinct tokens of a batch, and those it has seen before not again.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.explode(texts.dense_tokens(F.col(text))).alias("t"))
-    hashed = tokens.select("doc_id", F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long").alias("h"))
-    h = F.col("h")
-    signed = F.when(F.expr(f"h div {dim}") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = hashed.select("doc_id", (h % dim).cast("int").alias("idx"), signed.alias("s")).groupBy("doc_id", "idx").agg(F.sum("s").alias("w")).where("w != 0")
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return sums.select("doc_id", "idx", (F.col("w") / F.greatest(size, F.lit(1e-12))).alias("weight"))
+    hashed = DIGESTS[digest]
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), texts.dense_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    key = tokens.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            for t in names:
+                if t not in seen:
+                    h = hashed(t)
+                    seen[t] = h % dim + (dim if h // dim % 2 == 0 else 0)
+            coded = np.array([seen[t] for t in names], np.int64)[flat.indices.to_numpy()] if names else np.zeros(0, np.int64)
+            if len(seen) > KNOWN_TOKENS:
+                seen.clear()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            at, inverse = np.unique(row * dim + coded % dim, return_inverse=True)
+            w = np.bincount(inverse, np.where(coded >= dim, 1.0, -1.0), len(at)) if len(at) else np.zeros(0)
+            at, w = at[w != 0], w[w != 0]
+            size = np.maximum(np.sqrt(np.bincount(at // dim, w * w, len(lists))), 1e-12) if len(at) else np.ones(len(lists))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at // dim)), pa.array((at % dim).astype(np.int32)), pa.array(w / size[at // dim])], names=["doc_id", "idx", "weight"])
+
+    return tokens.mapInArrow(run, f"doc_id {key}, idx int, weight double")
 
 
 def sparse_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -135,6 +175,45 @@ def boosted(hits: DataFrame, path: str = "file_path", language: str = "language"
     return hits.withColumn("score", F.col("score") * paths.quality(F.col(path), F.col(language), F.col(kind)))
 
 
+MODES = ("hybrid", "vector", "bm25")
+
+
+def fused(channels: DataFrame, settings: Retrieval = Retrieval(), mode: str = "hybrid", digits: int = 9) -> DataFrame:
+    """Rows query_id, doc_id, score of channel hits (query_id, doc_id, channel, score, rank); of one channel alone, its scores."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if mode != "hybrid":
+        return channels.where(F.col("channel") == mode).select("query_id", "doc_id", "score")
+    if settings.fusion == "weighted":
+        made = weighted_fusion(channels, {"vector": settings.weight_vector, "bm25": settings.weight_bm25})
+    else:
+        made = rrf(channels, settings.rrf_k)
+    return made.withColumn("score", F.round("score", digits))
+
+
+def overlap(query: Column, text: Column) -> Column:
+    """A reranker's score without a model: distinct tokens of the query that the text has."""
+    return F.size(F.array_intersect(texts.dense_tokens(query), texts.dense_tokens(text))).cast("double")
+
+
+def retrieved(channels: DataFrame, info: DataFrame, settings: Retrieval = Retrieval(), mode: str = "hybrid", rerank: Callable[[Column, Column], Column] | None = overlap, digits: int = 9) -> DataFrame:
+    """The whole way of a search: fuse, cut, boost by source quality, cut, rerank, cut.
+
+    info: query_id, query and doc_id, file_path, language, kind, content of
+    candidates, or a table of documents joined with queries by the caller.
+    Rows query_id, doc_id, score, rerank_score, rank; ties by doc_id.  Without
+    ``rerank``, or where the settings switch it off, the score stands for it.
+    """
+    first = top_k(fused(channels, settings, mode, digits), settings.cut).drop("rank")
+    known = first.join(info, ["query_id", "doc_id"] if "query_id" in info.columns else ["doc_id"])
+    raised = boosted(known).withColumn("score", F.round("score", digits))
+    some = top_k(raised, settings.rerank_top_n).drop("rank")
+    again = rerank(F.col("query"), F.col("content")) if rerank is not None and settings.rerank else F.col("score")
+    some = some.withColumn("rerank_score", again)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "doc_id")
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.final_top_n)
+
+
 def identity_rerank(hits: DataFrame, k: int) -> DataFrame:
     """The best k again, marked as reranked by their score."""
     return top_k(hits.drop("rank"), k).withColumn("rerank_score", F.col("score"))

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, texts, topics
+from ..functions.settings import Retrieval
 from ..operators import architecture, cells, changes, context, evaluation, flow, graph, postings, retrieval
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, table, written
 from ..sources.versions import Versions
 from ..streaming import watch
 
@@ -263,6 +264,12 @@ def hash_embeddings(spark, d):
     return retrieval.hash_embedding(table(spark, d, "documents")).withColumn("weight", r6(F.col("weight")))
 
 
+@query()
+def blake_embeddings(spark, d):
+    """Places and signs by BLAKE2b, which SQL lacks."""
+    return retrieval.hash_embedding(table(spark, d, "documents"), digest="blake2b").withColumn("weight", r6(F.col("weight")))
+
+
 _CH2 = """len AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS INT) AS rank, CAST(n_chars AS DOUBLE) AS score FROM bm JOIN documents USING (doc_id))"""
 
 
@@ -296,6 +303,39 @@ def hybrid_search(spark, d):
     return found.withColumn("score", r6(F.col("score")))
 
 
+_VECTORS = f"""ve AS (SELECT q.id AS query_id, v.id AS doc_id, round(sum(q.weight * v.weight), 6) AS score FROM {_embedded('benchmark', 'item_id')} q JOIN {_embedded('documents', 'doc_id')} v ON q.idx = v.idx GROUP BY ALL),
+ver AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ve WHERE score > 0)"""
+_QUALITY = f"CASE WHEN {_DOC} THEN 0.35 ELSE 1.15 * 1.1 * CASE WHEN file_path LIKE '%/test/%' THEN 0.9 ELSE 1 END END"
+
+
+@query(f"""WITH {_BM25}, {_VECTORS}, ch AS (SELECT query_id, doc_id, 'bm25' AS channel, score, rank FROM bmr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 'vector', score, rank FROM ver WHERE rank <= 20),
+scaled AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ch WINDOW w AS (PARTITION BY query_id, channel)),
+modes AS (SELECT 'rrf' AS mode, query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS s FROM ch GROUP BY ALL
+UNION ALL SELECT 'weighted', query_id, doc_id, round(sum(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END * CASE channel WHEN 'bm25' THEN 0.7 ELSE 0.3 END), 6) FROM scaled GROUP BY ALL
+UNION ALL SELECT channel, query_id, doc_id, score FROM ch),
+cut AS (SELECT * FROM modes QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY s DESC, doc_id) <= 16),
+raised AS (SELECT mode, query_id, doc_id, text, round(s * {_QUALITY}, 6) AS score FROM cut JOIN {_FILES} USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY round(s * {_QUALITY}, 6) DESC, doc_id) <= 8),
+again AS (SELECT mode, query_id, doc_id, score, CASE WHEN mode = 'rrf' THEN score ELSE CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '{_DENSE}')), list_distinct(regexp_extract_all(lower(r.text), '{_DENSE}')))) AS DOUBLE) END AS rerank_score
+  FROM raised r JOIN benchmark b ON b.item_id = r.query_id)
+SELECT mode, query_id, doc_id, score, rerank_score, CAST(row_number() OVER (PARTITION BY mode, query_id ORDER BY rerank_score DESC, score DESC, doc_id) AS INT) AS rank FROM again
+QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY rerank_score DESC, score DESC, doc_id) <= 5""")
+def search_options(spark, d):
+    """All ways of a search: fused by rank without a reranker, fused by weight, vectors alone and words alone with one."""
+    docs, asked = table(spark, d, "documents"), questions(spark, d)
+    of = retrieval.hash_embedding(asked, doc_id="query_id").withColumnRenamed("doc_id", "query_id")
+    vectors = retrieval.sparse_scores(retrieval.hash_embedding(docs), of).withColumn("score", r6(F.col("score"))).where("score > 0")
+    part = lambda df, name: retrieval.top_k(df, 20).select("query_id", "doc_id", F.lit(name).alias("channel"), "score", "rank")
+    channels = written(part(_bm25(spark, d), "bm25").unionByName(part(vectors, "vector")), "channels")
+    info = files(spark, d).select("doc_id", "file_path", F.col("text").alias("content"), paths.language(F.col("file_path")).alias("language"), F.lit("function").alias("kind"))
+    info = channels.select("query_id", "doc_id").distinct().join(info, "doc_id").join(F.broadcast(asked.select("query_id", F.col("text").alias("query"))), "query_id")
+    out = None
+    for name, mode, s in (("rrf", "hybrid", Retrieval(rerank=False)), ("weighted", "hybrid", Retrieval(fusion="weighted", weight_bm25=0.7, weight_vector=0.3)), ("vector", "vector", Retrieval()), ("bm25", "bm25", Retrieval())):
+        got = retrieval.retrieved(channels, info, s, mode, digits=6).select(F.lit(name).alias("mode"), "query_id", "doc_id", "score", "rerank_score", "rank")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query(f"""WITH {_BM25}, {_CH2}, {_CH}, s AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ch WINDOW w AS (PARTITION BY query_id, channel))
 SELECT query_id, doc_id, round(sum(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END * CASE channel WHEN 'bm25' THEN 0.6 ELSE 0.4 END), 6) AS score FROM s GROUP BY ALL""")
 def weighted_fusion(spark, d):

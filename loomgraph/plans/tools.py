@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, topics
-from ..operators import architecture, changes, flow, graph, retrieval
+from ..functions.settings import Retrieval
+from ..operators import architecture, changes, flow, graph, postings, retrieval
 from ..sources import code, resolution
 from ..sources.tables import load, save, written
+from ..sources.versions import Versions
 
 FLOW = re.compile(r"(?i)\b(flow|trace|how does|how do|call path|what happens|walk through|end to end)\b|流程|链路|怎么")
 
@@ -54,6 +56,41 @@ class CodeIndex:
         files, parsed, chunks, edges = (x.where(F.col("repo_id") == repo).drop("repo_id") for x in got)
         return cls(files, parsed, code.definitions(parsed), chunks, edges)
 
+    def commit(self, folder: str) -> dict[str, dict[str, int]]:
+        """Writes what differs from the folder's last version, all tables in one version, and the lexical index; counts by table.
+
+        Nodes have their role as canonical JSON, edges their evidence, chunks
+        their place in their file.
+        """
+        nodes = self.nodes()
+        meta = F.to_json(F.struct(F.col("role").alias("role")))
+        nodes = nodes.select("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "language", "parent_id", meta.alias("meta"))
+        edges = graph.with_line_evidence(self.edges)
+        place = F.row_number().over(retrieval.Window.partitionBy("file_path").orderBy("start_line", "end_line", "chunk_id")) - 1
+        counts = Versions(self.spark, folder).sync({
+            "files": (self.files, ["file_path"]), "parsed": (self.parsed, ["file_path"]), "nodes": (nodes, ["id"]),
+            "edges": (edges, ["edge_type", "source", "target", "relation"]), "chunks": (self.chunks.withColumn("ordinal", place), ["chunk_id"]),
+        })
+        own = self._corpus()
+        try:
+            postings.Postings(self.spark, f"{folder}/postings").updated(own)
+        except FileNotFoundError:
+            postings.Postings.build(f"{folder}/postings", own)
+        return counts
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, version: int | None = None) -> CodeIndex | None:
+        """The index of a version; searches read its kept postings. None if there is none."""
+        kept = Versions(spark, folder)
+        now = kept.manifest(version)
+        if "edges" not in now["tables"]:
+            return None
+        files, parsed, chunks, edges = (kept.read(n, manifest=now).drop("row_hash") for n in ("files", "parsed", "chunks", "edges"))
+        made = cls(files, parsed, code.definitions(parsed), chunks.drop("ordinal"), edges.drop("evidence"))
+        if version is None:
+            made.__dict__["_kept_postings"] = postings.Postings(spark, f"{folder}/postings")
+        return made
+
     def _structure(self, parsed: DataFrame) -> DataFrame:
         defs = code.definitions(parsed)
         calls = parsed.select("file_path", F.explode("calls").alias("c")).select("file_path", "c.*")
@@ -131,14 +168,31 @@ class CodeIndex:
         text = F.concat_ws(" ", "file_path", "symbol_name", "content")
         return self.chunks.withColumn("doc_id", F.col("chunk_id")).withColumn("text", text)
 
-    def search(self, query: str, top_k: int = 10) -> DataFrame:
-        """Chunks by lexical and vector search, fused by rank and boosted by source quality."""
-        own = self._corpus()
-        postings = self.kept("_postings", lambda: retrieval.bm25_index(own))
-        vectors = self.kept("_vectors", lambda: written(retrieval.hash_embedding(own), "vectors"))
-        asked = self.spark.createDataFrame([(1, query)], "query_id int, text string")
-        scored = retrieval.hybrid(postings, vectors, asked).join(own, "doc_id")
-        return retrieval.top_k(retrieval.boosted(scored), top_k)
+    def _channels(self, query: str, settings: Retrieval) -> DataFrame:
+        own, asked = self._corpus(), self.spark.createDataFrame([(1, query)], "query_id int, text string")
+        kept = self.__dict__.get("_kept_postings")
+        if kept is not None:
+            lexical = kept.search(asked, settings.top_k_bm25)
+        else:
+            index = self.kept("_postings", lambda: retrieval.bm25_index(own))
+            lexical = retrieval.top_k(retrieval.bm25_scores(index, asked), settings.top_k_bm25)
+        vectors = self.kept("_vectors", lambda: written(retrieval.hash_embedding(own, digest="blake2b"), "vectors"))
+        of = retrieval.hash_embedding(asked, doc_id="query_id", digest="blake2b").withColumnRenamed("doc_id", "query_id")
+        vector = retrieval.top_k(retrieval.sparse_scores(vectors, of).withColumn("score", F.round("score", 9)).where("score > 0"), settings.top_k_vector)
+        keep = lambda df, name: df.select("query_id", "doc_id", F.lit(name).alias("channel"), "score", "rank")
+        return keep(lexical, "bm25").unionByName(keep(vector, "vector"))
+
+    def search(self, query: str, top_k: int = 10, mode: str = "hybrid", settings: Retrieval | None = None, rerank=None, language: str | None = None) -> DataFrame:
+        """Chunks by lexical and vector search, fused, boosted by source quality and, if a reranker is given, reranked.
+
+        ``mode`` is hybrid, vector or bm25; ``rerank`` gives a score column of
+        (query, content); ``language`` keeps chunks of one language.
+        """
+        s = settings or Retrieval(top_k_vector=50, top_k_bm25=50, rerank_top_n=max(top_k, 8), final_top_n=top_k)
+        own = self._corpus().withColumn("query", F.lit(query))
+        if language is not None:
+            own = own.where(F.col("language") == language)
+        return retrieval.retrieved(self._channels(query, s), own, s, mode, rerank)
 
     def expanded(self, hits: DataFrame, limit: int = 4) -> DataFrame:
         """Chunks of callers and callees of the hits' symbols, with the reason; score 0."""
@@ -151,10 +205,10 @@ class CodeIndex:
         """What to show where a search finds nothing: chunks of different files, source files first."""
         return retrieval.diverse(self.chunks.withColumn("ordinal", F.struct("file_path", "start_line")), k).withColumn("score", F.lit(0.0)).withColumn("rank", F.row_number().over(retrieval.Window.orderBy("pass", "ordinal")))
 
-    def search_code(self, query: str, top_k: int = 10, graph_expand: bool = False) -> list[dict]:
+    def search_code(self, query: str, top_k: int = 10, graph_expand: bool = False, mode: str = "hybrid", settings: Retrieval | None = None, rerank=None, language: str | None = None) -> list[dict]:
         """The best chunks, and with ``graph_expand`` chunks next to them in the call graph (``reason`` says how)."""
         keep = ("file_path", "start_line", "end_line", "symbol_name", "kind", "score")
-        hits = self.search(query, min(top_k, 50))
+        hits = self.search(query, min(top_k, 50), mode, settings, rerank, language)
         out = [r.asDict() | {"reason": None} for r in hits.orderBy("rank").select(*keep).collect()]
         if graph_expand:
             out += [r.asDict() for r in self.expanded(hits).orderBy("position").select(*keep, "reason").collect()]
