@@ -8,6 +8,10 @@ of joins; each round is written where the session keeps checkpoints.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -207,23 +211,69 @@ def path_confidence(buckets: Column, missing_lines: Column, role_path: Column) -
     return F.when(low, "low").when(F.forall(buckets, lambda b: b == "high") & down, "high").otherwise("medium")
 
 
-def strong(edges: DataFrame) -> DataFrame:
-    """Rows node, root of nodes in strongly connected components of two nodes or more of edges (source, target).
-
-    Edges from nodes that nothing leads to, or into nodes that lead nowhere,
-    are on no cycle and go first.  Then each node takes the least node that
-    reaches it as its colour, and what leads back to that node inside its
-    colour is its component; edges between colours are on no cycle either.
+#: Distinct edges up to which components are found in one task, in time linear in them.
+EDGES_OF_A_TASK = 1 << 20
+
+
+def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected components by two walks: nodes in the order in which they end, then backwards from the last."""
+    edges = [(a, b) for f in frames for a, b in zip(f["source"], f["target"], strict=True)]
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        ahead[a].append(b)
+        behind[b].append(a)
+    seen, ended = set(), []
+    for start in ahead:
+        todo = [(start, iter(ahead[start]))] if start not in seen else []
+        seen.add(start)
+        while todo:
+            node, rest = todo[-1]
+            new = next((x for x in rest if x not in seen), None)
+            if new is None:
+                ended.append(todo.pop()[0])
+            else:
+                seen.add(new)
+                todo.append((new, iter(ahead.get(new, ()))))
+    taken, out = set(), []
+    for start in reversed(ended):
+        if start in taken:
+            continue
+        taken.add(start)
+        own, todo = [start], [start]
+        while todo:
+            for x in behind.get(todo.pop(), ()):
+                if x not in taken:
+                    taken.add(x)
+                    own.append(x)
+                    todo.append(x)
+        if len(own) > 1:
+            out += [(x, min(own)) for x in own]
+    yield pd.DataFrame(out, columns=["node", "root"], dtype=object)
+
+
+def strong(edges: DataFrame, in_task: int = EDGES_OF_A_TASK) -> DataFrame:
+    """Rows node, root (the least node) of strongly connected components of two nodes or more of edges (source, target).
+
+    Up to ``in_task`` distinct edges, a count that is checked, are one task.
+    Of more, edges from nodes that nothing leads to, or into nodes that lead
+    nowhere, are on no cycle and go first.  Then each node takes the node of
+    the least hash that reaches it as its colour, and what leads back to that
+    node inside its colour is its component; edges between colours are on no
+    cycle either.  Hashes cut long chains into parts that are done at once.
     """
     left = written(edges.where("source != target").select("source", "target").distinct(), "strong")
+    if left.limit(in_task + 1).count() <= in_task:
+        return written(left.coalesce(1).mapInPandas(_components, "node string, root string"), "components")
     found = None
     while True:
         live = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
         left = written(live.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "strong")
         if left.isEmpty():
-            return found if found is not None else left.select(F.col("source").alias("node"), F.col("target").alias("root"))
+            if found is None:
+                return left.select(F.col("source").alias("node"), F.col("target").alias("root"))
+            return found.select("node", F.min("node").over(Window.partitionBy("root")).alias("root"))
         nodes = left.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        colour = written(nodes.withColumn("colour", F.col("node")), "colour")
+        colour = written(nodes.withColumn("colour", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))), "colour")
         while True:
             into = left.join(colour.toDF("source", "c"), "source").groupBy(F.col("target").alias("node")).agg(F.min("c").alias("c"))
             step = colour.join(into, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved"))
@@ -233,7 +283,7 @@ def strong(edges: DataFrame) -> DataFrame:
                 break
         inside = left.join(colour.toDF("source", "a"), "source").join(colour.toDF("target", "b"), "target").where("a = b").select("source", "target", F.col("a").alias("colour"))
         inside = written(inside, "inside")
-        back = written(colour.where("node = colour"), "back")
+        back = written(colour.where("node = colour.node"), "back")
         while True:
             more = inside.join(back.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node"), "colour").distinct()
             more = written(more.join(back, "node", "left_anti"), "back")
@@ -241,7 +291,7 @@ def strong(edges: DataFrame) -> DataFrame:
                 break
             back = written(back.unionByName(more), "back")
         size = Window.partitionBy("colour")
-        some = back.withColumn("n", F.count("*").over(size)).where("n > 1").select("node", F.col("colour").alias("root"))
+        some = back.withColumn("n", F.count("*").over(size)).where("n > 1").select("node", F.col("colour.node").alias("root"))
         found = written(some if found is None else found.unionByName(some), "components")
         # What is left has both ends in one colour and outside its component.
         gone = back.select("node")
