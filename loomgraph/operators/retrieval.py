@@ -206,7 +206,8 @@ def retrieved(channels: DataFrame, info: DataFrame, settings: Retrieval = Retrie
     """
     first = top_k(fused(channels, settings, mode, digits), settings.cut).drop("rank")
     known = first.join(info, ["query_id", "doc_id"] if "query_id" in info.columns else ["doc_id"])
-    raised = boosted(known).withColumn("score", F.round("score", digits))
+    # Four places more: a quality has so many, so no product lies halfway between two roundings.
+    raised = boosted(known).withColumn("score", F.round("score", digits + 4))
     some = top_k(raised, settings.rerank_top_n).drop("rank")
     again = rerank(F.col("query"), F.col("content")) if rerank is not None and settings.rerank else F.col("score")
     some = some.withColumn("rerank_score", again)

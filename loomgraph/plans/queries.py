@@ -314,9 +314,9 @@ modes AS (SELECT 'rrf' AS mode, query_id, doc_id, round(sum(1.0 / (60 + rank)),
 UNION ALL SELECT 'weighted', query_id, doc_id, round(sum(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END * CASE channel WHEN 'bm25' THEN 0.7 ELSE 0.3 END), 6) FROM scaled GROUP BY ALL
 UNION ALL SELECT channel, query_id, doc_id, score FROM ch),
 cut AS (SELECT * FROM modes QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY s DESC, doc_id) <= 16),
-raised AS (SELECT mode, query_id, doc_id, text, round(s * {_QUALITY}, 6) AS score FROM cut JOIN {_FILES} USING (doc_id)
-  QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY round(s * {_QUALITY}, 6) DESC, doc_id) <= 8),
-again AS (SELECT mode, query_id, doc_id, score, CASE WHEN mode = 'rrf' THEN score ELSE CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '{_DENSE}')), list_distinct(regexp_extract_all(lower(r.text), '{_DENSE}')))) AS DOUBLE) END AS rerank_score
+raised AS (SELECT mode, query_id, doc_id, text, round(s * {_QUALITY}, 10) AS score FROM cut JOIN {_FILES} USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY round(s * {_QUALITY}, 10) DESC, doc_id) <= 8),
+again AS (SELECT mode, query_id, doc_id, score, CAST(CASE WHEN mode = 'rrf' THEN score ELSE len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '{_DENSE}')), list_distinct(regexp_extract_all(lower(r.text), '{_DENSE}')))) END AS DOUBLE) AS rerank_score
   FROM raised r JOIN benchmark b ON b.item_id = r.query_id)
 SELECT mode, query_id, doc_id, score, rerank_score, CAST(row_number() OVER (PARTITION BY mode, query_id ORDER BY rerank_score DESC, score DESC, doc_id) AS INT) AS rank FROM again
 QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY rerank_score DESC, score DESC, doc_id) <= 5""")

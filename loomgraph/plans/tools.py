@@ -17,6 +17,9 @@ from ..sources.versions import Versions
 
 FLOW = re.compile(r"(?i)\b(flow|trace|how does|how do|call path|what happens|walk through|end to end)\b|流程|链路|怎么")
 
+#: Symbols that one name may stand for in a question; the first by name count.
+MOST_REFS = 200
+
 
 @dataclass
 class CodeIndex:
@@ -136,7 +139,7 @@ class CodeIndex:
     def _refs(self, name: str) -> list[str]:
         known = self.definitions.select("ref").unionByName(self.edges.where("edge_type != 'import'").select(F.explode(F.array("source", "target")).alias("ref"))).distinct()
         asked = self.spark.createDataFrame([(name,)], "name string")
-        return sorted(r.ref for r in graph.resolve_names(asked, known).limit(200).collect())
+        return [r.ref for r in graph.resolve_names(asked, known).orderBy("ref").limit(MOST_REFS).collect()]
 
     def _seeds(self, refs: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(r,) for r in refs], "seed string")
