@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, topics
 from ..functions.settings import Retrieval
-from ..operators import architecture, changes, flow, graph, postings, retrieval
+from ..operators import architecture, changes, findings, flow, graph, postings, retrieval
 from ..sources import code, resolution
 from ..sources.tables import load, save, written
 from ..sources.versions import Versions
 
-FLOW = re.compile(r"(?i)\b(flow|trace|how does|how do|call path|what happens|walk through|end to end)\b|流程|链路|怎么")
+# What a question about a flow says.
+FLOW = re.compile(r"(?i)(flow|流程|how does|怎么|如何|reach|调用链|login|登录|request|请求)")
 
 #: Symbols that one name may stand for in a question; the first by name count.
 MOST_REFS = 200
 
 
+def flow_starts() -> list[str]:
+    """Roles of the uppermost layer."""
+    top = min(roles.LAYER.values())
+    return [r for r, rank in roles.LAYER.items() if rank == top]
+
+
 @dataclass
 class CodeIndex:
     files: DataFrame
@@ -237,19 +244,21 @@ class CodeIndex:
         outline = self.definitions.where(F.col("file_path") == file_path).orderBy("start_line").limit(200).select("kind", F.concat_ws(".", "parent_name", "name").alias("symbol"), "start_line", "end_line").collect()
         return out | {"next_line": out["end_line"] + 1 if out["cut"] else None, "outline": [x.asDict() for x in outline]}
 
-    def entries(self, question: str, k: int = 5, hint: str | None = None) -> DataFrame:
+    def entries(self, question: str, k: int = 5, hint: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
         """Where a question's flow may start, best first; see :func:`flow.entries`."""
         _, terms = topics.topic(question)
-        words = " ".join(dict.fromkeys([*terms[:6], "controller", "handler", "endpoint", question]))[:180]
-        hits = self.search(words, 8).select("rank", "file_path", "symbol_name")
-        nodes = self.nodes()
+        # The question, what its topic is called that it doesn't say itself, and the roles that flows start in.
+        said = question.lower()
+        words = [question.strip(), *(t for t in terms if t not in said), *flow_starts()]
+        hits = self.search(" ".join(words), 8).select("rank", "file_path", "symbol_name")
+        nodes = nodes if nodes is not None else self.nodes()
         return flow.entries(nodes, self.edges, terms, topics.entry_hint(hint), flow.retrieval_boosts(nodes, hits), None, k)
 
     def trace_flow(self, question: str, depth: int = 5, hint: str | None = None, most: int = 3) -> dict:
         """The best call path from an entry, step by step with citations, and other paths."""
         _, terms = topics.topic(question)
         nodes = written(self.nodes(), "nodes")
-        first = self.entries(question, 5, hint).orderBy("position").collect()
+        first = self.entries(question, 5, hint, nodes).orderBy("position").collect()
         if not first:
             return {"steps": [], "score": 0.0, "alternatives": [], "cited": [], "confidence": "low", "unresolved": ["no_entry_candidate"], "warnings": []}
         warnings = [] if first[0].role in ("controller", "gateway") else [f"entry_role_is_{first[0].role}_not_controller"]
@@ -272,8 +281,10 @@ class CodeIndex:
 
     def _path_confidence(self, path: list[str], role_path: list[str]) -> str:
         pairs = self.spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "source string, target string")
-        edges = flow.call_evidence(self.edges).join(F.broadcast(pairs), ["source", "target"]).agg(F.collect_list(ids.confidence_bucket(F.col("confidence"))).alias("buckets"))
-        return edges.select(graph.path_confidence(F.col("buckets"), F.lit(0), F.array(*map(F.lit, role_path))).alias("c")).first().c
+        lines = self.edges.where("edge_type = 'call'").groupBy("source", "target").agg(F.min("line").alias("line"))
+        own = flow.call_evidence(self.edges).join(lines, ["source", "target"]).join(F.broadcast(pairs), ["source", "target"])
+        edges = own.agg(F.collect_list(ids.confidence_bucket(F.col("confidence"))).alias("buckets"), F.count_if(F.col("line").isNull()).alias("missing"))
+        return edges.select(graph.path_confidence(F.col("buckets"), F.col("missing"), F.array(*map(F.lit, role_path))).alias("c")).first().c
 
     def context_explore(self, query: str, top_k: int = 8, depth: int = 2) -> dict:
         hits = self.search(query, min(top_k, 20)).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
@@ -300,9 +311,13 @@ class CodeIndex:
         per = architecture.coupling(pairs, names).join(architecture.cohesion(pairs, names), "module")
         cycles = graph.cycles(pairs.select("source", "target"))
         patterns = architecture.ranked_patterns(architecture.pattern_scores(architecture.pattern_signals(nodes), architecture.layer_edges(self.edges, nodes, roles.layer), architecture.modules(nodes).where("module_type = 'layer'").agg(F.count("*").alias("n"))))
+        modules, languages = architecture.modules(nodes), architecture.language_counts(self.files)
+        nothing = self.spark.createDataFrame([], "name string, kind string, file_path string")
+        proven = findings.boundary_findings(modules, nodes).unionByName(findings.pattern_findings(patterns, nodes, self.edges)).unionByName(findings.profile_findings(nothing, nothing, languages, nodes))
         return {
+            "evidence": [r.asDict(True) for r in proven.orderBy("category", "finding_id").limit(1000).collect()],
             "totals": architecture.totals(pairs, names).first().asDict(),
-            "modules": [r.asDict() for r in architecture.modules(nodes).join(per, "module", "left").orderBy("module").limit(1000).collect()],
+            "modules": [r.asDict() for r in modules.join(per, "module", "left").orderBy("module").limit(1000).collect()],
             "findings": [r.asDict() for r in architecture.coupling_findings(per).orderBy("module", "finding").limit(1000).collect()],
             "cycles": [r.asDict() for r in architecture.cycle_findings(cycles).collect()],
             "patterns": [r.asDict() for r in patterns.orderBy("rank").collect()],
