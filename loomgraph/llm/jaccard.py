@@ -38,8 +38,10 @@ Equal sets are one class from the start (their documents are linked), known by
 a 64-bit fingerprint; shingles are 64-bit hashes.  A document with fewer than
 five words has one shingle, all its words; one without words has none and is
 linked with nothing.  Null texts have no words.  A null doc_id is larger than
-all others.  Repeated rows are members of one class.  Extra columns are
-ignored.
+all others.  Repeated rows are members of one class; a class is read again from
+the rows of one doc_id and one text, so many rows without an id, or with one
+id, don't multiply.  A text is never cut: one longer than a slice is a slice of
+its own.  No rows give no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,7 +152,7 @@ def least_apart(x: bytes, y: bytes) -> int:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, column = rows(batch, ["doc_id", "text"])
+        ids, keys, column = rows(batch, ["doc_id", "key", "text"])
         for s in text_slices(column):
             x = Sets(s)
             u, n = np.unique(x.hashes, return_counts=True)
@@ -163,7 +165,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signs: list[bytes | None] = [None] * s.n_docs
             for d in lead.tolist():
                 signs[d] = signature(x.hashes[x.first[d] : x.first[d + 1]])
-            yield pa.RecordBatch.from_arrays([own, pa.array(x.n), pa.array(x.cls), notes, pa.array(signs, pa.binary())], names=["doc_id", "n", "cls", "common", "sign"])
+            yield pa.RecordBatch.from_arrays([own, keys.slice(s.lo, s.n_docs), pa.array(x.n), pa.array(x.cls), notes, pa.array(signs, pa.binary())], names=["doc_id", "key", "n", "cls", "common", "sign"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +282,15 @@ def _cell_links(percent: int):
 
 class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"):
+        if not 50 <= percent <= 100:
+            # Signatures of sets fold once at most, so sizes may differ by a factor of two.
+            raise ValueError("percent must be 50 to 100")
         self.spark, self.percent = docs.sparkSession, percent
-        self.body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        self.body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n, cls) and, of each class that links to another, its root class."""
-        measured, path = materialize(self.body.mapInArrow(freed(_measure), "doc_id long, n long, cls long, common binary, sign binary"), "jaccard-measured")
+        measured, path = materialize(self.body.mapInArrow(freed(_measure), "doc_id long, key long, n long, cls long, common binary, sign binary"), "jaccard-measured")
         notes = measured.where("common is not null").select("common").mapInArrow(freed(_common), "shingle long, n long")
         often = notes.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
         hashes = np.array([r["shingle"] for r in often], np.int64).view(U64)
@@ -293,8 +298,10 @@ class Join:
         order = np.argsort(hashes)
         self.order = self.spark.sparkContext.broadcast((hashes[order], rank[order]))
         members, _ = materialize(measured.select("doc_id", "n", "cls"), "jaccard-members")
-        first = measured.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign", True).alias("sign"))
-        self.classes, _ = materialize(first, "jaccard-classes")
+        first = measured.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("sign", True).alias("sign"))
+        self.classes, _ = materialize(first.select("cls", "at.doc_id", "at.key", "n", "sign"), "jaccard-classes")
+        # Whether a row, by doc_id and text, occurs more than once.
+        self.repeated = not measured.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
         discard(self.spark, path)
         # A set sends n - ceil(t * n) + 1 tokens; the parts follow the data.
         tokens = self.classes.agg(F.sum(F.col("n") * (100 - self.percent) / 100 + 1)).first()[0] or 0
@@ -333,8 +340,8 @@ class Join:
 
     def _sets(self, need: DataFrame) -> tuple[DataFrame, str]:
         """The shingles of one document of each class in ``need``, and where they are written."""
-        need = self.classes.select("cls", "doc_id").join(need.select("cls").distinct(), "cls")
-        texts = self.body.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(need, "doc_id")
+        need = self.classes.select("cls", "doc_id", "key").join(need.select("cls").distinct(), "cls")
+        texts = self.body.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(need, ["doc_id", "key"])
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -346,7 +353,8 @@ class Join:
                     cells = [x.hashes[x.first[d] : x.first[d + 1]].tobytes() for d in mine]
                     yield pa.RecordBatch.from_arrays([pa.array(x.cls[mine]), pa.array(cells, pa.binary())], names=["cls", "hashes"])
 
-        return materialize(texts.mapInArrow(freed(sets), "cls long, hashes binary"), "jaccard-sets", "none")
+        found = texts.select("cls", "text").mapInArrow(freed(sets), "cls long, hashes binary")
+        return materialize(found.dropDuplicates(["cls"]) if self.repeated else found, "jaccard-sets", "none")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs (lo, hi, n, pn) with ``apart``, a lower bound of their symmetric difference."""

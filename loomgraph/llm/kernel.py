@@ -6,8 +6,11 @@ strings are made.  A batch is cut into slices of whole documents of about
 ``max_bytes`` each, so a worker's memory depends on the slice (or on the one
 longest document), never on the batch or the partition.
 
-Hashes are 64-bit.  A word's hash is a polynomial over random byte codes,
-taken from prefix sums modulo 2**64 and then mixed.
+Hashes are 64-bit.  The hash of a word of up to ``BLOCK`` bytes is a polynomial
+over random byte codes, taken from prefix sums modulo 2**64 and then mixed.
+Modulo a power of two, long strings over two letters can be built whose
+polynomials are equal whatever the base; so a longer word is the sum of its
+blocks' hashes, each mixed with its place before they are added.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Bytes of a word under one polynomial. Two strings of 64 bytes differ in more powers of two than a sum modulo 2**64 forgets.
+BLOCK = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -137,8 +142,20 @@ class Slice:
         return c
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-        c = self.prefix_sums(lower)
-        return mix((c[ends] - c[starts]) * powers(len(self.data))[1][starts])
+        c, inverse = self.prefix_sums(lower), powers(len(self.data))[1]
+        h = mix((c[ends] - c[starts]) * inverse[starts])
+        long = np.flatnonzero(ends - starts > BLOCK)
+        if len(long):
+            a, b = starts[long], ends[long]
+            blocks = -(-(b - a) // BLOCK)
+            first = np.cumsum(blocks) - blocks
+            k = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+            lo = np.repeat(a, blocks) + k * BLOCK
+            hi = np.minimum(lo + BLOCK, np.repeat(b, blocks))
+            own = mix((c[hi] - c[lo]) * inverse[lo])
+            own = mix(own + (k + 1).astype(U64) * U64(_BASE))
+            h[long] = mix(np.add.reduceat(own, first) + (b - a).astype(U64))
+        return h
 
 
 def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Slice]:
