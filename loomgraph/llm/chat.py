@@ -21,13 +21,17 @@ conversation is one of its own.  A call whose id another call of the
 conversation has (in an earlier turn, or before it in its message) is a
 duplicate and invalid; of several results for a call the earliest counts.
 Repeated rows are messages each.  No rows give no rows.  Extra columns are
-ignored.  JSON with NaN or infinities, or nested deeper than ``MAX_NESTING``,
-is content; lone surrogates are written as escapes.
+ignored.  JSON with NaN, infinities or numbers too large for a double (1e400),
+or nested deeper than ``MAX_NESTING``, is content; lone surrogates are written
+as escapes.  Numbers stay as they are written: 1.0 isn't the integer 1, and is
+serialised as 1.0.  No value has a type that the schema language doesn't know.
+Time is linear in a text's length.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,10 +43,11 @@ from pyspark.sql.window import Window
 from .kernel import freed, rows
 from .storage import discard, materialize
 
-_TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+_OPEN, _CLOSE = "<tool_call>", "</tool_call>"
 
 _SURROGATE = re.compile("[\ud800-\udfff]")
-_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+#: A string that isn't closed runs to the end, so that no place is looked at twice.
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*+"?|[\[\]{}]', re.DOTALL)
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
@@ -101,12 +106,29 @@ def _no_constant(name: str) -> object:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError(f"{digits} is no number that JSON can write again")
+    return value
+
+
+def _tagged(text: str) -> tuple[list[str], str]:
+    """What stands in closed tags, and the text around them."""
+    inside, around, at = [], [], 0
+    while (lo := text.find(_OPEN, at)) >= 0 and (hi := text.find(_CLOSE, lo + len(_OPEN))) >= 0:
+        around.append(text[at:lo])
+        inside.append(text[lo + len(_OPEN) : hi])
+        at = hi + len(_CLOSE)
+    return inside, "".join([*around, text[at:]])
+
+
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks its schema."""
     out = []
     kinds = schema.get("type") or []
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (k in ("number", "integer") and isinstance(value, bool)) for k in kinds):
+    if kinds and not any(isinstance(value, _TYPES.get(k, ())) and not (k in ("number", "integer") and isinstance(value, bool)) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
@@ -131,7 +153,7 @@ def _object(text: str) -> dict | None:
     if text.count("[") + text.count("{") > MAX_NESTING and _nesting(text) > MAX_NESTING:
         return None
     try:
-        value = json.loads(text, parse_constant=_no_constant)
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except ValueError:
         return None
     return value if isinstance(value, dict) else None
@@ -157,8 +179,8 @@ def parse(role: str, text: str) -> tuple[str, list[dict], str | None]:
         content = whole.get("content", "")
         content = content if isinstance(content, str) else canonical(content)
     else:
-        found = [_object(x) for x in _TAG.findall(text)] if "<tool_call>" in text else []
-        content = _TAG.sub("", text) if found else text
+        inside, content = _tagged(text)
+        found = [_object(x) for x in inside]
     calls = [c for c in found if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str)]
     return content, [{"id": _writable(c["id"]), "name": _writable(c["name"]), "arguments": c.get("arguments", {})} for c in calls], None
 
