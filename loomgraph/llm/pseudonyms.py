@@ -45,9 +45,9 @@ ROUNDS = 10
 KINDS = ("card", "iban", "phone", "ip", "date", "email", "secret")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+#: All kinds but addresses.
 _FOUND = re.compile(
-    r"""(?P<email>\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?P<iban>\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b)
+    r"""(?P<iban>\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b)
     |(?P<secret>\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}\b)
     |(?P<phone>\+1\ \([0-9]{3}\)\ [0-9]{3}-[0-9]{4}(?![0-9])|\b[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-]))
     |(?P<ip>\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
@@ -55,6 +55,46 @@ _FOUND = re.compile(
     |(?P<card>\b(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9]))""",
     re.VERBOSE | re.ASCII,
 )
+#: What follows the local part of an address.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: A local part begins with a letter or digit at the start of a word.
+_FIRST = re.compile(r"\b[A-Za-z0-9]", re.ASCII)
+
+
+def _address(text: str, at: int) -> tuple[int, int] | None:
+    """The first address that begins at ``at`` or later.
+
+    Looked for from its @, so each stretch of text is read once, however many
+    words could begin a local part.
+    """
+    low, sign = at, text.find("@", at)
+    while sign >= 0:
+        if domain := _DOMAIN.match(text, sign):
+            lo = sign
+            while lo > low and text[lo - 1] in _LOCAL:
+                lo -= 1
+            if first := _FIRST.search(text, lo, sign):
+                return first.start(), domain.end()
+        low, sign = sign + 1, text.find("@", sign + 1)
+    return None
+
+
+def found(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of what looks like a value, from left to right without overlaps; of two that begin together, the address."""
+    at = 0
+    address, other = _address(text, 0), _FOUND.search(text)
+    while address or other:
+        if address and (not other or address[0] <= other.start()):
+            kind, (lo, hi) = "email", address
+        else:
+            kind, lo, hi = other.lastgroup, *other.span()
+        yield kind, lo, hi
+        at = hi
+        if address and address[0] < at:
+            address = _address(text, at)
+        if other and other.start() < at:
+            other = _FOUND.search(text, at)
 
 
 class Permutation:
@@ -188,15 +228,14 @@ class Pseudonyms:
 
     def text(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
-
-        def one(m: re.Match) -> str:
-            new = self.replaced(m.lastgroup, m[0], back)
-            if new is None:
-                return m[0]
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-            return new
-
-        return _FOUND.sub(one, text), counts
+        out, at = [], 0
+        for kind, lo, hi in found(text):
+            new = self.replaced(kind, text[lo:hi], back)
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[at:lo], new]
+                at = hi
+        return "".join([*out, text[at:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
