@@ -17,13 +17,16 @@ there are; hits of several groups are united by a number of the row.
 
 Nulls and empty texts have no words: such a document has 0 hits and isn't
 contaminated, such an item has no window.  Item ids that repeat count once.
-Repeated documents are judged each by itself.  Extra columns are ignored.
+Items without an id count as one item together, which has no name in
+items_sha256.  Repeated documents are judged each by itself.  A text is never
+cut: one longer than a slice is a slice of its own.  No documents give no
+rows, no items no hits.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +192,13 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+def names_of(ids: Iterable[object]) -> list[str | None]:
+    """Distinct ids as strings, in order; null, the items without an id, comes last."""
+    distinct = set(ids)
+    named = sorted({str(i) for i in distinct if i is not None})
+    return [*named, None] if None in distinct else named
+
+
 SCHEMA = "row long, doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
 
 
@@ -234,7 +244,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int
                             ids.take(at),
                             pa.array([x[1] for x in got], pa.int64()),
                             pa.array([[{"lo": lo, "hi": hi} for lo, hi in x[2]] for x in got], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                            pa.array([sorted({str(m.ids[i]) for i in x[3]}) for x in got], pa.list_(pa.string())),
+                            pa.array([names_of(m.ids[i] for i in x[3]) for x in got], pa.list_(pa.string())),
                         ],
                         names=["row", "doc_id", "n_words", "spans", "items"],
                     )
