@@ -338,7 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """A row without an id has no remainder: it isn't held out, and ``fit`` doesn't read it either."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
