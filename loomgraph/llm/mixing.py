@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("__order"),
         sources.alias("__sources"),
         key.alias("__pattern"),
-        *([F.struct(*docs.columns).alias("__row")] if keep_text else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep_text else []),
     ).withColumn("__bucket", F.pmod(F.col("__order"), F.lit(buckets)))
     if not keep_text:  # sizes and keys only: a few bytes a document, written once, so no text is read again
         sized, _ = materialize(sized, "mix-sizes")
