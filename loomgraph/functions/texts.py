@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,36 @@ def short_query(text: Column, most: int = 8, chars: int = 64) -> Column:
     return F.when(F.length(clipped) > chars, F.rtrim(F.substring(clipped, 1, chars))).otherwise(clipped)
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def joined_query(parts: Column, chars: int = 220) -> Column:
-    """Distinct parts in order, as long as they fit."""
-    distinct = F.filter(F.array_distinct(F.transform(parts, F.trim)), lambda p: p != "")
-    return F.aggregate(distinct, F.lit(""), lambda a, p: F.when(a == "", F.substring(p, 1, chars)).when(F.length(a) + 1 + F.length(p) <= chars, F.concat(a, F.lit(" "), p)).otherwise(a))
+    """Distinct parts in order, up to the first that doesn't fit."""
+    distinct = F.array_distinct(F.filter(F.transform(parts, stripped), lambda p: p != ""))
+    state = lambda query, length: F.struct(query.alias("query"), length.alias("length"))
+
+    def add(a: Column, p: Column) -> Column:
+        length = a["length"] + 1 + F.length(p)
+        # A part that doesn't fit closes the query: its length leaves no room for another.
+        return F.when(length > chars, state(a["query"], F.lit(chars))).otherwise(state(F.when(a["length"] < 0, p).otherwise(F.concat(a["query"], F.lit(" "), p)), length))
+
+    return F.aggregate(distinct, state(F.lit(""), F.lit(-1)), add, lambda a: a["query"])
+
+
+def clipped(text: Column, chars: int) -> Column:
+    """White space as single spaces; cut, and then without a space at the end."""
+    return F.rtrim(F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, chars))
+
+
+def names(text: Column, most: int) -> Column:
+    """The first names of three letters or more."""
+    return F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), 1, most)
 
 
 def guessed_symbols(text: Column, most: int = 3) -> Column:

@@ -53,6 +53,47 @@ def latest(history: DataFrame, n: int, by: str, order: str) -> DataFrame:
     return history.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__n") <= n).drop("__n")
 
 
+def _shrunk(length: Column, limit: int) -> Column:
+    """What is left of so many characters, cut to 0.85 of them until they are ``limit`` tokens or 32 characters at most."""
+    over = lambda n: (n > 4 * limit) & (n > 32)
+    # After 160 cuts nothing that Spark's strings can hold is over 32 characters.
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(160)), length, lambda n, _: F.when(over(n), F.floor(n * F.lit(0.85))).otherwise(n))
+    return F.when(over(length), cut).otherwise(length)
+
+
+def history_text(history: DataFrame, window: int, limit: int, by: str, order: str, text: str) -> DataFrame:
+    """Rows ``by``, text, tokens: the latest ``window`` texts, newest first, with an empty line between, shrunk to ``limit`` tokens.
+
+    Blank and null texts are no history; a group of only such texts has no
+    row.  Of equal ``order``, the smaller text is taken as the newer.  A text
+    is cut to the limit before it is shuffled, only its length goes on whole;
+    so a group's state is at most ``window`` texts of that size.  The window is
+    a row number under a bound, which Spark applies before the shuffle too.
+    """
+    most, window = max(4 * limit, 32), max(window, 1)
+    own = history.where(F.col(text).rlike(r"(?U)\S")).select(by, F.col(order).alias("__order"), F.substring(text, 1, most).alias("__text"), F.length(text).cast("long").alias("__length"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("__order").desc(), "__text", "__length"))
+    kept = own.withColumn("__n", place).where(F.col("__n") <= window)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__text"))), lambda x: x["__text"]), "\n\n")
+    whole = kept.groupBy(by).agg(joined.alias("__joined"), (F.sum("__length") + 2 * (F.count("*") - 1)).alias("__whole"))
+    shown = F.substring("__joined", F.lit(1), _shrunk(F.col("__whole"), limit).cast("int")) if limit > 0 else F.lit("")
+    return whole.select(by, shown.alias("text")).withColumn("tokens", texts.n_tokens(F.col("text")))
+
+
+def findings_text(findings: DataFrame, by: str, turn: str) -> DataFrame:
+    """Rows ``by``, ``turn``, text: a round's findings as lines under its heading, in order of finding_id.
+
+    findings: finding_id, claim, citations, confidence, tier.  What is unknown
+    is a question mark.
+    """
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    cites = F.coalesce(F.when(F.size("citations") > 0, F.array_join("citations", ", ")), F.lit("no-cite"))
+    line = F.concat(F.lit("- ("), told("confidence"), F.lit("/"), told("tier"), F.lit(") "), F.coalesce("claim", F.lit("")), F.lit(" ["), cites, F.lit("]"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col("finding_id"), line.alias("line")))), lambda x: x["line"])
+    head = F.concat(F.lit("[round "), F.col(turn).cast("string"), F.lit("]\n"))
+    return findings.groupBy(by, turn).agg(lines.alias("__lines")).select(by, turn, F.concat(head, F.array_join("__lines", "\n")).alias("text"))
+
+
 def review(findings: DataFrame, allowed: DataFrame, plan: DataFrame) -> DataFrame:
     """Issues: rows type, finding_id, citation, severity.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, texts, topics
 from ..functions.settings import Retrieval
-from ..operators import architecture, cells, changes, context, evaluation, flow, graph, postings, retrieval
+from ..operators import architecture, cells, changes, context, evaluation, flow, graph, postings, retrieval, retries
 from ..sources.tables import shared_folder, table, written
 from ..sources.versions import Versions
 from ..streaming import watch
@@ -653,6 +653,33 @@ def history_within_budget(spark, d):
     return context.prefix_within(table(spark, d, "conversations"), 300, "conv_id", "turn", "text").select("conv_id", "turn")
 
 
+@query("""WITH k AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS n FROM conversations WHERE regexp_matches(text, '\\S')),
+j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS t FROM k WHERE n <= 3 GROUP BY conv_id),
+c AS (SELECT conv_id, substring(t, 1, list_reduce(list_prepend(CAST(length(t) AS BIGINT), range(160)), lambda a, x: CASE WHEN a > 120 THEN CAST(floor(a * CAST(0.85 AS DOUBLE)) AS BIGINT) ELSE a END)) AS text FROM j)
+SELECT conv_id, text, CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM c""")
+def history_texts(spark, d):
+    return context.history_text(table(spark, d, "conversations"), 3, 30, "conv_id", "turn", "text")
+
+
+@query(f"""WITH f AS {_FILES}, x AS (SELECT doc_id // 4 AS run, doc_id % 2 AS turn, doc_id, '- (' || CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE '?' END || '/' || lang || ') about ' || source || ' [' || CASE WHEN doc_id % 5 = 0 THEN 'no-cite' ELSE file_path || ':1-9, ' || file_path || ':12-20' END || ']' AS line FROM f)
+SELECT run, turn, '[round ' || turn || ']' || chr(10) || string_agg(line, chr(10) ORDER BY doc_id) AS text FROM x GROUP BY run, turn""")
+def findings_told(spark, d):
+    f, i = files(spark, d), F.col("doc_id")
+    cites = F.when(i % 5 != 0, F.array(ids.citation(F.col("file_path"), F.lit(1), F.lit(9)), ids.citation(F.col("file_path"), F.lit(12), F.lit(20))))
+    told = f.select(F.floor(i / 4).cast("long").alias("run"), (i % 2).alias("turn"), i.alias("finding_id"), F.concat(F.lit("about "), "source").alias("claim"), cites.alias("citations"), F.when(i % 3 == 0, "high").alias("confidence"), F.col("lang").alias("tier"))
+    return context.findings_text(told, "run", "turn")
+
+
+@query()
+def retrieval_candidates(spark, d):
+    """Each turn of a conversation as a question, the plan from its words, the hints from its text."""
+    c = table(spark, d, "conversations")
+    plan = F.array(F.struct(F.col("text").alias("query"), texts.keywords(F.col("text")).alias("keywords")), F.struct(F.col("role").alias("query"), F.array(F.lit("entry")).alias("keywords")))
+    hints = F.array(F.concat(F.lit("src/"), "role", F.lit(".py:1-"), F.col("turn").cast("string")), F.concat(F.lit("symbol: "), "role"), F.col("text"))
+    made = retries.candidates(F.col("text"), plan, hints, F.col("turn") % 3)
+    return c.select("conv_id", "turn", F.posexplode(made).alias("place", "c")).select("conv_id", "turn", "place", "c.strategy", "c.query")
+
+
 @query(f"""WITH f AS {_FILES}, x AS (SELECT doc_id, file_path || ':1-9' AS c, doc_id % 6 AS k FROM f)
 SELECT type, finding_id, citation, severity FROM (
 SELECT 'missing_citation' AS type, doc_id AS finding_id, CAST(NULL AS VARCHAR) AS citation, 'high' AS severity FROM x WHERE k = 0
