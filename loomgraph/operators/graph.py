@@ -176,9 +176,11 @@ def beam_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame, terms: l
     roles, rank.
     """
     blob = F.concat_ws(" ", "name", "qualified_name", "file_path")
-    info = nodes.select("id", "role", "name", topic_score(F.col("name"), blob, terms).alias("topic"))
+    # Each round reads these; roles and topics are found once.
+    info = written(nodes.select("id", "role", "name", topic_score(F.col("name"), blob, terms).alias("topic")), "beam-nodes")
     calls = edges.where("edge_type = 'call'").select("source", F.col("target").alias("callee"), ids.confidence_bucket(F.coalesce("confidence", F.lit(1.0))).alias("bucket"), (ids.node_file(F.col("source")) == ids.node_file(F.col("target"))).alias("same"))
     calls = calls.join(info.toDF("callee", "role", "name", "topic"), "callee").where(~F.lower("name").isin(*NOISE)).drop("name")
+    calls = written(calls, "beam-calls")
     beam = entries.select("entry").join(info, F.col("entry") == F.col("id")).select("entry", F.array("entry").alias("path"), (0.5 + 0.2 * F.col("topic")).alias("score"), F.array("role").alias("roles"), F.array("topic").alias("topics"))
     ended = None
     by_path = Window.partitionBy("entry", "path").orderBy(F.desc("step"), "callee")
@@ -190,10 +192,9 @@ def beam_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame, terms: l
         grown = grown.withColumn("n", F.row_number().over(by_path)).where(F.col("n") <= branching)
         go = F.col("step") > 0
         go = F.coalesce(go, F.lit(False)) & ~F.coalesce(F.array_contains("path", F.col("callee")), F.lit(False))
-        flagged = grown.withColumn("go", go).withColumn("any", F.max("go").over(Window.partitionBy("entry", "path")))
+        flagged = written(grown.withColumn("go", go).withColumn("any", F.max("go").over(Window.partitionBy("entry", "path"))), f"beam-{d}")
         stuck = flagged.where(~F.col("any") & (F.size("path") > 1)).dropDuplicates(["entry", "path"]).select("entry", "path", "score", "roles", "topics")
         new = flagged.where("go").select("entry", F.concat("path", F.array("callee")).alias("path"), (F.col("score") + F.col("step")).alias("score"), F.concat("roles", F.array("role")).alias("roles"), F.concat("topics", F.array("topic")).alias("topics"))
-        new = written(new, f"beam-{d}")
         sunk = new.where(roles.is_sink(F.element_at("roles", -1)) & (F.size("path") >= 3))
         done = stuck.unionByName(sunk)
         ended = done if ended is None else ended.unionByName(done)

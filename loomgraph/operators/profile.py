@@ -24,17 +24,30 @@ INFRASTRUCTURE = (
     ("SQLite", r"(?i)\bsqlite\b", "database"), ("Redis", r"(?i)\bredis\b", "cache"), ("Kafka", r"(?i)\bkafka\b", "mq"), ("RabbitMQ", r"(?i)\brabbit\b|amqp", "mq"),
     ("Elasticsearch", r"(?i)elasticsearch|opensearch", "search"), ("AWS", r"(?i)\baws-sdk\b|\bboto3\b|amazonaws", "cloud"),
 )
-CONFIGS = ("docker-compose.yml", "docker-compose.yaml", "Dockerfile", "application.yml", "application.yaml", "application.properties", ".env.example")
-READ_LIMIT, MANIFESTS, README_CHARS = 200_000, 80, 8000
+CONFIGS = ("docker-compose.yml", "docker-compose.yaml", "compose.yaml", "application.yml", "application.yaml", "application.properties", ".env.example")
+# Folders without a project's own configurations.
+NOT_OWN = (".git", "node_modules", ".venv", "venv", "target")
+READ_LIMIT, MANIFESTS, MOST_CONFIGS, README_CHARS = 200_000, 80, 40, 8000
 READMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
 
 
-def manifests(spark: SparkSession, folder: str, limit: int = MANIFESTS) -> DataFrame:
+def chosen(found: DataFrame, most: int = MANIFESTS, most_configs: int = MOST_CONFIGS) -> DataFrame:
+    """Of file_path and name, the first manifests and the first configurations by path, each with a limit of its own; excluded folders are left out."""
+    own = found.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, NOT_OWN))))
+    few = lambda names, n: own.where(F.col("name").isin(*names)).orderBy("file_path").limit(n)
+    return few(BUILD_FILES, most).unionByName(few(CONFIGS, most_configs))
+
+
+def manifests(spark: SparkSession, folder: str, most: int = MANIFESTS, most_configs: int = MOST_CONFIGS) -> DataFrame:
     """Rows file_path, name, text of manifests and configurations, the first by path; each up to 200 KB."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = paths.base_name(F.col("path"))
-    named = raw.where(name.isin(*BUILD_FILES, *CONFIGS)).select(F.col("path").alias("file_path"), name.alias("name"), F.substring(F.decode("content", "UTF-8"), 1, READ_LIMIT).alias("text"))
-    return named.orderBy("file_path").limit(limit)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    # Names are chosen before any content is read, and folders above the root don't matter.
+    inside = F.substring("path", len(root) + 2, 1 << 20)
+    listed = chosen(raw.select(inside.alias("file_path"), paths.base_name(F.col("path")).alias("name")), most, most_configs)
+    named = raw.select(F.col("path"), inside.alias("file_path"), "content").join(F.broadcast(listed), "file_path").withColumn("file_path", F.col("path"))
+    return named.select("file_path", "name", F.substring(F.decode("content", "UTF-8"), 1, READ_LIMIT).alias("text"))
 
 
 def readme(spark: SparkSession, folder: str) -> str | None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, texts, topics
 from ..functions.settings import Retrieval
-from ..operators import architecture, cells, changes, context, evaluation, flow, graph, postings, retrieval, retries
+from ..operators import architecture, cells, changes, context, evaluation, explore, flow, graph, postings, retrieval, retries
 from ..sources.tables import shared_folder, table, written
 from ..sources.versions import Versions
 from ..streaming import watch
@@ -491,7 +491,24 @@ def merged_edges(spark, d):
     return graph.merged(e, fresh, c, c).select("source", "target")
 
 
-@query()
+def _beam(rounds: int = 3, width: int = 4, branching: int = 8, most: int = 3) -> str:
+    """The search by rounds. All roles are unknown here, so no step changes its layer and no path ends in a sink."""
+    out = f"""WITH n AS (SELECT ref, CASE WHEN name = 'go30' THEN 1e0 WHEN contains(name, 'go30') THEN 85e-2 ELSE 0e0 END AS t FROM (SELECT ref, regexp_extract(ref, '[.]([^.]*)$', 1) AS name FROM {_SYMBOLS})),
+k AS (SELECT source, target AS callee, 35e-2 + CASE WHEN confidence >= 0.85 THEN 25e-2 WHEN confidence >= 0.55 THEN 1e-1 ELSE -15e-2 END + 3e-1 * t AS step, t FROM {_CALLS} JOIN n ON ref = target),
+b0 AS (SELECT seed AS entry, [seed] AS path, 5e-1 + 2e-1 * t AS score, [t] AS topics FROM {_SEEDS} JOIN n ON ref = seed)"""
+    order = "PARTITION BY entry ORDER BY score DESC, len(path), path[-1], path"
+    for i in range(rounds):
+        out += f""", g{i} AS (SELECT entry, path, score, topics, callee, step, t, coalesce(step > 0, false) AND NOT coalesce(list_contains(path, callee), false) AS go FROM b{i} LEFT JOIN k ON source = path[-1]
+QUALIFY row_number() OVER (PARTITION BY entry, path ORDER BY step DESC NULLS LAST, callee) <= {branching}),
+s{i} AS (SELECT entry, path, score, topics FROM g{i} WHERE len(path) > 1 GROUP BY ALL HAVING NOT bool_or(go)),
+b{i + 1} AS (SELECT * FROM (SELECT entry, list_append(path, callee) AS path, score + step AS score, list_append(topics, t) AS topics FROM g{i} WHERE go) QUALIFY row_number() OVER ({order}) <= {width})"""
+    ended = " UNION ALL ".join([*(f"SELECT * FROM s{i}" for i in range(rounds)), f"SELECT * FROM b{rounds} WHERE len(path) > 1"])
+    bonus = "0e0 + 15e-2 * least(len(list_filter(topics, lambda x: x >= 0.5)), 3) + CASE WHEN len(path) BETWEEN 3 AND 5 THEN 15e-2 ELSE 0e0 END"
+    return f"""{out} SELECT entry, array_to_string(path, ' > ') AS path, round(score, 6) AS score, CAST(row_number() OVER ({order}) AS INT) AS rank
+FROM (SELECT entry, path, score + ({bonus}) AS score FROM ({ended})) QUALIFY rank <= {most}"""
+
+
+@query(_beam())
 def flow_paths(spark, d):
     nodes = roles.with_roles(_nodes(spark, d)).withColumn("id", F.col("qualified_name"))
     return graph.beam_search(nodes, calls(spark, d), seeds(spark, d).select(F.col("seed").alias("entry")), ["go30"], depth=3).select("entry", F.array_join("path", " > ").alias("path"), r6(F.col("score")).alias("score"), "rank")
@@ -803,6 +820,63 @@ def orphan_refs(spark, d):
     return graph.orphans(known.select(F.col("ref").alias("qualified_name")), calls(spark, d))
 
 
+# --- what to read first ---------------------------------------------------------
+
+_LINES = f"(SELECT *, CAST(ordinal % 997 AS INT) AS line FROM {_CALLS} WHERE confidence >= 0.7)"
+
+
+@query(f"""WITH e AS {_LINES}, s AS {_SEEDS}, st AS (SELECT target AS a0, source AS ref, 'caller' AS relation FROM e UNION SELECT source, target, 'callee' FROM e),
+h1 AS (SELECT DISTINCT seed, ref, relation FROM s JOIN st ON a0 = seed), h2 AS (SELECT DISTINCT f.seed, st.ref, st.relation FROM (SELECT DISTINCT seed, ref FROM h1) f JOIN st ON st.a0 = f.ref),
+bl AS (SELECT seed, ref, relation, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL),
+near AS (SELECT seed, via, min(dist) AS dist FROM (SELECT seed, ref AS via, hops AS dist FROM bl UNION ALL SELECT seed, seed, 0 FROM bl) GROUP BY ALL),
+l AS (SELECT source AS ref, target AS via, 'caller' AS relation, source AS o, line FROM e WHERE ordinal % 7 > 0 UNION ALL SELECT target, source, 'callee', source, line FROM e WHERE ordinal % 7 > 0),
+c AS (SELECT seed, ref, relation, split_part(o, '::', 1) || ':' || line || '-' || line AS citation FROM near JOIN l USING (via) JOIN bl USING (seed, ref, relation) WHERE dist < hops
+QUALIFY row_number() OVER (PARTITION BY seed, ref, relation ORDER BY dist, via) = 1)
+SELECT seed, ref, relation, hops, citation FROM bl LEFT JOIN c USING (seed, ref, relation)""")
+def blast_lines(spark, d):
+    o = F.col("ordinal")
+    e = calls(spark, d).where("confidence >= 0.7").withColumn("line", F.when(o % 7 > 0, (o % 997).cast("int"))).withColumn("strategy", F.lit("same_module"))
+    return explore.with_call_lines(graph.blast_radius(e, seeds(spark, d), depth=2), e).drop("strategy")
+
+
+_SYM = "CASE WHEN doc_id % 3 > 0 THEN 's' || (doc_id % 25) END"
+
+
+@query(f"""WITH {_BM25}, f AS {_FILES}, h AS (SELECT query_id, doc_id, rank, file_path || coalesce('::' || {_SYM}, '') AS ref, file_path, text,
+score * CASE WHEN {_DOC} THEN 0.35 ELSE 1.15 * 1.1 * CASE WHEN file_path LIKE '%/test/%' THEN 0.9 ELSE 1 END END AS score FROM bmr JOIN f USING (doc_id) WHERE rank <= 20),
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, ref ORDER BY rank) = 1)
+SELECT query_id, ref, round(score, 6) AS score, file_path || ':1-' || (doc_id % 90 + 1) AS citation, substr(coalesce(text, ''), 1, 800) AS snippet, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS INT) AS place FROM o QUALIFY place <= 8""")
+def explore_seeds(spark, d):
+    hits = retrieval.top_k(_bm25(spark, d), 20).join(files(spark, d), "doc_id").withColumn("symbol_name", F.expr(_SYM)).withColumn("language", paths.language(F.col("file_path")))
+    hits = hits.withColumn("kind", F.lit("function")).withColumn("start_line", F.lit(1)).withColumn("end_line", (F.col("doc_id") % 90 + 1).cast("int")).withColumn("content", F.col("text"))
+    return explore.seeds(hits).withColumn("score", r6(F.col("score")))
+
+
+_STARTS = """(SELECT p_partkey AS k, list_extract(['class', 'function', 'method'], CAST(p_partkey % 3 AS INT) + 1) AS kind, list_extract(['ShopApp', 'main', 'run', 'Bootstrap', 'app'], CAST(p_partkey % 5 AS INT) + 1) AS name,
+'app/m' || p_partkey || '/' || list_extract(['main.py', 'index.ts', 'Util.java', 'APP.py'], CAST(p_partkey % 4 AS INT) + 1) AS file_path FROM part)"""
+
+
+@query(f"""WITH n AS (SELECT *, file_path || '::' || name AS q FROM {_STARTS}),
+e AS (SELECT kind, 'sym:' || q AS id, 0 AS turn, file_path, file_path AS entry FROM n WHERE k % 4 != 2 UNION ALL
+SELECT kind, 'sym:' || q, CAST(k % 4 != 2 AS INT), file_path, q FROM n WHERE kind = 'class' AND name IN ('ShopApp', 'Bootstrap') OR kind = 'function' AND name IN ('main', 'app'))
+SELECT entry, file_path, CAST(row_number() OVER (ORDER BY kind, id, turn) AS INT) AS place FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY entry ORDER BY kind, id, turn) = 1) QUALIFY place <= 20""")
+def entry_points(spark, d):
+    k = F.col("p_partkey")
+    of = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    n = table(spark, d, "part").select(of(["class", "function", "method"], 3).alias("kind"), of(["ShopApp", "main", "run", "Bootstrap", "app"], 5).alias("name"), F.concat(F.lit("app/m"), k, F.lit("/"), of(["main.py", "index.ts", "Util.java", "APP.py"], 4)).alias("file_path"))
+    q = F.concat("file_path", F.lit("::"), "name")
+    return explore.entry_points(n.withColumn("qualified_name", q).withColumn("id", ids.symbol_node(q)))
+
+
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""SELECT doc_id, sha256(substr(array_to_string(l[1:150], chr(10)), 1, 6000)) AS excerpt, len(l) > 150 OR length(t) > 6000 AS cut
+FROM (SELECT doc_id, coalesce(text, '') AS t, string_split_regex(regexp_replace(coalesce(text, ''), '({_ENDS})\z', ''), '{_ENDS}') AS l FROM documents)""")
+def file_excerpts(spark, d):
+    return explore.excerpts(table(spark, d, "documents").withColumn("content", F.col("text"))).select("doc_id", F.sha2("excerpt", 256).alias("excerpt"), "cut")
+
+
 # --- flow: lookups, entries, steps ------------------------------------------------
 
 

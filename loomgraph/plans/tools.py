@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, roles, topics
 from ..functions.settings import Retrieval
-from ..operators import architecture, changes, findings, flow, graph, postings, retrieval
+from ..operators import architecture, changes, explore, findings, flow, graph, postings, retrieval
 from ..sources import code, resolution
 from ..sources.tables import load, save, written
 from ..sources.versions import Versions
@@ -286,18 +286,36 @@ class CodeIndex:
         edges = own.agg(F.collect_list(ids.confidence_bucket(F.col("confidence"))).alias("buckets"), F.count_if(F.col("line").isNull()).alias("missing"))
         return edges.select(graph.path_confidence(F.col("buckets"), F.col("missing"), F.array(*map(F.lit, role_path))).alias("c")).first().c
 
-    def context_explore(self, query: str, top_k: int = 8, depth: int = 2) -> dict:
-        hits = self.search(query, min(top_k, 20)).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
-        if not hits:
-            hits = self.sample(top_k).where("symbol_name is not null").orderBy("rank").select(F.concat("file_path", F.lit("::"), "symbol_name").alias("seed")).collect()
-        refs = list(dict.fromkeys(r.seed for r in hits))
+    def context_explore(self, query: str, top_k: int = 8, depth: int = 2, limit: int = 40, flow_too: bool | None = None) -> dict:
+        """Seeds with their citation and beginning, call paths with roles, and the blast radius with the lines of its calls.
+
+        Paths come from the flow tracer if the question is about a flow (or
+        ``flow_too`` says so), and from the first callees of the first three seeds.
+        """
+        hits = self.search(query, min(top_k, 20))
+        if hits.isEmpty():
+            hits = self.sample(top_k).withColumn("query_id", F.lit(1))
+        found = explore.seeds(hits, min(top_k, 20)).orderBy("place").drop("query_id").collect()
+        refs = [r.ref for r in found if "::" in r.ref]
+        out = {"seeds": [r.ref for r in found], "must_read": [r.asDict() for r in found], "blast_radius": [], "chains": [], "call_paths": []}
         if not refs:
-            return {"seeds": [], "blast_radius": [], "chains": []}
-        seeds = self._seeds(refs)
-        blast = graph.blast_radius(self.edges, seeds, min(depth, 4)).groupBy("ref", "relation").agg(F.min("hops").alias("hops")).orderBy("hops", "relation", "ref").limit(40)
-        out = {"seeds": refs, "blast_radius": [r.asDict() for r in blast.collect()]}
-        chains = graph.call_chain(self.edges, self._seeds(refs[:3])).collect()
-        out["chains"] = [r.path for r in chains] if not FLOW.search(query) else [self.trace_flow(query)["steps"]]
+            return out
+        blast = written(graph.blast_radius(self.edges, self._seeds(refs), min(depth, 4)), "blast")
+        blast = explore.with_call_lines(blast, self.edges).groupBy("ref", "relation").agg(F.min(F.struct("hops", F.col("citation").isNull().alias("bare"), "seed", "citation", "strategy")).alias("b"))
+        out["blast_radius"] = [r.asDict() for r in blast.select("ref", "relation", "b.hops", "b.citation", "b.strategy").orderBy("hops", "relation", "ref").limit(limit).collect()]
+        if flow_too if flow_too is not None else FLOW.search(query):
+            trace = self.trace_flow(query)
+            if trace["cited"]:
+                out["call_paths"].append({"source": "flow_tracer", "score": trace["score"], "confidence": trace["confidence"], "steps": trace["cited"]})
+            out["chains"].append(trace["steps"])
+        chains = graph.call_chain(self.edges, self._seeds(refs[:3])).withColumn("path_id", F.col("seed"))
+        own = flow.steps(chains.select("path_id", F.transform("path", lambda r: ids.symbol_node(r)).alias("path")), self.nodes()).where("id is not null")
+        steps: dict[str, list[dict]] = {}
+        for r in own.orderBy("path_id", "step").collect():
+            steps.setdefault(r.path_id, []).append(r.asDict())
+        for ref in (r for r in refs[:3] if r in steps):
+            out["call_paths"].append({"source": "graph", "score": 0.5, "confidence": "medium", "steps": steps[ref]})
+            out["chains"].append([x["id"].removeprefix(ids.SYMBOL) for x in steps[ref]])
         return out
 
     def _modules(self) -> tuple[DataFrame, DataFrame]:
@@ -324,12 +342,23 @@ class CodeIndex:
         }
 
     def get_initial_context(self, top_modules: int = 8, top_files: int = 5) -> dict:
+        """Modules by falling coupling (the rest by name), entry points, and the beginnings of core files."""
         pairs, names = self._modules()
-        top = architecture.coupling(pairs, names).orderBy(F.desc("coupling"), "module").limit(top_modules).collect()
-        entry = self.files.where(paths.is_entry(F.col("file_path"))).select("file_path", F.lit(0).alias("turn"), F.lit(0).alias("n"))
-        used = self.edges.where("edge_type = 'import'").groupBy(F.col("target").alias("file_path")).agg(F.count("*").alias("n")).select("file_path", F.lit(1).alias("turn"), "n")
-        core = entry.unionByName(used).groupBy("file_path").agg(F.min("turn").alias("turn"), F.max("n").alias("n")).orderBy("turn", F.desc("n"), "file_path").limit(top_files).collect()
-        return {"modules": [r.asDict() for r in top], "core_files": [r.file_path for r in core]}
+        ranked = written(architecture.coupling(pairs, names), "coupling")
+        top = ranked.orderBy(F.desc("coupling"), "module").limit(top_modules).collect()
+        rest = ranked.where(~F.col("module").isin([r.module for r in top])).orderBy("module").limit(1000).collect()
+        entries = written(explore.entry_points(self.nodes()), "entry-points")
+        files = self.files.select("file_path", "content", F.coalesce(paths.cluster_key(F.col("file_path")), F.lit(".")).alias("module"))
+        core = explore.core_files(entries, ranked, files, top_files).orderBy("place").collect()
+        warnings = [] if core else ["no core file has any text"]
+        return {
+            "modules": [r.asDict() for r in top],
+            "remaining_modules": [r.asDict() for r in rest],
+            "entrypoints": [r.entry for r in entries.orderBy("place").collect()],
+            "core_files": [r.file_path for r in core],
+            "excerpts": [r.asDict() for r in core],
+            "warnings": warnings,
+        }
 
     def get_repo_summary(self) -> dict:
         n = self.files.count()

@@ -104,9 +104,12 @@ def test_tools(index):
     arch = index.analyze_architecture()
     assert arch["totals"]["module_count"] >= 3
     explored = index.context_explore("login sign_in")
+    assert all(s["citation"] and s["snippet"] for s in explored["must_read"]) and {p["source"] for p in explored["call_paths"]} >= {"flow_tracer"}
+    assert any(h["citation"] for h in explored["blast_radius"])
     assert explored["seeds"] and any(h["relation"] in ("caller", "callee") for h in explored["blast_radius"])
     assert index.get_repo_summary()["n_files"] == len(FILES)
-    assert index.get_initial_context()["modules"]
+    first = index.get_initial_context()
+    assert first["modules"] and first["core_files"] == [x["file_path"] for x in first["excerpts"]]
     assert isinstance(index.suggest_refactor("shop/store/users.py"), list)
 
 
