@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..sources.tables import written
 
 # Directory names that say what a module is.
 LAYER_NAMES = (
@@ -55,10 +56,15 @@ def modules(nodes: DataFrame, topics: DataFrame | None = None) -> DataFrame:
 
 
 def module_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows source, target, n of edges between modules, own included. edges: source, target (files); files: file_path, module."""
+    """Rows source, target, n of edges between modules, own included. edges: source, target (files), and n if they are counted; files: file_path, module.
+
+    Edges are counted by their files before these meet a module, and the counts
+    are written, so that edges are read once however often the rows are.
+    """
     a = files.select(F.col("file_path").alias("source"), F.col("module").alias("m1"))
     b = files.select(F.col("file_path").alias("target"), F.col("module").alias("m2"))
-    return edges.join(a, "source").join(b, "target").groupBy(F.col("m1").alias("source"), F.col("m2").alias("target")).agg(F.count("*").alias("n"))
+    counted = edges.groupBy("source", "target").agg((F.sum("n") if "n" in edges.columns else F.count("*")).alias("n"))
+    return written(counted.join(a, "source").join(b, "target").groupBy(F.col("m1").alias("source"), F.col("m2").alias("target")).agg(F.sum("n").alias("n")), "module-edges")
 
 
 def cohesion(pairs: DataFrame, names: DataFrame) -> DataFrame:
