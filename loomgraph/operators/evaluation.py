@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def overlaps(a: str, b: str) -> Column:
     """Whether spans overlap, ends included; a and b are aliases of rows with file_path, start_line, end_line."""
@@ -91,9 +93,12 @@ def containing(docs: DataFrame, questions: DataFrame, head: int = 5) -> DataFram
     long = F.size("w") >= head + 2
     keyed = asked.where(long).select("query_id", "asked", F.xxhash64(F.slice("w", 2, head)).alias("key"))
     at = F.sequence(F.lit(1), F.size("w") - head + 1)
-    windows = docs.select("doc_id", "text", words.alias("w")).where(F.size("w") >= head)
-    found = windows.select("doc_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, head))))).alias("key"))
-    one = found.join(F.broadcast(keyed), "key").where(F.contains("text", F.col("asked"))).select("query_id", "doc_id").distinct()
+    windows = docs.select("doc_id", words.alias("w")).where(F.size("w") >= head)
+    # Only ids go with the windows; texts are read again for what was found.
+    found = windows.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, head))))).alias("key"))
+    found = written(found.join(F.broadcast(keyed.select("query_id", "key")), "key").select("query_id", "doc_id").distinct(), "containing")
+    asked_of = F.broadcast(asked.select("query_id", "asked"))
+    one = docs.select("doc_id", "text").join(found, "doc_id").join(asked_of, "query_id").where(F.contains("text", F.col("asked"))).select("query_id", "doc_id").distinct()
     short = asked.where(~long)
     two = docs.select("doc_id", "text").join(F.broadcast(short), F.contains(F.col("text"), F.col("asked"))).select("query_id", "doc_id").distinct()
     return one.unionByName(two)

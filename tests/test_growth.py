@@ -1,12 +1,11 @@
 """Work that must not be done again and again, or by pairs, as the tables grow."""
 
-import math
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import architecture
+from loomgraph.operators import architecture, evaluation, retrieval
 from loomgraph.plans import queries
 
 DATA = str(Path("/root/testdata/sf0.001"))
@@ -25,3 +24,44 @@ def test_counted_edges(spark):
     counted = edges.groupBy("source", "target").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, architecture.module_edges(edges, files).collect())) == want
     assert sorted(map(tuple, architecture.module_edges(counted, files).collect())) == want
+
+
+@pytest.fixture
+def texts_asked(spark):
+    words = ["alpha", "beta", "gamma", "delta", "eps_1", "7"]
+    rows = [(i, " ".join(words[(i * j) % 6] for j in range(i % 9)), i % 13) for i in range(300)] + [(1000 + i, "alpha beta", 5) for i in range(80)] + [(2000, None, 1)]
+    asked = [(1, "Alpha beta beta"), (2, "gamma 7 nothing"), (3, "none of these"), (4, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3), spark.createDataFrame(asked, "query_id int, text string")
+
+
+def ranked(df):
+    return sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+
+
+def test_best_without_pairs(spark, texts_asked, monkeypatch):
+    """The best of tasks are those of all pairs, with many ties, however small the slices are."""
+    monkeypatch.setattr(retrieval, "SLICE_TOKENS", 40)
+    docs, asked = texts_asked
+    index = retrieval.bm25_index(docs, keep=("n",))
+    pairs = retrieval.bm25_scores(index, asked).withColumn("score", F.round("score", 6)).where("score > 0")
+    assert ranked(retrieval.bm25_best(index, asked, 7, 6)) == ranked(retrieval.top_k(pairs, 7))
+    sizes = pairs.drop("score").join(docs.select("doc_id", F.col("n").cast("double").alias("score")), "doc_id")
+    assert ranked(retrieval.bm25_best(index, asked, 7, by="n")) == ranked(retrieval.top_k(sizes, 7))
+    of = retrieval.hash_embedding(asked, doc_id="query_id").withColumnRenamed("doc_id", "query_id")
+    pairs = retrieval.sparse_scores(retrieval.hash_embedding(docs), of).withColumn("score", F.round("score", 6)).where("score > 0")
+    assert ranked(retrieval.embedding_best(docs, asked, 7, 6)) == ranked(retrieval.top_k(pairs, 7))
+
+
+def test_rounded():
+    assert retrieval.rounded(retrieval.np.array([0.5, 1.5, -0.5, 2.4, 0.125]), 0).tolist() == [1, 2, -1, 2, 0]
+    assert retrieval.rounded(retrieval.np.array([0.125, -0.125]), 2).tolist() == [0.13, -0.13]
+
+
+def test_windows_go_without_texts(spark, monkeypatch):
+    """What is kept of matching windows is ids, and what it leads to is verified."""
+    kept = []
+    monkeypatch.setattr(evaluation, "written", lambda df, name: kept.append(df.columns) or df, raising=False)
+    docs = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "b c d e f only"), (3, "a b c d e f g")], "doc_id long, text string")
+    asked = spark.createDataFrame([("q", "a b c d e f g")], "query_id string, text string")
+    assert sorted(r.doc_id for r in evaluation.containing(docs, asked).collect()) == [1, 3]
+    assert kept == [["query_id", "doc_id"]]
