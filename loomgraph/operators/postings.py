@@ -21,14 +21,19 @@ one, and leaves all other buckets of the kept tables alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, texts
 from ..sources.tables import written
 from ..sources.versions import BUCKET, Versions, bucket_of
-from .retrieval import B, EPSILON, K1, stated
+from .retrieval import B, EPSILON, K1, Weights, numbered, rounded, stated
 
 #: log2 of the documents of a segment.
 SEGMENT_BITS = 7
@@ -40,7 +45,7 @@ BUCKETS = 64
 INNER_BITS = 33
 
 
-def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
+def _part(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
@@ -51,26 +56,65 @@ def _numbered(docs: DataFrame, base: int) -> DataFrame:
     return written(tokens.orderBy("doc_id").select("doc_id", "hash", ord_, "t"), "numbered")
 
 
-def _encoded(postings: DataFrame, avgdl: float) -> DataFrame:
-    """Blocks of rows segment, term, at (place in the segment), tf, dl."""
-    own = postings.groupBy("term", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "dl"))).alias("p"))
-    gaps = F.transform("p.at", lambda x, i: F.when(i == 0, x).otherwise(x - F.col("p.at")[i - 1]).cast("int"))
-    best = F.array_max(F.transform("p", lambda x: _part(x["tf"], x["dl"], F.lit(avgdl))))
-    return own.select("term", "segment", F.size("p").alias("n"), best.alias("best"), F.lit(avgdl).alias("avgdl"), gaps.alias("gaps"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+BLOCK = "term string, segment long, n int, best double, avgdl double, gaps array<int>, tfs array<int>, dls array<int>"
+
 
+def _table(terms: pa.Array, segments: np.ndarray, n: np.ndarray, at: np.ndarray, tf: np.ndarray, dl: np.ndarray, avgdl: float) -> pa.RecordBatch:
+    """Blocks of n postings each, in order of their places; none is empty."""
+    ends = np.cumsum(n)
+    starts = ends - n
+    gaps = np.diff(at, prepend=0)
+    gaps[starts] = at[starts]
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (gaps, tf, dl)]
+    best = np.maximum.reduceat(_part(tf, dl, avgdl), starts) if len(n) else np.zeros(0)
+    return pa.RecordBatch.from_arrays([terms, pa.array(segments), pa.array(n.astype(np.int32)), pa.array(best), pa.array(np.full(len(n), avgdl)), *lists], names=["term", "segment", "n", "best", "avgdl", "gaps", "tfs", "dls"])
 
-def _decoded(blocks: DataFrame, *keep: str) -> DataFrame:
-    """Rows of the postings: keep, term, segment, ord, tf, dl."""
-    places = F.aggregate("gaps", F.array().cast("array<int>"), lambda a, g: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + g).cast("int"))))
-    out = blocks.select(*keep, "term", "segment", F.explode(F.arrays_zip(places.alias("at"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))).alias("p"))
-    return out.select(*keep, "term", "segment", (F.shiftleft(F.col("segment"), SEGMENT_BITS) + F.col("p.at")).alias("ord"), F.col("p.at").alias("at"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
 
+def _encoded(numbered: DataFrame, avgdl: float) -> DataFrame:
+    """Blocks of numbered documents (ord, t): a segment is a group of 2^SEGMENT_BITS documents at most."""
+    wide = 1 << SEGMENT_BITS
+
+    def run(group: pa.Table) -> pa.Table:
+        lists, at = group["t"].combine_chunks(), group["at"].to_numpy()
+        flat = lists.flatten().dictionary_encode()
+        dl = np.zeros(wide, np.int64)
+        dl[at] = lists.value_lengths().to_numpy()
+        key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * wide + np.repeat(at, dl[at]), return_counts=True)
+        term, place = key // wide, key % wide
+        n = np.bincount(term, minlength=len(flat.dictionary))
+        return pa.Table.from_batches([_table(flat.dictionary, np.full(len(n), group["segment"][0].as_py()), n, place, tf, dl[place], avgdl)])
 
-def _postings(numbered: DataFrame) -> DataFrame:
-    each = numbered.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    each = each.groupBy("ord", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
     segment = F.shiftright("ord", SEGMENT_BITS)
-    return each.select("term", segment.alias("segment"), (F.col("ord") - F.shiftleft(segment, SEGMENT_BITS)).cast("int").alias("at"), "tf", "dl")
+    rows = numbered.select(segment.alias("segment"), (F.col("ord") - F.shiftleft(segment, SEGMENT_BITS)).cast("long").alias("at"), "t")
+    return rows.groupBy("segment").applyInArrow(run, BLOCK)
+
+
+def _places(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """Of blocks: the block, place, tf and dl of each posting."""
+    gaps, tfs, dls = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (batch.column(c) for c in ("gaps", "tfs", "dls")))
+    n, gap = gaps.value_lengths().to_numpy(), gaps.flatten().to_numpy().astype(np.int64)
+    total = np.cumsum(gap)
+    starts = np.cumsum(n) - n
+    before = total[starts] - gap[starts] if len(n) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(n)), n), total - np.repeat(before, n), tfs.flatten().to_numpy().astype(np.int64), dls.flatten().to_numpy().astype(np.int64)
+
+
+def _without(blocks: DataFrame, avgdl: float) -> DataFrame:
+    """Blocks without the places of their column ``lost``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, at, tf, dl = _places(batch)
+            lost = batch.column("lost")
+            gone = np.zeros((len(lost), 1 << SEGMENT_BITS), bool)
+            gone[np.repeat(np.arange(len(lost)), lost.value_lengths().to_numpy()), lost.flatten().to_numpy()] = True
+            left = ~gone[block, at]
+            n = np.bincount(block[left], minlength=len(lost))
+            some = pa.array(n > 0)
+            yield _table(batch.column("term").filter(some), batch.column("segment").filter(some).to_numpy(), n[n > 0], at[left], tf[left], dl[left], avgdl)
+
+    return blocks.select("term", "segment", "gaps", "tfs", "dls", "lost").mapInArrow(run, BLOCK)
 
 
 class Postings:
@@ -94,7 +138,7 @@ class Postings:
         numbered = _numbered(docs, 0)
         rows = numbered.select("doc_id", "hash", "ord", F.size("t").alias("dl"))
         avgdl = rows.agg(F.avg("dl")).first()[0] or 1.0
-        blocks = written(_encoded(_postings(numbered), avgdl), "blocks")
+        blocks = written(_encoded(numbered, avgdl), "blocks")
         cls._commit(Versions(spark, folder), None, (rows, None), (blocks, None), blocks, rows)
         return cls(spark, folder)
 
@@ -126,11 +170,13 @@ class Postings:
         fresh = _numbered(new.join(moved.where("here").select("doc_id"), "doc_id", "left_semi"), base + 1)
         rows = written(old.join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(fresh.select("doc_id", "hash", "ord", F.size("t").alias("dl"))), "docs")
         avgdl = rows.agg(F.avg("dl")).first()[0] or 1.0
-        lost = moved.where("ord is not null").select("ord", F.shiftright("ord", SEGMENT_BITS).alias("segment"))
-        hurt = lost.select("segment").distinct()
+        at = F.col("ord") - F.shiftleft(F.shiftright("ord", SEGMENT_BITS), SEGMENT_BITS)
+        lost = moved.where("ord is not null").groupBy(F.shiftright("ord", SEGMENT_BITS).alias("segment")).agg(F.collect_list(at.cast("int")).alias("lost"))
+        lost = written(lost, "lost")
+        hurt = lost.select("segment")
         blocks = self.table("blocks")
-        left = _decoded(blocks.join(hurt, "segment", "left_semi")).join(lost.select("ord"), "ord", "left_anti")
-        again = written(_encoded(left.select("term", "segment", "at", "tf", "dl").unionByName(_postings(fresh)), avgdl), "blocks")
+        # New documents have segments of their own.
+        again = written(_without(blocks.join(lost, "segment"), avgdl).unionByName(_encoded(fresh, avgdl)), "blocks")
         whole = blocks.join(hurt, "segment", "left_anti")
         some = lambda df, key: sorted(r[0] for r in df.select(bucket_of(BUCKETS, key)).distinct().collect())
         at_blocks, at_docs = some(hurt.unionByName(again.select("segment")), "segment"), some(moved, "doc_id")
@@ -140,12 +186,33 @@ class Postings:
 
     # --- searching -----------------------------------------------------------------
 
-    def _scored(self, wanted: DataFrame, weighted: DataFrame, avgdl: float, digits: int) -> DataFrame:
-        """Rows query_id, ord, score of segments (query_id, segment)."""
-        terms = wanted.join(weighted, "query_id")
-        blocks = self.table("blocks").join(terms, ["term", "segment"])
-        part = F.col("weight") * _part(F.col("tf"), F.col("dl"), F.lit(avgdl))
-        return _decoded(blocks, "query_id", "weight").groupBy("query_id", "ord").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
+    def _scored(self, wanted: DataFrame, given: Weights, terms: DataFrame, avgdl: float, k: int, digits: int) -> DataFrame:
+        """Rows q, ord, score over 0 and from ``bar`` on: the k best of each query in each of its segments (q, segment, bar).
+
+        All documents of a segment were numbered at once, in order of doc_id; so
+        of those that tie in it, the first are the first by doc_id.
+        """
+        blocks = self.table("blocks").select("term", "segment", "gaps", "tfs", "dls").join(F.broadcast(terms), "term", "left_semi")
+        blocks = blocks.join(wanted.select("segment").distinct(), "segment", "left_semi")
+        n, words = given.n, given.words
+
+        def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+            of, at, tf, dl = _places(block)
+            term = pc.index_in(block["term"].combine_chunks(), value_set=pa.array(words, pa.string())).fill_null(-1).to_numpy().astype(np.int64)[of]
+            at, tf, dl, term = (x[term >= 0] for x in (at, tf, dl, term))
+            cell, value = given.cells(at, term, _part(tf, dl, avgdl))
+            score = rounded(np.bincount(cell, value, n << SEGMENT_BITS), digits).reshape(-1, n)
+            bar = np.full(n, np.inf)
+            bar[asked["q"].to_numpy()] = asked["bar"].to_numpy()
+            place, q = np.nonzero((score > 0) & (score >= bar))
+            order = np.lexsort((place, -score[place, q], q))
+            place, q = place[order], q[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            place, q = place[first], q[first]
+            start = (block["segment"][0].as_py() << SEGMENT_BITS) if len(block) else 0
+            return pa.table({"q": q.astype(np.int32), "ord": place + start, "score": score[place, q]})
+
+        return blocks.groupBy("segment").cogroup(wanted.select("q", "segment", "bar").groupBy("segment")).applyInArrow(run, "q int, ord long, score double")
 
     def search(self, queries: DataFrame, k: int = 10, digits: int = 9, first: int = FIRST, reads: list | None = None) -> DataFrame:
         """Rows query_id, doc_id, score, rank: the k best of each query (query_id, text), scores over 0, ties by doc_id.
@@ -170,18 +237,22 @@ class Postings:
         turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "segment"))
         bounds = written(bounds.withColumn("turn", turn), "bounds")
         avgdl, slack = float(totals.avgdl or 1.0), 10.0**-digits
-        one = written(self._scored(bounds.where(F.col("turn") <= first).select("query_id", "segment"), weighted, avgdl, digits), "scored")
+        named = numbered(asked)
+        given = Weights(weighted.join(F.broadcast(named), "query_id").select("term", "q", F.col("weight").alias("w")), named.count())
+        terms = asked.select("term").distinct()
+        scored = lambda wanted: self._scored(wanted.join(F.broadcast(named), "query_id"), given, terms, avgdl, k, digits).join(F.broadcast(named), "q").select("query_id", "ord", "score")
+        one = written(scored(bounds.where(F.col("turn") <= first).select("query_id", "segment", F.lit(0.0).alias("bar"))), "scored")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"))
         bar = one.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))
-        rest = bounds.where(F.col("turn") > first).join(bar, "query_id", "left").where(F.col("most") + slack >= F.coalesce("bar", F.lit(0.0))).select("query_id", "segment")
-        rest = written(rest, "rest")
+        rest = bounds.where(F.col("turn") > first).join(F.broadcast(bar), "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+        rest = written(rest.where(F.col("most") + slack >= F.col("bar")).select("query_id", "segment", "bar"), "rest")
         if reads is not None:
-            seen = bounds.where(F.col("turn") <= first).select("query_id", "segment").unionByName(rest).join(weighted, "query_id")
+            seen = bounds.where(F.col("turn") <= first).select("query_id", "segment").unionByName(rest.drop("bar")).join(weighted, "query_id")
             n = heads.join(seen.select("term", "segment").distinct(), ["term", "segment"], "left_semi").count()
             reads += [n, heads.count(), self.table("blocks").count()]
-        both = one.unionByName(self._scored(rest, weighted, avgdl, digits))
+        both = one.unionByName(scored(rest))
         # All that tie with the k-th get their names; then ties are by name.
         near = both.withColumn("n", F.rank().over(order)).where(F.col("n") <= k).drop("n")
-        named = near.join(self.table("docs").select("ord", "doc_id"), "ord")
+        found = near.join(self.table("docs").select("ord", "doc_id"), "ord")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-        return named.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")

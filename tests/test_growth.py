@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import architecture, evaluation, retrieval
+from loomgraph.operators import architecture, evaluation, postings, retrieval
 from loomgraph.plans import queries
 
 DATA = str(Path("/root/testdata/sf0.001"))
@@ -65,3 +65,13 @@ def test_windows_go_without_texts(spark, monkeypatch):
     asked = spark.createDataFrame([("q", "a b c d e f g")], "query_id string, text string")
     assert sorted(r.doc_id for r in evaluation.containing(docs, asked).collect()) == [1, 3]
     assert kept == [["query_id", "doc_id"]]
+
+
+def test_blocks_are_made_in_their_segment(spark):
+    """A segment's postings become blocks, and lose places, without a row and a shuffle for each."""
+    docs = spark.createDataFrame([(0, ["b", "a", "b"]), (127, ["b"]), (128, ["a"]), (130, [])], "ord long, t array<string>")
+    blocks = postings._encoded(docs, 2.0)
+    flat = lambda df: sorted((r.term, r.segment, r.n, r.gaps, r.tfs, r.dls) for r in df.collect())
+    assert flat(blocks) == [("a", 0, 1, [0], [1], [3]), ("a", 1, 1, [0], [1], [1]), ("b", 0, 2, [0, 127], [2, 1], [3, 1])]
+    lost = spark.createDataFrame([(0, [0])], "segment long, lost array<int>")
+    assert flat(postings._without(blocks.join(lost, "segment"), 2.0)) == [("b", 0, 1, [127], [1], [1])]
