@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import written
 from ..sources.versions import BUCKET, Versions, bucket_of
-from .retrieval import dot, l2_normalized, stated
+from .retrieval import SLICE_CELLS, Best, asked_vectors, dot, l2_normalized, numbered, rounded, stated, vector_blocks
 
 #: Centres are broadcast; at most so many.
 MOST_CENTRES = 1024
@@ -107,15 +108,35 @@ class Cells:
         self._commit(self.kept, self.manifest, every.where(bucket_of(BUCKETS, "cell").isin(at)), at, every, centres)
         return Cells(spark, self.kept.folder)
 
-    def _scored(self, wanted: DataFrame, asked: DataFrame, digits: int) -> DataFrame:
-        """Rows query_id, vec_id, score of cells (query_id, cell); only buckets with such cells are read."""
-        wanted = written(wanted, "wanted")
+    def _scored(self, wanted: DataFrame, named: DataFrame, asked: np.ndarray, k: int, digits: int) -> DataFrame:
+        """Rows query_id, vec_id, score: each task's k best of each query in cells (query_id, cell); only buckets with such cells are read."""
+        wanted = written(wanted.join(F.broadcast(named), "query_id"), "wanted")
         at = [r[0] for r in wanted.select(bucket_of(BUCKETS, "cell")).distinct().collect()]
-        rows = self.kept.read("vectors", manifest=self.manifest, buckets=at)
-        # One row a cell, so MOST_CENTRES at most.
-        by_cell = wanted.groupBy("cell").agg(F.collect_list("query_id").alias("ids"))
-        met = rows.join(F.broadcast(by_cell), "cell").withColumn("query_id", F.explode("ids")).join(F.broadcast(asked), "query_id")
-        return met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+        rows = self.kept.read("vectors", manifest=self.manifest, buckets=at).select("vec_id", "v", "cell")
+        # One row a cell, so MOST_CENTRES at most, of the query set's numbers.
+        by_cell, n = wanted.groupBy("cell").agg(F.collect_list("q").alias("qs")).collect(), named.count()
+        names = np.array(sorted(r.cell for r in by_cell), np.int64)
+        met = np.zeros((len(names) + 1, n), bool)
+        for r in by_cell:
+            met[np.searchsorted(names, r.cell), r.qs] = True
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(n, k)
+            for batch in batches:
+                cell = batch.column(2).to_numpy().astype(np.int64)
+                own = np.searchsorted(names, cell)
+                own[(own == len(names)) | (np.append(names, -1)[own] != cell)] = len(names)
+                for start in range(0, len(batch), max(1, SLICE_CELLS // n)):
+                    part = batch.slice(start, max(1, SLICE_CELLS // n))
+                    may = met[own[start : start + len(part)]]
+                    some = np.flatnonzero(may.any(axis=0))
+                    score = rounded(vector_blocks(part.column(1), len(asked)) @ asked[:, some], digits)
+                    row, q = np.nonzero(may[:, some] & (score >= best.bar[some]))
+                    best.add(part.column(0), row, some[q], score[row, q])
+            yield from (pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), b.column("score")], names=["q", "id", "score"]) for b in best.batches())
+
+        found = rows.mapInArrow(run, f"q int, id {rows.schema['vec_id'].dataType.simpleString()}, score double")
+        return found.join(F.broadcast(named), "q").select("query_id", F.col("id").alias("vec_id"), "score")
 
     def search(self, queries: DataFrame, k: int = 10, digits: int = 9, reads: list | None = None) -> DataFrame:
         """Rows query_id, vec_id, score, rank: the k of the highest cosine for each query (query_id, query), ties by vec_id.
@@ -123,18 +144,20 @@ class Cells:
         ``reads`` gets (cells read, summed over queries; cells times queries).
         """
         asked = written(stated(queries).where("query is not null").select("query_id", l2_normalized(F.col("query")).alias("q")), "asked")
+        named = numbered(asked)
+        vectors = asked_vectors(asked, named)
         d = F.sqrt(F.greatest(dot(F.col("q"), F.col("q")) + dot(F.col("c"), F.col("c")) - 2 * dot(F.col("q"), F.col("c")), F.lit(0.0)))
         cells = self.table("centres").where("n > 0").crossJoin(F.broadcast(asked)).withColumn("d", d)
         off = F.greatest(F.col("d") - F.col("hi"), F.col("lo") - F.col("d"), F.lit(0.0))
         by = Window.partitionBy("query_id").orderBy("d", "cell")
         before = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))
         met = written(cells.select("query_id", "cell", (1 - off * off / 2).alias("most"), F.coalesce(before, F.lit(0)).alias("before")), "cells")
-        one = written(self._scored(met.where(F.col("before") < k).select("query_id", "cell"), asked, digits), "scored")
+        one = written(self._scored(met.where(F.col("before") < k).select("query_id", "cell"), named, vectors, k, digits), "scored")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         bar = one.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", F.col("score").alias("bar"))
         rest = met.where(F.col("before") >= k).join(bar, "query_id", "left").where(F.col("most") + SLACK + 10.0**-digits >= F.coalesce("bar", F.lit(-2.0)))
         rest = written(rest.select("query_id", "cell"), "rest")
         if reads is not None:
             reads += [met.where(F.col("before") < k).count() + rest.count(), met.count()]
-        both = one.unionByName(self._scored(rest, asked, digits))
+        both = one.unionByName(self._scored(rest, named, vectors, k, digits))
         return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

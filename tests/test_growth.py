@@ -75,3 +75,14 @@ def test_blocks_are_made_in_their_segment(spark):
     assert flat(blocks) == [("a", 0, 1, [0], [1], [3]), ("a", 1, 1, [0], [1], [1]), ("b", 0, 2, [0, 127], [2, 1], [3, 1])]
     lost = spark.createDataFrame([(0, [0])], "segment long, lost array<int>")
     assert flat(postings._without(blocks.join(lost, "segment"), 2.0)) == [("b", 0, 1, [127], [1], [1])]
+
+
+def test_nearest_without_pairs(spark, monkeypatch):
+    """Products of slices give what all pairs give, with ties."""
+    monkeypatch.setattr(retrieval, "SLICE_CELLS", 16)
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(120)] + [(500, None), (501, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 40 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = retrieval.cosine_scores(v, q).withColumn("score", F.round("score", 6))
+    of = lambda df: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+    assert of(retrieval.cosine_best(v, q, 9, 6)) == of(retrieval.top_k(pairs, 9, item="vec_id"))
