@@ -60,12 +60,13 @@ def ref_file(ref: Column) -> Column:
 
 
 def ref_symbol(ref: Column) -> Column:
-    return F.regexp_extract(ref, r"(?s)^.*?::(.*)$", 1)
+    """What follows the first ``::``, or nothing."""
+    return F.substr(ref, F.length(ref_file(ref)) + 3)
 
 
 def ref_short(ref: Column) -> Column:
     """The last name: a method without its class."""
-    return F.element_at(F.split(ref_symbol(ref), r"\."), -1)
+    return F.substring_index(ref_symbol(ref), ".", -1)
 
 
 def make_ref(path: Column, name: Column, parent: Column) -> Column:

@@ -114,13 +114,17 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     return chain.where(F.size("path") >= 2).select("seed", "path")
 
 
-def knowledge_nodes(files: DataFrame, definitions: DataFrame, edges: DataFrame) -> DataFrame:
-    """File nodes, symbol nodes, and shadow nodes for refs that edges name and nothing defines."""
+def knowledge_nodes(files: DataFrame, definitions: DataFrame, edges: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """File nodes, symbol nodes, and shadow nodes for refs that edges name and nothing defines.
+
+    ``ends`` (distinct ``ref``) stands for the edges where their ends are known already.
+    """
     f = files.select(ids.file_node(F.col("file_path")).alias("id"), F.lit("file").alias("kind"), F.element_at(F.split("file_path", "/"), -1).alias("name"), F.col("file_path").alias("qualified_name"), "file_path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "language", F.lit(None).cast("string").alias("parent_id"))
     ref = ids.make_ref(F.col("file_path"), F.col("name"), F.col("parent_name"))
     parent = F.when(F.col("parent_name").isNotNull(), ids.symbol_node(ids.make_ref(F.col("file_path"), F.col("parent_name"), F.lit(None).cast("string")))).otherwise(ids.file_node(F.col("file_path")))
     s = definitions.select(ids.symbol_node(ref).alias("id"), "kind", "name", ref.alias("qualified_name"), "file_path", "start_line", "end_line", "language", parent.alias("parent_id")).dropDuplicates(["id"])
-    ends = edges.where("edge_type != 'import'").select(F.explode(F.array("source", "target")).alias("ref")).distinct()
+    if ends is None:
+        ends = edges.where("edge_type != 'import'").select(F.explode(F.array("source", "target")).alias("ref")).distinct()
     shadow = ends.select(ids.symbol_node(F.col("ref")).alias("id"), F.when(F.contains(ids.ref_symbol(F.col("ref")), F.lit(".")), "method").otherwise("function").alias("kind"), ids.ref_short(F.col("ref")).alias("name"), F.col("ref").alias("qualified_name"), ids.ref_file(F.col("ref")).alias("file_path"))
     shadow = shadow.join(s.select("id"), "id", "left_anti")
     return f.unionByName(s).unionByName(shadow, allowMissingColumns=True)

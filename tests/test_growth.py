@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import architecture, evaluation, postings, retrieval
+from loomgraph.functions import ids
+from loomgraph.operators import architecture, evaluation, graph, postings, retrieval
 from loomgraph.plans import queries
 
 DATA = str(Path("/root/testdata/sf0.001"))
@@ -86,3 +87,23 @@ def test_nearest_without_pairs(spark, monkeypatch):
     pairs = retrieval.cosine_scores(v, q).withColumn("score", F.round("score", 6))
     of = lambda df: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
     assert of(retrieval.cosine_best(v, q, 9, 6)) == of(retrieval.top_k(pairs, 9, item="vec_id"))
+
+
+def test_nodes_read_the_calls_once(spark):
+    """Definitions, files and shadows come from one written table of symbols."""
+    assert not [f for f in queries._nodes(spark, DATA).inputFiles() if "lineitem" in f]
+
+
+def test_nodes_by_known_ends(spark):
+    files = spark.createDataFrame([("a.py", "python")], "file_path string, language string")
+    defs = spark.createDataFrame([("a.py", "f", "function", 1, 2, "python", None)], "file_path string, name string, kind string, start_line int, end_line int, language string, parent_name string")
+    edges = spark.createDataFrame([("call", "a.py::f", "b.py::C.m"), ("call", "b.py::C.m", "a.py::f"), ("import", "a.py", "c.py")], "edge_type string, source string, target string")
+    ends = edges.where("edge_type = 'call'").select(F.explode(F.array("source", "target")).alias("ref")).distinct()
+    want = sorted(map(str, graph.knowledge_nodes(files, defs, edges).collect()))
+    assert len(want) == 3 and sorted(map(str, graph.knowledge_nodes(files, defs, ends=ends).collect())) == want
+
+
+def test_parts_of_refs(spark):
+    refs = ["a.py::C.m", "a.py::f", "a::b::c.d", "x\ny::p\nq.r\ns", "plain", "a.b", "::", "a::.", "", None]
+    got = spark.createDataFrame([(r,) for r in refs], "r string").select("r", ids.ref_symbol(F.col("r")), ids.ref_short(F.col("r")))
+    assert {r: (s, t) for r, s, t in got.collect()} == {r: (None, None) if r is None else ((s := r.partition("::")[2]), s.rpartition(".")[2]) for r in refs}
