@@ -43,9 +43,14 @@ def neighbors(edges: DataFrame, node: str, way: str = "both", kind: str | None =
 
 
 def deduplicated(edges: DataFrame) -> DataFrame:
-    """The first edge of each kind, source, target and relation."""
-    order = Window.partitionBy("edge_type", "source", "target", "relation").orderBy("ordinal")
-    return edges.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """The first edge of each kind, source, target and relation; without an ordinal comes before all.
+
+    An aggregate: no edge is sorted or kept but the first, and columns that nobody reads aren't carried.
+    """
+    key = ["edge_type", "source", "target", "relation"]
+    at = F.coalesce("ordinal", F.lit(-(1 << 63)))
+    rest = [F.min_by(c, at).alias(c) for c in edges.columns if c not in key]
+    return edges.groupBy(*key).agg(*rest).select(*edges.columns)
 
 
 def resolve_names(names: DataFrame, refs: DataFrame) -> DataFrame:

@@ -107,3 +107,13 @@ def test_parts_of_refs(spark):
     refs = ["a.py::C.m", "a.py::f", "a::b::c.d", "x\ny::p\nq.r\ns", "plain", "a.b", "::", "a::.", "", None]
     got = spark.createDataFrame([(r,) for r in refs], "r string").select("r", ids.ref_symbol(F.col("r")), ids.ref_short(F.col("r")))
     assert {r: (s, t) for r, s, t in got.collect()} == {r: (None, None) if r is None else ((s := r.partition("::")[2]), s.rpartition(".")[2]) for r in refs}
+
+
+def test_first_edges_without_sorts(spark):
+    """The first edge of each key is whole, and no edges are sorted for it."""
+    rows = [("call", "a", "b", None, 0.5, 7), ("call", "a", "b", None, None, 3), ("call", "a", "b", "x", 0.1, 9), ("call", "a", "b", "x", 0.2, None), ("import", "a", "b", None, 0.3, 1)]
+    edges = spark.createDataFrame(rows, "edge_type string, source string, target string, relation string, confidence double, ordinal long")
+    got = graph.deduplicated(edges)
+    assert got.columns == edges.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in edges.collect() if r.ordinal in (3, None, 1))
+    plan = queries.QUERIES["deduplicated_edges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan
