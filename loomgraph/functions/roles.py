@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +42,25 @@ def _first(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda c, r: c.when(text.rlike(r[1]), r[0]), rules[1:], F.when(text.rlike(rules[0][1]), rules[0][0]))
 
 
+def _words(rules: tuple[tuple[str, str], ...]) -> list[str]:
+    """Words of which a text that the rules match has one, in lower case; those that have another of them are left out."""
+    found = {(w[:-1] if o else w).lower() for _, p in rules for w, o in re.findall(r"([A-Za-z]{2,})(\??)", p.replace("(?i)", ""))}
+    return sorted(w for w in found if not any(v in w for v in found - {w}))
+
+
+def _may(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Whether it is worth matching: most names have none of the words, and looking for words is far cheaper than matching."""
+    words = F.lit(_words(rules))
+    return F.exists(F.array(F.lower(text)), lambda low: F.exists(words, lambda w: F.contains(low, w)))
+
+
 def by_name(name: Column) -> Column:
-    return _first(name, NAMES)
+    return F.when(_may(name, NAMES), _first(name, NAMES))
 
 
 def by_path(path: Column) -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    return F.coalesce(_first(p, PATHS), by_name(stem(p)))
+    return F.coalesce(F.when(_may(p, PATHS), _first(p, PATHS)), F.when(_may(p, NAMES), _first(stem(p), NAMES)))
 
 
 def is_handler(name: Column) -> Column:
@@ -75,10 +88,12 @@ def with_roles(nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     )
     own = own.withColumn("__own", local).drop("__text")
     parents = own.where(kind != "method").select(F.col("id").alias("__parent"), F.col("__own").alias("__inherited"))
-    both = own.join(parents, (F.col("parent_id") == F.col("__parent")) & (kind == "method"), "left")
+    # What has no parent to take from would meet in the task of the null key, so it is dealt by id.
+    own = own.withColumn("__salt", F.when((kind == "method") & F.col("parent_id").isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(1 << 20))))
+    both = own.join(parents.withColumn("__zero", F.lit(0).cast("long")), (F.col("parent_id") == F.col("__parent")) & (F.col("__salt") == F.col("__zero")), "left")
     strong = F.when(by_name(name).isin("mq", "cache", "database"), by_name(name))
     role = F.when((kind == "method") & F.col("__inherited").isNotNull(), F.coalesce(strong, "__inherited")).otherwise(F.col("__own"))
-    return both.withColumn("role", F.coalesce(role, F.lit(UNKNOWN))).drop("__own", "__parent", "__inherited")
+    return both.withColumn("role", F.coalesce(role, F.lit(UNKNOWN))).drop("__own", "__parent", "__inherited", "__salt", "__zero")
 
 
 def layer(role: Column) -> Column:

@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import ids
-from loomgraph.operators import architecture, evaluation, graph, postings, retrieval
+from loomgraph.functions import ids, roles
+from loomgraph.operators import architecture, evaluation, flow, graph, postings, retrieval
 from loomgraph.plans import queries
 
 DATA = str(Path("/root/testdata/sf0.001"))
@@ -117,3 +117,20 @@ def test_first_edges_without_sorts(spark):
     assert got.columns == edges.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in edges.collect() if r.ordinal in (3, None, 1))
     plan = queries.QUERIES["deduplicated_edges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_scores_compute_names_once(spark):
+    """A score's parts don't repeat what they share, so that its expression grows with the terms only."""
+    said = str(flow.name_score(F.col("name"), F.col("qualified_name"), ["a", "b", "c"]))
+    assert said.count("concat_ws") == 1 and str(flow.path_term_score(F.col("file_path"), ["a", "b", "c"])).count("replace") == 1
+
+
+def test_roles_match_only_what_may(spark):
+    """Names without any of the words have no role; with one, the patterns decide as before."""
+    words = ["UserController", "controllers", "useCACHE", "Cache2", "x", "", "myRepo", "Repos", "a/rest/b.py", "a/endpoint/x.py", "a/repositorie/x.py", "REPOSITORIES/y.py", "a/mqx/OrderDao.java", "Store\n", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    p, w = F.replace("w", F.lit("\\"), F.lit("/")), F.col("w")
+    plain = [roles._first(w, roles.NAMES), F.coalesce(roles._first(p, roles.PATHS), roles._first(roles.stem(p), roles.NAMES))]
+    rows = df.select(roles.by_name(w).alias("a"), roles.by_path(w).alias("b"), plain[0].alias("c"), plain[1].alias("d")).collect()
+    assert [(r.a, r.b) for r in rows] == [(r.c, r.d) for r in rows] and len({r.b for r in rows}) > 3
+    assert "controller" in roles._words(roles.NAMES) and "endpoint" in roles._words(roles.PATHS)
