@@ -9,7 +9,7 @@ of joins; each round is written where the session keeps checkpoints.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -177,27 +177,57 @@ def path_bonus(role_path: Column, topics: Column) -> Column:
     return kinds + 0.15 * F.least(F.size(F.filter(topics, lambda t: t >= 0.5)), F.lit(3)) + F.when(n.between(3, 5), 0.15).when(n > 6, -0.2).otherwise(0.0)
 
 
-def beam_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame, terms: list[str], depth: int = 5, width: int = 4, branching: int = 8, most: int = 3) -> DataFrame:
+#: Refs up to which rows are chosen by hashes of the refs, sent to all tasks; of more, both sides are shuffled.
+REFS_SENT = 1 << 20
+
+
+def _of(df: DataFrame, column: str, refs: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is one of ``refs`` (rows ``ref`` of a written table), for an exact join to follow.
+
+    Up to ``most`` refs, a count that is checked, rows are chosen where they are
+    read, before they are made distinct or shuffled; equal hashes may let others pass.
+    """
+    if refs.count() > (REFS_SENT if most is None else most):
+        return df.join(refs, F.col(column) == F.col("ref"), "left_semi")
+    return df.join(F.broadcast(refs.select(F.xxhash64("ref").alias("__h"))), F.xxhash64(column) == F.col("__h"), "left_semi")
+
+
+def beam_search(nodes: DataFrame | Callable[[DataFrame], DataFrame], edges: DataFrame, entries: DataFrame, terms: list[str], depth: int = 5, width: int = 4, branching: int = 8, most: int = 3) -> DataFrame:
     """Scored call paths from each entry (rows ``entry``); nodes have id, name, qualified_name, file_path, role.
 
-    Each round keeps ``width`` paths an entry.  Paths end where nothing follows,
-    at sinks from three nodes on, and at the depth.  Rows entry, path, score,
+    ``nodes`` is a table, or a function that gives the nodes of distinct refs
+    (rows ``ref``, written) where a table of all would be large.  Each round
+    takes the calls that leave its paths' ends, and the nodes that they name,
+    and keeps ``width`` paths an entry.  Paths end where nothing follows, at
+    sinks from three nodes on, and at the depth.  Rows entry, path, score,
     roles, rank.
     """
     blob = F.concat_ws(" ", "name", "qualified_name", "file_path")
-    # Each round reads these; roles and topics are found once.
-    info = written(nodes.select("id", "role", "name", topic_score(F.col("name"), blob, terms).alias("topic")), "beam-nodes")
-    calls = edges.where("edge_type = 'call'").select("source", F.col("target").alias("callee"), ids.confidence_bucket(F.coalesce("confidence", F.lit(1.0))).alias("bucket"), (ids.node_file(F.col("source")) == ids.node_file(F.col("target"))).alias("same"))
-    calls = calls.join(info.toDF("callee", "role", "name", "topic"), "callee").where(~F.lower("name").isin(*NOISE)).drop("name")
-    calls = written(calls, "beam-calls")
-    beam = entries.select("entry").join(info, F.col("entry") == F.col("id")).select("entry", F.array("entry").alias("path"), (0.5 + 0.2 * F.col("topic")).alias("score"), F.array("role").alias("roles"), F.array("topic").alias("topics"))
-    ended = None
+
+    def scored(some: DataFrame, name: str) -> DataFrame:
+        return written(some.select("id", "role", "name", topic_score(F.col("name"), blob, terms).alias("topic")), name)
+
+    # Each round reads a table of nodes; roles and topics are found once.
+    every = scored(nodes, "beam-nodes") if isinstance(nodes, DataFrame) else None
+    calls = edges.where("edge_type = 'call'").select("source", "target", "confidence")
+    bucket, same = ids.confidence_bucket(F.coalesce("confidence", F.lit(1.0))), ids.node_file(F.col("source")) == ids.node_file(F.col("target"))
+    starts = written(entries.select("entry"), "beam-entries")
+    beam, ended = None, None
     by_path = Window.partitionBy("entry", "path").orderBy(F.desc("step"), "callee")
     by_entry = Window.partitionBy("entry").orderBy(F.desc("score"), F.size("path"), F.element_at("path", -1), "path")
     for d in range(depth):
+        ends = starts.select(F.col("entry").alias("ref")) if beam is None else beam.select(F.element_at("path", -1).alias("ref"))
+        # Columns are made of the calls that are left; made before, they would keep the choice from the reading.
+        near = written(_of(calls, "source", ends).select("source", F.col("target").alias("callee"), bucket.alias("bucket"), same.alias("same")), f"beam-calls-{d}")
+        refs = written(near.select(F.explode(F.array("source", "callee")).alias("ref")).distinct(), f"beam-refs-{d}")
+        info = scored(nodes(refs), f"beam-nodes-{d}") if every is None else _of(every, "id", refs)
+        if beam is None:
+            # A path of one node is never given, so an entry that calls nothing may be left out.
+            beam = starts.join(info, F.col("entry") == F.col("id")).select("entry", F.array("entry").alias("path"), (0.5 + 0.2 * F.col("topic")).alias("score"), F.array("role").alias("roles"), F.array("topic").alias("topics"))
+        near = near.join(info.toDF("callee", "role", "name", "topic"), "callee").where(~F.lower("name").isin(*NOISE)).drop("name")
         last = F.element_at("roles", -1)
         step = step_score(F.col("bucket"), last, F.col("role"), F.col("topic"), F.col("same"))
-        grown = beam.join(calls, F.element_at("path", -1) == F.col("source"), "left").withColumn("step", F.when(F.col("callee").isNotNull(), step))
+        grown = beam.join(near, F.element_at("path", -1) == F.col("source"), "left").withColumn("step", F.when(F.col("callee").isNotNull(), step))
         grown = grown.withColumn("n", F.row_number().over(by_path)).where(F.col("n") <= branching)
         go = F.col("step") > 0
         go = F.coalesce(go, F.lit(False)) & ~F.coalesce(F.array_contains("path", F.col("callee")), F.lit(False))
@@ -207,7 +237,7 @@ def beam_search(nodes: DataFrame, edges: DataFrame, entries: DataFrame, terms: l
         sunk = new.where(roles.is_sink(F.element_at("roles", -1)) & (F.size("path") >= 3))
         done = stuck.unionByName(sunk)
         ended = done if ended is None else ended.unionByName(done)
-        beam = new.withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= width).drop("n")
+        beam = written(new.withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= width).drop("n"), f"beam-paths-{d}")
     ended = ended.unionByName(beam.where(F.size("path") > 1)).dropDuplicates(["entry", "path"])
     ranked = ended.withColumn("score", F.col("score") + path_bonus(F.col("roles"), F.col("topics")))
     return ranked.withColumn("rank", F.row_number().over(by_entry)).where(F.col("rank") <= most).select("entry", "path", "score", "roles", "rank")

@@ -134,3 +134,70 @@ def test_roles_match_only_what_may(spark):
     rows = df.select(roles.by_name(w).alias("a"), roles.by_path(w).alias("b"), plain[0].alias("c"), plain[1].alias("d")).collect()
     assert [(r.a, r.b) for r in rows] == [(r.c, r.d) for r in rows] and len({r.b for r in rows}) > 3
     assert "controller" in roles._words(roles.NAMES) and "endpoint" in roles._words(roles.PATHS)
+
+
+def plain_beam(nodes, calls, entries, term, depth, width=4, branching=8, most=3):
+    """The search in lists, for nodes without roles."""
+    topic = {n: 1.0 if name == term else 0.85 if term in name else 0.0 for n, name in nodes.items()}
+    order = lambda p: (-p[1], len(p[0]), p[0][-1], p[0])
+    out = []
+    for entry in entries:
+        beam, ended = [([entry], 0.5 + 0.2 * topic[entry], [topic[entry]])] if entry in nodes else [], []
+        for _ in range(depth):
+            new = []
+            for path, score, seen in beam:
+                steps = []
+                for source, target, confidence in calls:
+                    if source == path[-1] and target in nodes and nodes[target] not in graph.NOISE:
+                        c = 1.0 if confidence is None else confidence
+                        steps.append((0.35 + (0.25 if c >= 0.85 else 0.1 if c >= 0.55 else -0.15) + 0.3 * topic[target], target))
+                steps = sorted(steps, key=lambda s: (-s[0], s[1]))[:branching]
+                more = [([*path, t], score + s, [*seen, topic[t]]) for s, t in steps if t not in path]
+                if not more and len(path) > 1:
+                    ended.append((path, score, seen))
+                new += more
+            beam = sorted(new, key=order)[:width]
+        every = {tuple(p): (p, s + (0.15 * min(sum(t >= 0.5 for t in seen), 3) + (0.15 if 3 <= len(p) <= 5 else 0.0))) for p, s, seen in ended + [b for b in beam if len(b[0]) > 1]}
+        out += [(entry, p, round(s, 6), i + 1) for i, (p, s) in enumerate(sorted(every.values(), key=order)[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sent, table", [(0, True), (1 << 20, True), (1 << 20, False)])
+def test_paths_take_only_calls_of_their_ends(spark, monkeypatch, sent, table):
+    """Rounds hold the calls and nodes that paths can go on with, however these are chosen, and find the same paths."""
+    kept, real = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    monkeypatch.setattr(graph, "REFS_SENT", sent, raising=False)
+    ref = [f"p{i % 5}.py::S{i % 3}.go{i}" for i in range(40)]
+    nodes = {r: "log" if i == 7 else r.split(".")[-1] for i, r in enumerate(ref) if i % 11 != 5}
+    # From the first 30 to any; the last ten call one another, and nothing leads there from an entry.
+    calls = {(i, (i * j + j) % 30): (0.5, 0.6, 0.9, None)[(i + j) % 4] for i in range(30) for j in range(1, 2 + i % 11)}
+    calls = [(ref[a], ref[b], c) for (a, b), c in calls.items()]
+    far = [(ref[i], ref[30 + (i + 1) % 10], 0.9) for i in range(30, 40)]
+    entries = [*ref[0:27:3], ref[29], "nowhere.py::x"]
+    n = spark.createDataFrame([(r, m, r, r.split("::")[0], "unknown") for r, m in nodes.items()], "id string, name string, qualified_name string, file_path string, role string")
+    e = spark.createDataFrame([("call", *c) for c in calls + far], "edge_type string, source string, target string, confidence double")
+    starts = spark.createDataFrame([(x,) for x in entries], "entry string")
+    want = plain_beam(nodes, calls + far, entries, "go1", 3)
+    given = n if table else lambda refs: n.join(refs, n["id"] == refs["ref"], "left_semi")
+    got = graph.beam_search(given, e, starts, ["go1"], 3).collect()
+    assert sorted((r.entry, r.path, round(r.score, 6), r.rank) for r in got) == want and len(want) > 20
+    met = lambda part, column: {r[column] for name, df in kept.items() if name.startswith(part) for r in df.collect()}
+    assert met("beam-calls", "source") and not met("beam-calls", "source") & set(ref[30:])
+    assert table or met("beam-nodes", "id") and not met("beam-nodes", "id") & set(ref[30:])
+
+
+def test_flow_paths_choose_calls_where_they_are_read(spark, monkeypatch):
+    """Line items of no path's end go before they are made distinct, and nodes aren't made of all symbols."""
+    plans, real = {}, graph.written
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "written", keep)
+    monkeypatch.setattr(queries, "written", keep)
+    queries.QUERIES["flow_paths"](spark, DATA)
+    for plan in (plans.get(f"beam-calls-{d}", "") for d in range(3)):
+        assert 0 <= plan.find("Aggregate") < plan.find("LeftSemi")
+    assert "symbols" not in plans and not [n for n, plan in plans.items() if "nodes" in n and "l_orderkey" in plan]
