@@ -1,7 +1,7 @@
 """A lexical index that is kept: postings in blocks, searched by upper bounds, updated by difference.
 
-Documents are numbered, 2^``SEGMENT_BITS`` numbers in a row are a segment, and the
-postings of a term in a segment are a block: document numbers as gaps, term
+Documents are numbered where they are read, 2^``SEGMENT_BITS`` numbers in a row are
+a segment, in order of doc_id, and the postings of a term in a segment are a block: document numbers as gaps, term
 frequencies, document lengths, and the highest score that the block gives
 before the term's weight.  A search
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, texts
-from ..sources.tables import written
+from ..sources.tables import discarded, written
 from ..sources.versions import BUCKET, Versions, bucket_of
 from .retrieval import B, EPSILON, K1, Weights, numbered, rounded, stated
 
@@ -49,13 +49,6 @@ def _part(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _numbered(docs: DataFrame, base: int) -> DataFrame:
-    """Rows doc_id, hash, ord, t: documents in order of doc_id, numbered from partition ``base``."""
-    tokens = docs.select("doc_id", ids.content_hash(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), texts.lexical_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    ord_ = (F.monotonically_increasing_id() + F.lit(base << INNER_BITS)).alias("ord")
-    return written(tokens.orderBy("doc_id").select("doc_id", "hash", ord_, "t"), "numbered")
-
-
 BLOCK = "term string, segment long, n int, best double, avgdl double, gaps array<int>, tfs array<int>, dls array<int>"
 
 
@@ -71,33 +64,117 @@ def _table(terms: pa.Array, segments: np.ndarray, n: np.ndarray, at: np.ndarray,
     return pa.RecordBatch.from_arrays([terms, pa.array(segments), pa.array(n.astype(np.int32)), pa.array(best), pa.array(np.full(len(n), avgdl)), *lists], names=["term", "segment", "n", "best", "avgdl", "gaps", "tfs", "dls"])
 
 
+def _postings(lists: pa.ListArray, at: np.ndarray, wide: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment's documents, their tokens and places: terms, postings of each, place and tf of each posting; dl by place."""
+    flat = lists.flatten().dictionary_encode()
+    dl = np.zeros(wide, np.int64)
+    dl[at] = lists.value_lengths().to_numpy()
+    key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * wide + np.repeat(at, dl[at]), return_counts=True)
+    term, place = key // wide, key % wide
+    return flat.dictionary, np.bincount(term, minlength=len(flat.dictionary)), place, tf, dl
+
+
 def _encoded(numbered: DataFrame, avgdl: float) -> DataFrame:
-    """Blocks of numbered documents (ord, t): a segment is a group of 2^SEGMENT_BITS documents at most."""
+    """Blocks of documents that have their numbers (ord, t): a segment is a group of 2^SEGMENT_BITS documents at most."""
     wide = 1 << SEGMENT_BITS
 
     def run(group: pa.Table) -> pa.Table:
-        lists, at = group["t"].combine_chunks(), group["at"].to_numpy()
-        flat = lists.flatten().dictionary_encode()
-        dl = np.zeros(wide, np.int64)
-        dl[at] = lists.value_lengths().to_numpy()
-        key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * wide + np.repeat(at, dl[at]), return_counts=True)
-        term, place = key // wide, key % wide
-        n = np.bincount(term, minlength=len(flat.dictionary))
-        return pa.Table.from_batches([_table(flat.dictionary, np.full(len(n), group["segment"][0].as_py()), n, place, tf, dl[place], avgdl)])
+        terms, n, place, tf, dl = _postings(group["t"].combine_chunks(), group["at"].to_numpy(), wide)
+        return pa.Table.from_batches([_table(terms, np.full(len(n), group["segment"][0].as_py()), n, place, tf, dl[place], avgdl)])
 
     segment = F.shiftright("ord", SEGMENT_BITS)
     rows = numbered.select(segment.alias("segment"), (F.col("ord") - F.shiftleft(segment, SEGMENT_BITS)).cast("long").alias("at"), "t")
     return rows.groupBy("segment").applyInArrow(run, BLOCK)
 
 
-def _places(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
-    """Of blocks: the block, place, tf and dl of each posting."""
-    gaps, tfs, dls = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (batch.column(c) for c in ("gaps", "tfs", "dls")))
+#: A segment in a row: what its documents' table needs, by place, then its terms, postings of each, and place and tf of each posting.
+PACKED = "segment long, doc_ids array<{}>, hashes array<string>, dls array<int>, terms array<string>, n array<smallint>, places array<smallint>, tfs array<int>"
+#: Segments in a file of such rows: Spark decodes thousands of rows of a file at once.
+PACKED_ROWS = 32
+#: Segments whose blocks a task sorts and writes, more or less: a bucket of more is dealt to several.
+SORTED_SEGMENTS = 64
+
+
+def _packed(docs: DataFrame, base: int) -> DataFrame:
+    """Rows of PACKED of documents (doc_id, text), written once; numbers begin at partition ``base``.
+
+    Documents are numbered where they are read, and in order of doc_id inside a
+    segment only; so neither texts nor tokens are sorted, shuffled or written.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ord_ = F.monotonically_increasing_id() + F.lit(base << INNER_BITS)
+    tokens = docs.select("doc_id", ids.content_hash(text).alias("hash"), ord_.alias("ord"), texts.lexical_tokens(text).alias("t"))
+    bits = SEGMENT_BITS
+
+    def packed(part: pa.Table) -> pa.RecordBatch:
+        part = part.take(pc.sort_indices(part["doc_id"], null_placement="at_start")).combine_chunks()
+        of = {c: part[c].combine_chunks() for c in ("doc_id", "hash", "t")}
+        terms, n, place, tf, dl = _postings(of["t"], np.arange(len(part)), 1 << bits)
+        whole = lambda x, kind=None: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if kind is None else pa.array(x, kind))
+        segment = pa.array([part["ord"][0].as_py() >> bits], pa.int64())
+        lists = [whole(of["doc_id"]), whole(of["hash"]), whole(dl[: len(part)], pa.int32()), whole(terms), whole(n, pa.int16()), whole(place, pa.int16()), whole(tf, pa.int32())]
+        return pa.RecordBatch.from_arrays([segment, *lists], names=["segment", "doc_ids", "hashes", "dls", "terms", "n", "places", "tfs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            starts = np.flatnonzero(np.diff(rows["ord"].to_numpy() >> bits, prepend=-1))
+            for start, end in zip(starts, starts[1:], strict=False):
+                yield packed(rows.slice(start, end - start))
+            # The next batch may go on with the last segment.
+            left = rows.slice(starts[-1]) if len(starts) else None
+        if left is not None:
+            yield packed(left)
+
+    rows = tokens.mapInArrow(run, PACKED.format(tokens.schema["doc_id"].dataType.simpleString()))
+    return written(rows, "packed", maxRecordsPerFile=PACKED_ROWS, compression="zstd")
+
+
+def _documents(packed: DataFrame) -> DataFrame:
+    """Rows doc_id, hash, ord, dl."""
+    one = packed.select("segment", F.posexplode(F.arrays_zip("doc_ids", "hashes", "dls")).alias("at", "d"))
+    ord_ = F.shiftleft("segment", SEGMENT_BITS) + F.col("at")
+    return one.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.hashes").alias("hash"), ord_.alias("ord"), F.col("d.dls").alias("dl"))
+
+
+def _counts(packed: DataFrame) -> DataFrame:
+    """Rows term, n: documents of a segment with the term."""
+    return packed.select(F.explode(F.arrays_zip("terms", "n")).alias("x")).select(F.col("x.terms").alias("term"), "x.n")
+
+
+def _dealt(packed: DataFrame, avgdl: float) -> DataFrame:
+    """Blocks of packed segments, with their bucket; a task has segments of one bucket, or few whole buckets.
+
+    Segments are dealt while they are packed, their terms as lines of one
+    string (a token holds no white space).
+    """
+    n_segments = packed.count()
+    parts = -(-n_segments // (BUCKETS * SORTED_SEGMENTS)) or 1
+    flat = lambda batch, name: batch.column(name).flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1) for i in range(len(batch))):
+                n, at, tf, dl = (flat(row, c).to_numpy().astype(np.int64) for c in ("n", "places", "tfs", "dls"))
+                terms = pc.split_pattern(row.column("terms"), "\n").flatten()
+                made = _table(terms, np.full(len(n), row.column("segment")[0].as_py()), n, at, tf, dl[at], avgdl)
+                yield made.append_column(BUCKET, pa.array(np.full(len(n), row.column(BUCKET)[0].as_py(), np.int32)))
+
+    bucket, part = bucket_of(BUCKETS, "segment"), F.pmod(F.hash("segment"), F.lit(parts))
+    rows = packed.where(F.size("terms") > 0).select(bucket.alias(BUCKET), (bucket + part * BUCKETS).alias("to"), "segment", "dls", F.array_join("terms", "\n").alias("terms"), "n", "places", "tfs")
+    return rows.repartitionById(min(BUCKETS * parts, n_segments or 1), "to").drop("to").mapInArrow(run, f"{BLOCK}, {BUCKET} int")
+
+
+def _places(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks: the block, place and tf of each posting."""
+    gaps, tfs = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (batch.column(c) for c in ("gaps", "tfs")))
     n, gap = gaps.value_lengths().to_numpy(), gaps.flatten().to_numpy().astype(np.int64)
     total = np.cumsum(gap)
     starts = np.cumsum(n) - n
     before = total[starts] - gap[starts] if len(n) else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(n)), n), total - np.repeat(before, n), tfs.flatten().to_numpy().astype(np.int64), dls.flatten().to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), total - np.repeat(before, n), tfs.flatten().to_numpy().astype(np.int64)
 
 
 def _without(blocks: DataFrame, avgdl: float) -> DataFrame:
@@ -105,7 +182,7 @@ def _without(blocks: DataFrame, avgdl: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, at, tf, dl = _places(batch)
+            (block, at, tf), dl = _places(batch), batch.column("dls").flatten().to_numpy().astype(np.int64)
             lost = batch.column("lost")
             gone = np.zeros((len(lost), 1 << SEGMENT_BITS), bool)
             gone[np.repeat(np.arange(len(lost)), lost.value_lengths().to_numpy()), lost.flatten().to_numpy()] = True
@@ -135,16 +212,16 @@ class Postings:
     def build(cls, folder: str, docs: DataFrame) -> Postings:
         """Of documents (doc_id, text); a text that is null is empty."""
         spark = docs.sparkSession
-        numbered = _numbered(docs, 0)
-        rows = numbered.select("doc_id", "hash", "ord", F.size("t").alias("dl"))
+        packed = _packed(docs, 0)
+        rows = _documents(packed)
         avgdl = rows.agg(F.avg("dl")).first()[0] or 1.0
-        blocks = written(_encoded(numbered, avgdl), "blocks")
-        cls._commit(Versions(spark, folder), None, (rows, None), (blocks, None), blocks, rows)
+        cls._commit(Versions(spark, folder), None, (rows, None), (_dealt(packed, avgdl), None), _counts(packed), rows)
+        discarded(packed)
         return cls(spark, folder)
 
     @staticmethod
     def _commit(kept: Versions, base: dict | None, docs: tuple, blocks: tuple, every: DataFrame, rows: DataFrame) -> None:
-        """``every`` and ``rows`` are all blocks and documents then; totals come from these."""
+        """Blocks are dealt by bucket; ``every`` and ``rows`` are all terms of blocks and all documents then; totals come from these."""
         n = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         df = every.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(n))
         raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -152,10 +229,11 @@ class Postings:
         kept.commit(
             {
                 "docs": (docs[0].withColumn(BUCKET, bucket_of(BUCKETS, "doc_id")), docs[1], BUCKETS, ["doc_id"]),
-                "blocks": (blocks[0].withColumn(BUCKET, bucket_of(BUCKETS, "segment")), blocks[1], BUCKETS, ["term", "segment"]),
+                "blocks": (*blocks, BUCKETS, ["term", "segment"]),
                 "totals": (totals, None, 1, []),
             },
             base,
+            dealt=("blocks",),
         )
 
     def updated(self, docs: DataFrame) -> Postings:
@@ -167,21 +245,25 @@ class Postings:
         if moved.isEmpty():
             return self
         base = (old.agg(F.max("ord")).first()[0] or 0) >> INNER_BITS
-        fresh = _numbered(new.join(moved.where("here").select("doc_id"), "doc_id", "left_semi"), base + 1)
-        rows = written(old.join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(fresh.select("doc_id", "hash", "ord", F.size("t").alias("dl"))), "docs")
+        fresh = _packed(new.join(moved.where("here").select("doc_id"), "doc_id", "left_semi"), base + 1)
+        rows = written(old.join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(_documents(fresh)), "docs")
         avgdl = rows.agg(F.avg("dl")).first()[0] or 1.0
         at = F.col("ord") - F.shiftleft(F.shiftright("ord", SEGMENT_BITS), SEGMENT_BITS)
         lost = moved.where("ord is not null").groupBy(F.shiftright("ord", SEGMENT_BITS).alias("segment")).agg(F.collect_list(at.cast("int")).alias("lost"))
         lost = written(lost, "lost")
         hurt = lost.select("segment")
         blocks = self.table("blocks")
-        # New documents have segments of their own.
-        again = written(_without(blocks.join(lost, "segment"), avgdl).unionByName(_encoded(fresh, avgdl)), "blocks")
+        cut = written(_without(blocks.join(lost, "segment"), avgdl), "blocks")
         whole = blocks.join(hurt, "segment", "left_anti")
         some = lambda df, key: sorted(r[0] for r in df.select(bucket_of(BUCKETS, key)).distinct().collect())
-        at_blocks, at_docs = some(hurt.unionByName(again.select("segment")), "segment"), some(moved, "doc_id")
-        rewritten = whole.where(bucket_of(BUCKETS, "segment").isin(at_blocks)).unionByName(again)
-        self._commit(self.kept, self.manifest, (rows.where(bucket_of(BUCKETS, "doc_id").isin(at_docs)), at_docs), (rewritten, at_blocks), whole.select("term", "n").unionByName(again.select("term", "n")), rows)
+        at_blocks, at_docs = some(hurt.unionByName(fresh.select("segment")), "segment"), some(moved, "doc_id")
+        left = whole.where(bucket_of(BUCKETS, "segment").isin(at_blocks)).unionByName(cut).withColumn(BUCKET, bucket_of(BUCKETS, "segment"))
+        # New documents have segments of their own.
+        rewritten = left.repartition(BUCKET).unionByName(_dealt(fresh, avgdl))
+        every = whole.select("term", "n").unionByName(cut.select("term", "n")).unionByName(_counts(fresh))
+        self._commit(self.kept, self.manifest, (rows.where(bucket_of(BUCKETS, "doc_id").isin(at_docs)), at_docs), (rewritten, at_blocks), every, rows)
+        for x in (fresh, rows, cut):
+            discarded(x)
         return Postings(spark, self.kept.folder)
 
     # --- searching -----------------------------------------------------------------
@@ -189,18 +271,29 @@ class Postings:
     def _scored(self, wanted: DataFrame, given: Weights, terms: DataFrame, avgdl: float, k: int, digits: int) -> DataFrame:
         """Rows q, ord, score over 0 and from ``bar`` on: the k best of each query in each of its segments (q, segment, bar).
 
-        All documents of a segment were numbered at once, in order of doc_id; so
-        of those that tie in it, the first are the first by doc_id.
+        A segment's documents have their numbers in order of doc_id; so of those
+        that tie in it, the first are the first by doc_id.
         """
-        blocks = self.table("blocks").select("term", "segment", "gaps", "tfs", "dls").join(F.broadcast(terms), "term", "left_semi")
-        blocks = blocks.join(wanted.select("segment").distinct(), "segment", "left_semi")
+        blocks = self.table("blocks").select("term", "segment", "gaps", "tfs").join(F.broadcast(terms), "term", "left_semi")
+        # A segment's lengths come once, by place, in a row without a term, instead of one with each posting.
+        segment = F.shiftright("ord", SEGMENT_BITS)
+        place = (F.col("ord") - F.shiftleft(segment, SEGMENT_BITS)).cast("int")
+        lengths = self.table("docs").select(segment.alias("segment"), F.struct(place.alias("at"), "dl").alias("d"))
+        in_wanted = lambda df: df.join(wanted.select("segment").distinct(), "segment", "left_semi")
+        lengths = in_wanted(lengths).groupBy("segment").agg(F.collect_list("d").alias("d"))
+        lengths = lengths.select(F.lit(None).cast("string").alias("term"), "segment", F.col("d.at").alias("gaps"), F.col("d.dl").alias("tfs"))
+        both = in_wanted(blocks).select("term", "segment", "gaps", "tfs").unionByName(lengths)
         n, words = given.n, given.words
 
         def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-            of, at, tf, dl = _places(block)
+            of_all = block.filter(pc.is_null(block["term"]))
+            dls = np.zeros(1 << SEGMENT_BITS, np.int64)
+            dls[of_all["gaps"].combine_chunks().flatten().to_numpy()] = of_all["tfs"].combine_chunks().flatten().to_numpy()
+            block = block.filter(pc.is_valid(block["term"]))
+            of, at, tf = _places(block)
             term = pc.index_in(block["term"].combine_chunks(), value_set=pa.array(words, pa.string())).fill_null(-1).to_numpy().astype(np.int64)[of]
-            at, tf, dl, term = (x[term >= 0] for x in (at, tf, dl, term))
-            cell, value = given.cells(at, term, _part(tf, dl, avgdl))
+            at, tf, term = (x[term >= 0] for x in (at, tf, term))
+            cell, value = given.cells(at, term, _part(tf, dls[at], avgdl))
             score = rounded(np.bincount(cell, value, n << SEGMENT_BITS), digits).reshape(-1, n)
             bar = np.full(n, np.inf)
             bar[asked["q"].to_numpy()] = asked["bar"].to_numpy()
@@ -212,7 +305,7 @@ class Postings:
             start = (block["segment"][0].as_py() << SEGMENT_BITS) if len(block) else 0
             return pa.table({"q": q.astype(np.int32), "ord": place + start, "score": score[place, q]})
 
-        return blocks.groupBy("segment").cogroup(wanted.select("q", "segment", "bar").groupBy("segment")).applyInArrow(run, "q int, ord long, score double")
+        return both.groupBy("segment").cogroup(wanted.select("q", "segment", "bar").groupBy("segment")).applyInArrow(run, "q int, ord long, score double")
 
     def search(self, queries: DataFrame, k: int = 10, digits: int = 9, first: int = FIRST, reads: list | None = None) -> DataFrame:
         """Rows query_id, doc_id, score, rank: the k best of each query (query_id, text), scores over 0, ties by doc_id.

@@ -23,12 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rounds/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes what :func:`written` wrote; from then on nothing reads ``df`` or what was made of it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def save(df: DataFrame, path: str, by: str | None = "repo_id") -> None:
     """Overwrites only the partitions that ``df`` has rows of."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -96,22 +96,23 @@ class Versions:
         paths = [f"{self.folder}/{p}" for b, p in sorted(table["folders"].items()) if some is None or b in some]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, name: str, rows: DataFrame, sort: Iterable[str]) -> dict[str, str]:
+    def _write(self, name: str, rows: DataFrame, sort: Iterable[str], dealt: bool) -> dict[str, str]:
         """Writes rows with their bucket; folders by bucket."""
         at = f"data/{name}-{uuid.uuid4().hex}"
         # Buckets come whole to a task, one after another; how many tasks there are is the session's choice.
-        rows.repartition(BUCKET).sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(f"{self.folder}/{at}")
+        rows = rows if dealt else rows.repartition(BUCKET)
+        rows.sortWithinPartitions(BUCKET, *sort).write.partitionBy(BUCKET).parquet(f"{self.folder}/{at}")
         found = [x for x in self._names(f"{self.folder}/{at}") if x.startswith(f"{BUCKET}=")]
         return {x.split("=")[1]: f"{at}/{x}" for x in found}
 
-    def commit(self, changed: dict[str, tuple[DataFrame, Iterable[int] | None, int, Iterable[str]]], base: dict | None = None) -> int:
-        """A new version. changed: by table its rows with ``__bucket``, the buckets that these rows replace (None: all), the number of buckets, and what to sort by."""
+    def commit(self, changed: dict[str, tuple[DataFrame, Iterable[int] | None, int, Iterable[str]]], base: dict | None = None, dealt: Iterable[str] = ()) -> int:
+        """A new version. changed: by table its rows with ``__bucket``, the buckets that these rows replace (None: all), the number of buckets, and what to sort by. dealt: tables whose tasks have whole buckets already."""
         before = base or self.manifest()
         made = {"version": before["version"] + 1, "tables": dict(before["tables"])}
         for name, (rows, replaced, n, sort) in changed.items():
             old = {} if replaced is None else before["tables"].get(name, {}).get("folders", {})
             gone = None if replaced is None else {str(b) for b in replaced}
-            folders = {b: p for b, p in old.items() if b not in (gone or ())} | self._write(name, rows, sort)
+            folders = {b: p for b, p in old.items() if b not in (gone or ())} | self._write(name, rows, sort, name in dealt)
             made["tables"][name] = {"schema": rows.drop(BUCKET).schema.jsonValue(), "folders": folders, "buckets": n}
         return self._swap(made)
 

@@ -78,6 +78,43 @@ def test_blocks_are_made_in_their_segment(spark):
     assert flat(postings._without(blocks.join(lost, "segment"), 2.0)) == [("b", 0, 1, [127], [1], [1])]
 
 
+def test_index_without_texts_on_disk(spark, tmp_path, monkeypatch):
+    """Neither texts nor tokens are sorted, shuffled or written: a segment is packed where its documents are read."""
+    seen, real = {}, postings.written
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    def keep(df, name, **options):
+        table = real(df, name, **options)
+        seen[name] = df.columns, shuffles(df), table.agg(F.count("*"), F.countDistinct(df.columns[0])).first(), table.inputFiles()
+        return table
+
+    monkeypatch.setattr(postings, "written", keep)
+    monkeypatch.setattr(postings, "SEGMENT_BITS", 3)
+    monkeypatch.setattr(postings, "SORTED_SEGMENTS", 1, raising=False)
+    monkeypatch.setattr(postings, "BUCKETS", 2)
+    # Ids out of order, many ties, a segment in several batches, and segments without a term.
+    rows = [(f"d{i * 37 % 101:03}", "same words Same" if i % 3 else f"own{i} + words") for i in range(101)] + [("e1", None), ("e2", " ")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    docs = docs.unionByName(spark.createDataFrame([(f"f{i}", "") for i in range(20)], "doc_id string, text string").coalesce(1))
+    asked = spark.createDataFrame([(1, "same"), (2, "words +"), (3, "own3 own6 none")], "query_id int, text string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        index = postings.Postings.build(f"file://{tmp_path}/kept", docs)
+        pairs = retrieval.bm25_scores(retrieval.bm25_index(docs), asked).withColumn("score", F.round("score", 6)).where("score > 0")
+        assert ranked(index.search(asked, 7, 6, first=2)) == ranked(retrieval.top_k(pairs, 7))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    # Equal texts tie in each segment; its postings and documents meet no other's.
+    assert index.table("docs").count() == index.table("docs").select("ord").distinct().count() == 123
+    assert not [name for name, (columns, *_) in seen.items() if {"t", "text"} & set(columns)]
+    # A row a segment; the only shuffle is the one that dealt the documents out above.
+    columns, n, (rows, segments), files = seen["packed"]
+    assert columns[0] == "segment" and n == shuffles(docs) and rows == segments
+    # What was packed is gone once it is committed.
+    assert files and not [f for f in files if Path(f.removeprefix("file:")).exists()]
+
+
 def test_nearest_without_pairs(spark, monkeypatch):
     """Products of slices give what all pairs give, with ties."""
     monkeypatch.setattr(retrieval, "SLICE_CELLS", 16)
