@@ -39,6 +39,8 @@ from .retrieval import B, EPSILON, K1, Weights, numbered, rounded, stated
 SEGMENT_BITS = 7
 #: Segments of each query that are scored first.
 FIRST = 8
+#: Numbers of segments that are sent to all tasks, so that only blocks of these are shuffled; for more, all blocks of the queries' terms are.
+SEGMENTS_SENT = 1 << 20
 #: Buckets of the kept tables.
 BUCKETS = 64
 #: ``monotonically_increasing_id`` counts inside a partition in so many bits.
@@ -279,7 +281,9 @@ class Postings:
         segment = F.shiftright("ord", SEGMENT_BITS)
         place = (F.col("ord") - F.shiftleft(segment, SEGMENT_BITS)).cast("int")
         lengths = self.table("docs").select(segment.alias("segment"), F.struct(place.alias("at"), "dl").alias("d"))
-        in_wanted = lambda df: df.join(wanted.select("segment").distinct(), "segment", "left_semi")
+        segments = wanted.select("segment").distinct()
+        segments = F.broadcast(segments) if segments.count() <= SEGMENTS_SENT else segments
+        in_wanted = lambda df: df.join(segments, "segment", "left_semi")
         lengths = in_wanted(lengths).groupBy("segment").agg(F.collect_list("d").alias("d"))
         lengths = lengths.select(F.lit(None).cast("string").alias("term"), "segment", F.col("d.at").alias("gaps"), F.col("d.dl").alias("tfs"))
         both = in_wanted(blocks).select("term", "segment", "gaps", "tfs").unionByName(lengths)
